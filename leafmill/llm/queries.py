@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, hilbert, license_scan, poisson_mix
-from .common import table
+from . import content_sort, hilbert, license_scan, pfor, poisson_mix, segment_bpe, tiff
+from .common import store, table
 from .sql import ORACLES
 
 
+def op2_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.hilbert_shards(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select(
@@ -26,10 +30,26 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = segment_bpe.bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    return segment_bpe.bpe_decode(encoded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store(tiff.encode_media(table(spark, sf_dir, "documents", "doc_id", "text")), "tiff", compression="uncompressed")
+    files = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return tiff.text_features(tiff.decode_pages(files))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
 
@@ -40,5 +60,5 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_hilbert_shards, op7_license_scan, op9_exact_dedup, op10_poisson_mix)
+    f.__name__: f for f in (op2_pfor_ids, op4_hilbert_shards, op5_segment_bpe, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix)
 }
