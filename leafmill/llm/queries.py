@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, hilbert, license_scan, pfor, poisson_mix, segment_bpe, tiff
+from . import content_sort, hilbert, html_extract, license_scan, pfor, poisson_mix, segment_bpe, tiff
 from .common import store, table
 from .sql import ORACLES
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -60,5 +64,5 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pfor_ids, op4_hilbert_shards, op5_segment_bpe, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix)
+    f.__name__: f for f in (op1_html_main_text, op2_pfor_ids, op4_hilbert_shards, op5_segment_bpe, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix)
 }
