@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, hilbert, html_extract, license_scan, pfor, poisson_mix, segment_bpe, tiff
+from . import content_sort, divide_skip, hilbert, html_extract, license_scan, pfor, poisson_mix, segment_bpe, string_kernel, tiff
 from .common import store, table
 from .sql import ORACLES
 
@@ -20,6 +20,11 @@ def op2_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = string_kernel.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return string_kernel.identify(table(spark, sf_dir, "documents", "doc_id", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.hilbert_shards(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select(
@@ -44,6 +49,10 @@ def op5_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divide_skip.jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -64,5 +73,5 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_pfor_ids, op4_hilbert_shards, op5_segment_bpe, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix)
+    f.__name__: f for f in (op1_html_main_text, op2_pfor_ids, op3_string_kernel, op4_hilbert_shards, op5_segment_bpe, op6_jaccard_join, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix)
 }
