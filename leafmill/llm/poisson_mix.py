@@ -16,6 +16,8 @@ from .common import gapless_rank, private_names
 SEED = 20
 #: Without given weights the target weight of a source is its row count to this power, divided by the sum.
 TEMPERATURE = 0.5
+#: The sources' tables of steps are broadcast up to so many bytes; beyond that Spark joins by the source, splitting hot ones.
+MOST_BROADCAST = 32 << 20
 #: The largest rate whose distribution is tabulated in full; exp(-rate) and all partial sums are exact enough below it.
 MOST_RATE = 500.0
 
@@ -87,7 +89,10 @@ def poisson_mix(
         .select(F.col("source").alias(name), parts, poisson_steps(part_rate).alias(steps))
     )
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    # a source's table goes to its rows by a join on the name; Spark broadcasts it while its size allows that
+    n_sources, highest = rates.agg(F.count(F.lit(1)), F.max("rate")).first()
+    highest = min(highest or 0.0, MOST_RATE)
+    if n_sources * 8 * (highest + 12 * highest**0.5 + 64) <= MOST_BROADCAST:
+        tables = F.broadcast(tables)
     drawn = docs.join(tables, docs[source_col].eqNullSafe(tables[name]), "left").drop(name)
 
     def copies(part: Column) -> Column:
