@@ -94,46 +94,57 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return rows.select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
+# Every canonical form of a known text has one of these, and no step of canonical() makes one that the
+# lower-case text lacked. A text without any of them equals no known text, so it needs no canonical form.
+ANCHORS = ("licen", "permission", "redistribution", "unencumbered")
+
+
+def anchored(text: Column) -> Column:
+    low = F.lower(text)
+    out = low.contains(ANCHORS[0])
+    for anchor in ANCHORS[1:]:
+        out = out | low.contains(anchor)
+    return out
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: doc_id, n_lines, n_license_lines, whole_license, licenses (sorted, distinct), is_license.
+    """One row per id: doc_id, n_license_lines, whole_license, licenses (sorted, distinct, joined by commas), is_license.
 
-    whole_license: the license whose known text is the whole document, else null. is_license: the document is one, or all
-    of its lines with letters or digits are known texts or copyright lines and one is a known text.
-    Nulls: a null text has no lines and no license. Rows that share an id, null included, count together; a whole_license
-    is then that of the first in alphabetical order. Very long texts: whole, line by line. Empty table: empty result. Extra
-    columns are left out.
+    whole_license: the license whose known text is the whole document, else null. is_license: the document is one, or each
+    of its lines with letters or digits is a known text or a copyright line and one is a known text.
+    Nulls: a null text has no license. Rows that share an id, null included, count together; a whole_license is then the
+    first in alphabetical order. Very long texts: whole, line by line. Empty table: empty result. Extra columns are left
+    out.
     """
-    spark = docs.sparkSession
-    known = F.broadcast(known_digests(spark))  # one row for each text in KNOWN at most
-    ident = F.col(id_col).alias("doc_id")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-
-    line = F.explode(F.split(text, "\n")).alias("line")
-    lines = docs.select(ident, line).select("doc_id", canonical(F.col("line")).alias("form")).where("form <> ''")
-    lines = lines.select("doc_id", F.sha2("form", 256).alias("digest")).join(known, "digest", "left")
-    by_line = lines.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
+    known = F.broadcast(known_digests(docs.sparkSession))  # one row for each text in KNOWN at most
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with_anchor = texts.where(anchored(F.col("text")))
+
+    lines = with_anchor.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    digest = F.when(anchored(F.col("line")), F.sha2(canonical(F.col("line")), 256))
+    noted = lines.select("doc_id", digest.alias("digest"), F.lower("line").rlike(COPYRIGHT_LINE).alias("notice")).join(known, "digest", "left")
+    by_line = noted.groupBy("doc_id").agg(
         F.count("license").alias("n_license_lines"),
+        (F.count("license") + F.count_if(F.col("license").isNull() & F.col("notice")) == F.count(F.lit(1))).alias("nothing_else"),
     )
-    found = lines.where(F.col("license").isNotNull()).select("doc_id", "license", F.lit(False).alias("whole"))
-    whole = docs.select(ident, F.sha2(canonical(text), 256).alias("digest")).join(known, "digest").select("doc_id", "license", F.lit(True).alias("whole"))
+    found = noted.where(F.col("license").isNotNull()).select("doc_id", "license", F.lit(False).alias("whole"))
+    whole = with_anchor.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest").select("doc_id", "license", F.lit(True).alias("whole"))
     by_doc = (
         found.unionByName(whole)
         .groupBy("doc_id")
         .agg(
             F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
-            F.array_sort(F.collect_set("license")).alias("licenses"),
+            F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
         )
     )
-    ids = docs.select(ident).distinct()
-    out = ids.join(by_line.withColumnRenamed("doc_id", "line_id"), F.col("doc_id").eqNullSafe(F.col("line_id")), "left").drop("line_id")
-    out = out.join(by_doc.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left").drop("found_id")
-    n, m = F.coalesce("n_lines", F.lit(0)), F.coalesce("n_license_lines", F.lit(0))
+    out = texts.select("doc_id").distinct()
+    for name, part in (("line_id", by_line), ("found_id", by_doc)):
+        out = out.join(part.withColumnRenamed("doc_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left").drop(name)
+    m = F.coalesce("n_license_lines", F.lit(0))
     return out.select(
         "doc_id",
-        n.alias("n_lines"),
         m.alias("n_license_lines"),
         "whole_license",
-        F.array_join(F.coalesce("licenses", F.array().cast("array<string>")), ",").alias("licenses"),
-        (F.col("whole_license").isNotNull() | ((m > 0) & (m == n))).alias("is_license"),
+        F.coalesce("licenses", F.lit("")).alias("licenses"),
+        (F.col("whole_license").isNotNull() | ((m > 0) & F.coalesce("nothing_else", F.lit(False)))).alias("is_license"),
     )

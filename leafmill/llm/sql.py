@@ -66,11 +66,13 @@ with known as (
   ) group by digest
 ),
 l as (
-  select doc_id, sha256(form) as digest from (
-    select doc_id, {_canonical("line")} as form from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
-  ) where form <> ''
+  select doc_id, sha256({_canonical("line")}) as digest, regexp_matches(lower(line), {_literal(COPYRIGHT_LINE.replace("(?m)", ""))}) as notice
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) where regexp_matches(line, '[\\p{{L}}\\p{{N}}]')
+),
+by_line as (
+  select doc_id, count(license) as n_license_lines, count(license) + count(*) filter (license is null and notice) = count(*) as nothing_else
+  from l left join known using (digest) group by doc_id
 ),
-by_line as (select doc_id, count(*) as n_lines, count(license) as n_license_lines from l left join known using (digest) group by doc_id),
 found as (
   select doc_id, license, false as whole from l join known using (digest)
   union all
@@ -79,8 +81,8 @@ found as (
 by_doc as (
   select doc_id, min(case when whole then license end) as whole_license, string_agg(distinct license, ',' order by license) as licenses from found group by doc_id
 )
-select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_license_lines, 0) as n_license_lines, whole_license, coalesce(licenses, '') as licenses,
-       whole_license is not null or (coalesce(n_license_lines, 0) > 0 and n_license_lines = n_lines) as is_license
+select d.doc_id, coalesce(n_license_lines, 0) as n_license_lines, whole_license, coalesce(licenses, '') as licenses,
+       whole_license is not null or (coalesce(n_license_lines, 0) > 0 and nothing_else) as is_license
 from (select distinct doc_id from documents) d
 left join by_line b on d.doc_id is not distinct from b.doc_id
 left join by_doc f on d.doc_id is not distinct from f.doc_id
