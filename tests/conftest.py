@@ -9,8 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
+from data_dir import SF  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

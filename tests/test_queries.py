@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import SF
+from data_dir import SF
 
 import __spark_entry__
 
@@ -58,6 +58,6 @@ import __spark_entry__ as e
 assert 'page_blocks' in e.queries() and not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.queries()
 assert set(e.oracle_sql()) <= set(e.queries())
 """
-    from conftest import ROOT
+    from data_dir import ROOT
 
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
