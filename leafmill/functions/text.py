@@ -100,7 +100,7 @@ def code_language(value: Column) -> Column:
 def heading_level(classes: Column) -> Column:
     """From a class doc-heading-1 to doc-heading-9, 6 at most; null without one."""
     digits = F.filter(F.transform(classes, lambda c: F.regexp_extract(c, r"^doc-heading-([1-9])$", 1)), lambda d: d != "")
-    return F.least(F.get(digits, F.lit(0)).cast("int"), F.lit(6))
+    return F.when(F.size(digits) > 0, F.least(F.get(digits, F.lit(0)).cast("int"), F.lit(6)))
 
 
 def file_name(value: Column) -> Column:

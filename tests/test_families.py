@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from leafmill.operators.families.course import course_blocks
 from leafmill.operators.families.feishu import feishu_blocks
 
 
@@ -45,3 +46,41 @@ def test_feishu(spark):
     assert rows[7].rows == [["a b", "c<br>d"], ["e"]]
     assert [r.source_id for r in rows[:3]] == ["feishu-block:r2", "feishu-block:r3", "feishu-block:r5"]
     assert [r.source_id for r in rows[9:11]] == ["feishu-image:r15:0", "feishu-image:r15:1"] and rows[5].source_id == "feishu-image:r9"
+
+
+def item(inner, more=""):
+    return f'<div class="vc-doc-item {more}">{inner}</div>'
+
+
+def test_course(spark):
+    text = lambda t: f'<div class="block-text">{t}</div>'
+    html = "<main class='feishu-doc-content'><h2>Lesson</h2>" + "".join([
+        item(text("Head"), "doc-heading-8"),
+        item(text(" one <b> two </b><span class='italic'>x</span>") + text("three<br>four")),
+        item('<div class="bullet_container number-1"><span class="bullet-dot">1.</span><div class="bulletlist">li</div></div>' + item('<div class="bulletlist">in <img src="/n.png"></div>') + item('<div class="bulletlist">in2</div>') + '<img src="/o.png">'),
+        item('<div class="quote_container">' + item(text("q1")) + item(text("q2")) + "</div>"),
+        item('<div class="block-code"><span class="block-code-language">Plain Text</span><pre class="block-code-content">\n  a  \nb\n</pre></div>'),
+        item(f'<div class="table table_2"><div class="table_cell">{item(text("c1"))}{item(text("c2"))}</div><div class="table_cell">d</div><div class="table_cell">e</div></div>'),
+        item('<div class="block-file video"><div class="title"><span>Clip</span></div><video class="video-preview" src="https://v.com/a b.mp4"></video></div>'),
+        item('<div class="block-file video"><video class="video-preview" src="blob:x"></video></div>'),
+        item("<img src='/images/docx/link.png'><img src='/p.png' alt='p'>"),
+        '<div class="next-chapter-card">' + item(text("next")) + "</div>",
+    ]) + "</main>"
+    rows = course_blocks(spark.createDataFrame([(1, "https://scys.com/course/detail/1", html)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [(r.type, r.text, r.markdown or r.src, r.depth, r.ordered) for r in rows] == [
+        ("heading", "Lesson", None, None, None),
+        ("heading", "Head", None, None, None),
+        ("paragraph", "one two x three four", "one **two** *x*<br>three<br>four", None, None),
+        ("listItem", "li", "li", 0, True),
+        ("image", None, "https://scys.com/o.png", None, None),
+        ("listItem", "in", "in", 1, False),
+        ("image", None, "https://scys.com/n.png", None, None),
+        ("listItem", "in2", "in2", 1, False),
+        ("quote", "q1 q2", "q1\nq2", None, None),
+        ("code", "  a\nb", None, None, None),
+        ("table", None, None, None, None),
+        ("video", "Clip", "https://v.com/a%20b.mp4", None, None),
+        ("image", None, "https://scys.com/p.png", None, None),
+    ]
+    assert rows[1].level == 6 and rows[9].language == "text" and rows[10].rows == [["c1<br>c2", "d"], ["e", ""]]
+    assert [r.source_id for r in rows if r.source_id] == ["scys:3:image:0", "scys:3:nested:0:image:0", "scys:6:table", "scys:7:video:0", "scys:9:image:0"]
