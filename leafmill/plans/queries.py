@@ -14,6 +14,7 @@ from ..functions.markdown import BLOCK, block_markdown, document_markdown, table
 from ..operators import blocks as B
 from ..operators import islands, merge, zip_sink
 from ..operators import media as media_ops
+from ..operators.families import course, feishu
 from ..sources.html_nodes import SELECTED, dom_nodes
 from ..sources.shared import shared_path
 from ..streaming.collector import Policy, collect
@@ -255,11 +256,47 @@ def collector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("page_id", "s.rounds", "s.n_blocks", "s.idle", "s.status")
 
 
+def _as_html(text: Column) -> Column:
+    out = text
+    for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return out
+
+
+def _family_pages(spark: SparkSession, sf_dir: str, url: str, head: str, tail: str, forms: tuple[str, ...]) -> DataFrame:
+    """A page for each document, whose lines take turns in the forms of a family's blocks: %n is a line's number, %s its text."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def block(line: Column, i: Column) -> Column:
+        form = F.element_at(F.array(*map(F.lit, forms)), (i % len(forms) + 1).cast("int"))
+        return F.replace(F.replace(form, F.lit("%n"), (i + 1).cast("string")), F.lit("%s"), _as_html(line))
+
+    html = F.concat(F.lit(head), F.array_join(F.transform(lines, block), ""), F.lit(tail))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(url).alias("url"), html.alias("html"))
+
+
+def feishu_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = '<div class="zone-container" data-slate-editor="true"><div class="ace-line">%s</div></div>'
+    forms = tuple(f'<div class="block docx-{kind}-block" data-block-id="%n">{line}</div>' for kind in ("text", "bullet", "heading2", "ordered"))
+    pages = _family_pages(spark, sf_dir, "https://a.feishu.cn/docx/1", '<div class="block docx-page-block" data-block-id="0">', "</div>", forms)
+    return feishu.feishu_blocks(pages).select("page_id", "pos", "type", "level", "text", "markdown", "ordered", "depth", "source_id")
+
+
+def course_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = '<div class="vc-doc-item %k">%b</div>'
+    forms = tuple(
+        item.replace("%k", kind).replace("%b", body)
+        for kind, body in (("", '<div class="block-text">%s</div>'), ("", '<div class="bullet_container"><div class="bulletlist">%s</div></div>'), ("doc-heading-3", '<div class="block-text">%s</div>'), ("", '<div class="quote_container">%s</div>'))
+    )
+    pages = _family_pages(spark, sf_dir, "https://scys.com/course/detail/1", '<main><div class="feishu-doc-content">', "</div></main>", forms)
+    return course.course_blocks(pages).select("page_id", "pos", "type", "level", "text", "markdown", "ordered", "depth")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
-        crc32_entries, zip_archives, coverage_diagnostics, log_lines, collector_stream,
+        crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, coverage_diagnostics, log_lines, collector_stream,
     )
 }

@@ -65,7 +65,16 @@ from e window w as (partition by archive_id order by seq rows between unbounded
 _HOST = """case event_id % 7 when 0 then (event_id % 256) || '.' || (user_id % 256) || '.1.2' when 1 then '192.' || (user_id % 256) || '.0.9'
   when 2 then 'h' || user_id || '.local' when 3 then 'localhost' when 4 then 'u:p@h' || user_id || '.example.com' else 'h' || user_id || '.example.com' end"""
 
+_LINES = f"""l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+n as (select page_id, i, i % 4 as k, {_normal("line")} as md, {_normal("regexp_replace(line, '[*~]+', '', 'g')")} as text from l)"""
+
 ORACLES = {
+    "feishu_page_blocks": f"""with {_LINES}, r as (select *, ['paragraph', 'listItem', 'heading', 'listItem'][k + 1] as type from n where md <> '' and (k <> 2 or text <> ''))
+select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 2 end as level, text, case when k <> 2 then md end as markdown,
+       case when k in (1, 3) then k = 3 end as ordered, case when k in (1, 3) then 0 end as depth, 'feishu-block:' || (i + 1) as source_id from r""",
+    "course_page_blocks": f"""with {_LINES}, r as (select page_id, i, k, ['paragraph', 'listItem', 'heading', 'quote'][k + 1] as type, case when k = 2 then md else text end as text, case when k <> 2 then md end as markdown from n where md <> '' and text <> ''),
+d as (select * from r qualify row_number() over (partition by page_id, type, text, markdown order by i) = 1)
+select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 3 end as level, text, markdown, case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth from d""",
     "page_blocks": f"with {_BLOCKS} select page_id, pos, type, level, text from b",
     "page_scores": f"with {_BLOCKS} select page_id, (sum(length(text)) + 20 * count(*))::bigint as score, count(*) as n_blocks from b group by page_id having sum(length(text)) + 20 * count(*) > 120 and count(*) > 1",
     "page_type_counts": f"with {_BLOCKS} select type, count(*) as n_blocks, count(distinct page_id) as n_pages from b group by type",
