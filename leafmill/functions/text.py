@@ -173,12 +173,12 @@ def markdown_to_text(value: Column) -> Column:
     """Plain text of Markdown: fences, images, links, breaks, line markers and emphasis go."""
     out = text_of(value)
     for pattern, with_ in (
-        (r"(?m)^[ \t]*(`{3,}|~{3,})[^\n]*$", ""),
+        (r"```[^\n]*\n?", ""),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?i)<br\s*/?>", " "),
-        (r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d+[.)][ \t]+)", ""),
-        (r"[*_`~|]+", ""),
+        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+        (r"(?i)<br\s*/?\s*>", " "),
+        (r"(?m)^[ \t]*(?:#{1,6}|>|[-+*]|\d+[.)])\s+", ""),
+        (r"[|*_~`\\]", " "),
     ):
         out = F.regexp_replace(out, pattern, with_)
     return normalize_text(out)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import media as M
 from ..functions import text as X
 from ..functions import urls as U
-from ..functions.markdown import BLOCK, block_markdown, document_markdown, table_markdown
+from ..functions.lines import plain_lists
+from ..functions.markdown import BLOCK, document_markdown, table_markdown
 from ..operators import blocks as B
 from ..operators import islands, merge, zip_sink
 from ..operators import media as media_ops
@@ -256,6 +257,13 @@ def collector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("page_id", "s.rounds", "s.n_blocks", "s.idle", "s.status")
 
 
+def doc_plain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each text as items with a dot, blank lines between them, written as one list."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line) != "")
+    text = F.array_join(F.transform(lines, lambda line: F.concat(F.lit(chr(0x2022) + " "), line)), "\n\n")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(plain_lists(text)).alias("list_md5"), F.size(lines).alias("n_lines"))
+
+
 def _as_html(text: Column) -> Column:
     out = text
     for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -297,6 +305,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
-        crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, coverage_diagnostics, log_lines, collector_stream,
+        crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream,
     )
 }

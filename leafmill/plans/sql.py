@@ -69,6 +69,8 @@ _LINES = f"""l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(
 n as (select page_id, i, i % 4 as k, {_normal("line")} as md, {_normal("regexp_replace(line, '[*~]+', '', 'g')")} as text from l)"""
 
 ORACLES = {
+    "doc_plain_lists": """with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as x from documents)
+select doc_id, md5(array_to_string(list_transform(x, lambda y: '- ' || rtrim(replace(replace(ltrim(y), chr(160), ' '), '****', ''))), chr(10))) as list_md5, len(x)::int as n_lines from l""",
     "feishu_page_blocks": f"""with {_LINES}, r as (select *, ['paragraph', 'listItem', 'heading', 'listItem'][k + 1] as type from n where md <> '' and (k <> 2 or text <> ''))
 select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 2 end as level, text, case when k <> 2 then md end as markdown,
        case when k in (1, 3) then k = 3 end as ordered, case when k in (1, 3) then 0 end as depth, 'feishu-block:' || (i + 1) as source_id from r""",
