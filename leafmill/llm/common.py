@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +88,24 @@ def gapless_rank(df: DataFrame, keys: list[Column], rank: str, label: str) -> Da
         .withColumn(rank, F.col(s_col) + within)
         .drop(p_col, s_col, place)
     )
+
+
+def join_known(parts: list[list[str]], known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+    """The values of each part's pieces joined; what isn't known is learnt for all parts together."""
+    values = [list(map(known.get, p)) for p in parts]
+    gaps = [i for i, v in enumerate(values) if None in v]
+    new = {c for i in gaps for c, v in zip(parts[i], values[i]) if v is None}
+    if new:
+        found = learn(list(new))
+        for i in gaps:
+            values[i] = [found[c] if v is None else v for c, v in zip(parts[i], values[i])]
+    return [b"".join(v) for v in values]
+
+
+def remember(cache: dict[str, bytes], found: dict[str, bytes], most: int) -> None:
+    """Add found to the cache, which has at most most entries: the first third, which common pieces got into early, stays."""
+    if len(cache) + len(found) > most:
+        first = list(islice(cache.items(), most // 3))
+        cache.clear()
+        cache.update(first)
+    cache.update(islice(found.items(), max(0, most - len(cache))))

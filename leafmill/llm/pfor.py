@@ -22,14 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import join_known, store
 
-BLOCK = 1024
+BLOCK = 4096
 SEGMENT = 65_536
 PERCENTILE = 90
 END_ID = 1
 #: Chunks of text between spaces whose ids a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+MARKS = frozenset(".,;:!?")
+LAST_PLAIN = chr(0xFF)
+#: Rows that are encoded at a time.
+SLICE = 250
 
 SEGMENTS = "part int, seq int, start_in_part long, n_values long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -95,30 +99,78 @@ def unpack_segment(payload: bytes, first: int = 0, count: int | None = None) ->
 # ---- ids
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function from a text to its ids as little-endian u32. The tokenizer deletes white space before it merges, so the
-    chunks between spaces and line ends are encoded one by one and remembered."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts as little-endian u32. The tokenizer deletes white space before it merges, so the chunks between spaces and
+    line ends are encoded by themselves, each once while it is remembered. New chunks are encoded together, parted by a special
+    token, which the tokenizer takes out before anything else."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word)]
+        self.mark = special[0] if special else None
+        self.known: dict[str, bytes] = {"": b""}  # chunks
+        self.words: dict[str, bytes] = {}  # chunks without a mark at their end
+        self.marks = {m: self._ids(m).tobytes() for m in MARKS}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        mark_id, mark = (self.mark[0], self.mark[1].content) if self.mark else (None, None)
+        together = [c for c in chunks if mark is not None and "<" not in c]
+        for at in range(0, len(together), 512):
+            part = together[at : at + 512]
+            ids = self._ids(mark.join(part))
+            ends = np.flatnonzero(ids == mark_id).tolist()
+            raw = ids.tobytes()
+            for c, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
+                found[c] = raw[4 * a : 4 * b]
+        for c in chunks:
+            if c not in found:
+                found[c] = self._ids(c).tobytes()
+        return found
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        # letters and the mark after them are pre-tokens of their own; beyond U+00FF a letter may become more than letters
+        stems = [c[:-1] if c[-1] in MARKS and c[:-1].isalpha() and max(c) <= LAST_PLAIN else c for c in new]
+        words = self.words
+        fresh = self._encode_chunks(list({s for s in stems if s not in words}))
+        get = lambda w: fresh[w] if w in fresh else words[w]
+        found = {c: get(s) if len(s) == len(c) else get(s) + self.marks[c[-1]] for c, s in zip(new, stems)}
+        if len(words) + len(fresh) > REMEMBERED:
+            words.clear()
+        words.update(fresh)
+        if len(self.known) + len(found) > REMEMBERED:
+            self.known = {"": b""}
+        self.known.update(found)
+        return found
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        parts = [lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        return join_known(parts, self.known, self._learn)
+
+
+def lowered(text: str) -> str:
+    """Lower case, as the tokenizer makes it first of all, where that can't differ from its own: in Latin-1 without the strings of
+    special tokens, which it takes out before. Fewer chunks are new then."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
 
-    class Known(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            out = np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(chunk) <= 64:
-                self[chunk] = out
-            return out
-
-    known = Known({"": b""})
-    return lambda text: b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +183,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path).encode_many, TaskContext.get().partitionId()
         ids, lengths, buffer = [], [], bytearray()
         seq = start = 0
 
@@ -144,13 +196,14 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "seq", "start_in_part", "n_values", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encode(text) + end if text else end
-                ids.append(doc_id)
-                lengths.append(len(own) // 4)
-                buffer += own
-                if len(buffer) >= 4 * SEGMENT:
-                    yield close()
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                for doc_id, own in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
+                    ids.append(doc_id)
+                    lengths.append(len(own) // 4 + 1)
+                    buffer += own + end
+                    if len(buffer) >= 4 * SEGMENT:
+                        yield close()
         if ids:
             yield close()
 
