@@ -130,3 +130,86 @@ def parsed(pages: DataFrame, wanted: frozenset[str], tight: bool) -> DataFrame:
     rows, path = marks(pages, wanted, tight), shared_path(spark, "marks")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+# ---- the parts of an item in their order
+
+
+UNITS = [
+    T.StructField("owner", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("inline", T.StringType()), T.StructField("node", T.IntegerType()),
+]
+
+
+class Units(Marks):
+    """Texts, pictures and items directly in an element: (kind, inline Markdown, node), in document order."""
+
+    def __init__(self, item: str, zones: frozenset[str]) -> None:
+        super().__init__(tight=True)
+        self.item, self.zones = item, zones
+
+    def parts(self, node: int) -> Iterator[tuple[str, str | None, int | None]]:
+        for child in self.children[node]:
+            names, tag = set(self.classes(child)), self.tags[child]
+            if self.item in names:
+                yield "item", None, child
+            elif tag == "img":
+                yield "image", None, child
+            elif tag in self.media:
+                continue
+            elif names & self.zones:
+                yield from self._line(child)
+            elif self._any_below(child, lambda i: self.tags[i] == "img" or bool({self.item, *self.zones}.intersection(self.classes(i)))):
+                yield from self.parts(child)
+            else:
+                yield "text", self.inline(child), None
+
+    def _line(self, node: int) -> Iterator[tuple[str, str | None, int | None]]:
+        """A zone's text, parted by the pictures in it."""
+        text = ""
+        for kind, value in self._leaves(node):
+            if kind == "text":
+                text += value
+            else:
+                yield "text", text, None
+                yield "image", None, value
+                text = ""
+        yield "text", text, None
+
+    def _leaves(self, node: int) -> Iterator[tuple[str, str | int]]:
+        at = self.ranges[node][0]
+        for child in self.children[node]:
+            start, end = self.ranges[child]
+            yield from (("text", p) for p in self.pieces[at:start])
+            at = end
+            if self.tags[child] == "img":
+                yield "image", child
+            elif self.tags[child] in self.media or self.skipped.intersection(self.classes(child)):
+                continue
+            elif self._any_below(child, lambda i: self.tags[i] == "img"):
+                yield from self._leaves(child)
+            else:
+                yield "text", self.inline(child)
+        yield from (("text", p) for p in self.pieces[at : self.ranges[node][1]])
+
+    def _any_below(self, node: int, test) -> bool:
+        return any(test(c) or self._any_below(c, test) for c in self.children[node])
+
+
+def units(pages: DataFrame, item: str, zones: frozenset[str], roots: str, html_col: str = "html") -> DataFrame:
+    """page_id and a row for each part of each element that is an item or has the class roots: owner, at, kind, inline, node."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("page_id"))
+            for i, html in enumerate(batch.column(batch.schema.get_field_index(html_col)).to_pylist()):
+                tree = Units(item, zones)
+                tree.feed(html or "")
+                tree.close()
+                for node in tree.open:
+                    tree.ranges[node][1] = len(tree.pieces)
+                rows = [(n, at, *p) for n in range(len(tree.tags)) if {item, roots}.intersection(tree.classes(n)) for at, p in enumerate(tree.parts(n))]
+                if rows:
+                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([i] * len(rows))), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["page_id", *(f.name for f in UNITS)])
+
+    return pages.select("page_id", html_col).mapInArrow(parse, T.StructType([pages.schema["page_id"], *UNITS]))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from leafmill.operators.families.article import article_blocks
 from leafmill.operators.families.course import course_blocks
 from leafmill.operators.families.feishu import feishu_blocks
 
@@ -84,3 +85,26 @@ def test_course(spark):
     ]
     assert rows[1].level == 6 and rows[9].language == "text" and rows[10].rows == [["c1<br>c2", "d"], ["e", ""]]
     assert [r.source_id for r in rows if r.source_id] == ["scys:3:image:0", "scys:3:nested:0:image:0", "scys:6:table", "scys:7:video:0", "scys:9:image:0"]
+
+
+def test_article(spark):
+    text = lambda t: f'<div class="block-text">{t}</div>'
+    bullet = lambda t, more="": f'<div class="bullet_container {more}"><div class="bulletlist">{t}</div></div>'
+    opening = '<div class="post-content">Hello <b>there</b><br>1、first<br>2. second<br><br>end</div>'
+    html = f"<main><div class='content-container'><h1 class='post-title'>The title</h1>{opening}<div class='feishu-doc-content'><h1>The title</h1><h2>Part</h2>" + "".join([
+        item(text("a<img src='/1.png'>b") + item(text("inner")) + text("c")),
+        item(bullet("1.")) + item(bullet("one")) + item(bullet("two") + item(bullet("deep"))),
+        item(text("x")),
+        item(bullet("single")),
+        item('<div class="quote_container">' + item(text("q1")) + item(text("q2<img src='/2.png'>q3")) + "</div>"),
+        item(text("Head"), "doc-heading-4"),
+        item('<div class="block-code"><pre class="block-code-content">\n  z\n</pre></div>'),
+    ]) + "</div></div></main>"
+    rows = article_blocks(spark.createDataFrame([(1, "https://scys.com/articleDetail/xq_topic/1", html)], "page_id long, url string, html string")).orderBy("pos").collect()
+    got = [(r.type, r.markdown or r.src or r.text) for r in rows]
+    assert got == [
+        ("paragraph", "Hello **there**"), ("paragraph", "1. first\n1. second"), ("paragraph", "end"), ("heading", "Part"),
+        ("paragraph", "a"), ("image", "https://scys.com/1.png"), ("paragraph", "b"), ("paragraph", "inner"), ("paragraph", "c"),
+        ("paragraph", "1. one\n- two\n    - deep"), ("paragraph", "x"), ("listItem", "single"),
+        ("quote", "q1\nq2"), ("image", "https://scys.com/2.png"), ("quote", "q3"), ("heading", "Head"), ("code", "  z"),
+    ]
