@@ -3,6 +3,7 @@ from __future__ import annotations
 from leafmill.operators.families.article import article_blocks
 from leafmill.operators.families.course import course_blocks
 from leafmill.operators.families.feishu import feishu_blocks
+from leafmill.operators.families.wechat import wechat_blocks, wechat_coverage
 
 
 def zone(*lines):
@@ -108,3 +109,22 @@ def test_article(spark):
         ("paragraph", "1. one\n- two\n    - deep"), ("paragraph", "x"), ("listItem", "single"),
         ("quote", "q1\nq2"), ("image", "https://scys.com/2.png"), ("quote", "q3"), ("heading", "Head"), ("code", "  z"),
     ]
+
+
+def test_wechat(spark):
+    tree = "src/<br>├── a<br>└── b"
+    html = f"""<div id="js_content" style="visibility: hidden;"><h2>Title</h2><p>One <strong>two </strong>three <a href="https://e.com/x">li</a><br>four</p><strong> </strong>
+<p style="display:none">hidden</p><script>no</script><p><img data-src="https://mmbiz.qpic.cn/a?wx_fmt=png&amp;tp=webp" alt="p"></p><p>after</p><img src="https://mmbiz.qpic.cn/a?wx_fmt=png#x"><p>more</p>
+<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><ol start="3"><li><p>d</p></li></ol><blockquote><p>q</p><p>r</p></blockquote>
+<section class="code-snippet__fix"><ul class="code-snippet__line-index"><li>1</li></ul><pre class="code-snippet" data-lang="js"><code>x = 1</code><code>y</code></pre></section>
+<table><tr><th>h</th><th>i</th></tr><tr><td><p>j</p><p>k|l</p></td></tr></table><p>{tree}</p><img data-src="data:image/svg+xml,x"></div>"""
+    pages = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", html), (2, "u", "<p>x</p>"), (3, "u", None)], "page_id long, url string, html string")
+    blocks = wechat_blocks(pages)
+    rows = blocks.orderBy("pos").collect()
+    assert [(r.page_id, r.type, r.source_id) for r in rows] == [(1, "paragraph", "wechat:text:1"), (1, "image", "wechat:image:https://mmbiz.qpic.cn/a?wx_fmt=png"), (1, "paragraph", "wechat:text:2")]
+    assert rows[0].markdown == "## Title\n\nOne **two** three [li](https://e.com/x)\nfour" and rows[0].text == "Title One two three li four"
+    assert rows[2].markdown.split("\n\n") == [
+        "after", "more", "- a\n    - b\n- c\n3. d", "> q\n>\n> r", "```js\nx = 1\ny\n```", "| h | i |\n| --- | --- |\n| j k\\|l |  |", "```text\nsrc/\n├── a\n└── b\n```",
+    ]
+    seen = wechat_coverage(pages, blocks).collect()
+    assert [(r.page_id, r.images, r.code_blocks, r.tables, r.warn) for r in seen] == [(1, 1, 1, 1, False)] and seen[0].percent > 70
