@@ -10,22 +10,30 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pre-tokens whose ids a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+from .common import join_known, remember
+
+#: Pieces of text, and pre-tokens, whose ids a task remembers; beyond that it forgets the later ones.
+REMEMBERED = 250_000
+#: Words of up to so many pairs are merged together with others of their size; longer ones one by one.
+WIDEST = 64
+#: Rows that are worked on at a time.
+SLICE = 250
 
 # Fixed value: the pre-token pattern of byte-level vocabularies. White space is spelt out, as libraries differ on U+001C-1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-NO_RANK = 1 << 40
+NO_RANK, NONE = 1 << 40, (1 << 31) - 1
+MARKS = frozenset(".,;:!?")
+SPACE_BESIDE_SPACE = re.compile(r"\s\s")
 
 
 def default_path() -> str:
@@ -115,40 +123,150 @@ class SegmentBpe:
             self.bytes[i] = bytes(letters[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.first = [0] * 256
+        first = [0] * 256
         for letter, b in letters.items():
-            self.first[b] = vocab[letter]
+            first[b] = vocab[letter]
+        self.first = np.array(first, np.int32)
+        keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.fromiter(self.ranks.values(), np.int32, len(keys))[order]
+        self.made_array = np.array(self.made, np.int32)
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.known: dict[str, bytes] = {}  # pieces
+        self.words: dict[str, bytes] = {}  # pre-tokens
+
+    # ---- merging many words at once: a row of symbols and a row of a tree for each
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << self.shift | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], NONE)
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = [1 << max(0, len(w) - 2).bit_length() if len(w) > 1 else 1 for w in words]
+        for size in set(sizes):
+            own = [i for i, s in enumerate(sizes) if s == size]
+            if size > WIDEST:
+                for i in own:
+                    out[i] = np.array(merge_pairs(self.first[np.frombuffer(words[i], np.uint8)].tolist(), self.ranks, self.made, self.shift), "<i4").tobytes()
+                continue
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                for i, ids in zip(part, self._merge_rows([words[i] for i in part], size)):
+                    out[i] = ids
+        return out
 
-        encoder = self
-
-        class Known(dict):
-            def __missing__(self, word: str) -> list[int]:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                first = encoder.first
-                ids = merge_pairs([first[b] for b in word.encode()], encoder.ranks, encoder.made, encoder.shift)
-                if len(word) <= 64:
-                    self[word] = ids
-                return ids
-
-        self.known = Known()
-
-    def _ordinary(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text)))
+    def _merge_rows(self, words: list[bytes], size: int) -> list[bytes]:
+        n = np.array([len(w) for w in words])
+        rows = np.repeat(np.arange(len(words)), n)
+        columns = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        symbol = np.full((len(words), size + 2), -1, np.int32)
+        symbol[rows, columns] = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.broadcast_to(np.arange(1, size + 3, dtype=np.int32), symbol.shape).copy()
+        before = after - 2
+        tree = np.full((len(words), 2 * size), NONE, np.int32)
+        pair_rows, pair_columns = np.nonzero((symbol[:, :size] >= 0) & (symbol[:, 1 : size + 1] >= 0))
+        tree[pair_rows, size + pair_columns] = self._rank(symbol[pair_rows, pair_columns], symbol[pair_rows, pair_columns + 1])
+        level = size
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+
+        def update(r: np.ndarray, leaf: np.ndarray, rank: np.ndarray | int) -> None:
+            i = size + leaf
+            tree[r, i] = rank
+            while i[0] > 1 if len(i) else False:
+                i = i >> 1
+                tree[r, i] = np.minimum(tree[r, 2 * i], tree[r, 2 * i + 1])
+
+        r = np.flatnonzero(tree[:, 1] < NONE)
+        while len(r):
+            best = tree[r, 1]
+            i = np.ones(len(r), np.int64)
+            for _ in range(size.bit_length() - 1):  # down to the leftmost leaf that has the root's rank
+                i = 2 * i + (tree[r, 2 * i] != best)
+            at = i - size
+            gone = after[r, at]
+            nxt = after[r, gone]
+            symbol[r, at] = self.made_array[best]
+            symbol[r, gone] = -1
+            after[r, at] = nxt
+            has_leaf = gone < size
+            update(r[has_leaf], gone[has_leaf], NONE)
+            has_next = nxt < n[r]
+            before[r[has_next], nxt[has_next]] = at[has_next]
+            rank = np.full(len(r), NONE, np.int32)
+            rank[has_next] = self._rank(symbol[r[has_next], at[has_next]], symbol[r[has_next], nxt[has_next]])
+            update(r, at, rank)
+            prev = before[r, at]
+            has_prev = prev >= 0
+            rp, pp = r[has_prev], prev[has_prev]
+            update(rp, pp, self._rank(symbol[rp, pp], symbol[rp, at[has_prev]]))
+            r = r[tree[r, 1] < NONE]
+        kept = symbol >= 0
+        ids = symbol[kept].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    # ---- texts
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of an ordinary text that are encoded each by itself: chunks with the one space before them where all white
+        space stands alone between other characters, which no pre-token crosses; else the pre-tokens."""
+        if not text or text[0].isspace() or text[-1].isspace() or "\0" in text or SPACE_BESIDE_SPACE.search(text):
+            return self.pattern.findall(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _words(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece; letters after a space, and a mark after them, need no pattern."""
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isalpha():
+            return [piece]
+        if bare[-1:] in MARKS and bare[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        parts = list(map(self._words, new))
+        words = self.words
+        fresh = list({w for ws in parts for w in ws if w not in words})
+        ids = dict(zip(fresh, self.merge_words([w.encode() for w in fresh])))
+        get = lambda w: ids[w] if w in ids else words[w]
+        found = {piece: b"".join([get(w) for w in ws]) for piece, ws in zip(new, parts)}
+        remember(words, ids, REMEMBERED)
+        remember(self.known, found, REMEMBERED)
+        return found
+
+    def forget(self) -> None:
+        """Workers outlive tasks; what a task remembered would stand beside the next stages' memory."""
+        self.known, self.words = {}, {}
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; the strings of special tokens become their ids."""
+        pieces: list[list[str]] = []
+        plan: list[list[int | bytes]] = []  # of each text, places in pieces and ids of special tokens
+
+        def ordinary(text: str) -> int:
+            pieces.append(self._pieces(text))
+            return len(pieces) - 1
+
+        for text in texts:
+            if self.split is None or not any(s in text for s in self.special):
+                plan.append([ordinary(text)])
+                continue
+            parts, at = [], 0
+            for m in self.split.finditer(text):
+                parts += [ordinary(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
+                at = m.end()
+            plan.append([*parts, ordinary(text[at:])])
+        done = join_known(pieces, self.known, self._learn)
+        return [b"".join([p if isinstance(p, bytes) else done[p] for p in parts]) for parts in plan]
 
     def encode(self, text: str) -> list[int]:
-        """The ids; the strings of special tokens become their ids."""
-        if self.split is None or not self.split.search(text):
-            return list(self._ordinary(text))
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += self._ordinary(text[at : m.start()])
-            out.append(self.special[m[0]])
-            at = m.end()
-        out += self._ordinary(text[at:])
-        return out
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -172,11 +290,13 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            lists = [bpe.encode(t) if t else [] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            values = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = bpe.encode_many([t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()])
+                offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+        bpe.forget()
 
     return docs.mapInArrow(encode, schema)
 
@@ -190,8 +310,12 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids"
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            texts = pa.array([bpe.decode(x or []) for x in ids.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = part.column(part.schema.get_field_index(ids_col))
+                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+                texts = pa.array([bpe.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text_col])
 
     return encoded.mapInArrow(decode, schema)
