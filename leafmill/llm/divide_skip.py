@@ -44,6 +44,8 @@ MOST_BROADCAST = 1_000_000
 HOT_SAMPLE, HOT_LEAST, SALTS = 20_000, 8, 64
 #: Sets that a task remembers, so that it gives out the parts of equal sets once.
 REMEMBERED = 200_000
+#: Rows that are worked on at a time.
+SLICE = 250
 
 
 STARTS = [1]
@@ -263,24 +265,24 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            sets = shingle_sets(texts, k)
-            digests, given = [], []
-            for s in sets:
-                d = digest(s)
-                digests.append(d)
-                if not len(s) or d in seen:
-                    given.append(np.empty(0, np.int64))
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(d)
-                given.append(rule.signatures(s).view(np.int64))
-            offsets = np.cumsum([0, *map(len, given)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(given) if given else np.empty(0, np.int64)))],
-                names=["doc_id", "n_shingles", "d1", "d2", "parts"],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
+                digests = [digest(s) for s in sets]
+                given = []
+                for s, d in zip(sets, digests):
+                    if not len(s) or d in seen:
+                        given.append(np.empty(0, np.int64))
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(d)
+                    given.append(rule.signatures(s).view(np.int64))
+                offsets = np.cumsum([0, *map(len, given)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(given)))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "parts"],
+                )
 
     sums = store(rows.mapInArrow(summaries, "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>"), "shingles", compression="uncompressed")
     classes = sums.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -331,11 +333,13 @@ def _search_groups(rows: DataFrame, members: DataFrame, k: int, rule: Threshold)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = shingle_sets([(t or "").encode() for t in batch.column(0).to_pylist()], k)
-            # rows that share an id: the one whose set is the class's
-            right = [digest(s) == d for s, d in zip(made, zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))]
-            own = [c.filter(pa.array(right, pa.bool_())) for c in (batch.column(i) for i in (1, 2, 5, 6, 7))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s, r in zip(made, right) if r], pa.binary())], names=["rep", "copies", "grp", "block", "blocks", "shingles"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = shingle_sets([(t or "").encode() for t in part.column(0).to_pylist()], k)
+                # rows that share an id: the one whose set is the class's
+                right = [digest(s) == d for s, d in zip(made, zip(part.column(3).to_pylist(), part.column(4).to_pylist()))]
+                own = [c.filter(pa.array(right, pa.bool_())) for c in (part.column(i) for i in (1, 2, 5, 6, 7))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s, r in zip(made, right) if r], pa.binary())], names=["rep", "copies", "grp", "block", "blocks", "shingles"])
 
     arrays = texts.mapInArrow(sets, "rep long, copies long, grp long, block int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

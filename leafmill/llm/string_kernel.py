@@ -158,21 +158,18 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            texts = batch.column(batch.schema.get_field_index(text_col))
             for at in range(0, batch.num_rows, BATCH):
-                rows, known = _rows(texts.slice(at, BATCH).to_pylist())
+                part = batch.slice(at, BATCH)
+                rows, known = _rows(part.column(part.schema.get_field_index(text_col)).to_pylist())
                 if model is None:
-                    langs += [UNKNOWN] * len(rows)
-                    scores += [0.0] * len(rows)
-                    continue
-                margins = SHARPNESS * model.scores(rows).astype(np.float64)
-                odds = np.exp(margins - margins.max(axis=1, keepdims=True))
-                odds /= odds.sum(axis=1, keepdims=True)
-                best = odds.argmax(axis=1)
-                langs += [model.classes[b] if k else UNKNOWN for b, k in zip(best, known)]
-                scores += [round(float(odds[i, b]), 6) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
+                    langs, scores = [UNKNOWN] * len(rows), [0.0] * len(rows)
+                else:
+                    margins = SHARPNESS * model.scores(rows).astype(np.float64)
+                    odds = np.exp(margins - margins.max(axis=1, keepdims=True))
+                    odds /= odds.sum(axis=1, keepdims=True)
+                    best = odds.argmax(axis=1)
+                    langs = [model.classes[b] if k else UNKNOWN for b, k in zip(best, known)]
+                    scores = [round(float(odds[i, b]), 6) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(predict, schema).withColumn("held_out", held_out(id_col))
