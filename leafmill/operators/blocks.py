@@ -111,41 +111,45 @@ def _suppressed(root: Column) -> Column:
     return F.col("tag").isin(*CONTAINERS) & (in_known | F.col("block_below") | (~F.col("own_text") & F.col("content_below")) | ((F.col("pre") != root) & (in_leaf == 1)))
 
 
-def area_blocks(nodes: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
-    """page, url, root and the distinct blocks of each candidate area, in the order of pre; the first of equal ones stays."""
-    own = F.when(F.arrays_overlap(F.array("tag"), F.array(*map(F.lit, sorted(FALLBACK_ROOTS)))) | (F.size("prefers") > 0), F.array("pre")).otherwise(F.array().cast("array<int>"))
-    roots = F.concat(F.transform(F.filter("anc", lambda a: a["root"]), lambda a: a["pre"]), own)
-    made = (
-        nodes.where(F.col("visible") & F.col("tag").isin(*sorted(SELECTED)))
-        .withColumn("block", F.explode(F.filter(F.array(_block(F.coalesce(F.col(url), F.lit("")))), _shows)))
-        .withColumn("root", F.explode(roots))
-        .where(~_suppressed(F.col("root")))
-        .select(page, url, "root", "pre", "block")
-    )
-    firsts = made.groupBy(page, url, "root", block_key(F.col("block")).alias("key")).agg(F.min(F.struct("pre", "block")).alias("first"))
-    return firsts.select(page, url, "root", "first.pre", "first.block")
-
+def area_rows(nodes: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
+    """page, url, root, pre, block, prefers, plain: the distinct blocks of each candidate area, the first of equal ones, and a
+    row without a block for the area's own element, with its preferences and whether it is a container.
 
-def area_scores(areas: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, root, score and n_blocks of each area with blocks."""
+    All that follows is made of these rows, so that pages are parsed and dealt out once.
+    """
+    plain = F.col("tag").isin(*sorted(FALLBACK_ROOTS))
+    is_root = plain | (F.size("prefers") > 0)
+    roots = F.concat(F.transform(F.filter("anc", lambda a: a["root"]), lambda a: a["pre"]), F.when(is_root, F.array("pre")).otherwise(F.array().cast("array<int>")))
+    block = F.when(F.col("tag").isin(*sorted(SELECTED)), F.get(F.filter(F.array(_block(F.coalesce(F.col(url), F.lit("")))), _shows), F.lit(0)))
+    seen = nodes.where("visible").select(page, url, "pre", "tag", "anc", "own_text", "block_below", "content_below", F.when(is_root, F.col("prefers")).alias("prefers"), F.when(is_root, plain).alias("plain"), block.alias("block"), F.explode(roots).alias("root"))
+    kind = dict(seen.dtypes)["block"]
+    none = F.array().cast(f"array<{kind}>")
+    shown = F.when(F.col("block").isNotNull() & ~_suppressed(F.col("root")), F.array("block")).otherwise(none)
+    marker = F.when(F.col("root") == F.col("pre"), F.array(F.lit(None).cast(kind))).otherwise(none)
+    rows = seen.select(page, url, "root", "pre", "prefers", "plain", F.explode(F.concat(shown, marker)).alias("block"))
+    firsts = rows.groupBy(page, url, "root", F.when(F.col("block").isNotNull(), block_key(F.col("block"))).alias("key")).agg(F.min(F.struct("pre", "block", "prefers", "plain")).alias("first"))
+    return firsts.select(page, url, "root", "first.*")
+
+
+def area_scores(rows: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, root, score, n_blocks, prefers and plain of each area."""
     units = utf16_length(normalize_text(F.coalesce(F.nullif(F.col("block.text"), F.lit("")), F.col("block.alt"))))
     media = F.count_if(F.col("block.type").isin("image", "video"))
-    return areas.groupBy(page, "root").agg((F.sum(units) + PER_BLOCK * F.count(F.lit(1)) + PER_MEDIA * media).alias("score"), F.count(F.lit(1)).alias("n_blocks"))
+    mine = lambda c: F.max(F.when(F.col("block").isNull(), F.col(c))).alias(c)
+    return rows.groupBy(page, "root").agg((F.sum(units) + PER_BLOCK * F.count("block") + PER_MEDIA * media).alias("score"), F.count("block").alias("n_blocks"), mine("prefers"), mine("plain"))
 
 
-def best_areas(nodes: DataFrame, scores: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, root and score of one area for each page that has one.
+def best_areas(scores: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, root, score and n_blocks of one area for each page that has one.
 
     The first element of each preference counts, if it scores over LEAST_SCORE with more than one block; the earliest
     preference wins. Without one, the highest score over LEAST_SCORE among containers, the first of equals.
     """
-    roots = nodes.where(F.col("visible") & ((F.size("prefers") > 0) | F.col("tag").isin(*sorted(FALLBACK_ROOTS)))).select(page, F.col("pre").alias("root"), "prefers", F.col("tag").isin(*sorted(FALLBACK_ROOTS)).alias("plain"))
-    scored = roots.join(scores, [page, "root"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    firsts = scored.select(page, "root", "score", "n_blocks", F.explode("prefers").alias("rank")).groupBy(page, "rank").agg(F.min(F.struct("root", "score", "n_blocks")).alias("f"))
-    good = firsts.where((F.col("f.score") > LEAST_SCORE) & (F.col("f.n_blocks") > 1)).groupBy(page).agg(F.min(F.struct("rank", "f.root", "f.score")).alias("p"))
-    widest = scored.where(F.col("plain") & (F.col("score") > LEAST_SCORE)).groupBy(page).agg(F.max(F.struct("score", (-F.col("root")).alias("minus"))).alias("w"))
+    firsts = scores.select(page, "root", "score", "n_blocks", F.explode("prefers").alias("rank")).groupBy(page, "rank").agg(F.min(F.struct("root", "score", "n_blocks")).alias("f"))
+    good = firsts.where((F.col("f.score") > LEAST_SCORE) & (F.col("f.n_blocks") > 1)).groupBy(page).agg(F.min(F.struct("rank", "f.root", "f.score", "f.n_blocks")).alias("p"))
+    widest = scores.where(F.col("plain") & (F.col("score") > LEAST_SCORE)).groupBy(page).agg(F.max(F.struct("score", (-F.col("root")).alias("minus"), "n_blocks")).alias("w"))
     both = good.join(widest, page, "full")
-    return both.select(page, F.coalesce(F.col("p.root"), -F.col("w.minus")).alias("root"), F.coalesce(F.col("p.score"), F.col("w.score")).alias("score"))
+    return both.select(page, F.coalesce(F.col("p.root"), -F.col("w.minus")).alias("root"), F.coalesce(F.col("p.score"), F.col("w.score")).alias("score"), F.coalesce(F.col("p.n_blocks"), F.col("w.n_blocks")).alias("n_blocks"))
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -154,10 +158,9 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
 def page_blocks(pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
     """page, url, pos (from 1) and the fields of the blocks of each page's best area. Pages without one have no rows."""
-    nodes = page_nodes(pages)
-    areas = area_blocks(nodes, page, url)
-    best = best_areas(nodes, area_scores(areas, page), page).select(page, "root")
-    chosen = areas.join(best, [page, "root"])
+    rows = area_rows(page_nodes(pages), page, url)
+    best = best_areas(area_scores(rows, page), page).select(page, "root")
+    chosen = rows.where(F.col("block").isNotNull()).join(best, [page, "root"])
     return chosen.select(page, url, F.row_number().over(Window.partitionBy(page).orderBy("pre")).alias("pos"), "block.*")
 
 

@@ -43,9 +43,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = B.page_nodes(_table(spark, sf_dir, "pages"))
-    scores = B.area_scores(B.area_blocks(nodes))
-    return B.best_areas(nodes, scores).join(scores.drop("score"), ["page_id", "root"]).select("page_id", "score", "n_blocks")
+    rows = B.area_rows(B.page_nodes(_table(spark, sf_dir, "pages")))
+    return B.best_areas(B.area_scores(rows)).select("page_id", "score", "n_blocks")
 
 
 def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
