@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, and whether decoding them gives the text again."""
-    both = segment_bpe.bpe_decode(segment_bpe.bpe_encode(docs))
+    both = segment_bpe.bpe_both(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("round_trip"), "ids")
 

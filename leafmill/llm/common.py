@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,3 +111,17 @@ def remember(cache: dict[str, bytes], found: dict[str, bytes], most: int) -> Non
         cache.clear()
         cache.update(first)
     cache.update(islice(found.items(), max(0, most - len(cache))))
+
+
+def releasing(batches: Iterator) -> Iterator:
+    """The batches, and at the end of the task the worker's free memory back to the system: workers outlive tasks, and theirs
+    stands beside the memory of the next stages."""
+    yield from batches
+    gc.collect()
+    try:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

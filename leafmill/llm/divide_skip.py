@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import releasing, store
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -284,7 +284,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
                     names=["doc_id", "n_shingles", "d1", "d2", "parts"],
                 )
 
-    sums = store(rows.mapInArrow(summaries, "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>"), "shingles", compression="uncompressed")
+    sums = store(rows.mapInArrow(lambda batches: releasing(summaries(batches)), "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>"), "shingles", compression="uncompressed")
     classes = sums.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     groups = connected_components(_meetings(sums))  # of d1
@@ -341,7 +341,7 @@ def _search_groups(rows: DataFrame, members: DataFrame, k: int, rule: Threshold)
                 own = [c.filter(pa.array(right, pa.bool_())) for c in (part.column(i) for i in (1, 2, 5, 6, 7))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s, r in zip(made, right) if r], pa.binary())], names=["rep", "copies", "grp", "block", "blocks", "shingles"])
 
-    arrays = texts.mapInArrow(sets, "rep long, copies long, grp long, block int, blocks int, shingles binary")
+    arrays = texts.mapInArrow(lambda batches: releasing(sets(batches)), "rep long, copies long, grp long, block int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = arrays.select("*", other).select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "blocks", "shingles")
     dealt = paired.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "rep")
@@ -366,4 +366,4 @@ def _search_groups(rows: DataFrame, members: DataFrame, k: int, rule: Threshold)
         if held:
             yield close()
 
-    return dealt.mapInArrow(find, "rep long, label long, n_links long, blocks int")
+    return dealt.mapInArrow(lambda batches: releasing(find(batches)), "rep long, label long, n_links long, blocks int")

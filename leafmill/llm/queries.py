@@ -40,8 +40,8 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = segment_bpe.bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
-    return segment_bpe.bpe_decode(encoded).select(
+    both = segment_bpe.bpe_both(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

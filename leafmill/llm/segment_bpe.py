@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import join_known, remember
+from .common import join_known, releasing, remember
 
 #: Pieces of text, and pre-tokens, whose ids a task remembers; beyond that it forgets the later ones.
 REMEMBERED = 250_000
@@ -277,6 +277,37 @@ def load(path: str) -> SegmentBpe:
     return SegmentBpe(path)
 
 
+def _encoding(batches: Iterator[pa.RecordBatch], path: str, text_col: str, ids_col: str) -> Iterator[pa.RecordBatch]:
+    bpe = load(path)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            found = bpe.encode_many([t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()])
+            offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+    bpe.forget()
+
+
+def _decoding(batches: Iterator[pa.RecordBatch], path: str, ids_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    bpe = load(path)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            ids = part.column(part.schema.get_field_index(ids_col))
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+            texts = pa.array([bpe.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text_col])
+
+
+def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*df.schema.fields, *fields])
+
+
+IDS, TEXT = T.ArrayType(T.IntegerType(), False), T.StringType()
+
+
 def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the array column ids_col.
 
@@ -285,37 +316,19 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text",
     """
     path = path or default_path()
     docs = docs.drop(ids_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = bpe.encode_many([t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()])
-                offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
-        bpe.forget()
-
-    return docs.mapInArrow(encode, schema)
+    return docs.mapInArrow(lambda batches: releasing(_encoding(batches, path, text_col, ids_col)), _with(docs, T.StructField(ids_col, IDS)))
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with the string column text_col; null ids give an empty text, bytes that aren't UTF-8 U+FFFD."""
     path = path or default_path()
     encoded = encoded.drop(text_col)
-    schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = part.column(part.schema.get_field_index(ids_col))
-                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-                flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
-                texts = pa.array([bpe.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text_col])
-
-    return encoded.mapInArrow(decode, schema)
+    return encoded.mapInArrow(lambda batches: releasing(_decoding(batches, path, ids_col, text_col)), _with(encoded, T.StructField(text_col, TEXT)))
+
+
+def bpe_both(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with ids_col and what these ids decode to, in one worker for a task instead of two."""
+    path = path or default_path()
+    docs = docs.drop(ids_col, decoded_col)
+    schema = _with(docs, T.StructField(ids_col, IDS), T.StructField(decoded_col, TEXT))
+    return docs.mapInArrow(lambda batches: releasing(_decoding(_encoding(batches, path, text_col, ids_col), path, ids_col, decoded_col)), schema)

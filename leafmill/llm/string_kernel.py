@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import releasing
+
 ORDERS = (1, 2, 3)
 DIMS = 1 << 13
 PER_CLASS, MOST_CLASSES = 300, 64
@@ -172,4 +174,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     scores = [round(float(odds[i, b]), 6) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(predict, schema).withColumn("held_out", held_out(id_col))
+    return docs.mapInArrow(lambda batches: releasing(predict(batches)), schema).withColumn("held_out", held_out(id_col))
