@@ -27,7 +27,9 @@ s as (select page_id, url, unnest(range(1, len(p) + 1)) as nr, unnest(p) as piec
 t as (select page_id, url, nr, case when piece like '<h1>%' then 'heading' else 'paragraph' end as type,
              case when piece like '<h1>%' then 1 end as level, {_normal(_decoded("regexp_replace(piece, '<[^>]+>', '', 'g')"))} as text
       from s),
-d as (select * from t where text <> '' qualify row_number() over (partition by page_id, type, text order by nr) = 1),
+f as (select * from t where text <> '' qualify row_number() over (partition by page_id, type, text order by nr) = 1),
+-- an article that scores less is no content area
+d as (select * from f qualify sum(length(text) + 20) over (partition by page_id) > 120),
 b as (select page_id, url, row_number() over (partition by page_id order by nr) as pos, type, level, text from d)
 """
 
@@ -78,7 +80,7 @@ select page_id, row_number() over (partition by page_id order by i) as pos, type
 d as (select * from r qualify row_number() over (partition by page_id, type, text, markdown order by i) = 1)
 select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 3 end as level, text, markdown, case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth from d""",
     "page_blocks": f"with {_BLOCKS} select page_id, pos, type, level, text from b",
-    "page_scores": f"with {_BLOCKS} select page_id, (sum(length(text)) + 20 * count(*))::bigint as score, count(*) as n_blocks from b group by page_id having sum(length(text)) + 20 * count(*) > 120 and count(*) > 1",
+    "page_scores": f"with {_BLOCKS} select page_id, (sum(length(text)) + 20 * count(*))::bigint as score, count(*) as n_blocks from b group by page_id",
     "page_type_counts": f"with {_BLOCKS} select type, count(*) as n_blocks, count(distinct page_id) as n_pages from b group by type",
     "page_markdown": f"with {_BLOCKS}, {_MARKDOWN} select * from r",
     "page_export_names": f"""with n as (select page_id, {_NAME} as safe_title from pages)
@@ -135,7 +137,7 @@ select page_id, event_id, case when ok then './a.assets/' || file_name else src
 select doc_id, path, not (path like '/%' or regexp_matches(path, '^[A-Za-z]:') or contains(path, '\') or list_has_any(string_split(path, '/'), ['', '..'])) as safe from p""",
     "coverage_diagnostics": f"""with {_BLOCKS},
 c as (select page_id, sum(length(text))::bigint as source_chars from t group by page_id),
-x as (select page_id, sum(length(text))::bigint as exported_chars from b group by page_id having sum(length(text)) + 20 * count(*) > 120 and count(*) > 1),
+x as (select page_id, sum(length(text))::bigint as exported_chars from b group by page_id),
 y as (select page_id, source_chars, coalesce(exported_chars, 0) as exported_chars, 0 as images from c left join x using (page_id)),
 z as (select *, case when source_chars = 0 then 100 else round(100 * exported_chars / source_chars) end::bigint as percent from y)
 select *, source_chars >= 80 and percent < 70 as warn from z""",
