@@ -15,7 +15,7 @@ from leafmill.llm.common import DOCUMENT_COLUMNS, store, table
 #: A document in which no language has this share is rejected, as is one without a letter.
 LEAST_SCORE = 1 / 3
 #: Near duplicates: words in a shingle and similarity in per cent.
-WORDS, SIMILARITY = 5, 85
+WORDS, SIMILARITY = 5, 80
 #: Ids of dropped documents are broadcast up to so many; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 

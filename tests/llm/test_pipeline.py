@@ -59,3 +59,10 @@ def test_stages_keep_the_columns(spark, docs):
     assert {r.doc_id for r in P.exact_dedup(spark, df, "").collect()} == {2, 3, 4, None}
     assert P.STAGES[-1][1](spark, df, "").count() == len(rows)
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_near_dedup_links_at_four_fifths(spark, docs):
+    words = [f"w{i}" for i in range(24)]
+    texts = [" ".join(words), " ".join(words[:22] + ["x", "y"]), " ".join(["a", "b", "c"] + words[3:])]  # 18 of 22 and 17 of 23 shingles of the first
+    kept = {r.doc_id for r in P.near_dedup(spark, docs(texts), "").collect()}
+    assert kept == {0, 2} == {i for i, _, c, _ in brute(list(enumerate(texts)), 5, 80, 100) if i == c}
