@@ -140,16 +140,23 @@ def captured_at(when: Column) -> Column:
 def overlap_merge(left: Column, right: Column, least: int = 12) -> Column:
     """Both texts joined where the end of one is the longest start of the other, of least units or more; else null."""
     pair = F.struct(normalize_text(left).alias("a"), normalize_text(right).alias("b"))
+    tail = lambda p: F.struct(p["a"], p["b"], F.right(p["a"], F.least(F.length(p["a"]), F.length(p["b"]))).alias("tail"))
 
     def merged(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        most = F.least(F.length(a), F.length(b))
-        sizes = F.when(most >= least, F.sequence(F.lit(least), most)).otherwise(F.array().cast("array<int>"))
-        size = F.array_max(F.filter(sizes, lambda n: F.right(a, n) == F.left(b, n)))
-        return F.when(size.isNotNull(), F.concat(a, F.substring(b, size + 1, F.length(b))))
-
-    # as the element of an array, the normalised texts are worked out once and not for each size
-    return F.get(F.transform(F.array(pair), merged), F.lit(0))
+        # only places where the start of b occurs are tested: the look-ahead cuts the tail before each of them, also where they overlap
+        start = F.replace(F.left(p["b"], F.lit(least)), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        pieces = F.split(p["tail"], F.concat(F.lit("(?=\\Q"), start, F.lit("\\E)")))
+
+        def tested(s: Column, piece: Column) -> Column:
+            fits = (s["rest"] >= least) & (F.right(p["tail"], s["rest"]) == F.left(p["b"], s["rest"]))
+            return F.struct((s["rest"] - F.length(piece)).alias("rest"), F.coalesce(s["size"], F.when(fits, s["rest"])).alias("size"))
+
+        first = F.struct(F.length(p["tail"]).alias("rest"), F.lit(None).cast("int").alias("size"))
+        size = F.aggregate(pieces, first, tested, lambda s: s["size"])
+        return F.transform(F.array(size), lambda n: F.when(n.isNotNull(), F.concat(p["a"], F.substring(p["b"], n + 1, F.length(p["b"])))))
+
+    # as the element of an array, the normalised texts are worked out once and not for each place; so is the size
+    return F.get(F.flatten(F.transform(F.transform(F.array(pair), tail), merged)), F.lit(0))
 
 
 def escape_controls(value: Column) -> Column:

@@ -137,6 +137,14 @@ def line_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", X.overlap_merge(F.col("l"), F.col("r")).alias("merged"))
 
 
+def line_overlap_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole halves of each text, which share up to 30 characters, joined. line_overlap_merge has 200 characters of each."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    left = F.substring(F.col("text"), F.lit(1), half + (F.col("doc_id") % 31).cast("int"))
+    right = F.substring(F.col("text"), half + 1, F.length("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.overlap_merge(left, right).alias("merged"))
+
+
 def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = merge.rows_of_conversations(_table(spark, sf_dir, "conversations"))
     return merge.merge_rounds(rounds, "accumulate", "conv_id", "turn", "type string, text string")
@@ -303,7 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
-        doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
+        doc_filename, line_overlap_merge, line_overlap_merge_whole, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream,
     )
 }
