@@ -35,14 +35,24 @@ def table_markdown(rows: Column, images: Column) -> Column:
     def filled(t: Column) -> Column:
         return F.transform(t["cells"], lambda row, number: placed(row, F.filter(t["marks"], lambda i: i["row"] == number)))
 
-    def lines(table: Column) -> Column:
-        width = F.array_max(F.transform(table, F.size))
-        full = F.transform(table, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-        ruled = F.concat(F.slice(full, 1, 1), F.array(F.array_repeat(F.lit("---"), width)), F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))))
-        return F.array_join(F.transform(ruled, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n")
+    def measured(table: Column) -> Column:
+        return F.struct(table.alias("rows"), F.array_max(F.transform(table, F.size)).alias("width"))
+
+    def line(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def lines(t: Column) -> Column:
+        rule = line(F.array_repeat(F.lit("---"), t["width"]))
+
+        def row_lines(row: Column, number: Column) -> Column:
+            own = line(F.concat(row, F.array_repeat(F.lit(""), t["width"] - F.size(row))))
+            return F.when(number == 0, F.concat(own, F.lit("\n"), rule)).otherwise(own)
+
+        return F.array_join(F.transform(t["rows"], row_lines), "\n")
 
     # each step's result is the element of an array, so that it is worked out once
-    step = F.transform(F.transform(F.array(F.struct(cells.alias("cells"), marks.alias("marks"))), filled), lambda t: F.when(F.size(t) == 0, F.lit("")).otherwise(lines(t)))
+    step = F.transform(F.transform(F.array(F.struct(cells.alias("cells"), marks.alias("marks"))), filled), measured)
+    step = F.transform(step, lambda t: F.when(F.size(t["rows"]) == 0, F.lit("")).otherwise(lines(t)))
     return F.get(step, F.lit(0))
 
 

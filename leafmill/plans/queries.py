@@ -168,14 +168,27 @@ def _words(limit: int) -> Column:
     return F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]+"), lambda w: w != ""), 1, limit)
 
 
+def _cell_image() -> Column:
+    """A picture in a cell beyond the first row's end."""
+    return F.struct(F.concat(F.lit("i ("), "doc_id", F.lit(").png")).alias("src"), F.lit("a[b]").alias("alt"), F.lit(0).alias("row_index"), F.lit(4).alias("column_index"), F.lit(None).cast("string").alias("source_id"))
+
+
 def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of each text in rows of one to four, with a picture in a cell beyond the first row's end."""
     words = _words(12)
     per_row = (F.col("doc_id") % 4 + 1).cast("int")
     rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / per_row) - 1, F.lit(0)).cast("int")), lambda r: F.slice(words, r * per_row + 1, per_row))
     rows = F.transform(rows, lambda r: F.transform(r, lambda w: F.concat(w, F.lit("|"))))
-    image = F.struct(F.concat(F.lit("i ("), "doc_id", F.lit(").png")).alias("src"), F.lit("a[b]").alias("alt"), F.lit(0).alias("row_index"), F.lit(4).alias("column_index"), F.lit(None).cast("string").alias("source_id"))
-    return _table(spark, sf_dir, "documents").select("doc_id", table_markdown(rows, F.array(image)).alias("markdown"))
+    return _table(spark, sf_dir, "documents").select("doc_id", table_markdown(rows, F.array(_cell_image())).alias("markdown"))
+
+
+def table_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each text in rows of one to four, with the picture. table_render has the first 12 words."""
+    more = (F.col("doc_id") % 4).cast("string")
+    # a row at a time from the text: a slice of all words for each row would be quadratic
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.concat(F.lit(r"(?:[^ \n]+[ \n]+){0,"), more, F.lit(r"}[^ \n]+")), F.lit(0))
+    rows = F.transform(pieces, lambda p: F.transform(F.split(p, r"[ \n]+"), lambda w: F.concat(w, F.lit("|"))))
+    return _table(spark, sf_dir, "documents").select("doc_id", table_markdown(rows, F.array(_cell_image())).alias("markdown"))
 
 
 def cell_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
-        doc_filename, line_overlap_merge, line_overlap_merge_whole, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
+        doc_filename, line_overlap_merge, line_overlap_merge_whole, fragment_merge, ordered_snapshot_merge, list_islands, table_render, table_render_whole, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream,
     )
 }
