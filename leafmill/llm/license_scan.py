@@ -8,6 +8,9 @@ of digests with the table of known texts, which is a fixed list in this file and
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,49 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# What stands above the short texts in a LICENSE file.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense",),
+}
+
+# Ids that an SPDX line names; those of GNU licenses have more forms.
+GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+IDS = (
+    *GNU, "Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "Unlicense", "CC0-1.0", "EPL-2.0", "BSL-1.0", "Zlib",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-3.0", "CC-BY-SA-3.0",
+)
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""
+
+
+def _more() -> list[tuple[str, str]]:
+    """Whole texts with and without their titles, also without what follows the terms, and SPDX lines."""
+    short = [(name, text) for name, text in KNOWN if name in TITLES and len(text) > 500]
+    two = next(text for name, text in short if name == "BSD-2-Clause")
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS"
+    short += [("BSD-3-Clause", two.replace(" THIS SOFTWARE IS", third, 1)), ("Unlicense", _UNLICENSE)]
+    # without the numbers of the conditions, or with other marks
+    short += [(name, re.sub(r" [123]\. ", " ", text)) for name, text in short if name.startswith("BSD")]
+    # in the usual layout a line of ISC begins with the word of a copyright line
+    short += [(name, text.replace("the above copyright notice and this permission", "the above\ncopyright notice and this permission")) for name, text in short if name == "ISC"]
+    out = [*short, *((name, f"{title}\n{text}") for name, text in short for title in TITLES[name])]
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        full = path.read_text()
+        for text in (full, full.partition("END OF TERMS AND CONDITIONS")[0], full.partition("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"):
+            out += [(path.stem, text), (path.stem, text.strip().partition("\n\n")[2])]
+    for name in IDS:
+        forms = (name, f"{name}-only", f"{name}-or-later", f"{name}+") if name in GNU else (name,)
+        out += [(name, f"SPDX-License-Identifier: {form}") for form in forms]
+    return list(dict.fromkeys(out))
+
+
+KNOWN = (*KNOWN, *_more())
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; null and texts without a letter or digit give the empty string, which no known text has."""

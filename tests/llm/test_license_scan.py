@@ -39,3 +39,22 @@ def test_edges(docs):
     rows = [(1, "Released under the MIT License."), (1, "Licensed under CC BY 4.0."), (None, "Released under the MIT License.")]
     got = {r.doc_id: (r.n_license_lines, r.whole_license, r.licenses) for r in L.license_scan(docs(rows)).collect()}
     assert got == {1: (2, "CC-BY-4.0", "CC-BY-4.0,MIT"), None: (1, "MIT", "MIT")}
+
+
+def test_whole_license_files(docs):
+    """Files as they are, with titles, wrapped, and SPDX lines of all forms."""
+    import textwrap
+    from pathlib import Path
+
+    rows = [(p.stem, p.read_text()) for p in sorted((Path(L.__file__).parent / "licenses").glob("*.txt"))]
+    isc = next(t for n, t in L.KNOWN if n == "ISC" and len(t) > 500)
+    isc_file = "ISC License\n\nCopyright (c) 2020, X\n\n" + isc.replace("the above copyright", "the above\ncopyright")
+    bsd = next(t for n, t in L.KNOWN if n == "BSD-3-Clause" and len(t) > 500)
+    rows += [("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + textwrap.fill(MIT, 79)), ("ISC", isc_file), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd.replace(". ", ".\n"))]
+    rows += [(name, f"// SPDX-License-Identifier: {form}") for name, form in (("GPL-2.0", "GPL-2.0-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("ISC", "ISC"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"))]
+    got = [(r.whole_license, r.is_license) for r in L.license_scan(docs([t for _, t in rows])).orderBy("doc_id").collect()]
+    assert got == [(name, True) for name, _ in rows] and len(rows) == 17
+
+
+def test_no_known_text_is_empty(spark):
+    assert spark.createDataFrame(list(L.KNOWN), "license string, t string").where(L.canonical(F.col("t")) == "").count() == 0
