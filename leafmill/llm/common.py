@@ -104,6 +104,22 @@ def join_known(parts: list[list[str]], known: dict[str, bytes], learn: Callable[
     return [b"".join(v) for v in values]
 
 
+def slices(batches: Iterator, text_column: int, most: int, rows: int = 1 << 30) -> Iterator:
+    """The batches cut into slices of at most so many bytes of text and rows; a longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def remember(cache: dict[str, bytes], found: dict[str, bytes], most: int) -> None:
     """Add found to the cache, which has at most most entries: the first third, which common pieces got into early, stays."""
     if len(cache) + len(found) > most:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -24,10 +25,15 @@ def test_outliers_are_exceptions():
     assert len(pfor.pack_block(v)) < 200
 
 
-def ids_of(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(pfor.default_path()).encode(text or "", add_special_tokens=False).ids + [pfor.END_ID]
+    return Tokenizer.from_file(pfor.default_path())
+
+
+def ids_of(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [pfor.END_ID]
 
 
 def test_files(docs, monkeypatch):
@@ -44,6 +50,35 @@ def test_files(docs, monkeypatch):
     assert got == want
 
 
+def test_encoder_forgets(monkeypatch):
+    """Equal to the library, with few remembered words and few bytes at a time, for marks, contractions and other scripts."""
+    import random
+
+    monkeypatch.setattr(pfor, "REMEMBERED", 40)
+    encoder, rng = pfor.Encoder(pfor.default_path()), random.Random(5)
+    parts = [*"ab\u00e9,.;:!? \n\tA's\u0130\u00df\u00ff\u03a3\u0301\u03070<|>\u00aa\u00b5\u0141\u4e2d", "<|endoftext|>", "it's ", "don't, ", "...", "word, ", "\u00dcn\u00ef. "]
+    for _ in range(60):
+        texts = [None, *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(50))]
+        values, lengths = encoder.encode_many(texts)
+        want = [ids_of(t)[:-1] for t in texts]
+        assert lengths.tolist() == [len(w) for w in want] and values.tolist() == [i for w in want for i in w]
+
+
+def test_registered_query(spark, tmp_path):
+    """Every row of the query against the library, over a whole table."""
+    from llm_data import SF
+
+    from leafmill.llm.queries import op2_pfor_ids
+
+    got = sorted(tuple(r) for r in op2_pfor_ids(spark, SF).collect())
+    at, want = 0, []
+    for row in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = ids_of(row.text)
+        want.append((row.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+
+
 def test_edges(docs):
     assert pfor.read_ids(pfor.write_ids(docs([]))).count() == 0
     got = pfor.read_ids(pfor.write_ids(docs([(1, "a"), (1, "a"), (None, "b")]))).orderBy("start").collect()
