@@ -19,20 +19,23 @@ from pyspark.sql import types as T
 
 # TIFF 6.0 tags, field sizes and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, CHANNELS, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+FILL_ORDER = 266
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Stored texts: bytes in a row of samples, rows in a page and in a strip.
 ROW, PAGE_ROWS, STRIP_ROWS = 576, 2048, 256
+#: Bytes of a decoded page; a page that declares more gives an error row, and nothing is allocated or inflated for it.
+MOST_BYTES = 1 << 28
 
 
 # ---- codecs
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -63,7 +66,7 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int) -> bytes:
     """Codes of 9 to 12 bits, most significant first; the width grows one code early."""
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
     words, out, width, acc, n_bits, last = list(base), bytearray(), 9, 0, 0, b""
@@ -85,6 +88,8 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise ValueError("bad LZW code")
         out += word
+        if len(out) >= most:
+            break
         if last:
             words.append(last + word[:1])
         last = word
@@ -130,7 +135,12 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-UNPACK = {PLAIN: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: From stored bytes and the most that are wanted.
+UNPACK = {PLAIN: lambda data, most: data[:most], LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 PACK = {PLAIN: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 3), PACKBITS: pack_bits}
 
 
@@ -140,23 +150,28 @@ PACK = {PLAIN: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 3), PAC
 @dataclass
 class Page:
     page: int
-    width: int
-    height: int
-    channels: int
-    bits: int
-    compression: int
-    samples: bytes  # rows from the top, channels of a pixel together, 16 and 32 bits little-endian
+    width: int | None = None
+    height: int | None = None
+    channels: int | None = None
+    bits: int | None = None
+    compression: int | None = None
+    samples: bytes | None = None  # rows from the top, channels of a pixel together, a byte for less than 8 bits, else little-endian
+    error: str | None = None
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
-    """Byte order and fields of each directory; a directory is walked once."""
+    """Byte order and fields of each directory; a directory is walked once.
+
+    Directories and arrays of values may not take more bytes together than the file has, as they would if they overlapped.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    at, seen, room = struct.unpack_from(order + "I", data, 4)[0], set(), len(data)
     while at and at not in seen:
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
+        room -= 6 + 12 * n
         fields = {}
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
@@ -166,12 +181,15 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
             place = at + 10 + 12 * i
             if count * FIELD_SIZE[kind] > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
+                room -= count * FIELD_SIZE[kind]
+            if room < 0:
+                raise ValueError("directories overlap")
             fields[tag] = list(struct.unpack_from(f"{order}{count}{letter}", data, place))
         yield order, fields
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def undo_predictor(block: np.ndarray, predictor: int, bits: int) -> np.ndarray:
+def undo_predictor(block: np.ndarray, predictor: int) -> np.ndarray:
     """block: rows x columns x channels."""
     if predictor == 1:
         return block
@@ -180,31 +198,70 @@ def undo_predictor(block: np.ndarray, predictor: int, bits: int) -> np.ndarray:
     raise ValueError(f"predictor {predictor}")
 
 
+def samples_of(raw: bytes, order: str, rows: int, width: int, deep: int, bits: int, predictor: int) -> np.ndarray:
+    """The strip's or tile's samples, rows x columns x channels."""
+    if bits < 8:
+        if predictor != 1:
+            raise ValueError(f"predictor {predictor} of {bits} bits")
+        each = 8 // bits
+        packed = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+        shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+        values = (packed[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(rows, packed.shape[1] * each)
+        return values[:, : width * deep].reshape(rows, width, deep)
+    n = bits // 8
+    if predictor == 3:  # bytes of equal weight together, the highest first, and differences between bytes
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, deep), axis=1, dtype=np.uint8).reshape(rows, n, width * deep)
+        values = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{n}")
+        return values.reshape(rows, width, deep).astype(f"<u{n}")
+    return undo_predictor(np.frombuffer(raw, f"{order}u{n}").reshape(rows, width, deep).astype(f"<u{n}"), predictor)
+
+
+def decode_page(number: int, data: bytes, order: str, tags: dict[int, list]) -> Page:
+    one = lambda tag, default: tags.get(tag, [default])[0]
+    width, height, channels, bits = tags[WIDTH][0], tags[HEIGHT][0], one(CHANNELS, 1), one(BITS, 1)
+    scheme, predictor, planar = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1)
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, [bits]))) > 1 or scheme not in UNPACK or (bits < 8 and one(FILL_ORDER, 1) != 1):
+        raise ValueError(f"{bits} bits, compression {scheme}")
+    tiled = TILE_OFFSETS in tags
+    w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    offsets, lengths = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    sample = max(1, bits // 8)
+    if min(width, height, channels, w, h) < 1 or max(width * height, w * h) * channels * sample > MOST_BYTES:
+        raise ValueError(f"{width} x {height} x {channels} samples")
+    across, down = -(-width // w), -(-height // h)
+    planes, deep = (channels, 1) if planar == 2 else (1, channels)
+    if min(len(offsets), len(lengths)) < planes * across * down:
+        raise ValueError("strips are missing")
+    image = np.zeros((height, width, channels), f"<u{sample}")
+    for k in range(planes * across * down):
+        plane, rest = divmod(k, across * down)
+        y, x = rest // across * h, rest % across * w
+        rows = h if tiled else min(h, height - y)
+        size = rows * -(-w * deep * bits // 8)
+        raw = UNPACK[scheme](data[offsets[k] : offsets[k] + lengths[k]], size)
+        if len(raw) < size:
+            raise ValueError(f"{len(raw)} of {size} bytes")
+        block = samples_of(raw[:size], order, rows, w, deep, bits, predictor)[: height - y, : width - x]
+        image[y : y + block.shape[0], x : x + block.shape[1], plane : plane + deep] = block
+    return Page(number, width, height, channels, bits, scheme, image.tobytes())
+
+
 def pages(data: bytes) -> Iterator[Page]:
-    for number, (order, tags) in enumerate(directories(data)):
-        one = lambda tag, default: tags.get(tag, [default])[0]
-        width, height, channels, bits = tags[WIDTH][0], tags[HEIGHT][0], one(CHANNELS, 1), one(BITS, 1)
-        scheme, predictor, planar = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1)
-        if bits not in (8, 16, 32) or len(set(tags.get(BITS, [bits]))) > 1 or scheme not in UNPACK:
-            raise ValueError(f"{bits} bits, compression {scheme}")
-        kind = np.dtype(f"{order}u{bits // 8}")
-        tiled = TILE_OFFSETS in tags
-        w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
-        offsets, lengths = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-        across, down = -(-width // w), -(-height // h)
-        planes, deep = (channels, 1) if planar == 2 else (1, channels)
-        image = np.zeros((height, width, channels), f"<u{bits // 8}")
-        for k, (offset, length) in enumerate(zip(offsets, lengths)):
-            plane, rest = divmod(k, across * down)
-            if plane >= planes:
-                break
-            y, x = rest // across * h, rest % across * w
-            rows = h if tiled else min(h, height - y)
-            raw = UNPACK[scheme](data[offset : offset + length])
-            block = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep).astype(f"<u{bits // 8}")
-            block = undo_predictor(block, predictor, bits)[: height - y, : width - x]
-            image[y : y + block.shape[0], x : x + block.shape[1], plane : plane + deep] = block
-        yield Page(number, width, height, channels, bits, scheme, image.tobytes())
+    """Each page; for one that can't be decoded its error. An unreadable directory is an error too, and ends the file."""
+    number, walk = 0, directories(data)
+    while True:
+        try:
+            found = next(walk, None)
+        except Exception as e:  # whatever a broken file leads to
+            yield Page(number, error=f"{type(e).__name__}: {e}")
+            return
+        if found is None:
+            return
+        try:
+            yield decode_page(number, data, *found)
+        except Exception as e:
+            yield Page(number, error=f"{type(e).__name__}: {e}")
+        number += 1
 
 
 # ---- writing
@@ -283,8 +340,9 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page: the columns of files but media_col, then page, width, height, channels, bits, compression,
     samples, error.
 
-    A file that can't be read, or null, gives one row with error and without samples after its good pages. The pages of a
-    file follow one another in the result's partitions. Columns of files that have the name of a page column are replaced.
+    A page that can't be decoded gives a row with error and without samples, and the walk goes on; a file that isn't one,
+    or null, gives one such row. The pages of a file follow one another in the result's partitions. Columns of files that
+    have the name of a page column are replaced.
     """
     names = {f.name for f in PAGE_FIELDS}
     files = files.drop(*[c for c in files.columns if c in names])
@@ -295,12 +353,7 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
         for batch in batches:
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
             for i, data in enumerate(batch.column(batch.schema.get_field_index(media_col)).to_pylist()):
-                rows = []
-                try:
-                    for p in pages(data or b""):
-                        rows.append((p.page, p.width, p.height, p.channels, p.bits, p.compression, p.samples, None))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
-                    rows.append((len(rows), None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                rows = [(p.page, p.width, p.height, p.channels, p.bits, p.compression, p.samples, p.error) for p in pages(data or b"")]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 ids = [c.take(pa.array([i] * len(rows))) for c in own]
                 if rows:
@@ -310,25 +363,29 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def text_features(page_rows: DataFrame) -> DataFrame:
-    """One row per stored text from the page rows of decode_pages(): payload_bytes, payload_sha256, tail_crc32, feature.
+    """One row per stored text from the page rows of decode_pages(): payload_bytes, payload_sha256, tail_crc32, feature, error.
+    With an error of one of its pages the others are null.
 
     The pages of a file follow one another in their partition, page 0 first, so a running digest does without a shuffle.
     """
     import hashlib
 
     own = [f for f in page_rows.schema.fields if f.name not in {p.name for p in PAGE_FIELDS}]
-    out = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())]
+    out = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, digest, n_bytes, n_pages, counts, tail = None, hashlib.sha256(), 0, 0, np.zeros(16, np.int64), b""
+        head, digest, n_bytes, n_pages, counts, tail, failed = None, hashlib.sha256(), 0, 0, np.zeros(16, np.int64), b"", None
         ready: list[tuple] = []
 
         def close() -> None:
+            if failed is not None:
+                ready.append((*head, None, None, None, None, failed))
+                return
             hist = ",".join(map(str, counts.tolist()))
-            ready.append((*head, n_bytes, digest.hexdigest(), zlib.crc32(tail), f"pages={n_pages};rows={n_bytes // ROW};hist16={hist}"))
+            ready.append((*head, n_bytes, digest.hexdigest(), zlib.crc32(tail), f"pages={n_pages};rows={n_bytes // ROW};hist16={hist}", None))
 
         def flush(batch_schema: pa.Schema) -> pa.RecordBatch:
-            kinds = [*(batch_schema.field(f.name).type for f in own), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            kinds = [*(batch_schema.field(f.name).type for f in own), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
             made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready), kinds)], names=[f.name for f in (*own, *out)])
             ready.clear()
             return made
@@ -336,13 +393,14 @@ def text_features(page_rows: DataFrame) -> DataFrame:
         schema = None
         for batch in batches:
             schema = batch.schema
-            columns = {f: batch.column(batch.schema.get_field_index(f)).to_pylist() for f in (*(f.name for f in own), "page", "samples")}
-            for i, (page, samples) in enumerate(zip(columns["page"], columns["samples"])):
+            columns = {f: batch.column(batch.schema.get_field_index(f)).to_pylist() for f in (*(f.name for f in own), "page", "samples", "error")}
+            for i, (page, samples, error) in enumerate(zip(columns["page"], columns["samples"], columns["error"])):
                 if page == 0:
                     if head is not None:
                         close()
                     head = tuple(columns[f.name][i] for f in own)
-                    digest, n_bytes, n_pages, counts, tail = hashlib.sha256(), 0, 0, np.zeros(16, np.int64), b""
+                    digest, n_bytes, n_pages, counts, tail, failed = hashlib.sha256(), 0, 0, np.zeros(16, np.int64), b"", None
+                failed = failed if error is None else error
                 samples = samples or b""
                 digest.update(samples)
                 n_bytes += len(samples)
