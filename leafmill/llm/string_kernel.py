@@ -5,8 +5,9 @@ of the product of how many each has: a blended spectrum. Landmarks from the trai
 kernel, on which one ridge regression for each language is fitted, one against the rest. Whole texts are scored in batches:
 presence matrix times landmark matrix times coefficients.
 
-n-grams are hashed to DIMS places. The training sample has at most PER_CLASS expected rows of each of the MOST_CLASSES most
-frequent languages, drawn by a hash of doc_id from the rows outside the held-out fold.
+n-grams are hashed to DIMS places. Every language that a row outside the held-out fold has is learned. The training sample is
+drawn by a hash of doc_id from these rows: on average SAMPLE rows in all at most, shared evenly by the languages, but not
+more than PER_CLASS nor less than LEAST_PER_CLASS of each (all rows of a language that has fewer).
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .common import releasing
 
 ORDERS = (1, 2, 3)
 DIMS = 1 << 13
-PER_CLASS, MOST_CLASSES = 300, 64
-LANDMARKS = 128
+PER_CLASS, LEAST_PER_CLASS, SAMPLE = 300, 30, 6000
+#: Landmarks: so many of each language, and so many in all at least.
+LANDMARKS_PER_CLASS, LANDMARKS = 4, 128
 RIDGE = 1e-2
 #: How sharply the margins of the languages become a score.
 SHARPNESS = 6.0
@@ -87,9 +89,18 @@ class Model:
         return kernel @ self.coefficients + self.bias
 
 
-def fit(rows: np.ndarray, labels: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """One-versus-rest kernel ridge regression on Nyström features; None without rows."""
+def dense(places: list[np.ndarray]) -> np.ndarray:
+    """Texts x DIMS of 0 and 1 from the places of their n-grams."""
+    rows = np.zeros((len(places), DIMS), np.float32)
+    for row, own in zip(rows, places):
+        row[own] = 1
+    return rows
+
+
+def fit(places: list[np.ndarray], labels: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """One-versus-rest kernel ridge regression on Nyström features; None without rows. places: of each text's n-grams."""
     classes = sorted(set(labels))
+    n_landmarks = max(n_landmarks, LANDMARKS_PER_CLASS * len(classes))
     if not classes:
         return None
     index = {c: i for i, c in enumerate(classes)}
@@ -97,13 +108,15 @@ def fit(rows: np.ndarray, labels: list[str], n_landmarks: int = LANDMARKS, ridge
     by_class = [np.flatnonzero(y == k) for k in range(len(classes))]
     # landmarks in turn from each language
     chosen = [own[i] for i in range(max(map(len, by_class))) for own in by_class if i < len(own)][:n_landmarks]
-    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    landmarks = unit[chosen].T
-    within = (unit[chosen] @ landmarks).astype(np.float64)
+    norms = np.sqrt(np.maximum([len(own) for own in places], 1)).astype(np.float32)[:, None]
+    landmarks = (dense([places[i] for i in chosen]) / norms[chosen]).T
+    within = (landmarks.T @ landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(within)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (unit @ landmarks).astype(np.float64) @ root
+    # a few texts at a time, so that the sample is never dense as a whole
+    kernel = [dense(places[at : at + BATCH]) @ landmarks / norms[at : at + BATCH] for at in range(0, len(places), BATCH)]
+    features = np.concatenate(kernel).astype(np.float64) @ root
     targets = np.where(y[:, None] == np.arange(len(classes)), 1.0, -1.0)
     # each language weighs the same
     weight = (len(y) / len(classes) / np.array([len(own) for own in by_class]))[y][:, None]
@@ -124,10 +137,11 @@ def _rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a bounded sample of the rows with a language outside the held-out fold."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_CLASSES).collect()
+    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row for each language
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, PER_CLASS / n)))])
+    wanted = min(PER_CLASS, max(LEAST_PER_CLASS, SAMPLE / len(counts)))
+    share = F.map_from_arrays(F.lit([lang for lang, _ in counts]), F.lit([min(1.0, wanted / n) for _, n in counts]))
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(drawn < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
 
@@ -142,10 +156,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     found = sorted(tuple(r) for r in sample.mapInArrow(grams, "id string, lang string, places binary").collect())
     found = [r for r in found if len(r[2])]
-    rows = np.zeros((len(found), DIMS), np.float32)
-    for row, (_, _, places) in zip(rows, found):
-        row[np.frombuffer(bytes(places), "<u2")] = 1
-    return fit(rows, [r[1] for r in found])
+    return fit([np.frombuffer(bytes(places), "<u2").astype(np.int64) for _, _, places in found], [lang for _, lang, _ in found])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

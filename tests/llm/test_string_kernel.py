@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -42,7 +43,7 @@ def test_nystrom_is_ridge_regression_when_all_rows_are_landmarks():
     rng = np.random.default_rng(1)
     rows = (rng.random((12, S.DIMS)) < 0.02).astype(np.float32)
     labels = ["a", "b"] * 6
-    model = S.fit(rows, labels, n_landmarks=12, ridge=1.0)
+    model = S.fit([np.flatnonzero(r) for r in rows], labels, n_landmarks=12, ridge=1.0)
     unit = rows / np.sqrt(rows.sum(1, keepdims=True))
     k = (unit @ unit.T).astype(float)
     y = np.where(np.array(labels)[:, None] == np.array(model.classes), 1.0, -1.0)
@@ -52,6 +53,23 @@ def test_nystrom_is_ridge_regression_when_all_rows_are_landmarks():
     assert np.allclose(model.scores(rows), want, atol=0.02)
 
 
+def test_eighty_languages(docs):
+    """Every language is learned, however many there are and however rare it is."""
+    rng = random.Random(3)
+    languages = {}
+    for n in range(80):
+        syllables = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou\u00e4\u00f6") for _ in range(2)) for _ in range(12)]
+        languages[f"l{n:02}"] = lambda s=syllables: " ".join("".join(rng.choices(s, k=2)) for _ in range(30))
+    rows = [(80 * i + n, make(), name) for i in range(40) for n, (name, make) in enumerate(languages.items())] + [(9000 + i, languages["l00"](), "l00") for i in range(2000)]
+    df = docs(rows)
+    model = S.train(df)
+    assert model.classes == sorted(languages)
+    found = S.identify(df, model).where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.95
+    (frequent, rare) = (sum(r.lang == r.lang_pred for r in own) / len(own) for own in ([r for r in found if r.lang == "l00"], [r for r in found if r.lang != "l00"]))
+    assert min(frequent, rare) > 0.9
+
+
 def test_edges(docs):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)]
     model = S.train(docs(train))
