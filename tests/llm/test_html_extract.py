@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -31,6 +32,63 @@ def test_pages(page, want):
     assert H.main_text(page, PLAIN) == want
 
 
+# Authored pages with the exact text of each.
+AUTHORED = {
+    "names that only sound like chrome": (
+        """<body><div class="site-header"><a href=/>Daily</a></div><article><h1>Markets</h1><p class="share-price">The share price rose by a tenth.</p>
+        <div class="comment-on-law"><p>A comment on the new law follows here.</p></div><label>Figures in euros</label><p>It closed higher.</p></article></body>""",
+        "Markets\nThe share price rose by a tenth.\nA comment on the new law follows here.\nFigures in euros\nIt closed higher.",
+    ),
+    "comments by other names": (
+        """<body><main><article><h1>Title here</h1><p>One paragraph of the article itself.</p><p>And another one of it.</p></article>
+        <div id="responses"><p>I liked this a lot, thank you for the many words of it.</p></div><section class="discussion"><ol><li><b>ann</b> No, I did not like it at all.</li></ol></section></main></body>""",
+        "Title here\nOne paragraph of the article itself.\nAnd another one of it.",
+    ),
+    "comments inside the article": (
+        """<article><h2>Head</h2><p>Text of the article.</p><section class="reader-comments"><article class="comment"><p>First! This is long enough to be taken for text.</p></article></section><p>Last words of it.</p></article>""",
+        "Head\nText of the article.\nLast words of it.",
+    ),
+    "no article element": (
+        """<html><head><title>x</title><style>p{}</style></head><body><ul id="main-nav"><li><a href=a>One</a><li><a href=b>Two</a></ul><div class="post"><h1>Bread</h1>
+        <p>Mix <a href=f>flour</a> and water, then wait.</p><p>Bake it for an hour.</p></div><div class="related-posts"><a href=1>Cake recipes for all</a></div>
+        <form><label>Your e-mail</label><input><button>Send</button></form><div class="site-footer">All rights kept</div></body></html>""",
+        "Bread\nMix flour and water, then wait.\nBake it for an hour.",
+    ),
+    "sidebar, notices and adverts": (
+        """<body><div class="cookie-notice">We use cookies. Do you agree with that?</div><div class="page with-sidebar"><aside><p>Most read stories of the week</p></aside>
+        <article><header><h1>On rain</h1></header><p>It rains.<div class="ad-slot"><p>Buy umbrellas now, they are cheap this week.</p></div><p>It will stop.</p><div class="share-buttons">Share Tweet Pin</div></article></div>
+        <div role="complementary"><p>Weather for the week, in all towns of the land.</p></div></body>""",
+        "On rain\nIt rains.\nIt will stop.",
+    ),
+    "white space and references": ("<article><p>a\n\t b&nbsp;&amp;&#x20;c<br>d</p><pre>x\n y</pre></article>", "a b & c d\nx y"),
+}
+
+
+@pytest.mark.parametrize("name", AUTHORED)
+def test_authored_pages(name):
+    page, want = AUTHORED[name]
+    assert H.main_text(page, PLAIN) == want
+
+
+def test_learned_names_beat_the_priors():
+    """Pages whose article is full of a name that the priors hold against it, and whose chrome has a name of its own."""
+    page = "<body><div class=zork>" + "<p>some words of chrome</p>" * 9 + "</div><div class='widget'><article>" + "<p>words of the article that count</p>" * 30 + "</article></div></body>"
+    weights = H.Weights.fit(H.count_features([page] * 20))
+    assert weights.of("as!widget") > 0 > weights.of("as:zork")
+    assert H.main_text(page, weights) == "\n".join(["words of the article that count"] * 30)
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<div>", "<div class=c%d>", "<p><button><div>", "<script></script ", '<a "', "<a '\">", "<a =\"", "<!", "<", "</", "&", "<b><p>", "<table><tr><td>", "<ul><li>", "<x%d>", "<a href=%d>x</a>",
+])
+def test_hostile_pages_take_linear_time(unit):
+    page = "".join(unit.replace("%d", str(i)) for i in range(1_000_000 // len(unit))) + "end"
+    began = time.process_time()
+    H.main_text(page, PLAIN)
+    H.count_features([page])
+    assert time.process_time() - began < 20
+
+
 def test_run():
     def slow(s):
         best = max(((sum(s[i:j]), -i, -j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
@@ -51,9 +109,9 @@ def test_whole_table(spark):
     from llm_data import SF
 
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    want = {r.page_id: " ".join(truth(r.html).split()) for r in pages.collect()}
+    want = {r.page_id: truth(r.html) for r in pages.collect()}
     got = H.extract_text(pages).collect()
-    assert {r.page_id: " ".join(r.text.split()) for r in got} == want
+    assert {r.page_id: r.text for r in got} == want
     assert all(r.n_chars == len(r.text) for r in got)
 
 
