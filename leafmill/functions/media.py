@@ -12,6 +12,10 @@ EXTENSION_OF_TYPE = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".p
 SAFE_EXTENSIONS = ("jpg", "png", "gif", "webp", "svg", "avif", "img")
 URL_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "svg", "avif")
 VIDEO_TYPES = ("", "video/mp4", "application/mp4", "application/octet-stream")
+# Why a response can't be used, and the form of an embedded image.
+NOT_FOUND, STATUS, IMAGE_TYPE, IMAGE_EXTENSION = "not found", "status=", "unsupported image type=", "unsupported binary image extension="
+CONTENT_TYPE, IMAGE_SIGNATURE, VIDEO_SIGNATURE, EMBEDDED = "unexpected content-type=", "image signature mismatch expected=", "video signature mismatch expected=mp4", "invalid embedded image data"
+DATA_URL = r"^data:([^;,]+);base64,([a-zA-Z0-9+/=\s]+)$"
 INLINE_SVG = r"(?i)^\s*data:image/svg\+xml(?:[;,]|\s*$)"
 
 
@@ -76,12 +80,12 @@ def image_verdict(status: Column, header: Column, url: Column, data: Column) ->
     untyped = kind_name.isin("", "application/octet-stream")
     kind = F.when(is_image, _lookup(KIND_OF_TYPE, kind_name)).when(untyped, _lookup(KIND_OF_EXTENSION, by_url)).otherwise(F.lit(""))
     reason = (
-        F.when(status.isNull(), "not found")
-        .when(~status.between(200, 299), F.concat(F.lit("status="), status.cast("string")))
-        .when(is_image & (kind == ""), F.concat(F.lit("unsupported image type="), kind_name))
-        .when(untyped & (kind == ""), F.concat(F.lit("unsupported binary image extension="), F.coalesce(F.nullif(by_url, F.lit("")), F.lit("none"))))
-        .when(~is_image & ~untyped, F.concat(F.lit("unexpected content-type="), kind_name))
-        .when(~matches(kind, data), F.concat(F.lit("image signature mismatch expected="), kind))
+        F.when(status.isNull(), NOT_FOUND)
+        .when(~status.between(200, 299), F.concat(F.lit(STATUS), status.cast("string")))
+        .when(is_image & (kind == ""), F.concat(F.lit(IMAGE_TYPE), kind_name))
+        .when(untyped & (kind == ""), F.concat(F.lit(IMAGE_EXTENSION), F.coalesce(F.nullif(by_url, F.lit("")), F.lit("none"))))
+        .when(~is_image & ~untyped, F.concat(F.lit(CONTENT_TYPE), kind_name))
+        .when(~matches(kind, data), F.concat(F.lit(IMAGE_SIGNATURE), kind))
     )
     extension = F.when(kind == "jpeg", ".jpg").otherwise(F.concat(F.lit("."), kind))
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), extension).alias("extension"))
@@ -90,25 +94,24 @@ def image_verdict(status: Column, header: Column, url: Column, data: Column) ->
 def video_verdict(status: Column, header: Column, data: Column) -> Column:
     kind_name = content_type(header)
     reason = (
-        F.when(status.isNull(), "not found")
-        .when(~status.between(200, 299), F.concat(F.lit("status="), status.cast("string")))
-        .when(~kind_name.isin(*VIDEO_TYPES), F.concat(F.lit("unexpected content-type="), kind_name))
-        .when(~matches(F.lit("mp4"), data), F.lit("video signature mismatch expected=mp4"))
+        F.when(status.isNull(), NOT_FOUND)
+        .when(~status.between(200, 299), F.concat(F.lit(STATUS), status.cast("string")))
+        .when(~kind_name.isin(*VIDEO_TYPES), F.concat(F.lit(CONTENT_TYPE), kind_name))
+        .when(~matches(F.lit("mp4"), data), F.lit(VIDEO_SIGNATURE))
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), ".mp4").alias("extension"))
 
 
 def embedded_image(data_url: Column) -> Column:
     """ok, reason, extension and data of an image that its address holds."""
-    pattern = r"^data:([^;,]+);base64,([a-zA-Z0-9+/=\s]+)$"
-    kind_name = F.lower(F.trim(F.regexp_extract(F.coalesce(data_url, F.lit("")), pattern, 1)))
+    kind_name = F.lower(F.trim(F.regexp_extract(F.coalesce(data_url, F.lit("")), DATA_URL, 1)))
     kind = _lookup(KIND_OF_TYPE, kind_name)
-    data = F.try_to_binary(F.regexp_replace(F.regexp_extract(F.coalesce(data_url, F.lit("")), pattern, 2), r"\s", ""), F.lit("base64"))
+    data = F.try_to_binary(F.regexp_replace(F.regexp_extract(F.coalesce(data_url, F.lit("")), DATA_URL, 2), r"\s", ""), F.lit("base64"))
     reason = (
-        F.when(~F.coalesce(data_url, F.lit("")).rlike(pattern) | data.isNull(), "invalid embedded image data")
-        .when(~kind_name.startswith("image/"), F.concat(F.lit("unexpected content-type="), kind_name))
-        .when(kind == "", F.concat(F.lit("unsupported image type="), kind_name))
-        .when(~matches(kind, data), F.concat(F.lit("image signature mismatch expected="), kind))
+        F.when(~F.coalesce(data_url, F.lit("")).rlike(DATA_URL) | data.isNull(), EMBEDDED)
+        .when(~kind_name.startswith("image/"), F.concat(F.lit(CONTENT_TYPE), kind_name))
+        .when(kind == "", F.concat(F.lit(IMAGE_TYPE), kind_name))
+        .when(~matches(kind, data), F.concat(F.lit(IMAGE_SIGNATURE), kind))
     )
     return F.struct(
         reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), F.when(kind == "jpeg", ".jpg").otherwise(F.concat(F.lit("."), kind))).alias("extension"), F.when(reason.isNull(), data).alias("data")

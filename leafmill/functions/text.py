@@ -103,19 +103,24 @@ def heading_level(classes: Column) -> Column:
     return F.when(F.size(digits) > 0, F.least(F.get(digits, F.lit(0)).cast("int"), F.lit(6)))
 
 
+# Characters that file names may not have, and the most characters of a file name and of a title.
+UNSAFE = r'[\\/:*?"<>|]+'
+MOST_NAME, MOST_TITLE = 120, 80
+
+
 def file_name(value: Column) -> Column:
     """A safe file name of at most 120 characters."""
-    out = F.regexp_replace(normalize_text(value), r'[\\/:*?"<>|]+', "-")
+    out = F.regexp_replace(normalize_text(value), UNSAFE, "-")
     out = F.regexp_replace(F.regexp_replace(out, r"-+", "-"), r"^-+|-+$", "")
-    return F.coalesce(F.nullif(F.regexp_replace(F.substring(out, 1, 120), r"-+$", ""), F.lit("")), F.lit("web-clip"))
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(out, 1, MOST_NAME), r"-+$", ""), F.lit("")), F.lit("web-clip"))
 
 
 def title_name(value: Column) -> Column:
     """A safe title of at most 80 characters."""
-    out = F.regexp_replace(F.regexp_replace(text_of(value), TITLE_INVISIBLE, " "), r'[\\/:*?"<>|]+', "-")
+    out = F.regexp_replace(F.regexp_replace(text_of(value), TITLE_INVISIBLE, " "), UNSAFE, "-")
     out = F.trim(F.regexp_replace(out, f"[{SPACE}]+", " "))
     out = F.regexp_replace(F.regexp_replace(out, r"-+", "-"), r"^-+|-+$", "")
-    return F.coalesce(F.nullif(F.regexp_replace(F.substring(out, 1, 80), f"[-.{SPACE}]+$", ""), F.lit("")), F.lit("web-clip"))
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(out, 1, MOST_TITLE), f"[-.{SPACE}]+$", ""), F.lit("")), F.lit("web-clip"))
 
 
 def export_names(title: Column, captured: Column) -> Column:
@@ -176,17 +181,21 @@ def log_line(module: Column, message: Column, entries: Column) -> Column:
     return F.concat(F.lit("["), escape_controls(module), F.lit("] "), escape_controls(message), F.when(details != "", F.concat(F.lit(" "), details)).otherwise(F.lit("")))
 
 
+# What of Markdown is no text, and what stands for it: fences, images, links, breaks, line markers, emphasis.
+MARKDOWN = (
+    (r"```[^\n]*\n?", ""),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?i)<br\s*/?\s*>", " "),
+    (r"(?m)^[ \t]*(?:#{1,6}|>|[-+*]|\d+[.)])\s+", ""),
+    (r"[|*_~`\\]", " "),
+)
+
+
 def markdown_to_text(value: Column) -> Column:
-    """Plain text of Markdown: fences, images, links, breaks, line markers and emphasis go."""
+    """Plain text of Markdown."""
     out = text_of(value)
-    for pattern, with_ in (
-        (r"```[^\n]*\n?", ""),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"(?i)<br\s*/?\s*>", " "),
-        (r"(?m)^[ \t]*(?:#{1,6}|>|[-+*]|\d+[.)])\s+", ""),
-        (r"[|*_~`\\]", " "),
-    ):
+    for pattern, with_ in MARKDOWN:
         out = F.regexp_replace(out, pattern, with_)
     return normalize_text(out)
 

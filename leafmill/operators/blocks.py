@@ -1,16 +1,18 @@
-"""Blocks of a page's content area, from element rows.
+"""Blocks of a page's content area, from its array of elements.
 
-Whether an element makes a block depends on the area that is being read, so each element is paired with the candidate
-areas that hold it; the areas are scored by their distinct blocks, and one area is chosen for each page.
+Whether an element makes a block depends on the area that is being read. The candidate areas of a page are scored by their
+distinct blocks and one is chosen, all within the page's row: nothing is dealt out, and an element is no row of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_code, normalize_text, text_of, utf16_length
-from ..sources.html_nodes import CONTAINERS, FALLBACK_ROOTS, HEADINGS, KNOWN, SELECTED, dom_nodes
+from ..sources.html_nodes import CONTAINERS, FALLBACK_ROOTS, HEADINGS, PREFERRED, SELECTED, page_trees
 
 # What a block and a picture are worth, and the score that an area must exceed.
 PER_BLOCK, PER_MEDIA, LEAST_SCORE = 20, 30, 120
@@ -47,31 +49,30 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
-def _block(base: Column) -> Column:
+def _block(node: Column, base: Column) -> Column:
     """The block that an element makes, if it has something to show."""
-    tag, attrs = F.col("tag"), F.col("attrs")
-    text = F.when(tag == "pre", normalize_code(F.col("text"))).otherwise(normalize_text(F.col("text")))
+    tag, attrs = node["tag"], node["attrs"]
+    text = F.when(tag == "pre", normalize_code(node["text"])).otherwise(normalize_text(node["text"]))
     kind = (
         F.when(tag.isin(*HEADINGS), "heading").when(tag == "li", "listItem").when(tag == "blockquote", "quote").when(tag == "pre", "code")
         .when(tag == "img", "image").when(tag.isin("video", "source"), "video").when(tag == "a", "link").otherwise("paragraph")
     )
-    href = absolute(first_attr(attrs, ("href",)), base)
+    href = F.when(tag == "a", absolute(first_attr(attrs, ("href",)), base))
     src = F.when(tag == "img", absolute(image_source(attrs), base)).when(tag.isin("video", "source"), absolute(first_attr(attrs, ("src", "data-src")), base))
-    name = normalize_text(F.coalesce(F.nullif(first_attr(attrs, ("title", "aria-label")), F.lit("")), F.when(tag == "video", F.nullif(F.col("text"), F.lit(""))), F.lit("Video")))
+    name = normalize_text(F.coalesce(F.nullif(first_attr(attrs, ("title", "aria-label")), F.lit("")), F.when(tag == "video", F.nullif(node["text"], F.lit(""))), F.lit("Video")))
     shown = (
         F.when(tag.isin("video", "source"), F.coalesce(F.nullif(name, F.lit("")), F.lit("Video")))
         .when(tag == "a", F.coalesce(F.nullif(text, F.lit("")), normalize_text(href)))
         .when(tag != "img", text)
     )
-    block = F.struct(
+    return F.struct(
         kind.alias("type"),
         F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int")).alias("level"),
         shown.alias("text"),
         src.alias("src"),
         F.when(tag == "img", normalize_text(first_attr(attrs, ("alt",)))).alias("alt"),
-        F.when(tag == "a", href).alias("href"),
+        href.alias("href"),
     )
-    return block
 
 
 def _shows(b: Column) -> Column:
@@ -79,15 +80,16 @@ def _shows(b: Column) -> Column:
 
 
 def block_key(b: Column) -> Column:
-    """What makes two blocks the same one."""
-    return F.struct(
-        b["type"].alias("type"),
-        F.when(b["type"] == "heading", F.coalesce(b["level"], F.lit(0))).alias("level"),
-        F.when(b["type"] != "image", normalize_text(b["text"])).alias("text"),
-        F.when(b["type"] == "image", image_key(b["src"])).when(b["type"] == "video", text_of(b["src"])).alias("src"),
-        F.when(b["type"] == "image", normalize_text(b["alt"])).alias("alt"),
-        F.when(b["type"] == "link", text_of(b["href"])).alias("href"),
+    """What makes two blocks the same one, as a text: each part with its length before it."""
+    parts = (
+        b["type"],
+        F.when(b["type"] == "heading", F.coalesce(b["level"], F.lit(0)).cast("string")),
+        F.when(b["type"] != "image", normalize_text(b["text"])),
+        F.when(b["type"] == "image", image_key(b["src"])).when(b["type"] == "video", text_of(b["src"])),
+        F.when(b["type"] == "image", normalize_text(b["alt"])),
+        F.when(b["type"] == "link", text_of(b["href"])),
     )
+    return F.concat(*[x for p in parts for x in (F.coalesce(F.length(p).cast("string"), F.lit("")), F.lit(":"), F.coalesce(p, F.lit("")))])
 
 
 def image_key(src: Column) -> Column:
@@ -98,69 +100,101 @@ def image_key(src: Column) -> Column:
     return F.when(on_host, F.concat(bare, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))).otherwise(text_of(src))
 
 
-def _suppressed(root: Column) -> Column:
-    """A text container that another element speaks for, read within the area that starts at root."""
-    between = F.filter("anc", lambda a: a["pre"] >= root)
-    in_known = (F.col("pre") != root) & F.exists(between, lambda a: a["tag"].isin(*KNOWN))
-    # from the nearest ancestor outwards: 0 undecided, 1 in a container that is read whole, 2 not
-    in_leaf = F.aggregate(
-        F.reverse(F.filter("anc", lambda a: a["pre"] >= root)),
-        F.lit(0),
-        lambda state, a: F.when(state != 0, state).when(a["pre"] == root, F.when(a["leaf"], 1).otherwise(2)).when(a["stop"], 2).when(a["leaf"], 1).otherwise(0),
-    )
-    return F.col("tag").isin(*CONTAINERS) & (in_known | F.col("block_below") | (~F.col("own_text") & F.col("content_below")) | ((F.col("pre") != root) & (in_leaf == 1)))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def area_rows(nodes: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
-    """page, url, root, pre, block, prefers, plain: the distinct blocks of each candidate area, the first of equal ones, and a
-    row without a block for the area's own element, with its preferences and whether it is a container.
+def _items(nodes: Column, base: Column) -> Column:
+    """Of the visible elements that may be areas or make blocks: pre, last, prefers, plain, from, key, units, media, block.
 
-    All that follows is made of these rows, so that pages are parsed and dealt out once.
+    from: a text container speaks for itself only in areas that start behind this element, and in its own; -1 otherwise.
+    Without a block the last four are null.
     """
-    plain = F.col("tag").isin(*sorted(FALLBACK_ROOTS))
-    is_root = plain | (F.size("prefers") > 0)
-    roots = F.concat(F.transform(F.filter("anc", lambda a: a["root"]), lambda a: a["pre"]), F.when(is_root, F.array("pre")).otherwise(F.array().cast("array<int>")))
-    block = F.when(F.col("tag").isin(*sorted(SELECTED)), F.get(F.filter(F.array(_block(F.coalesce(F.col(url), F.lit("")))), _shows), F.lit(0)))
-    seen = nodes.where("visible").select(page, url, "pre", "tag", "anc", "own_text", "block_below", "content_below", F.when(is_root, F.col("prefers")).alias("prefers"), F.when(is_root, plain).alias("plain"), block.alias("block"), F.explode(roots).alias("root"))
-    kind = dict(seen.dtypes)["block"]
-    none = F.array().cast(f"array<{kind}>")
-    shown = F.when(F.col("block").isNotNull() & ~_suppressed(F.col("root")), F.array("block")).otherwise(none)
-    marker = F.when(F.col("root") == F.col("pre"), F.array(F.lit(None).cast(kind))).otherwise(none)
-    rows = seen.select(page, url, "root", "pre", "prefers", "plain", F.explode(F.concat(shown, marker)).alias("block"))
-    firsts = rows.groupBy(page, url, "root", F.when(F.col("block").isNotNull(), block_key(F.col("block"))).alias("key")).agg(F.min(F.struct("pre", "block", "prefers", "plain")).alias("first"))
-    return firsts.select(page, url, "root", "first.*")
-
-
-def area_scores(rows: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, root, score, n_blocks, prefers and plain of each area."""
-    units = utf16_length(normalize_text(F.coalesce(F.nullif(F.col("block.text"), F.lit("")), F.col("block.alt"))))
-    media = F.count_if(F.col("block.type").isin("image", "video"))
-    mine = lambda c: F.max(F.when(F.col("block").isNull(), F.col(c))).alias(c)
-    return rows.groupBy(page, "root").agg((F.sum(units) + PER_BLOCK * F.count("block") + PER_MEDIA * media).alias("score"), F.count("block").alias("n_blocks"), mine("prefers"), mine("plain"))
-
-
-def best_areas(scores: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, root, score and n_blocks of one area for each page that has one.
+
+    def item(n: Column) -> Column:
+        container = n["tag"].isin(*CONTAINERS)
+        spoken_for = container & (n["block_below"] | (~n["own_text"] & n["content_below"]))
+        block = F.when(n["tag"].isin(*sorted(SELECTED)) & ~spoken_for, _block(n, base))
+        return F.struct(
+            n["pre"].alias("pre"), n["last"].alias("last"), n["prefers"].alias("prefers"), n["tag"].isin(*sorted(FALLBACK_ROOTS)).alias("plain"),
+            F.when(container, F.greatest(n["known_above"], n["leaf_above"])).otherwise(F.lit(-1)).alias("from"), block.alias("block"),
+        )
+
+    def keyed(x: Column) -> Column:
+        b = x["block"]
+        shows = b.isNotNull() & _shows(b)
+        return F.struct(
+            *(x[c].alias(c) for c in ("pre", "last", "prefers", "plain", "from")),
+            F.when(shows, block_key(b)).alias("key"),
+            F.when(shows, utf16_length(normalize_text(F.coalesce(F.nullif(b["text"], F.lit("")), b["alt"])))).alias("units"),
+            F.when(shows, b["type"].isin("image", "video")).alias("media"),
+            F.when(shows, b).alias("block"),
+        )
+
+    return F.filter(F.transform(F.transform(F.filter(nodes, lambda n: n["visible"]), item), keyed), lambda x: x["key"].isNotNull() | x["plain"] | (F.size(x["prefers"]) > 0))
+
+
+def _shown(items: Column, root: Column, last: Column) -> Column:
+    """The blocks of an area."""
+    return F.filter(items, lambda i: i["key"].isNotNull() & (i["pre"] >= root) & (i["pre"] <= last) & ((i["pre"] == root) | (i["from"] < root)))
+
+
+def _scored(items: Column) -> Column:
+    """root, last, prefers, plain, score and n_blocks of each candidate area, by its distinct blocks."""
+
+    def area(r: Column) -> Column:
+        # equal blocks are neighbours in the order of their keys
+        ordered = F.sort_array(F.transform(_shown(items, r["pre"], r["last"]), lambda i: F.struct(i["key"].alias("key"), (i["units"] + PER_BLOCK + F.when(i["media"], PER_MEDIA).otherwise(0)).cast("long").alias("worth"))))
+        start = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("n_blocks"))
+        sums = F.aggregate(
+            ordered, start,
+            lambda s, i: F.when(s["key"].eqNullSafe(i["key"]), s).otherwise(F.struct(i["key"].alias("key"), (s["score"] + i["worth"]).alias("score"), (s["n_blocks"] + F.lit(1).cast("long")).alias("n_blocks"))),
+        )
+        return _once(sums, lambda s: F.struct(r["pre"].alias("root"), r["last"].alias("last"), r["prefers"].alias("prefers"), r["plain"].alias("plain"), s["score"].alias("score"), s["n_blocks"].alias("n_blocks")))
+
+    return F.transform(F.filter(items, lambda i: i["plain"] | (F.size(i["prefers"]) > 0)), area)
+
+
+def _best(scored: Column) -> Column:
+    """root, last, score and n_blocks of the chosen area; null without one.
 
     The first element of each preference counts, if it scores over LEAST_SCORE with more than one block; the earliest
     preference wins. Without one, the highest score over LEAST_SCORE among containers, the first of equals.
     """
-    firsts = scores.select(page, "root", "score", "n_blocks", F.explode("prefers").alias("rank")).groupBy(page, "rank").agg(F.min(F.struct("root", "score", "n_blocks")).alias("f"))
-    good = firsts.where((F.col("f.score") > LEAST_SCORE) & (F.col("f.n_blocks") > 1)).groupBy(page).agg(F.min(F.struct("rank", "f.root", "f.score", "f.n_blocks")).alias("p"))
-    widest = scores.where(F.col("plain") & (F.col("score") > LEAST_SCORE)).groupBy(page).agg(F.max(F.struct("score", (-F.col("root")).alias("minus"), "n_blocks")).alias("w"))
-    both = good.join(widest, page, "full")
-    return both.select(page, F.coalesce(F.col("p.root"), -F.col("w.minus")).alias("root"), F.coalesce(F.col("p.score"), F.col("w.score")).alias("score"), F.coalesce(F.col("p.n_blocks"), F.col("w.n_blocks")).alias("n_blocks"))
+    fields = ("root", "last", "score", "n_blocks")
+    pick = lambda s: F.struct(*(s[f].alias(f) for f in fields))
+    ranks = F.sequence(F.lit(0), F.lit(len(PREFERRED) - 1))
+    firsts = F.transform(ranks, lambda k: F.get(F.filter(scored, lambda s: F.array_contains(s["prefers"], k)), F.lit(0)))
+    good = F.get(F.filter(firsts, lambda s: (s["score"] > LEAST_SCORE) & (s["n_blocks"] > 1)), F.lit(0))
+    wide = F.array_max(F.transform(F.filter(scored, lambda s: s["plain"] & (s["score"] > LEAST_SCORE)), lambda s: F.struct(s["score"].alias("by"), (-s["root"]).alias("minus"), pick(s).alias("area"))))
+    return F.coalesce(_once(good, lambda s: F.when(s.isNotNull(), pick(s))), wide["area"])
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    return dom_nodes(pages, tags=SELECTED)
+def _distinct(shown: Column) -> Column:
+    """The blocks in order, the first of equal ones."""
+    ordered = F.sort_array(F.transform(shown, lambda i: F.struct(i["key"].alias("key"), i["pre"].alias("pre"), i["block"].alias("block"))))
+    first = _once(ordered, lambda o: F.filter(o, lambda x, at: (at == 0) | (F.get(o, at - 1)["key"] != x["key"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["pre"].alias("pre"), x["block"].alias("block")))), lambda x: x["block"])
 
 
-def page_blocks(pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
-    """page, url, pos (from 1) and the fields of the blocks of each page's best area. Pages without one have no rows."""
-    rows = area_rows(page_nodes(pages), page, url)
-    best = best_areas(area_scores(rows, page), page).select(page, "root")
-    chosen = rows.where(F.col("block").isNotNull()).join(best, [page, "root"])
-    return chosen.select(page, url, F.row_number().over(Window.partitionBy(page).orderBy("pre")).alias("pos"), "block.*")
+def page_areas(pages: DataFrame, url: str = "url", html_col: str = "html", keep_nodes: bool = False) -> DataFrame:
+    """The columns of pages but the html, with score, n_blocks and blocks (an array) of each page's best area, null without
+    one; with keep_nodes also the elements. Columns of pages with these names are replaced. No rows move."""
+    made = ("score", "n_blocks", "blocks", "nodes")
+    pages = pages.drop(*[c for c in pages.columns if c in made and c != html_col])
+    carried = [c for c in pages.columns if c != html_col]
+    trees = page_trees(pages, html_col, SELECTED)
+    own = [*carried, *(["nodes"] if keep_nodes else [])]
+    base = F.coalesce(F.col(url), F.lit(""))
+
+    def area(items: Column) -> Column:
+        return _once(_best(_scored(items)), lambda a: F.when(a.isNotNull(), F.struct(a["score"].alias("score"), a["n_blocks"].alias("n_blocks"), _distinct(_shown(items, a["root"], a["last"])).alias("blocks"))))
+
+    return trees.select(*own, _once(_items(F.col("nodes"), base), area).alias("area")).select(*own, "area.score", "area.n_blocks", "area.blocks")
 
 
+def page_blocks(pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
+    """page, url, pos (from 1) and the fields of the blocks of each page's best area. Pages without one have no rows."""
+    areas = page_areas(pages.select(page, url, "html"), url)
+    return areas.select(page, url, F.posexplode("blocks").alias("at", "block")).select(page, url, (F.col("at") + 1).alias("pos"), "block.*")

@@ -115,26 +115,35 @@ def merge_ordered(known: list[dict], snapshot: list[dict]) -> list[dict]:
     fresh = {key(b): b for b in distinct(snapshot)}
     if not out:
         return list(fresh.values())
-    order = list(out)
     nexts, following = {}, None
     for k in reversed(fresh):
         nexts[k] = following
         following = k if k in out else following
+    # a doubly linked list; known blocks have even ranks, new ones the odd rank beside the known one that they are put next to
+    order = [None, *out, None]
+    before_of, after_of = dict(zip(order[1:], order)), dict(zip(order, order[1:]))
+    rank = {k: 2 * i for i, k in enumerate(out)}
     before = None
     for k, block in fresh.items():
         if k in out:
             if block.get("source_id"):
                 out[k] = fuse(out[k], block)
         else:
-            at = order.index(before) if before is not None else None
-            to = order.index(nexts[k]) if nexts[k] is not None else None
-            if to is not None and (at is None or at < to):
-                order.insert(to, k)
+            anchor = nexts[k]
+            if anchor is not None and (before is None or rank[before] < rank[anchor]):
+                left, right, rank[k] = before_of[anchor], anchor, rank[anchor] - 1
             else:
-                order.insert(len(order) if at is None else at + 1, k)
+                left = before if before is not None else before_of[None]
+                right, rank[k] = after_of[left], rank[left] | 1
+            before_of[k], after_of[k] = left, right
+            after_of[left] = before_of[right] = k
             out[k] = block
         before = k
-    return [out[k] for k in order]
+    merged, k = [], after_of[None]
+    while k is not None:
+        merged.append(out[k])
+        k = after_of[k]
+    return merged
 
 
 def merge_rounds(rounds: DataFrame, mode: str, page: str, number: str, schema: str) -> DataFrame:

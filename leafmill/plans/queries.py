@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions.lines import plain_lists
 from ..functions.markdown import BLOCK, document_markdown, table_markdown
 from ..operators import blocks as B
-from ..operators import islands, merge, zip_sink
+from ..operators import export, islands, merge, zip_sink
 from ..operators import media as media_ops
 from ..operators.families import course, feishu
 from ..sources.html_nodes import SELECTED, dom_nodes
@@ -43,8 +43,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.area_rows(B.page_nodes(_table(spark, sf_dir, "pages")))
-    return B.best_areas(B.area_scores(rows)).select("page_id", "score", "n_blocks")
+    areas = B.page_areas(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return areas.where("blocks is not null").select("page_id", "score", "n_blocks")
 
 
 def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,11 @@ def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, title, blocks of each page with blocks."""
-    block = _struct(type=F.col("type"), text=F.col("text"), level=F.col("level"), src=F.col("src"), alt=F.col("alt"), href=F.col("href"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"])
-    # array_sort compares positions first, which are distinct
-    by_page = _blocks(spark, sf_dir).groupBy("page_id", "url").agg(listed.alias("blocks"))
     title = X.normalize_text(X.decoded(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    titles = _table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.lit("Web Clip")).alias("title"))
-    return by_page.join(titles, "page_id")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.nullif(title, F.lit("")), F.lit("Web Clip")).alias("title"), "html")
+    areas = B.page_areas(pages).where("blocks is not null")
+    block = lambda b: _struct(type=b["type"], text=b["text"], level=b["level"], src=b["src"], alt=b["alt"], href=b["href"])
+    return areas.select("page_id", "url", "title", F.transform("blocks", block).alias("blocks"))
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +115,10 @@ def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", X.normalize_text(F.col("line")).alias("line")).where("line <> ''")
-    return lines.groupBy("doc_id", "line").agg(F.min("pos").alias("pos")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("lines_md5")
-    )
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.normalize_text)
+    distinct = F.array_distinct(F.filter(lines, lambda line: line != ""))
+    kept = _table(spark, sf_dir, "documents").select("doc_id", distinct.alias("lines")).where(F.size("lines") > 0)
+    return kept.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
 
 
 def doc_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,16 +126,7 @@ def doc_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pieces of each text that share up to 30 characters, joined."""
-    size = F.length("text")
-    left = F.substring(F.col("text"), F.lit(1), F.floor(size / 2).cast("int") + (F.col("doc_id") % 31).cast("int"))
-    right = F.substring(F.col("text"), F.floor(size / 2).cast("int") + 1, size)
-    pieces = _table(spark, sf_dir, "documents").select("doc_id", F.substring(left, -200, 200).alias("l"), F.substring(right, 1, 200).alias("r"))
-    return pieces.select("doc_id", X.overlap_merge(F.col("l"), F.col("r")).alias("merged"))
-
-
-def line_overlap_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole halves of each text, which share up to 30 characters, joined. line_overlap_merge has 200 characters of each."""
+    """The whole halves of each text, which share up to 30 characters, joined."""
     half = F.floor(F.length("text") / 2).cast("int")
     left = F.substring(F.col("text"), F.lit(1), half + (F.col("doc_id") % 31).cast("int"))
     right = F.substring(F.col("text"), half + 1, F.length("text"))
@@ -164,8 +152,11 @@ def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("n_items").alias("most_items"), F.max(F.when(F.col("n_items") > 1, F.col("text"))).alias("list_text"))
 
 
-def _words(limit: int) -> Column:
-    return F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]+"), lambda w: w != ""), 1, limit)
+def _word_rows(per_row: Column) -> Column:
+    """The words of each whole text in rows of so many: each row's words with what parts them. One row after another is taken
+    from the text, since a slice of all words for each row would be quadratic."""
+    more = (per_row - 1).cast("string")
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.concat(F.lit(r"(?:[^ \n]+[ \n]+){0,"), more, F.lit(r"}[^ \n]+")), F.lit(0))
 
 
 def _cell_image() -> Column:
@@ -174,29 +165,18 @@ def _cell_image() -> Column:
 
 
 def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each text in rows of one to four, with a picture in a cell beyond the first row's end."""
-    words = _words(12)
-    per_row = (F.col("doc_id") % 4 + 1).cast("int")
-    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / per_row) - 1, F.lit(0)).cast("int")), lambda r: F.slice(words, r * per_row + 1, per_row))
-    rows = F.transform(rows, lambda r: F.transform(r, lambda w: F.concat(w, F.lit("|"))))
-    return _table(spark, sf_dir, "documents").select("doc_id", table_markdown(rows, F.array(_cell_image())).alias("markdown"))
-
-
-def table_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of each text in rows of one to four, with the picture. table_render has the first 12 words."""
-    more = (F.col("doc_id") % 4).cast("string")
-    # a row at a time from the text: a slice of all words for each row would be quadratic
-    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.concat(F.lit(r"(?:[^ \n]+[ \n]+){0,"), more, F.lit(r"}[^ \n]+")), F.lit(0))
-    rows = F.transform(pieces, lambda p: F.transform(F.split(p, r"[ \n]+"), lambda w: F.concat(w, F.lit("|"))))
+    """All words of each text in rows of one to four, with a picture in a cell beyond the first row's end."""
+    rows = F.transform(_word_rows(F.col("doc_id") % 4 + 1), lambda p: F.transform(F.split(p, r"[ \n]+"), lambda w: F.concat(w, F.lit("|"))))
     return _table(spark, sf_dir, "documents").select("doc_id", table_markdown(rows, F.array(_cell_image())).alias("markdown"))
 
 
 def cell_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each whole text in rows of three, the last one padded."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]+"), lambda w: w != "")
-    cells = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("at", "word"))
-    rows = cells.groupBy("doc_id", F.floor(F.col("at") / 3).alias("row")).agg(F.min(F.when(F.col("at") % 3 == 0, F.col("word"))).alias("c0"), F.coalesce(F.min(F.when(F.col("at") % 3 == 1, F.col("word"))), F.lit("")).alias("c1"), F.coalesce(F.min(F.when(F.col("at") % 3 == 2, F.col("word"))), F.lit("")).alias("c2"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("c2") == "").alias("n_short"), F.max_by(F.concat_ws(" ", "c0", "c1", "c2"), "row").alias("last_row"))
+    rows = F.transform(_word_rows(F.lit(3)), lambda p: F.split(p, r"[ \n]+"))
+    filled = _table(spark, sf_dir, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0)
+    last = F.element_at("rows", -1)
+    padded = F.concat(last, F.array_repeat(F.lit(""), F.lit(3) - F.size(last)))
+    return filled.select("doc_id", F.size("rows").cast("long").alias("n_rows"), F.size(F.filter("rows", lambda r: F.size(r) < 3)).cast("long").alias("n_short"), F.array_join(padded, " ").alias("last_row"))
 
 
 _SIGNATURES = ("FFD8FF", "89504E470D0A1A0A", "474946383961", "524946460000000057454250", "00000018667479700000000061766966", "0000001866747970", "00")
@@ -211,9 +191,9 @@ def image_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fifo_media_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as pictures of users' pages; every third request failed."""
+    """Events as pictures of users' pages; every third request failed, and errors were not answered."""
     uses = _table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), "event_id", F.col("event_type").alias("src"))
-    results = uses.select("page_id", "src", F.col("event_id").alias("idx"), (F.col("event_id") % 3 != 0).alias("ok"), M.image_name(F.col("event_id"), F.lit("png")).alias("file_name")).where("idx % 5 <> 0")
+    results = uses.select("page_id", "src", F.col("event_id").alias("idx"), (F.col("event_id") % 3 != 0).alias("ok"), M.image_name(F.col("event_id"), F.lit("png")).alias("file_name")).where("src <> 'error'")
     out = media_ops.rewrite(uses, results, "event_id")
     return out.select("page_id", "event_id", F.coalesce(F.concat(F.lit("./a.assets/"), "local"), F.col("src")).alias("src"))
 
@@ -239,21 +219,29 @@ def crc32_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_sink.with_offsets(_entries(spark, sf_dir)).select("archive_id", "seq", "crc")
 
 
-def zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each page with its Markdown."""
+def _page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     names = X.export_names(F.concat_ws(" ", "page_id", "title"), F.lit(CAPTURED).cast("timestamp"))
     text = document_markdown(F.col("title"), F.col("url"), X.captured_at(F.lit(CAPTURED).cast("timestamp")), F.col("blocks"))
-    entries = docs.where(M.has_content(F.col("blocks"))).select("page_id", names.alias("n"), text.alias("data")).select(F.col("page_id").alias("archive_id"), F.lit(0).alias("seq"), F.concat_ws("/", "n.folder_name", "n.markdown_name").alias("path"), "data")
-    return zip_sink.zip_archives(entries).select(F.col("archive_id").alias("page_id"), "n_entries", "n_bytes", F.sha2("bytes", 256).alias("bytes_sha256"))
+    return docs.where(M.has_content(F.col("blocks"))).select("page_id", names.alias("n"), text.alias("data")).select(F.col("page_id").alias("archive_id"), F.lit(0).alias("seq"), F.concat_ws("/", "n.folder_name", "n.markdown_name").alias("path"), "data")
+
+
+def zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each page with its Markdown."""
+    return zip_sink.zip_archives(_page_entries(spark, sf_dir)).select(F.col("archive_id").alias("page_id"), "n_entries", "n_bytes", F.sha2("bytes", 256).alias("bytes_sha256"))
 
 
 def coverage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each article's text its blocks have."""
-    nodes = B.page_nodes(_table(spark, sf_dir, "pages"))
-    source = nodes.where(F.col("tag").isin("h1", "p")).where(F.exists("anc", lambda a: a["tag"] == "article")).groupBy("page_id").agg(F.sum(X.utf16_length(X.normalize_text(F.col("text")))).alias("source_chars"))
-    exported = _blocks(spark, sf_dir).groupBy("page_id").agg(F.sum(X.utf16_length(F.col("text"))).alias("exported_chars"), F.count_if(F.col("type") == "image").alias("images"))
-    both = source.join(exported, "page_id", "left").select("page_id", "source_chars", F.coalesce("exported_chars", F.lit(0)).alias("exported_chars"), F.coalesce("images", F.lit(0)).alias("images"))
+    areas = B.page_areas(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_nodes=True)
+    units = lambda text: X.utf16_length(X.normalize_text(text)).cast("long")
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, b: a + b)
+    articles = F.filter("nodes", lambda n: n["tag"] == "article")
+    told = F.filter("nodes", lambda n: n["tag"].isin("h1", "p") & F.exists(articles, lambda a: (a["pre"] < n["pre"]) & (n["pre"] <= a["last"])))
+    both = areas.select("page_id", F.transform(told, lambda n: units(n["text"])).alias("told"), F.coalesce("blocks", F.array().cast(dict(areas.dtypes)["blocks"])).alias("blocks")).where(F.size("told") > 0).select(
+        "page_id", total(F.col("told")).alias("source_chars"), total(F.transform("blocks", lambda b: F.coalesce(X.utf16_length(b["text"]), F.lit(0)).cast("long"))).alias("exported_chars"),
+        F.size(F.filter("blocks", lambda b: b["type"] == "image")).cast("long").alias("images"),
+    )
     percent = F.when(F.col("source_chars") == 0, 100).otherwise(F.round(100 * F.col("exported_chars") / F.col("source_chars"))).cast("long")
     return both.withColumn("percent", percent).withColumn("warn", (F.col("source_chars") >= 80) & (F.col("percent") < 70))
 
@@ -266,7 +254,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rounds of users' pages: each shows one paragraph with the event's kind and hour."""
     schema = _table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a stream takes a folder, or a pattern: this one is met by a file as by a folder of part files
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     block = F.to_json(F.array(F.struct(F.lit("paragraph").alias("type"), F.concat_ws(" ", "event_type", F.hour("ts")).alias("text"))))
     rounds = stream.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("round"), block.alias("blocks"), F.lit(True).alias("moved"), F.lit(0.0).alias("scroll_top"), F.lit(0.0).alias("max_scroll_top"))
     out, marks = shared_path(spark, "collected"), shared_path(spark, "collector")
@@ -286,7 +275,7 @@ def doc_plain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_html(text: Column) -> Column:
     out = text
-    for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(mark), F.lit(code))
     return out
 
@@ -303,6 +292,66 @@ def _family_pages(spark: SparkSession, sf_dir: str, url: str, head: str, tail: s
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(url).alias("url"), html.alias("html"))
 
 
+#: A generic page's kinds of blocks, in turn.
+_RICH = (
+    "<h3>%s</h3>", "<p>%s</p>", "<ul><li>%s</li></ul>", "<blockquote>%s</blockquote>", "<pre>%s</pre>", '<img src="/i/%n.png" alt="%s">', '<video src="v/%n.mp4" title="Clip %n"></video>', '<a href="?n=%n">%s</a>',
+)
+
+
+def _rich_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _family_pages(spark, sf_dir, "https://www.example.com/docs/page", "<html><body><nav><a href=x>menu</a></nav><article>", '<p style="display: none">unseen</p></article></body></html>', _RICH)
+    return B.page_areas(pages)
+
+
+def rich_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with blocks of all kinds that a generic page may have."""
+    found = _rich_areas(spark, sf_dir).select("page_id", F.posexplode("blocks").alias("at", "b"))
+    return found.select("page_id", (F.col("at") + 1).alias("pos"), "b.*")
+
+
+def rich_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda b: _struct(type=b["type"], text=b["text"], level=b["level"], src=b["src"], alt=b["alt"], href=b["href"])
+    areas = _rich_areas(spark, sf_dir).where("blocks is not null")
+    made = document_markdown(F.lit("Rich page"), F.col("url"), X.captured_at(F.lit(CAPTURED).cast("timestamp")), F.transform("blocks", block))
+    return areas.select("page_id", F.md5(made).alias("markdown_md5"), F.length(made).alias("n_chars"))
+
+
+def _media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page with pictures and a video, some at addresses that are refused."""
+    d = F.col("doc_id").cast("string")
+    sources = (F.concat(F.lit("/m/"), d, F.lit(".png")), F.lit("http://10.0.0.1/x.png"), F.lit("ftp://e.com/a.png"), F.concat(F.lit("/m/"), d, F.lit(".gif")), F.concat(F.lit("m/"), d, F.lit(".png?again")))
+    pictures = [_struct(type=F.lit("image"), src=src, alt=F.col("source")) for src in sources]
+    blocks = F.array(_struct(type=F.lit("paragraph"), text=F.col("text")), *pictures, _struct(type=F.lit("video"), src=F.concat(F.lit("/m/"), d, F.lit(".mp4")), text=F.lit("Clip")))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://m.example.com/p").alias("url"), F.concat(F.lit("Doc "), d).alias("title"), blocks.alias("blocks"))
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was answered for each document's media: files that start as they should or don't, errors and other types."""
+    n = F.col("doc_id")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    made = lambda end, kind, start: F.struct(F.lit(end).alias("end"), kind.alias("content_type"), F.concat(F.unhex(start), text).alias("data"))
+    files = F.array(
+        made(".png", F.lit("image/png"), F.lit("89504E470D0A1A0A")),
+        made(".gif", F.when(n % 4 == 0, F.lit("text/html")).otherwise(F.lit("Image/GIF; q=1")), F.when(n % 3 == 0, F.lit("00")).otherwise(F.lit("474946383961"))),
+        made(".mp4", F.lit("video/mp4; codecs=x"), F.when(n % 7 == 0, F.lit("00")).otherwise(F.lit("00000018667479706D703432"))),
+    )
+    rows = _table(spark, sf_dir, "documents").select(n, F.explode(files).alias("f"))
+    return rows.select(F.concat(F.lit("https://m.example.com/m/"), n.cast("string"), "f.end").alias("url"), F.when(n % 5 == 0, 404).otherwise(200).alias("status"), "f.content_type", "f.data")
+
+
+def media_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each picture and video: refused, not answered, not what it should be, or a file of the export."""
+    found = media_ops.localize(media_ops.media_list(_media_documents(spark, sf_dir)), _responses(spark, sf_dir))
+    return found.select("page_id", "kind", "idx", "src", "ok", "reason", "file_name", F.md5("data").alias("data_md5"))
+
+
+def export_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each document's page with its Markdown, whose media have local addresses, and the media."""
+    entries = export.export_entries(_media_documents(spark, sf_dir), _responses(spark, sf_dir), F.lit(CAPTURED).cast("timestamp"))
+    packed = zip_sink.zip_archives(entries, "page_id")
+    return packed.select("page_id", "n_entries", "n_bytes", F.sha2("bytes", 256).alias("bytes_sha256"))
+
+
 def feishu_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = '<div class="zone-container" data-slate-editor="true"><div class="ace-line">%s</div></div>'
     forms = tuple(f'<div class="block docx-{kind}-block" data-block-id="%n">{line}</div>' for kind in ("text", "bullet", "heading2", "ordered"))
@@ -324,7 +373,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
-        doc_filename, line_overlap_merge, line_overlap_merge_whole, fragment_merge, ordered_snapshot_merge, list_islands, table_render, table_render_whole, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
-        crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream,
+        doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
+        crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
+        media_localized, export_archives,
     )
 }
+# the names under which the queries over whole texts were registered first
+QUERIES |= {"line_overlap_merge_whole": line_overlap_merge, "table_render_whole": table_render}

@@ -70,6 +70,20 @@ _HOST = """case event_id % 7 when 0 then (event_id % 256) || '.' || (user_id % 2
 _LINES = f"""l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
 n as (select page_id, i, i % 4 as k, {_normal("line")} as md, {_normal("regexp_replace(line, '[*~]+', '', 'g')")} as text from l)"""
 
+_CODE = f"regexp_replace(regexp_replace(line, '{INVISIBLE}', '', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')"
+_RICH = f"""l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+k as (select page_id, i, i % 8 as k, line, {_normal("line")} as t, 'https://www.example.com/docs/page?n=' || (i + 1) as link from l),
+f as (select page_id, i, ['heading', 'paragraph', 'listItem', 'quote', 'code', 'image', 'video', 'link'][k + 1] as type, case when k = 0 then 3 end as level,
+  case k when 4 then {_CODE} when 5 then null when 6 then 'Clip ' || (i + 1) when 7 then coalesce(nullif(t, ''), link) else t end as text,
+  case k when 5 then 'https://www.example.com/i/' || (i + 1) || '.png' when 6 then 'https://www.example.com/docs/v/' || (i + 1) || '.mp4' end as src, case when k = 5 then t end as alt, case when k = 7 then link end as href from k),
+g as (select * from f where src is not null or text <> '' qualify row_number() over (partition by page_id, type, level, text, src, alt, href order by i) = 1),
+r as (select *, row_number() over (partition by page_id order by i) as pos from (select * from g qualify sum(length(coalesce(nullif(text, ''), alt)) + 20 + case when type in ('image', 'video') then 30 else 0 end) over (partition by page_id) > 120))"""
+
+
+def _label(expr: str) -> str:
+    return rf"regexp_replace({expr}, '([\\\[\]])', '\\\1', 'g')"
+
+
 ORACLES = {
     "doc_plain_lists": """with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as x from documents)
 select doc_id, md5(array_to_string(list_transform(x, lambda y: '- ' || rtrim(replace(replace(ltrim(y), chr(160), ' '), '****', ''))), chr(10))) as list_md5, len(x)::int as n_lines from l""",
@@ -106,8 +120,8 @@ select event_id, why is null as ok, 'unsafe image URL: ' || why as reason, case
 n as (select doc_id, min(pos) as pos, line from (select doc_id, pos, {_normal('line')} as line from l) where line <> '' group by doc_id, line)
 select doc_id, count(*) as n_lines, md5(string_agg(line, chr(10) order by pos)) as lines_md5 from n group by doc_id""",
     "doc_filename": f"select doc_id, {_name('text', 120, False)} as file_name, {_name('text', 80, True)} as title_name from documents",
-    "line_overlap_merge": f"""with p as (select doc_id, length(text) as n, left(text, (length(text) // 2 + doc_id % 31)::bigint) as l0, substr(text, length(text) // 2 + 1, 200) as r0 from documents),
-q as (select doc_id, {_normal('right(l0, 200)')} as l, {_normal('r0')} as r from p),
+    "line_overlap_merge": f"""with p as (select doc_id, left(text, (length(text) // 2 + doc_id % 31)::bigint) as l0, substr(text, length(text) // 2 + 1) as r0 from documents),
+q as (select doc_id, {_normal('l0')} as l, {_normal('r0')} as r from p),
 s as (select doc_id, l, r, list_max(list_filter(range(12, least(length(l), length(r)) + 1), lambda k: right(l, k) = left(r, k))) as k from q)
 select doc_id, case when k is not null then l || substr(r, k + 1) end as merged from s""",
     "list_islands": f"""with l as (select page_id, unnest(range(1, len(x) + 1)) as n, unnest(x) as tag from (select page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') as x from pages)),
@@ -118,7 +132,7 @@ o as (select page_id, case when piece like '<h1>%' then 'heading' else 'paragrap
 r as (select page_id, 'paragraph' as type, count(*) as n_items, string_agg('- ' || text, chr(10) order by n) as list_text from i where text <> '' group by page_id),
 u as (select page_id, type, 1 as n_items, null as list_text from o union all select page_id, type, n_items, list_text from r)
 select page_id, type, count(*) as n_blocks, max(n_items)::int as most_items, max(list_text) as list_text from u group by page_id, type""",
-    "table_render": rf"""with w as (select doc_id, {_WORDS}[1:12] as w, (doc_id % 4 + 1)::int as k from documents),
+    "table_render": rf"""with w as (select doc_id, {_WORDS} as w, (doc_id % 4 + 1)::int as k from documents),
 x as (select doc_id, k, len(w) as n, list_transform(w, lambda v: replace(v, '|', '\|') || '\|') as w from w),
 g as (select doc_id, k, list_transform(range(0, greatest(ceil(n / k)::int, 1)), lambda r: list_resize(w[r * k + 1 : r * k + k], 5, '')) as rows, n from x),
 h as (select doc_id, n, rows, rows[1][1:4] || ['![a\[b\]](i%20%28' || doc_id || '%29.png)'] as head from g)
@@ -129,7 +143,7 @@ select doc_id, count(*) as n_rows, count(*) filter (c2 = '') as n_short, max_by(
     "image_signature": "select doc_id, case doc_id % 7 when 0 then 'jpeg' when 1 then 'png' when 2 then 'gif' when 3 then 'webp' when 4 then 'avif' when 5 then case when strlen(text) >= 4 then 'mp4' else 'none' end else 'none' end as kind from documents",
     "fifo_media_rewrite": """with u as (select user_id as page_id, event_id, event_type as src, row_number() over (partition by user_id, event_type order by event_id) as nth from events),
 r as (select user_id as page_id, event_type as src, event_id % 3 <> 0 as ok, 'image-' || case when event_id + 1 < 1000 then lpad((event_id + 1)::varchar, 3, '0') else (event_id + 1)::varchar end || '.png' as file_name,
-  row_number() over (partition by user_id, event_type order by event_id) as nth from events where event_id % 5 <> 0)
+  row_number() over (partition by user_id, event_type order by event_id) as nth from events where event_type <> 'error')
 select page_id, event_id, case when ok then './a.assets/' || file_name else src end as src from u left join r using (page_id, src, nth)""",
     "zip_offsets": _OFFSETS,
     "zip_path_safety": r"""with p as (select doc_id, case doc_id % 8 when 0 then source || '/' || doc_id when 1 then '/' || source || '/' || doc_id when 2 then source || '//' || doc_id when 3 then '../' || source || '/' || doc_id
@@ -149,3 +163,21 @@ z as (select page_id, min(case when r > 4 and lately = 0 then r end) as stop fro
 k as (select q.page_id, stop, r, fresh from q join z using (page_id) where stop is null or r <= stop)
 select page_id, max(r)::int as rounds, count(*) filter (fresh)::int as n_blocks, (max(r) - max(case when fresh then r end))::int as idle, case when max(stop) is null then 'running' else 'idle' end as status from k group by page_id""",
 }
+ORACLES |= {
+    "rich_page_blocks": f"with {_RICH} select page_id, pos, type, level, text, src, alt, href from r",
+    "rich_page_markdown": f"""with {_RICH},
+c as (select *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))) as fence from r),
+m as (select page_id, pos, case type when 'heading' then '### ' || text when 'listItem' then '- ' || text when 'quote' then '> ' || text when 'code' then fence || chr(10) || text || chr(10) || fence
+  when 'image' then '![' || {_label("alt")} || '](' || src || ')' when 'video' then '[' || text || '](' || src || ')' when 'link' then '[' || {_label("text")} || '](' || href || ')' else text end as md from c),
+w as (select page_id, '# Rich page' || chr(10) || chr(10) || 'Source: https://www.example.com/docs/page' || chr(10) || 'Captured: 2024-05-06 07:08' || chr(10) || chr(10) || string_agg(md, chr(10) || chr(10) order by pos) || chr(10) as t from m group by page_id)
+select page_id, md5(t) as markdown_md5, length(t)::int as n_chars from w""",
+    "media_localized": """with u as (select doc_id as page_id, doc_id as n, coalesce(text, '') as text, unnest(['image', 'image', 'image', 'image', 'image', 'video']) as kind, unnest([0, 1, 2, 3, 4, 0]) as idx,
+  unnest(['/m/' || doc_id || '.png', 'http://10.0.0.1/x.png', 'ftp://e.com/a.png', '/m/' || doc_id || '.gif', 'm/' || doc_id || '.png?again', '/m/' || doc_id || '.mp4']) as src from documents),
+v as (select *, case when kind = 'image' and idx = 1 then 'unsafe image URL: local or private destination' when kind = 'image' and idx = 2 then 'unsafe image URL: unsupported protocol' when kind = 'image' and idx = 4 then 'not found'
+  when n % 5 = 0 then 'status=404' when kind = 'image' and idx = 3 and n % 4 = 0 then 'unexpected content-type=text/html' when kind = 'image' and idx = 3 and n % 3 = 0 then 'image signature mismatch expected=gif'
+  when kind = 'video' and n % 7 = 0 then 'video signature mismatch expected=mp4' end as reason,
+  case when kind = 'video' then '00000018667479706D703432' when idx = 3 then '474946383961' else '89504E470D0A1A0A' end as start from u)
+select page_id, kind, idx::int as idx, src, reason is null as ok, reason, case when reason is null then case when kind = 'video' then 'video-001.mp4' when idx = 3 then 'image-004.gif' else 'image-001.png' end end as file_name,
+       case when reason is null then md5(unhex(start) || encode(text)) end as data_md5 from v""",
+}
+ORACLES |= {"line_overlap_merge_whole": ORACLES["line_overlap_merge"], "table_render_whole": ORACLES["table_render"]}

@@ -7,14 +7,14 @@ document: ATX headings, `-` bullets, fenced code, inline links, tables with the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..operators.merge import squeeze
-from .html_marks import Marks
+from .html_marks import Marks, unrolled
 
 # What isn't content, and what hides an element.
 NOISE = frozenset("qr_code_pc reward_area rich_media_tool code-snippet__line-index".split())
@@ -46,7 +46,7 @@ class Page(Marks):
         return hidden or empty or bool(NOISE.intersection(self.classes(node)))
 
     def _below(self, node: int, tag: str) -> list[int]:
-        return [x for c in self.children[node] for x in ([c] if self.tags[c] == tag else []) + self._below(c, tag)]
+        return [i for i in range(node + 1, self.last[node] + 1) if self.tags[i] == tag]
 
     def contents(self, node: int) -> Iterator[str | int]:
         at = self.ranges[node][0]
@@ -60,6 +60,9 @@ class Page(Marks):
 
     def flow(self, node: int, cell: bool = False) -> str:
         """Markdown of what stands in lines; in a cell blocks and breaks are spaces."""
+        return unrolled(self._flow(node, cell))
+
+    def _flow(self, node: int, cell: bool) -> Generator:
         out = ""
         for part in self.contents(node):
             if isinstance(part, str):
@@ -73,7 +76,7 @@ class Page(Marks):
             elif tag == "code":
                 out += f"`{self.text(part)}`" if self.text(part).strip() else ""
             else:
-                inner = self.flow(part, cell)
+                inner = yield self._flow(part, cell)
                 bare = inner.strip()
                 if tag == "a" and bare and self.attrs[part].get("href"):
                     inner = inner.replace(bare, f"[{bare}]({self.attrs[part]['href']})", 1)
@@ -83,6 +86,9 @@ class Page(Marks):
         return out
 
     def blocks(self, node: int) -> list[str]:
+        return unrolled(self._blocks(node))
+
+    def _blocks(self, node: int) -> Generator:
         out, line = [], ""
 
         def close() -> None:
@@ -99,7 +105,7 @@ class Page(Marks):
                 line += self._single(part)
             else:
                 close()
-                out += self.block(part)
+                out += yield self._block(part)
         close()
         return out
 
@@ -114,9 +120,9 @@ class Page(Marks):
             self.ranges.pop()
 
     def _holds_blocks(self, node: int) -> bool:
-        return any(self.tags[c] not in FLOWING and self.tags[c] not in ("br", "img") or self._holds_blocks(c) for c in self.children[node])
+        return any(self.tags[i] not in FLOWING and self.tags[i] not in ("br", "img") for i in range(node + 1, self.last[node] + 1))
 
-    def block(self, node: int) -> list[str]:
+    def _block(self, node: int) -> Generator:
         tag = self.tags[node]
         if "code-snippet__fix" in self.classes(node) or tag == "pre":
             return self._code(node)
@@ -126,7 +132,7 @@ class Page(Marks):
         if tag == "hr":
             return ["---"]
         if tag == "blockquote":
-            inner = "\n\n".join(self.blocks(node))
+            inner = "\n\n".join((yield self._blocks(node)))
             return ["\n".join(f"> {x}".rstrip() for x in inner.split("\n"))] if inner else []
         if tag in ("ul", "ol"):
             start = self.attrs[node].get("start", "1")
@@ -134,7 +140,7 @@ class Page(Marks):
             lines = []
             for item in (c for c in self.children[node] if self.tags[c] == "li" and not self.gone(c)):
                 mark = "- " if tag == "ul" else f"{number + len(lines)}. "
-                inner = self.blocks(item)
+                inner = yield self._blocks(item)
                 joined = "\n".join(inner) if len(inner) < 2 or all(re.match(r"(?:- |\d+\. )", x) for x in inner[1:]) else "\n\n".join(inner)
                 lines.append(mark + joined.replace("\n", "\n    "))
             return ["\n".join(lines)] if lines else []
@@ -146,7 +152,7 @@ class Page(Marks):
             width = max(map(len, rows))
             rows = [r + [""] * (width - len(r)) for r in rows]
             return ["\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * width, *rows[1:]])]
-        return self.blocks(node)
+        return (yield self._blocks(node))
 
     def _code(self, node: int) -> list[str]:
         pre = node if self.tags[node] == "pre" else next(iter(self._below(node, "pre")), node)
@@ -162,16 +168,18 @@ class Page(Marks):
         return [f"{fence}{language}\n{code}\n{fence}"]
 
     def source_text(self, node: int) -> str:
-        parts = [p if isinstance(p, str) else "\n" if self.tags[p] == "br" else self.source_text(p) for p in self.contents(node)]
+        return unrolled(self._source_text(node))
+
+    def _source_text(self, node: int) -> Generator:
+        parts = []
+        for p in self.contents(node):
+            parts.append(p if isinstance(p, str) else "\n" if self.tags[p] == "br" else (yield self._source_text(p)))
         return " ".join(parts)
 
 
 def page_markdown(html: str | None) -> tuple[str, str, int, int] | None:
     page = Page()
-    page.feed(html or "")
-    page.close()
-    for node in page.open:
-        page.ranges[node][1] = len(page.pieces)
+    page.finish(html)
     root = next((i for i, a in enumerate(page.attrs) if a.get("id") == "js_content"), None)
     if root is None:
         return None

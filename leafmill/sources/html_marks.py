@@ -7,7 +7,7 @@ belongs to which block, in which order, is decided by Spark.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,37 +39,70 @@ def _marked(text: str, mark: str, tight: bool) -> str:
     return text.replace(bare, f"{mark}{bare}{mark}", 1) if bare else text
 
 
+def unrolled(call: Generator):
+    """What a generator returns that yields the calls it waits for, as these do in turn: recursion without the interpreter's
+    stack, for pages that nest deeply."""
+    stack, result = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
 class Marks(_Tree):
     """tight: the rules of pages whose styles are also classes, with white space outside of marks."""
 
+    styles = False
+
     def __init__(self, tight: bool) -> None:
         super().__init__()
         self.tight = tight
+        self.marked: tuple[list[str], list[str]] | None = None
         self.skipped = {"bullet-dot"} if tight else {"ignore-dom"}
         self.media = {"img", "svg", "button", *(("video", "audio", "source") if tight else ())}
 
     def classes(self, node: int) -> list[str]:
         return self.attrs[node].get("class", "").split()
 
+    def finish(self, html: str | None) -> None:
+        super().finish(html)
+        self.last = self.lasts()
+
     def inside(self, node: int) -> str:
         """The inline Markdown of an element's contents."""
-        parts, at = [], self.ranges[node][0]
-        for child in self.children[node]:
-            start, end = self.ranges[child]
-            parts += [*self.pieces[at:start], self.inline(child)]
-            at = end
-        parts += self.pieces[at : self.ranges[node][1]]
-        return _HIDDEN_CHARACTERS.sub("", "".join(parts))
+        return self._all()[0][node]
 
     def inline(self, node: int) -> str:
+        return self._all()[1][node]
+
+    def _all(self) -> tuple[list[str], list[str]]:
+        """inside and inline of all elements, the innermost first, each worked out once."""
+        if self.marked is None:
+            n = len(self.tags)
+            inside, inline = [""] * n, [""] * n
+            for node in range(n - 1, -1, -1):
+                parts, at = [], self.ranges[node][0]
+                for child in self.children[node]:
+                    start, end = self.ranges[child]
+                    parts += self.pieces[at:start]
+                    parts.append(inline[child])
+                    at = end
+                parts += self.pieces[at : self.ranges[node][1]]
+                inside[node] = _HIDDEN_CHARACTERS.sub("", "".join(parts))
+                inline[node] = self._dressed(node, inside[node])
+            self.marked = inside, inline
+        return self.marked
+
+    def _dressed(self, node: int, text: str) -> str:
         tag, attrs = self.tags[node], self.attrs[node]
         names = set(self.classes(node))
         if tag == "br":
             return "<br>"
-        if tag in self.media or names & self.skipped:
-            return ""
-        text = self.inside(node)
-        if not text:
+        if tag in self.media or names & self.skipped or not text:
             return ""
         if tag == "a" and attrs.get("href"):
             return f"[{_label(squeeze(text))}]({attrs['href'].strip().replace('(', '%28').replace(')', '%29')})"
@@ -82,10 +115,7 @@ class Marks(_Tree):
     def rows(self, wanted: frozenset[str]) -> list[tuple]:
         """A row for each element; those of the wanted classes, and table cells, with inline Markdown and plain content."""
         n = len(self.tags)
-        last, lines, out = list(range(n)), [()] * n, []
-        for i in range(n - 1, -1, -1):
-            if self.parents[i] >= 0:
-                last[self.parents[i]] = max(last[self.parents[i]], last[i])
+        last, lines, out = self.last, [()] * n, []
         for i in range(n):
             p, names = self.parents[i], self.classes(i)
             if p >= 0:
@@ -97,10 +127,7 @@ class Marks(_Tree):
 
 def mark_rows(html: str | None, wanted: frozenset[str], tight: bool) -> list[tuple]:
     tree = Marks(tight)
-    tree.feed(html or "")
-    tree.close()
-    for node in tree.open:
-        tree.ranges[node][1] = len(tree.pieces)
+    tree.finish(html)
     return tree.rows(wanted)
 
 
@@ -148,7 +175,12 @@ class Units(Marks):
         self.item, self.zones = item, zones
 
     def parts(self, node: int) -> Iterator[tuple[str, str | None, int | None]]:
-        for child in self.children[node]:
+        waiting = [iter(self.children[node])]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+                continue
             names, tag = set(self.classes(child)), self.tags[child]
             if self.item in names:
                 yield "item", None, child
@@ -159,7 +191,7 @@ class Units(Marks):
             elif names & self.zones:
                 yield from self._line(child)
             elif self._any_below(child, lambda i: self.tags[i] == "img" or bool({self.item, *self.zones}.intersection(self.classes(i)))):
-                yield from self.parts(child)
+                waiting.append(iter(self.children[child]))
             else:
                 yield "text", self.inline(child), None
 
@@ -176,23 +208,34 @@ class Units(Marks):
         yield "text", text, None
 
     def _leaves(self, node: int) -> Iterator[tuple[str, str | int]]:
+        waiting = [self._near(node)]
+        while waiting:
+            part = next(waiting[-1], None)
+            if part is None:
+                waiting.pop()
+            elif isinstance(part, str):
+                yield "text", part
+            elif self.tags[part] == "img":
+                yield "image", part
+            elif self.tags[part] in self.media or self.skipped.intersection(self.classes(part)):
+                continue
+            elif self._any_below(part, lambda i: self.tags[i] == "img"):
+                waiting.append(self._near(part))
+            else:
+                yield "text", self.inline(part)
+
+    def _near(self, node: int) -> Iterator[str | int]:
+        """The pieces and elements directly in an element."""
         at = self.ranges[node][0]
         for child in self.children[node]:
             start, end = self.ranges[child]
-            yield from (("text", p) for p in self.pieces[at:start])
+            yield from self.pieces[at:start]
             at = end
-            if self.tags[child] == "img":
-                yield "image", child
-            elif self.tags[child] in self.media or self.skipped.intersection(self.classes(child)):
-                continue
-            elif self._any_below(child, lambda i: self.tags[i] == "img"):
-                yield from self._leaves(child)
-            else:
-                yield "text", self.inline(child)
-        yield from (("text", p) for p in self.pieces[at : self.ranges[node][1]])
+            yield child
+        yield from self.pieces[at : self.ranges[node][1]]
 
-    def _any_below(self, node: int, test) -> bool:
-        return any(test(c) or self._any_below(c, test) for c in self.children[node])
+    def _any_below(self, node: int, test: Callable[[int], bool]) -> bool:
+        return any(map(test, range(node + 1, self.last[node] + 1)))
 
 
 def units(pages: DataFrame, item: str, zones: frozenset[str], roots: str, html_col: str = "html") -> DataFrame:
@@ -203,10 +246,7 @@ def units(pages: DataFrame, item: str, zones: frozenset[str], roots: str, html_c
             ids = batch.column(batch.schema.get_field_index("page_id"))
             for i, html in enumerate(batch.column(batch.schema.get_field_index(html_col)).to_pylist()):
                 tree = Units(item, zones)
-                tree.feed(html or "")
-                tree.close()
-                for node in tree.open:
-                    tree.ranges[node][1] = len(tree.pieces)
+                tree.finish(html)
                 rows = [(n, at, *p) for n in range(len(tree.tags)) if {item, roots}.intersection(tree.classes(n)) for at, p in enumerate(tree.parts(n))]
                 if rows:
                     kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())

@@ -1,16 +1,18 @@
-"""HTML as a table of element rows.
+"""HTML as elements: an array for each page, or a table of element rows.
 
 A small parser per page is all the Python there is: it numbers the elements in document order and notes for each what is
-below it. Which elements make blocks, which area is the content, and what is repeated are decided by Spark on these rows.
+below and around it. Which elements make blocks, which area is the content, and what is repeated are decided by Spark.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The elements that blocks are made of, and the areas that may hold the content, by preference.
@@ -32,18 +34,28 @@ ENDS_P = frozenset(
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body html".split())
 
-ANCESTOR = T.StructType([T.StructField("pre", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("leaf", T.BooleanType()), T.StructField("stop", T.BooleanType()), T.StructField("root", T.BooleanType())])
+# Styles that keep an element from being seen.
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
+OPACITY = re.compile(r"(?:^|;)\s*opacity\s*:\s*\+?(?:0*\.?0+|0+\.)%?\s*(?:;|!|$)", re.I)
+
+#: known_above: pre of the innermost element around that makes blocks of its own; leaf_above: pre of the innermost element
+#: around that is read whole, if none in between holds blocks. -1 where there is none.
 NODE_FIELDS = [
     T.StructField("pre", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("own_text", T.BooleanType()),
     T.StructField("block_below", T.BooleanType()), T.StructField("content_below", T.BooleanType()), T.StructField("visible", T.BooleanType()),
-    T.StructField("prefers", T.ArrayType(T.IntegerType())), T.StructField("anc", T.ArrayType(ANCESTOR)),
+    T.StructField("prefers", T.ArrayType(T.IntegerType())), T.StructField("known_above", T.IntegerType()), T.StructField("leaf_above", T.IntegerType()),
 ]
 NODES = T.StructType(NODE_FIELDS)
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.bool_()] * 4, pa.list_(pa.int32()), pa.int32(), pa.int32()]
 
 
 class _Tree(HTMLParser):
-    """Elements in document order, with the range of text pieces that each one has."""
+    """Elements in document order, with the range of text pieces that each one has. With styles, hidden elements' pieces are
+    left out of what is around them."""
+
+    styles = True
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -52,8 +64,13 @@ class _Tree(HTMLParser):
         self.parents: list[int] = []
         self.children: list[list[int]] = []
         self.pieces: list[str] = []
+        self.faded: list[int] = []  # of each piece, the innermost element around it that can't be seen, or -1
         self.ranges: list[list[int]] = []
         self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, its places among the open elements
+        self.undisplayed: list[bool] = []  # not displayed, nor is anything in it
+        self.unseen: list[bool] = []  # by its visibility, which what is in it inherits
+        self.dim: list[int] = []  # the innermost of an element and those around it that can't be seen, or -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
@@ -62,14 +79,26 @@ class _Tree(HTMLParser):
             self._end(other, SCOPE)
         node = len(self.tags)
         parent = self.open[-1] if self.open else -1
+        own = {k: v or "" for k, v in reversed(attrs)}
         self.tags.append(tag)
-        self.attrs.append({k: v or "" for k, v in reversed(attrs)})
+        self.attrs.append(own)
         self.parents.append(parent)
         self.children.append([])
         self.ranges.append([len(self.pieces), len(self.pieces)])
+        gone, unseen, dim = (self.undisplayed[parent], self.unseen[parent], self.dim[parent]) if parent >= 0 else (False, False, -1)
+        style = own.get("style", "") if self.styles else ""
+        gone = gone or tag in UNSEEN or (self.styles and "hidden" in own) or bool(style and NO_DISPLAY.search(style))
+        if style and (found := VISIBILITY.search(style)):
+            unseen = found[1].lower() != "visible"
+        if unseen or (style and OPACITY.search(style)):
+            dim = node
+        self.undisplayed.append(gone)
+        self.unseen.append(unseen)
+        self.dim.append(dim)
         if parent >= 0:
             self.children[parent].append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -79,22 +108,44 @@ class _Tree(HTMLParser):
         self._end(tag, {"td", "th", "table"} if tag in ("p", "li", "a", "b", "i", "span", "div") else set())
 
     def handle_data(self, data: str) -> None:
-        if not any(self.tags[i] in UNSEEN for i in self.open):
+        if not self.open or not self.undisplayed[self.open[-1]]:
             self.pieces.append(data)
+            self.faded.append(self.dim[self.open[-1]] if self.open else -1)
 
     def _end(self, tag: str, scope: frozenset[str] | set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.tags[self.open[k]]
-            if name == tag:
-                for node in self.open[k:]:
-                    self.ranges[node][1] = len(self.pieces)
-                del self.open[k:]
-                return
-            if name in scope:
-                return
+        """Close the innermost element of this tag, unless one of scope is open in it."""
+        own = self.places.get(tag)
+        if not own or any(at and at[-1] > own[-1] for at in map(self.places.get, scope)):
+            return
+        k = own[-1]
+        for node in self.open[k:]:
+            self.ranges[node][1] = len(self.pieces)
+            self.places[self.tags[node]].pop()
+        del self.open[k:]
+
+    def finish(self, html: str | None) -> None:
+        self.feed(html or "")
+        self.close()
+        for node in self.open:
+            self.ranges[node][1] = len(self.pieces)
+
+    def lasts(self) -> list[int]:
+        """The last element in each one."""
+        last = list(range(len(self.tags)))
+        for i in range(len(last) - 1, 0, -1):
+            p = self.parents[i]
+            if p >= 0:
+                last[p] = max(last[p], last[i])
+        return last
 
     def text(self, node: int) -> str:
-        return "".join(self.pieces[slice(*self.ranges[node])])
+        first, end = self.ranges[node]
+        return "".join(piece for piece, dim in zip(self.pieces[first:end], self.faded[first:end]) if dim <= node)
+
+    def shown(self, node: int) -> bool:
+        if self.tags[node] == "source" and self.parents[node] >= 0:
+            return self.shown(self.parents[node])
+        return not self.undisplayed[node] and self.dim[node] != node
 
 
 def _preferred(tag: str, attrs: dict[str, str]) -> list[int]:
@@ -117,63 +168,62 @@ def _squeezed(text: str) -> str:
 
 
 def node_rows(html: str | None) -> list[tuple]:
+    """The values of NODE_FIELDS of each element."""
     tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree.finish(html)
     n = len(tree.tags)
-    for node in tree.open:
-        tree.ranges[node][1] = len(tree.pieces)
-    last, block_below, content_below = list(range(n)), [False] * n, [False] * n
+    last, block_below, content_below = tree.lasts(), [False] * n, [False] * n
     for i in range(n - 1, -1, -1):
         p, tag = tree.parents[i], tree.tags[i]
         if p >= 0:
-            last[p] = max(last[p], last[i])
             block_below[p] |= block_below[i] or tag in BLOCKS
             content_below[p] |= content_below[i] or (tag in SELECTED and tag != "span")
-    rows, leaf, stop, root, lines = [], [False] * n, [False] * n, [False] * n, [()] * n
+    rows, depth, leaf, known_above, leaf_above = [], [0] * n, [False] * n, [-1] * n, [-1] * n
     for i in range(n):
         tag, attrs, p = tree.tags[i], tree.attrs[i], tree.parents[i]
         # the text of an element that only holds other blocks is never asked for
         wanted = tag in SELECTED and not (tag in CONTAINERS and block_below[i])
         text = tree.text(i) if wanted else None
-        own = bool(wanted) and (_squeezed(text) != _squeezed(" ".join(map(tree.text, tree.children[i]))) if tree.children[i] else bool(text.strip()))
+        own = bool(wanted) and (_squeezed(text) != _squeezed(" ".join(tree.text(c) for c in tree.children[i] if tree.dim[c] != c)) if tree.children[i] else bool(text.strip()))
         leaf[i] = tag in CONTAINERS and not block_below[i] and (own or not content_below[i])
-        stop[i] = tag in BLOCKS and block_below[i]
-        prefers = _preferred(tag, attrs)
-        seen = tag not in UNSEEN and (p < 0 or rows[p][9])
-        root[i] = seen and (bool(prefers) or tag in FALLBACK_ROOTS)
-        lines[i] = lines[p] + ((p, tree.tags[p], leaf[p], stop[p], root[p]),) if p >= 0 else ()
-        rows.append((i, last[i], len(lines[i]), tag, attrs, text, own, block_below[i], content_below[i], seen, prefers, lines[i]))
+        if p >= 0:
+            depth[i] = depth[p] + 1
+            known_above[i] = p if tree.tags[p] in KNOWN else known_above[p]
+            leaf_above[i] = p if leaf[p] else -1 if tree.tags[p] in BLOCKS and block_below[p] else leaf_above[p]
+        rows.append((i, last[i], depth[i], tag, attrs, text, own, block_below[i], content_below[i], tree.shown(i), _preferred(tag, attrs), known_above[i], leaf_above[i]))
     return rows
 
 
-def dom_nodes(pages: DataFrame, html_col: str = "html", tags: frozenset[str] | None = None) -> DataFrame:
-    """The columns of pages but the html, and a row for each element (of tags or that may be a content area, if given).
+def page_trees(pages: DataFrame, html_col: str = "html", tags: frozenset[str] | None = None) -> DataFrame:
+    """The columns of pages but the html, and nodes: an array of each page's elements (of tags or that may be a content area,
+    if given) in document order. No rows move.
 
-    Null or empty html has no rows. Extra columns stay; one that has the name of a node column is replaced.
+    Null or empty html has an empty array. Extra columns stay; one that is called nodes is replaced.
     """
-    names = {f.name for f in NODE_FIELDS}
-    pages = pages.drop(*[c for c in pages.columns if c in names and c != html_col])
+    pages = pages.drop(*[c for c in pages.columns if c == "nodes" and c != html_col])
     carried = [f for f in pages.schema.fields if f.name != html_col]
+    at = pages.columns.index(html_col)
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
-            if kinds is None:
-                anc = pa.struct([("pre", pa.int32()), ("tag", pa.string()), ("leaf", pa.bool_()), ("stop", pa.bool_()), ("root", pa.bool_())])
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.bool_()] * 4, pa.list_(pa.int32()), pa.list_(anc)]
-            for at in range(0, batch.num_rows, 64):
-                found, source = [], []
-                for i, html in enumerate(batch.column(batch.schema.get_field_index(html_col)).slice(at, 64).to_pylist(), at):
-                    rows = [r for r in node_rows(html) if tags is None or r[3] in tags or r[10]]
-                    found += rows
-                    source += [i] * len(rows)
-                if found:
-                    columns = list(zip(*found))
-                    columns[4] = [list(a.items()) for a in columns[4]]
-                    columns[11] = [[dict(zip(("pre", "tag", "leaf", "stop", "root"), x)) for x in a] for a in columns[11]]
-                    take = pa.array(source)
-                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in own), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*(f.name for f in carried), *(f.name for f in NODE_FIELDS)])
-
-    return pages.mapInArrow(nodes, T.StructType([*carried, *NODE_FIELDS]))
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                found, ends = [], [0]
+                for html in part.column(at).to_pylist():
+                    found += [r for r in node_rows(html) if tags is None or r[3] in tags or r[10]]
+                    ends.append(len(found))
+                columns = [list(c) for c in zip(*found)] or [[] for _ in _KINDS]
+                columns[4] = [list(a.items()) for a in columns[4]]
+                nodes = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[f.name for f in NODE_FIELDS])
+                own = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)], names=[*(f.name for f in carried), "nodes"])
+
+    return pages.mapInArrow(trees, T.StructType([*carried, T.StructField("nodes", T.ArrayType(NODES))]))
+
+
+def dom_nodes(pages: DataFrame, html_col: str = "html", tags: frozenset[str] | None = None) -> DataFrame:
+    """The columns of pages but the html, and a row for each element of page_trees(). A column that has the name of a node
+    column is replaced."""
+    names = {f.name for f in NODE_FIELDS}
+    pages = pages.drop(*[c for c in pages.columns if c in names and c != html_col])
+    return page_trees(pages, html_col, tags).select(*(c for c in pages.columns if c != html_col), F.inline("nodes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a
+    cluster the executors couldn't see it, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/leafmill-{label}-{uuid.uuid4().hex}"

@@ -47,6 +47,31 @@ def test_implied_ends():
     assert tags == [("p", "ax"), ("p", "b"), ("li", "c"), ("li", "d")]
 
 
+def test_hidden_elements(spark):
+    """What isn't displayed or seen makes no blocks and is no part of the text around it."""
+    html = f"""<article><p>{LONG}</p><p hidden>a</p><p style="color: red; display :none">b</p><p>c<span style="visibility:hidden">d</span><b style="opacity: 0.0">e</b><i style="opacity:.5">f</i></p>
+    <div style="visibility: hidden"><p>g</p><p style="visibility:visible">h</p></div><div style="opacity:0"><p>i</p></div><video style="display:none"><source src="/v.mp4"></video></article>"""
+    assert read(spark, html)[1:] == [("paragraph", "cf"), ("paragraph", "h"), ("paragraph", "i")]
+
+
+def test_deep_and_hostile_pages(spark):
+    """Thousands of nested elements, in each of the parsers."""
+    from leafmill.sources.html_markdown import page_markdown
+    from leafmill.sources.html_marks import mark_rows
+
+    deep = 3000
+    assert len(node_rows("<div>" * deep + "x")) == deep and node_rows("<p><button>" + "<div>" * 50_000)[-1][2] == 50_001
+    rows = read(spark, f"<article><p>{LONG}</p>" + "<div>" * deep + "inner" + "</div>" * deep + "</article>")
+    assert rows == [("paragraph", LONG.strip()), ("paragraph", "inner")]
+    assert mark_rows("<div class=a>" * 1500 + "<b>x</b>", frozenset(("a",)), True)[0][6] == "**x**"
+    assert page_markdown("<div id=js_content>" + "<div>" * deep + "<b>x</b>" + "<blockquote>" * 200 + "y")[0].endswith("> y")
+
+
+def test_preferences_and_repeated_blocks(spark):
+    html = f"<main><div class='content'><p>{LONG}</p><p>x</p></div><h2>T</h2><p>x</p><div>only {LONG}</div></main>"
+    assert read(spark, html) == [("paragraph", LONG.strip()), ("paragraph", "x"), ("heading", "T"), ("paragraph", "only " + LONG.strip())]
+
+
 P = lambda text, **more: {"type": "paragraph", "text": text, **more}
 
 
@@ -64,6 +89,39 @@ def test_merging_laws(a, b):
     assert sorted(m["text"] for m in merge.merge_ordered(x, y)) == sorted({*a, *b})
 
 
+def plain_ordered(known, snapshot):
+    """merge_ordered with a plain list."""
+    order, fresh = [b["text"] for b in merge.distinct(known)], [b["text"] for b in merge.distinct(snapshot)]
+    if not order:
+        return fresh
+    old, before = set(order), None
+    for i, k in enumerate(fresh):
+        if k not in old:
+            following = next((x for x in fresh[i + 1 :] if x in old), None)
+            at = order.index(before) if before is not None else None
+            if following is not None and (at is None or at < order.index(following)):
+                order.insert(order.index(following), k)
+            else:
+                order.insert(len(order) if at is None else at + 1, k)
+        before = k
+    return order
+
+
+@given(st.lists(st.sampled_from("ABCDEFGH")), st.lists(st.sampled_from("ABCDEFGH")))
+@settings(max_examples=300, deadline=None)
+def test_ordered_against_a_plain_list(a, b):
+    x, y = [P(c) for c in a], [P(c) for c in b]
+    assert [m["text"] for m in merge.merge_ordered(x, y)] == plain_ordered(x, y)
+
+
+def test_long_merges_are_quick():
+    import time
+
+    began = time.process_time()
+    merge.merge_ordered([P(str(i)) for i in range(20_000)], [P(str(i)) for i in range(10_000, 30_000)])
+    assert time.process_time() - began < 5
+
+
 def test_distinct_and_fuse():
     assert [b["text"] for b in merge.distinct(map(P, "ABAC"))] == ["A", "B", "C"]
     got = merge.distinct([P("a", source_id="1"), P("b"), P("longer", source_id="1")])
@@ -106,6 +164,33 @@ def test_media(spark):
     assert got[1].reason == "unsafe image URL: local or private destination" and got[3].reason == "video signature mismatch expected=mp4"
 
 
+def test_export(spark):
+    """Markdown and media of an archive, with pictures in tables, repeated and refused ones."""
+    from leafmill.operators.export import export_entries
+
+    png, gif = bytes.fromhex("89504E470D0A1A0A00"), b"GIF89a..."
+    names = BLOCK[7:-1]
+    fields = [f.split(":")[0] for f in ("type text markdown level ordered depth language src alt href rows images embedded_data_url source_id source_order").split()]
+    assert all(f in names for f in fields)
+    row = lambda **own: tuple(own.get(f) for f in fields)
+    cell = lambda src, at: (src, "c", 0, at, None)
+    blocks = [
+        row(type="paragraph", text="Hello"), row(type="image", src="/a.png", alt="x"), row(type="table", rows=[["h", "i"], ["j"]], images=[cell("/b.gif", 0), cell("http://127.0.0.1/z.png", 1)]), row(type="image", src="data:image/svg+xml,x"),
+        row(type="image", src="/a.png"), row(type="video", src="/v.mp4", text="Clip"), row(type="code", text="a ``` b", language="Py"),
+    ]
+    docs = spark.createDataFrame([(1, "https://e.com/p", "My: page", blocks), (2, "https://e.com/q", "Empty", [row(type="paragraph", text=" ")])], f"page_id long, url string, title string, blocks array<{BLOCK}>")
+    assets = spark.createDataFrame([("https://e.com/a.png", 200, "image/png", png), ("https://e.com/b.gif", 200, "image/gif", gif), ("https://e.com/v.mp4", 500, "video/mp4", b"")], "url string, status int, content_type string, data binary")
+    packed = zip_sink.zip_archives(export_entries(docs, assets, F.lit("2024-05-06 07:08:00").cast("timestamp")), "page_id").collect()
+    assert [r.page_id for r in packed] == [1]
+    archive = zipfile.ZipFile(io.BytesIO(bytes(packed[0].bytes)))
+    base = "My- page__20240506-0708"
+    media = f"{base}/My- page.assets"
+    assert archive.testzip() is None
+    assert {n: archive.read(n) for n in archive.namelist() if not n.endswith(".md")} == {f"{media}/image-001.png": png, f"{media}/image-002.gif": gif, f"{media}/image-004.png": png}
+    want = "# My: page\n\nSource: https://e.com/p\nCaptured: 2024-05-06 07:08\n\nHello\n\n![x](./My-%20page.assets/image-001.png)\n\n| h<br>![c](./My-%20page.assets/image-002.gif) | i<br>![c](http://127.0.0.1/z.png) |\n| --- | --- |\n| j |  |\n\n![](./My-%20page.assets/image-004.png)\n\n[Clip](/v.mp4)\n\n````py\na ``` b\n````\n"
+    assert archive.read(f"{base}/My- page.md").decode() == want
+
+
 def test_fifo(spark):
     uses = spark.createDataFrame([(1, 0, "s"), (1, 1, "s"), (1, 2, "t")], "page_id int, at int, src string")
     results = spark.createDataFrame([(1, "s", 0, True, "image-001.png"), (1, "s", 1, False, None)], "page_id int, src string, idx int, ok boolean, file_name string")
