@@ -17,6 +17,18 @@ from leafmill.plans import queries
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def compiled(spark):
+    """Registered queries run as in production, with compiled plans."""
+    own = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else f"{value:.9g}"
