@@ -160,37 +160,27 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of its lines with letters or digits is a known text or a copyright line and one is a known text.
     Nulls: a null text has no license. Rows that share an id, null included, count together; a whole_license is then the
     first in alphabetical order. Very long texts: whole, line by line. Empty table: empty result. Extra columns are left
-    out.
+    out, whatever they are called.
     """
     known = F.broadcast(known_digests(docs.sparkSession))  # one row for each text in KNOWN at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    with_anchor = texts.where(anchored(F.col("text")))
-
-    lines = with_anchor.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    digest = F.when(anchored(F.col("line")), F.sha2(canonical(F.col("line")), 256))
-    noted = lines.select("doc_id", digest.alias("digest"), F.lower("line").rlike(COPYRIGHT_LINE).alias("notice")).join(known, "digest", "left")
-    by_line = noted.groupBy("doc_id").agg(
-        F.count("license").alias("n_license_lines"),
-        (F.count("license") + F.count_if(F.col("license").isNull() & F.col("notice")) == F.count(F.lit(1))).alias("nothing_else"),
-    )
-    found = noted.where(F.col("license").isNotNull()).select("doc_id", "license", F.lit(False).alias("whole"))
-    whole = with_anchor.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest").select("doc_id", "license", F.lit(True).alias("whole"))
-    by_doc = (
-        found.unionByName(whole)
-        .groupBy("doc_id")
-        .agg(
-            F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
-            F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        )
-    )
-    out = texts.select("doc_id").distinct()
-    for name, part in (("line_id", by_line), ("found_id", by_doc)):
-        out = out.join(part.withColumnRenamed("doc_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left").drop(name)
-    m = F.coalesce("n_license_lines", F.lit(0))
-    return out.select(
-        "doc_id",
-        m.alias("n_license_lines"),
-        "whole_license",
-        F.coalesce("licenses", F.lit("")).alias("licenses"),
-        (F.col("whole_license").isNotNull() | ((m > 0) & F.coalesce("nothing_else", F.lit(False)))).alias("is_license"),
+
+    # the whole text and its lines are pieces of one scan, put into canonical form by one expression; a text without an
+    # anchor has no pieces, and its row stays
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))
+    piece = lambda whole, value: F.struct(F.lit(whole).alias("whole"), value.alias("value"))
+    pieces = F.when(anchored(F.col("text")), F.concat(F.array(piece(True, F.col("text"))), F.transform(lines, lambda line: piece(False, line))))
+    rows = texts.select("doc_id", F.explode_outer(pieces).alias("piece")).select("doc_id", "piece.*")
+    value, is_line = F.col("value"), ~F.col("whole")
+    digest = F.when(anchored(value), F.sha2(canonical(value), 256))
+    noted = rows.select("doc_id", "whole", digest.alias("digest"), (is_line & F.lower(value).rlike(COPYRIGHT_LINE)).alias("notice")).join(known, "digest", "left")
+    found = F.col("license").isNotNull()
+    by_doc = noted.groupBy("doc_id").agg(
+        F.count_if(is_line & found).alias("n_license_lines"),
+        F.count_if(is_line & (found | F.col("notice"))).alias("n_told"),
+        F.count_if(is_line).alias("n_lines"),
+        F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
     )
+    nothing_else = (F.col("n_license_lines") > 0) & (F.col("n_told") == F.col("n_lines"))
+    return by_doc.select("doc_id", "n_license_lines", "whole_license", "licenses", (F.col("whole_license").isNotNull() | nothing_else).alias("is_license"))
