@@ -15,7 +15,7 @@ from ..functions.markdown import BLOCK, document_markdown, table_markdown
 from ..operators import blocks as B
 from ..operators import export, islands, merge, zip_sink
 from ..operators import media as media_ops
-from ..operators.families import course, feishu
+from ..operators.families import article, course, feishu, wechat
 from ..sources.html_nodes import SELECTED, dom_nodes
 from ..sources.shared import shared_path
 from ..streaming.collector import Policy, collect
@@ -369,13 +369,31 @@ def course_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.course_blocks(pages).select("page_id", "pos", "type", "level", "text", "markdown", "ordered", "depth")
 
 
+def article_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as long articles, whose items are paragraphs, list items, headings and quotes in turn."""
+    item = '<div class="vc-doc-item %k">%b</div>'
+    forms = tuple(
+        item.replace("%k", kind).replace("%b", body)
+        for kind, body in (("", '<div class="block-text">%s</div>'), ("", '<div class="bullet_container"><div class="bulletlist">%s</div></div>'), ("doc-heading-3", '<div class="block-text">%s</div>'), ("", '<div class="quote_container"><div class="block-text">%s</div></div>'))
+    )
+    pages = _family_pages(spark, sf_dir, "https://scys.com/articleDetail/xq_topic/1", '<main><div class="feishu-doc-content">', "</div></main>", forms)
+    return article.article_blocks(pages).select("page_id", "pos", "type", "level", "text", "markdown", "ordered", "depth")
+
+
+def wechat_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as public-account pages: paragraphs, headings and pictures, which part the text."""
+    forms = ("<p>%s</p>", "<h2>%s</h2>", "<p> %s <br></p>", '<p><img data-src="https://mmbiz.qpic.cn/%n?wx_fmt=png&amp;tp=webp" alt="%s"></p>')
+    pages = _family_pages(spark, sf_dir, "https://mp.weixin.qq.com/s/1", '<div id="js_content">', '<p style="display:none">unseen</p></div>', forms)
+    return wechat.wechat_blocks(pages).select("page_id", "pos", "type", F.md5("markdown").alias("markdown_md5"), "src", "alt", "source_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
-        media_localized, export_archives,
+        media_localized, export_archives, article_page_blocks, wechat_page_blocks,
     )
 }
 # the names under which the queries over whole texts were registered first

@@ -164,6 +164,16 @@ k as (select q.page_id, stop, r, fresh from q join z using (page_id) where stop
 select page_id, max(r)::int as rounds, count(*) filter (fresh)::int as n_blocks, (max(r) - max(case when fresh then r end))::int as idle, case when max(stop) is null then 'running' else 'idle' end as status from k group by page_id""",
 }
 ORACLES |= {
+    "article_page_blocks": f"""with {_LINES}, r as (select page_id, i, k, ['paragraph', 'listItem', 'heading', 'quote'][k + 1] as type, text, case when k <> 2 then md end as markdown from n where md <> '' and text <> ''),
+d as (select * from r qualify row_number() over (partition by page_id, type, text, markdown order by i) = 1)
+select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 3 end as level, text, markdown, case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth from d""",
+    "wechat_page_blocks": rf"""with l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+n as (select page_id, i, i % 4 as k, {_normal("line")} as t, regexp_replace({_normal("line")}, '([\\*_`\[\]])', '\\\1', 'g') as e, sum((i % 4 = 3)::int) over (partition by page_id order by i) as cut from l),
+m as (select page_id, cut, min(i) as i, string_agg(case when k = 1 then '## ' || e else e end, chr(10) || chr(10) order by i) as md from n where k < 3 and t <> '' group by page_id, cut),
+u as (select page_id, i, 'paragraph' as type, md, null as src, null as alt from m union all
+  select page_id, i, 'image', null, 'https://mmbiz.qpic.cn/' || (i + 1) || '?wx_fmt=png&tp=webp', t from n where k = 3)
+select page_id, row_number() over (partition by page_id order by i) as pos, type, md5(md) as markdown_md5, src, alt,
+       case when type = 'image' then 'wechat:image:' || regexp_replace(src, '&tp=webp$', '') else 'wechat:text:' || row_number() over (partition by page_id, type order by i) end as source_id from u""",
     "rich_page_blocks": f"with {_RICH} select page_id, pos, type, level, text, src, alt, href from r",
     "rich_page_markdown": f"""with {_RICH},
 c as (select *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))) as fence from r),
