@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one is set only where there is none."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where there is none, a local session gets one of its
+    own; on a cluster that would be a folder that the executors can't see, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -62,34 +66,26 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def gapless_rank(df: DataFrame, keys: list[Column], rank: str, label: str) -> DataFrame:
+def hashed_rank(df: DataFrame, share: Column, keys: list[Column], rank: str, label: str) -> DataFrame:
     """df in the order of keys, with column rank: 0, 1, 2 ... without a gap over the whole table.
 
-    Sampled splitters cut the key range, each partition sorts its own rows, and the sorted rows are written to the shared
-    folder with their place in their partition. Only the partitions' row counts, one row for each partition, are added up
-    over the whole table. keys must order the rows totally, up to rows that are equal in every column.
+    share, from 0 to under 1, grows with the first of keys and is evenly spread, as a hash is: so the ranges of keys are cut
+    without sampling, a few for each shuffle partition. The sorted rows are written to the shared folder with their place
+    in their range; only the ranges' row counts are added up over the whole table. keys must order the rows totally, up to
+    rows that are equal in every column.
     """
-    (place,) = private_names(df, "place")
-    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id())
-    stored = store(sorted_rows, label)
-    part = F.shiftright(F.col(place), 33)
-    sizes = sorted((r[0], r[1]) for r in stored.groupBy(part).count().collect())  # one row for each partition
+    spark = df.sparkSession
+    part, place, start = private_names(df, "part", "place", "start")
+    n_parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(part, F.floor(share * n_parts).cast("int")).repartition(part)
+    stored = store(dealt.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1), label)
+    counts = sorted((r[0], r[1]) for r in stored.groupBy(part).count().collect())  # n_parts rows at most
     starts, total = [], 0
-    for p, n in sizes:
+    for p, n in counts:
         starts.append((p, total))
         total += n
-    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
-    if not starts:
-        return stored.withColumn(rank, F.lit(None).cast("long")).drop(place)
-    spark = df.sparkSession
-    (p_col, s_col) = private_names(stored, "part", "start")
-    offsets = spark.createDataFrame(starts, T.StructType([T.StructField(p_col, T.LongType()), T.StructField(s_col, T.LongType())]))
-    return (
-        stored.withColumn(p_col, part)
-        .join(F.broadcast(offsets), p_col)
-        .withColumn(rank, F.col(s_col) + within)
-        .drop(p_col, s_col, place)
-    )
+    offsets = spark.createDataFrame(starts, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(start, T.LongType())]))
+    return stored.join(F.broadcast(offsets), part).withColumn(rank, F.col(start) + F.col(place)).drop(part, place, start)
 
 
 def join_known(parts: list[list[str]], known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:

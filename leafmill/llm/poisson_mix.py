@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, private_names
+from .common import hashed_rank, private_names
 
 SEED = 20
 #: Without given weights the target weight of a source is its row count to this power, divided by the sum.
@@ -104,4 +104,5 @@ def poisson_mix(
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("copy_no").cast("string"))))
     keys = [F.col(key), F.col(id_col), F.col("copy_no"), F.xxhash64(*docs.columns)]
-    return gapless_rank(out, keys, "position", "mix").drop(key)
+    share = F.conv(F.substring(F.col(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return hashed_rank(out, share, keys, "position", "mix").drop(key)
