@@ -32,13 +32,34 @@ def image_source(attrs: Column) -> Column:
     return F.when((lazy != "") & ((shown == "") | F.trim(shown).rlike(PLACEHOLDER)), lazy).when(shown != "", shown).otherwise(lazy)
 
 
+# An address with dots as a part of its path, and the address that a page's relative ones count from.
+DOTTED = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/\.{1,2}(?:[/?#]|$)"
+BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_dots(url: Column) -> Column:
+    """The address with `.` and `..` taken out of its path, as they are read."""
+    parts = F.slice(F.split(F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/"), F.lit(2), F.lit(1 << 20))
+    first = F.array(F.lit(""))
+    folded = F.aggregate(
+        parts, first, lambda acc, p: F.when(p == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))
+    )
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(folded, first)).otherwise(folded)
+    return F.concat(F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1), F.array_join(ended, "/"), F.regexp_replace(url, r"^[^?#]*", ""))
+
+
 def absolute(href: Column, base: Column) -> Column:
     """Addresses that start with a scheme, a host, a root, a query or a fragment are resolved; others against the base's folder."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     bare = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(F.length(bare) == F.length(origin), F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(bare, r"[^/]*$", ""))
-    return (
+    resolved = (
         F.when(href == "", F.lit(""))
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
@@ -47,6 +68,13 @@ def absolute(href: Column, base: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .otherwise(F.concat(folder, href))
     )
+    return _once(resolved, lambda u: F.when(u.rlike(DOTTED), _without_dots(u)).otherwise(u))
+
+
+def base_of(html: Column, url: Column) -> Column:
+    """What a page's relative addresses count from: its own, or that of its base element."""
+    own = F.coalesce(url, F.lit(""))
+    return F.when(html.rlike(BASE), absolute(F.regexp_extract(html, BASE, 1), own)).otherwise(own)
 
 
 def _block(node: Column, base: Column) -> Column:
@@ -100,11 +128,6 @@ def image_key(src: Column) -> Column:
     return F.when(on_host, F.concat(bare, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))).otherwise(text_of(src))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _items(nodes: Column, base: Column) -> Column:
     """Of the visible elements that may be areas or make blocks: pre, last, prefers, plain, from, key, units, media, block.
 
@@ -184,9 +207,12 @@ def page_areas(pages: DataFrame, url: str = "url", html_col: str = "html", keep_
     made = ("score", "n_blocks", "blocks", "nodes")
     pages = pages.drop(*[c for c in pages.columns if c in made and c != html_col])
     carried = [c for c in pages.columns if c != html_col]
-    trees = page_trees(pages, html_col, SELECTED)
+    base_col = "_base"
+    while base_col in pages.columns:
+        base_col += "_"
+    trees = page_trees(pages.withColumn(base_col, base_of(F.col(html_col), F.col(url))), html_col, SELECTED)
     own = [*carried, *(["nodes"] if keep_nodes else [])]
-    base = F.coalesce(F.col(url), F.lit(""))
+    base = F.col(base_col)
 
     def area(items: Column) -> Column:
         return _once(_best(_scored(items)), lambda a: F.when(a.isNotNull(), F.struct(a["score"].alias("score"), a["n_blocks"].alias("n_blocks"), _distinct(_shown(items, a["root"], a["last"])).alias("blocks"))))

@@ -54,6 +54,13 @@ def test_hidden_elements(spark):
     assert read(spark, html)[1:] == [("paragraph", "cf"), ("paragraph", "h"), ("paragraph", "i")]
 
 
+def test_addresses(spark):
+    """Relative addresses count from the base element, and dots are taken out of paths."""
+    page = lambda head, *srcs: f"<html><head>{head}</head><article><p>{LONG}</p>" + "".join(f"<img src='{s}'>" for s in srcs) + "</article></html>"
+    assert [t for k, t in read(spark, page("", "../x.png", "./y.png", "../../../z/./w.png?a=../b", "/q/..", "http://h/a/../b")) if k == "image"] == ["https://e.com/x.png", "https://e.com/a/y.png", "https://e.com/z/w.png?a=../b", "https://e.com/", "http://h/b"]
+    assert [t for k, t in read(spark, page("<base target=_top href='/m/n'>", "x.png", "//o/x")) if k == "image"] == ["https://e.com/m/x.png", "https://o/x"]
+
+
 def test_deep_and_hostile_pages(spark):
     """Thousands of nested elements, in each of the parsers."""
     from leafmill.sources.html_markdown import page_markdown
