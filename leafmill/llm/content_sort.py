@@ -6,9 +6,9 @@ compares each whole text with its neighbour. Of equal texts the row with the mos
 then the smallest doc_id.
 
 A splitter is (first 64 characters, 64-bit hash of the whole text): what the sampler sends to the driver stays small
-however long the texts are, and texts that share a long opening still spread. A text that holds more than one row in HOT
-is dealt to SALTS runs by a hash of doc_id; the heads of these runs, SALTS rows for each of at most HOT texts, are sorted
-and compared once more.
+however long the texts are, and texts that share a long opening still spread. A text with more than a share of 1/HOT of the
+rows, or more than HOT_ROWS, is dealt to runs of about so many rows each by a hash of the row; the heads of these runs are
+sorted and compared once more.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, private_names, store
 
-#: A text is hot from a share of 1/HOT of all rows, so there are at most HOT hot texts.
-HOT = 2000
-SALTS = 64
+#: A text is hot from a share of 1/HOT of all rows, and from HOT_ROWS rows however many there are.
+HOT, HOT_ROWS = 2000, 100_000
+#: What is known of hot texts and their runs is broadcast up to so many bytes; beyond that it is joined by a shuffle.
+MOST_BROADCAST, RUN_BYTES = 32 << 20, 256
 
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -30,6 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nulls: a null text counts as empty; empty texts are equal to each other. A null id sorts after all others.
     Ties and repeated rows: exactly one row of a group has kept = true, also where rows repeat as a whole.
+    Rows that are equal in all columns go to one run.
     Very long texts: compared whole. Empty table: empty result. Extra columns stay; one that has the name of an output
     column is replaced.
     """
@@ -42,13 +44,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(norm, normalised).withColumn(digest, F.xxhash64(norm))
 
     n_rows = docs.count()
-    hot_texts = (
-        keyed.groupBy(digest).count().where(F.col("count") > max(1.0, n_rows / HOT)).select(F.col(digest), F.lit(True).alias(hot))
-    )
+    most = max(1.0, min(n_rows / HOT, float(HOT_ROWS)))
+    # hot texts and their runs are 2 n / most at most: each text has more than most rows, and each run but one about as many
+    few = F.broadcast if 2 * n_rows / most * RUN_BYTES <= MOST_BROADCAST else (lambda df: df)
+    hot_texts = keyed.groupBy(digest).count().where(F.col("count") > most).select(F.col(digest), F.ceil(F.col("count") / most).cast("int").alias(hot))
+    others = [c for c in docs.columns if c != text_col]
     keyed = (
-        keyed.join(F.broadcast(hot_texts), digest, "left")  # at most HOT rows
-        .withColumn(hot, F.coalesce(hot, F.lit(False)))
-        .withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(id_col), F.lit(SALTS))).otherwise(F.lit(0)))
+        keyed.join(few(hot_texts), digest, "left")
+        .withColumn(salt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(*others), F.col(hot)).cast("int")).otherwise(F.lit(0)))
+        .withColumn(hot, F.col(hot).isNotNull())
         .withColumn(size, F.length(text))
         .withColumn(head, F.substring(norm, 1, 64))
     )
@@ -89,7 +93,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     warm = (
         runs.where(F.col(hot))
-        .join(F.broadcast(merged), ["text_sha256", salt])  # at most HOT x SALTS rows
+        .join(few(merged), ["text_sha256", salt])  # a row for each run
         .withColumn("kept", (F.col(run_no) == 1) & (F.col(salt) == F.col(big)))
     )
     columns = [*(c for c in docs.columns if with_text or c != text_col), *OUTPUT]
