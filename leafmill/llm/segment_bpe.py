@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import join_known, releasing, remember
 
-#: Pieces of text, and pre-tokens, whose ids a task remembers; beyond that it forgets the later ones.
-REMEMBERED = 250_000
+#: Pieces of text and pre-tokens whose ids a task remembers; beyond that it forgets the later ones.
+REMEMBERED = 100_000
 #: Words of up to so many pairs are merged together with others of their size; longer ones one by one.
 WIDEST = 64
 #: Rows that are worked on at a time.
@@ -133,8 +133,7 @@ class SegmentBpe:
         self.made_array = np.array(self.made, np.int32)
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, bytes] = {}  # pieces
-        self.words: dict[str, bytes] = {}  # pre-tokens
+        self.known: dict[str, bytes] = {}  # pieces and pre-tokens
 
     # ---- merging many words at once: a row of symbols and a row of a tree for each
 
@@ -231,18 +230,18 @@ class SegmentBpe:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         parts = list(map(self._words, new))
-        words = self.words
-        fresh = list({w for ws in parts for w in ws if w not in words})
+        # a piece that is one pre-token and that pre-token are the same string, so they are remembered together
+        known = self.known
+        fresh = list({w for ws in parts for w in ws if w not in known})
         ids = dict(zip(fresh, self.merge_words([w.encode() for w in fresh])))
-        get = lambda w: ids[w] if w in ids else words[w]
-        found = {piece: b"".join([get(w) for w in ws]) for piece, ws in zip(new, parts)}
-        remember(words, ids, REMEMBERED)
-        remember(self.known, found, REMEMBERED)
+        get = lambda w: ids[w] if w in ids else known[w]
+        found = {piece: get(ws[0]) if len(ws) == 1 else b"".join([get(w) for w in ws]) for piece, ws in zip(new, parts)}
+        remember(known, ids | found, REMEMBERED)
         return found
 
     def forget(self) -> None:
         """Workers outlive tasks; what a task remembered would stand beside the next stages' memory."""
-        self.known, self.words = {}, {}
+        self.known = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; the strings of special tokens become their ids."""

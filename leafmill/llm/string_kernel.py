@@ -154,7 +154,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 lists.append(np.flatnonzero(row).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(lists, pa.binary())], names=["id", "lang", "places"])
 
-    found = sorted(tuple(r) for r in sample.mapInArrow(grams, "id string, lang string, places binary").collect())
+    found = sorted(tuple(r) for r in sample.mapInArrow(lambda batches: releasing(grams(batches)), "id string, lang string, places binary").collect())
     found = [r for r in found if len(r[2])]
     return fit([np.frombuffer(bytes(places), "<u2").astype(np.int64) for _, _, places in found], [lang for _, lang, _ in found])
 
