@@ -37,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates. Rows with a null id stay."""
-    found = divide_skip.jaccard_join(docs, k=WORDS, num=SIMILARITY, den=100)
+    found = divide_skip.jaccard_join(docs, k=WORDS, num=SIMILARITY, den=100, links=False)
     dropped = store(found.where("doc_id is not null and not is_first").select("doc_id").distinct(), "dropped")
     if dropped.count() <= MOST_BROADCAST:
         dropped = F.broadcast(dropped)
