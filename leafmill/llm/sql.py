@@ -20,6 +20,25 @@ from n
 window w as (partition by norm order by size desc, doc_id nulls last)
 """
 
+_UPPER, _SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP13 = f"""
+with l as (
+  select doc_id, row_nr, pos, line, translate(trim(line, {_SPACE}), '{_UPPER}', '{_UPPER.lower()}') as k
+  from (
+    select doc_id, row_nr, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line
+    from (select doc_id, row_number() over () as row_nr, string_split(coalesce(text, ''), chr(10)) as lines from documents)
+  )
+),
+repeated as (
+  select k, max(doc_id) as top from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+),
+m as (select l.*, r.k is not null and l.doc_id <> r.top as dropped from l left join repeated r on l.k = r.k)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from m group by doc_id, row_nr
+"""
+
 OP10 = f"""
 with c as (select source, count(*) as n_rows, round(pow(count(*)::double, {TEMPERATURE}) * 1e6) as wanted from documents group by source),
 r as (
@@ -88,4 +107,4 @@ left join by_line b on d.doc_id is not distinct from b.doc_id
 left join by_doc f on d.doc_id is not distinct from f.doc_id
 """
 
-ORACLES = {"op7_license_scan": OP7, "op9_exact_dedup": OP9, "op10_poisson_mix": OP10}
+ORACLES = {"op7_license_scan": OP7, "op9_exact_dedup": OP9, "op10_poisson_mix": OP10, "op13_line_runs": OP13}
