@@ -137,3 +137,37 @@ def releasing(batches: Iterator) -> Iterator:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def byte_table(separators: bytes, lower: bool = False):
+    """What split_tokens maps bytes to: separators to a space, A-Z to lower case if asked."""
+    import numpy as np
+
+    out = np.arange(256, dtype=np.uint8)
+    if lower:
+        out[65:91] += 32
+    out[np.frombuffer(separators, np.uint8)] = 32
+    return out
+
+
+def split_tokens(texts, table):
+    """The maximal runs of bytes that the table doesn't map to a space, of all texts of an Arrow string array one after
+    another, as a string array, and how many each text has. A null text has none."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = table[np.frombuffer(texts.buffers()[2], np.uint8)[first:last]] if last > first else np.zeros(0, np.uint8)
+    offsets -= first
+    inside = data != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < data.size]  # a text's first token begins at its head, whatever came before
+    begins[heads] = inside[heads]
+    at = np.flatnonzero(begins)
+    gaps = np.flatnonzero(~inside)
+    starts = np.append(at - np.searchsorted(gaps, at), data.size - gaps.size).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(at), pa.py_buffer(starts), pa.py_buffer(data[inside]))
+    return tokens, np.diff(np.searchsorted(at, offsets))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, divide_skip, hilbert, html_extract, license_scan, line_runs, pfor, poisson_mix, segment_bpe, string_kernel, tiff
+from . import content_sort, divide_skip, hilbert, html_extract, hybrid_search, license_scan, line_runs, pfor, poisson_mix, segment_bpe, string_kernel, tiff
 from .common import store, table
 from .sql import ORACLES
 
@@ -72,6 +72,10 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "repeats", "copy_no", "position", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_md5"))
 
 
+def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search.rank_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -80,6 +84,7 @@ def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_main_text, op2_pfor_ids, op3_string_kernel, op4_hilbert_shards, op5_segment_bpe, op6_jaccard_join, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix, op13_line_runs,
+        op1_html_main_text, op2_pfor_ids, op3_string_kernel, op4_hilbert_shards, op5_segment_bpe, op6_jaccard_join, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix,
+        op12_hybrid_search, op13_line_runs,
     )
 }
