@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, divide_skip, hilbert, html_extract, hybrid_search, license_scan, line_runs, pfor, poisson_mix, segment_bpe, string_kernel, tiff
+from . import content_sort, divide_skip, hilbert, html_extract, hybrid_search, license_scan, line_runs, periodic_runs, pfor, poisson_mix, segment_bpe, string_kernel, tiff
 from .common import store, table
 from .sql import ORACLES
 
@@ -72,6 +72,41 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "repeats", "copy_no", "position", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_md5"))
 
 
+def _with_planted_run(docs: DataFrame) -> DataFrame:
+    """The contract's runs: in a tenth of the documents by hash, the words from the a-th on repeat the p words that stand there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def planted(ws: Column) -> Column:
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " "))
+
+    # the words are bound once
+    text = F.when(h % 10 == 0, F.get(F.transform(F.array(words), planted), F.lit(0))).otherwise(F.col("text"))
+    return docs.withColumn("text", text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_planted_run(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, with_text=False)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search.rank_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -85,6 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_main_text, op2_pfor_ids, op3_string_kernel, op4_hilbert_shards, op5_segment_bpe, op6_jaccard_join, op7_license_scan, op8_tiff, op9_exact_dedup, op10_poisson_mix,
-        op12_hybrid_search, op13_line_runs,
+        op11_periodic_runs, op12_hybrid_search, op13_line_runs,
     )
 }
