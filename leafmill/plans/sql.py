@@ -165,8 +165,13 @@ select page_id, max(r)::int as rounds, count(*) filter (fresh)::int as n_blocks,
 }
 ORACLES |= {
     "article_page_blocks": f"""with {_LINES}, r as (select page_id, i, k, ['paragraph', 'listItem', 'heading', 'quote'][k + 1] as type, text, case when k <> 2 then md end as markdown from n where md <> '' and text <> ''),
-d as (select * from r qualify row_number() over (partition by page_id, type, text, markdown order by i) = 1)
-select page_id, row_number() over (partition by page_id order by i) as pos, type, case when k = 2 then 3 end as level, text, markdown, case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth from d""",
+d as (select * from r qualify row_number() over (partition by page_id, type, text, markdown order by i) = 1),
+-- list items that are neighbours once repeated blocks are gone are one paragraph
+e as (select *, row_number() over (partition by page_id order by i) - row_number() over (partition by page_id, type order by i) as run from d),
+g as (select *, type = 'listItem' and count(*) over (partition by page_id, type, run) > 1 as many from e),
+j as (select page_id, i, type, case when k = 2 then 3 end as level, text, markdown, case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth from g where not many union all
+  select page_id, min(i), 'paragraph', null, string_agg('- ' || text, ' ' order by i), string_agg('- ' || markdown, chr(10) order by i), null, null from g where many group by page_id, run)
+select page_id, row_number() over (partition by page_id order by i) as pos, type, level, text, markdown, ordered, depth from j""",
     "wechat_page_blocks": rf"""with l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
 n as (select page_id, i, i % 4 as k, {_normal("line")} as t, regexp_replace({_normal("line")}, '([\\*_`\[\]])', '\\\1', 'g') as e, sum((i % 4 = 3)::int) over (partition by page_id order by i) as cut from l),
 m as (select page_id, cut, min(i) as i, string_agg(case when k = 1 then '## ' || e else e end, chr(10) || chr(10) order by i) as md from n where k < 3 and t <> '' group by page_id, cut),
