@@ -1,25 +1,17 @@
-"""Blocks of a page's content area, from its array of elements.
-
-Whether an element makes a block depends on the area that is being read. The candidate areas of a page are scored by their
-distinct blocks and one is chosen, all within the page's row: nothing is dealt out, and an element is no row of its own.
-"""
+"""Blocks of pages' content areas, a row for each page or for each block; and addresses and pictures as column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import normalize_code, normalize_text, text_of, utf16_length
-from ..sources.html_nodes import CONTAINERS, FALLBACK_ROOTS, HEADINGS, PREFERRED, SELECTED, page_trees
-
-# What a block and a picture are worth, and the score that an area must exceed.
-PER_BLOCK, PER_MEDIA, LEAST_SCORE = 20, 30, 120
-
-# Attributes that hold the address of a picture that is loaded late, and addresses that stand for it.
-LAZY = ("data-src", "data-original", "data-original-src", "data-lazy-src")
-PLACEHOLDER = r"(?i)^data:image/svg\+xml(?:[;,]|$)|/pic_blank\.gif(?:[?#]|$)"
+from ..functions.text import text_of
+from ..sources.html_nodes import NODES, SELECTED, node_arrays, node_rows
+from ..sources.page_content import LAZY, PLACEHOLDER, block_arrays, content_of
 
 
 def first_attr(attrs: Column, names: tuple[str, ...]) -> Column:
@@ -29,7 +21,7 @@ def first_attr(attrs: Column, names: tuple[str, ...]) -> Column:
 
 def image_source(attrs: Column) -> Column:
     lazy, shown = first_attr(attrs, LAZY), first_attr(attrs, ("src",))
-    return F.when((lazy != "") & ((shown == "") | F.trim(shown).rlike(PLACEHOLDER)), lazy).when(shown != "", shown).otherwise(lazy)
+    return F.when((lazy != "") & ((shown == "") | F.trim(shown).rlike(f"(?i){PLACEHOLDER.pattern}")), lazy).when(shown != "", shown).otherwise(lazy)
 
 
 # An address with dots as a part of its path, and the address that a page's relative ones count from.
@@ -77,49 +69,6 @@ def base_of(html: Column, url: Column) -> Column:
     return F.when(html.rlike(BASE), absolute(F.regexp_extract(html, BASE, 1), own)).otherwise(own)
 
 
-def _block(node: Column, base: Column) -> Column:
-    """The block that an element makes, if it has something to show."""
-    tag, attrs = node["tag"], node["attrs"]
-    text = F.when(tag == "pre", normalize_code(node["text"])).otherwise(normalize_text(node["text"]))
-    kind = (
-        F.when(tag.isin(*HEADINGS), "heading").when(tag == "li", "listItem").when(tag == "blockquote", "quote").when(tag == "pre", "code")
-        .when(tag == "img", "image").when(tag.isin("video", "source"), "video").when(tag == "a", "link").otherwise("paragraph")
-    )
-    href = F.when(tag == "a", absolute(first_attr(attrs, ("href",)), base))
-    src = F.when(tag == "img", absolute(image_source(attrs), base)).when(tag.isin("video", "source"), absolute(first_attr(attrs, ("src", "data-src")), base))
-    name = normalize_text(F.coalesce(F.nullif(first_attr(attrs, ("title", "aria-label")), F.lit("")), F.when(tag == "video", F.nullif(node["text"], F.lit(""))), F.lit("Video")))
-    shown = (
-        F.when(tag.isin("video", "source"), F.coalesce(F.nullif(name, F.lit("")), F.lit("Video")))
-        .when(tag == "a", F.coalesce(F.nullif(text, F.lit("")), normalize_text(href)))
-        .when(tag != "img", text)
-    )
-    return F.struct(
-        kind.alias("type"),
-        F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int")).alias("level"),
-        shown.alias("text"),
-        src.alias("src"),
-        F.when(tag == "img", normalize_text(first_attr(attrs, ("alt",)))).alias("alt"),
-        href.alias("href"),
-    )
-
-
-def _shows(b: Column) -> Column:
-    return F.when(b["type"].isin("image", "video"), b["src"] != "").when(b["type"] == "link", (b["text"] != "") & (b["href"] != "")).otherwise(b["text"] != "")
-
-
-def block_key(b: Column) -> Column:
-    """What makes two blocks the same one, as a text: each part with its length before it."""
-    parts = (
-        b["type"],
-        F.when(b["type"] == "heading", F.coalesce(b["level"], F.lit(0)).cast("string")),
-        F.when(b["type"] != "image", normalize_text(b["text"])),
-        F.when(b["type"] == "image", image_key(b["src"])).when(b["type"] == "video", text_of(b["src"])),
-        F.when(b["type"] == "image", normalize_text(b["alt"])),
-        F.when(b["type"] == "link", text_of(b["href"])),
-    )
-    return F.concat(*[x for p in parts for x in (F.coalesce(F.length(p).cast("string"), F.lit("")), F.lit(":"), F.coalesce(p, F.lit("")))])
-
-
 def image_key(src: Column) -> Column:
     """A picture's address without what changes from visit to visit, on the one host that has it."""
     on_host = F.lower(F.regexp_extract(src, r"^https?://([^/?#:@]+)", 1)).rlike(r"(^|\.)mmbiz\.qpic\.cn$")
@@ -128,96 +77,34 @@ def image_key(src: Column) -> Column:
     return F.when(on_host, F.concat(bare, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))).otherwise(text_of(src))
 
 
-def _items(nodes: Column, base: Column) -> Column:
-    """Of the visible elements that may be areas or make blocks: pre, last, prefers, plain, from, key, units, media, block.
-
-    from: a text container speaks for itself only in areas that start behind this element, and in its own; -1 otherwise.
-    Without a block the last four are null.
-    """
-
-    def item(n: Column) -> Column:
-        container = n["tag"].isin(*CONTAINERS)
-        spoken_for = container & (n["block_below"] | (~n["own_text"] & n["content_below"]))
-        block = F.when(n["tag"].isin(*sorted(SELECTED)) & ~spoken_for, _block(n, base))
-        return F.struct(
-            n["pre"].alias("pre"), n["last"].alias("last"), n["prefers"].alias("prefers"), n["tag"].isin(*sorted(FALLBACK_ROOTS)).alias("plain"),
-            F.when(container, F.greatest(n["known_above"], n["leaf_above"])).otherwise(F.lit(-1)).alias("from"), block.alias("block"),
-        )
-
-    def keyed(x: Column) -> Column:
-        b = x["block"]
-        shows = b.isNotNull() & _shows(b)
-        return F.struct(
-            *(x[c].alias(c) for c in ("pre", "last", "prefers", "plain", "from")),
-            F.when(shows, block_key(b)).alias("key"),
-            F.when(shows, utf16_length(normalize_text(F.coalesce(F.nullif(b["text"], F.lit("")), b["alt"])))).alias("units"),
-            F.when(shows, b["type"].isin("image", "video")).alias("media"),
-            F.when(shows, b).alias("block"),
-        )
-
-    return F.filter(F.transform(F.transform(F.filter(nodes, lambda n: n["visible"]), item), keyed), lambda x: x["key"].isNotNull() | x["plain"] | (F.size(x["prefers"]) > 0))
-
-
-def _shown(items: Column, root: Column, last: Column) -> Column:
-    """The blocks of an area."""
-    return F.filter(items, lambda i: i["key"].isNotNull() & (i["pre"] >= root) & (i["pre"] <= last) & ((i["pre"] == root) | (i["from"] < root)))
-
-
-def _scored(items: Column) -> Column:
-    """root, last, prefers, plain, score and n_blocks of each candidate area, by its distinct blocks."""
-
-    def area(r: Column) -> Column:
-        # equal blocks are neighbours in the order of their keys
-        ordered = F.sort_array(F.transform(_shown(items, r["pre"], r["last"]), lambda i: F.struct(i["key"].alias("key"), (i["units"] + PER_BLOCK + F.when(i["media"], PER_MEDIA).otherwise(0)).cast("long").alias("worth"))))
-        start = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("n_blocks"))
-        sums = F.aggregate(
-            ordered, start,
-            lambda s, i: F.when(s["key"].eqNullSafe(i["key"]), s).otherwise(F.struct(i["key"].alias("key"), (s["score"] + i["worth"]).alias("score"), (s["n_blocks"] + F.lit(1).cast("long")).alias("n_blocks"))),
-        )
-        return _once(sums, lambda s: F.struct(r["pre"].alias("root"), r["last"].alias("last"), r["prefers"].alias("prefers"), r["plain"].alias("plain"), s["score"].alias("score"), s["n_blocks"].alias("n_blocks")))
-
-    return F.transform(F.filter(items, lambda i: i["plain"] | (F.size(i["prefers"]) > 0)), area)
-
-
-def _best(scored: Column) -> Column:
-    """root, last, score and n_blocks of the chosen area; null without one.
-
-    The first element of each preference counts, if it scores over LEAST_SCORE with more than one block; the earliest
-    preference wins. Without one, the highest score over LEAST_SCORE among containers, the first of equals.
-    """
-    fields = ("root", "last", "score", "n_blocks")
-    pick = lambda s: F.struct(*(s[f].alias(f) for f in fields))
-    ranks = F.sequence(F.lit(0), F.lit(len(PREFERRED) - 1))
-    firsts = F.transform(ranks, lambda k: F.get(F.filter(scored, lambda s: F.array_contains(s["prefers"], k)), F.lit(0)))
-    good = F.get(F.filter(firsts, lambda s: (s["score"] > LEAST_SCORE) & (s["n_blocks"] > 1)), F.lit(0))
-    wide = F.array_max(F.transform(F.filter(scored, lambda s: s["plain"] & (s["score"] > LEAST_SCORE)), lambda s: F.struct(s["score"].alias("by"), (-s["root"]).alias("minus"), pick(s).alias("area"))))
-    return F.coalesce(_once(good, lambda s: F.when(s.isNotNull(), pick(s))), wide["area"])
-
-
-def _distinct(shown: Column) -> Column:
-    """The blocks in order, the first of equal ones."""
-    ordered = F.sort_array(F.transform(shown, lambda i: F.struct(i["key"].alias("key"), i["pre"].alias("pre"), i["block"].alias("block"))))
-    first = _once(ordered, lambda o: F.filter(o, lambda x, at: (at == 0) | (F.get(o, at - 1)["key"] != x["key"])))
-    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["pre"].alias("pre"), x["block"].alias("block")))), lambda x: x["block"])
+BLOCK_FIELDS = "type string, level int, text string, src string, alt string, href string"
 
 
 def page_areas(pages: DataFrame, url: str = "url", html_col: str = "html", keep_nodes: bool = False) -> DataFrame:
     """The columns of pages but the html, with score, n_blocks and blocks (an array) of each page's best area, null without
-    one; with keep_nodes also the elements. Columns of pages with these names are replaced. No rows move."""
+    one; with keep_nodes also the elements that may make blocks or areas. Columns of pages with these names are replaced. No
+    rows move. Null or empty html has no area."""
     made = ("score", "n_blocks", "blocks", "nodes")
     pages = pages.drop(*[c for c in pages.columns if c in made and c != html_col])
-    carried = [c for c in pages.columns if c != html_col]
+    carried = [f for f in pages.schema.fields if f.name != html_col]
+    kinds = pages.sparkSession.createDataFrame([], f"score long, n_blocks long, blocks array<struct<{BLOCK_FIELDS}>>").schema.fields
+    kinds += [T.StructField("nodes", T.ArrayType(NODES))] if keep_nodes else []
+    names = [f.name for f in (*carried, *kinds)]
     base_col = "_base"
     while base_col in pages.columns:
         base_col += "_"
-    trees = page_trees(pages.withColumn(base_col, base_of(F.col(html_col), F.col(url))), html_col, SELECTED)
-    own = [*carried, *(["nodes"] if keep_nodes else [])]
-    base = F.col(base_col)
-
-    def area(items: Column) -> Column:
-        return _once(_best(_scored(items)), lambda a: F.when(a.isNotNull(), F.struct(a["score"].alias("score"), a["n_blocks"].alias("n_blocks"), _distinct(_shown(items, a["root"], a["last"])).alias("blocks"))))
 
-    return trees.select(*own, _once(_items(F.col("nodes"), base), area).alias("area")).select(*own, "area.score", "area.n_blocks", "area.blocks")
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows = [node_rows(html) for html in part.column(0).to_pylist()]
+                found = [content_of(r, base) or (None, None, None) for r, base in zip(rows, part.column(1).to_pylist())]
+                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), block_arrays([f[2] for f in found])]
+                columns += [node_arrays(rows, SELECTED)] if keep_nodes else []
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *columns], names=names)
+
+    return pages.select(html_col, base_of(F.col(html_col), F.col(url)).alias(base_col), *(F.col(f.name) for f in carried)).mapInArrow(areas, T.StructType([*carried, *kinds]))
 
 
 def page_blocks(pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:

@@ -194,6 +194,18 @@ def node_rows(html: str | None) -> list[tuple]:
     return rows
 
 
+def node_arrays(pages: list[list[tuple]], tags: frozenset[str] | None = None) -> pa.Array:
+    """The rows of each page (of tags or that may be a content area, if given) as a list of structs."""
+    found, ends = [], [0]
+    for rows in pages:
+        found += [r for r in rows if tags is None or r[3] in tags or r[10]]
+        ends.append(len(found))
+    columns = [list(c) for c in zip(*found)] or [[] for _ in _KINDS]
+    columns[4] = [list(a.items()) for a in columns[4]]
+    nodes = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[f.name for f in NODE_FIELDS])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+
+
 def page_trees(pages: DataFrame, html_col: str = "html", tags: frozenset[str] | None = None) -> DataFrame:
     """The columns of pages but the html, and nodes: an array of each page's elements (of tags or that may be a content area,
     if given) in document order. No rows move.
@@ -208,15 +220,9 @@ def page_trees(pages: DataFrame, html_col: str = "html", tags: frozenset[str] |
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                found, ends = [], [0]
-                for html in part.column(at).to_pylist():
-                    found += [r for r in node_rows(html) if tags is None or r[3] in tags or r[10]]
-                    ends.append(len(found))
-                columns = [list(c) for c in zip(*found)] or [[] for _ in _KINDS]
-                columns[4] = [list(a.items()) for a in columns[4]]
-                nodes = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[f.name for f in NODE_FIELDS])
                 own = [part.column(i) for i in range(part.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)], names=[*(f.name for f in carried), "nodes"])
+                nodes = node_arrays([node_rows(html) for html in part.column(at).to_pylist()], tags)
+                yield pa.RecordBatch.from_arrays([*own, nodes], names=[*(f.name for f in carried), "nodes"])
 
     return pages.mapInArrow(trees, T.StructType([*carried, T.StructField("nodes", T.ArrayType(NODES))]))
 
