@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import code_language, heading_level, inline_markdown_to_text, list_depth, normalize_indented_code, normalize_inline_markdown, normalize_text
 from ...sources.html_marks import parsed, units
-from ...sources.shared import shared_path
+from ...sources.shared import kept
 from ..blocks import absolute, image_source
 from ..islands import NUMBER_ONLY, runs
 from .course import BULLET, GRID_CELL, ITEM, LINK_ICON, ZONE, _first_below, _grids, _has, _items_around, _ordered, course_items, item_markdown
@@ -15,6 +15,9 @@ from .course import BULLET, GRID_CELL, ITEM, LINK_ICON, ZONE, _first_below, _gri
 # The classes of the family's pages, and what numbers the lines of an opening text.
 CONTENT, OPENING, AROUND_OPENING = "feishu-doc-content", "post-content", "content-container"
 TITLES = ("post-title", "article-title", "article_detail_title", "article-detail-title", "topic-title")
+#: The classes whose elements are read with inline Markdown, and those that are read as lines of an item.
+WANTED = frozenset((ITEM, ZONE, BULLET, GRID_CELL, OPENING, "block-code-content", "block-code-language", *TITLES))
+ZONES = frozenset((ZONE, BULLET))
 NUMBERED = r"^(?:\d+|[\x{4E00}\x{4E8C}\x{4E09}\x{56DB}\x{4E94}\x{516D}\x{4E03}\x{516B}\x{4E5D}\x{5341}\x{767E}]+)[\x{3001}.\x{FF0E}]\s*(.+)$"
 
 
@@ -34,14 +37,13 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     pages: page_id, url, html. Neighbouring list items become one paragraph, and what is in a quote, up to pictures, code
     and grids, one quote.
     """
-    spark = pages.sparkSession
-    m = parsed(pages.select("page_id", "url", "html"), frozenset((ITEM, ZONE, BULLET, GRID_CELL, OPENING, "block-code-content", "block-code-language", *TITLES)), tight=True)
-    path = shared_path(spark, "units")
-    parts = units(pages, ITEM, frozenset((ZONE, BULLET)), OPENING)
-    parts.write.parquet(path)
-    parts = spark.read.schema(parts.schema).parquet(path)
-
-    items = course_items(m)
+    m = parsed(pages.select("page_id", "url", "html"), WANTED, tight=True)
+    return blocks_of(m, kept(units(pages, ITEM, ZONES, OPENING), "units"))
+
+
+def blocks_of(m: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same from the pages' element rows and the parts of their items."""
+    items = kept(course_items(m), "items")
     inside = m.where(F.exists("anc", lambda a: _has(a["classes"], CONTENT)) | F.exists("anc", lambda a: _has(a["classes"], OPENING))).where(_has(F.col("classes"), ITEM)).select("page_id", "pre")
     live = items.join(inside, ["page_id", "pre"], "left_semi")
     text_code = m.where(_has(F.col("classes"), "block-code-content")).select("page_id", F.col("pre").alias("at"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"), normalize_indented_code(F.col("content")).alias("v"))
@@ -56,12 +58,13 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     ):
         facts = facts.join(part, ["page_id", "pre"], "left")
     level = heading_level(F.col("classes"))
-    facts = facts.withColumn("level", level).withColumn("whole", level.isNotNull() | (F.coalesce("code", F.lit("")) != "") | F.col("rows").isNotNull())
+    facts = kept(facts.withColumn("level", level).withColumn("whole", level.isNotNull() | (F.coalesce("code", F.lit("")) != "") | F.col("rows").isNotNull()), "items")
 
     # an item in a heading, code or grid isn't read by itself; its depth counts the list items around it
     around = facts.select("page_id", "pre", F.explode("path").alias("up")).join(facts.select("page_id", F.col("pre").alias("up"), F.col("whole").alias("up_whole"), F.col("is_list").alias("up_list"), F.col("quoted").alias("up_quoted")), ["page_id", "up"])
     around = around.groupBy("page_id", "pre").agg(F.bool_or("up_whole").alias("hidden"), F.count_if("up_list").cast("int").alias("depth"), F.min(F.when(F.col("up_quoted"), F.col("up"))).alias("up_quote"))
     read = facts.join(around, ["page_id", "pre"], "left").where("not coalesce(hidden, false)").withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("quote", F.coalesce("up_quote", F.when(F.col("quoted") & ~F.col("whole"), F.col("pre"))))
+    read = kept(read, "items")
 
     # rows in the order (start of the item, number of the part); a part that follows an item in it starts after that
     place = F.struct(F.col("start").alias("start"), F.col("at").alias("at"))
@@ -72,7 +75,7 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     ).where("type = 'table' or coalesce(text, '') <> ''")
     last_item = F.last(F.when(F.col("kind") == "item", F.col("last")), ignorenulls=True).over(Window.partitionBy("page_id", "owner").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     ends = m.select("page_id", F.col("pre").alias("node"), "last")
-    placed = parts.join(ends, ["page_id", "node"], "left").withColumn("start", F.coalesce(last_item, F.col("owner")))
+    placed = kept(parts.join(ends, ["page_id", "node"], "left").withColumn("start", F.coalesce(last_item, F.col("owner"))), "units")
     of_item = placed.join(read.where("not whole").select("page_id", F.col("pre").alias("owner"), "quote", "depth", "is_list", "numbered"), ["page_id", "owner"])
     lines = _texts(of_item)
     alone = read.where("not whole and coalesce(n_parts, 0) = 0").select("page_id", F.col("pre").alias("owner"), F.col("pre").alias("start"), F.lit(-1).alias("at"), F.lit("text").alias("kind"), F.col("markdown").alias("inline"), "quote", "depth", "is_list", "numbered")
@@ -88,7 +91,7 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     for part in (solid, pictures.drop("node"), heads, opening):
         every = every.unionByName(part, allowMissingColumns=True)
     ranked = every.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy(place)))
-    return _compact(_quotes(_numbers(ranked, "quote")))
+    return _compact(_quotes(kept(_numbers(ranked, "quote"), "blocks")))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def _compact(rows: DataFrame) -> DataFrame:
     key = F.struct("type", F.when(F.col("type") == "image", F.concat_ws(" ", "pos")).otherwise(F.concat_ws("\x1f", F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("markdown", F.lit("")), F.coalesce(F.col("ordered").cast("string"), F.lit("false")), F.coalesce(F.col("depth").cast("string"), F.lit("")), F.coalesce(F.to_json("rows"), F.lit("")))))
     firsts = rows.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", key).orderBy("pos"))).where("nr = 1").drop("nr")
     dense = firsts.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).withColumn("loose", F.lit(None).cast("int"))
-    merged = _numbers(dense, "loose").drop("loose")
+    merged = kept(_numbers(dense, "loose").drop("loose"), "blocks")
     grouped = runs(merged, F.col("type") == "listItem", "page_id", "pos")
     size = F.count(F.lit(1)).over(Window.partitionBy("page_id", "run"))
     sized = grouped.withColumn("size", size)

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ...functions.text import code_language, heading_level, inline_markdown_to_text, normalize_indented_code, normalize_inline_markdown, normalize_text
 from ...functions.urls import absolute_url
 from ...sources.html_marks import parsed
+from ...sources.shared import kept
 from ..blocks import absolute, image_source
 
 # The classes of the family's pages.
 ITEM, ZONE, BULLET, SECTION, CONTENT, GRID, GRID_CELL = "vc-doc-item", "block-text", "bulletlist", "level2-section", "vc-course-content", "table", "table_cell"
 LIST_MARKS = ("bullet_container", "bullet-dot", BULLET)
 CHROME = ("course-complete", "next-chapter-card")
+#: The classes whose elements are read with inline Markdown.
+WANTED = frozenset((ITEM, ZONE, BULLET, GRID_CELL, "title", "block-code-content", "block-code-language"))
 LINK_ICON = r"(?i)/images/docx/link\.png$"
 
 
@@ -85,8 +88,12 @@ def course_blocks(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url, html. Grid cells hold the lines of their items or their own; pictures of a grid come after its rows.
     """
-    m = parsed(pages.select("page_id", "url", "html"), frozenset((ITEM, ZONE, BULLET, GRID_CELL, "title", "block-code-content", "block-code-language")), tight=True)
-    items = course_items(m)
+    return blocks_of(parsed(pages.select("page_id", "url", "html"), WANTED, tight=True))
+
+
+def blocks_of(m: DataFrame) -> DataFrame:
+    """The same from the pages' element rows."""
+    items = kept(course_items(m), "items")
     sections = items.where("in_section and in_root").select("page_id").distinct().withColumn("sectioned", F.lit(True))
     live = items.where("in_root and not chrome").join(sections, "page_id", "left").where("in_section or sectioned is null")
 

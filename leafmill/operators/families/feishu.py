@@ -16,6 +16,8 @@ from ..blocks import absolute, image_source
 ROOT, ZONE, LINE, CODE_ZONE = "docx-page-block", "zone-container", "ace-line", "code-block-zone-container"
 QUOTE, TABLE, CELL, CODE, IMAGE, ORDERED, BULLET, TEXT = (f"docx-{x}-block" for x in ("quote_container", "table", "table_cell", "code", "image", "ordered", "bullet", "text"))
 MANAGED = (QUOTE, TABLE, CELL, CODE)
+#: The classes whose elements are read with inline Markdown.
+WANTED = frozenset((LINE, ZONE))
 
 
 def _has(classes: Column, *names: str) -> Column:
@@ -82,7 +84,11 @@ def feishu_blocks(pages: DataFrame) -> DataFrame:
     pages: page_id, url, html. Equal source ids are one block. The order is that of the page; the place on the screen, which
     a rendered page would give as source_order, isn't known here, so a numeric block id stands for it.
     """
-    m = parsed(pages.select("page_id", "url", "html"), frozenset((LINE, ZONE)), tight=False)
+    return blocks_of(parsed(pages.select("page_id", "url", "html"), WANTED, tight=False))
+
+
+def blocks_of(m: DataFrame) -> DataFrame:
+    """The same from the pages' element rows."""
     values = _values(m)
     around = F.filter("anc", _is_block)
     root = F.get(F.filter("anc", lambda a: _is_block(a) & F.array_contains(a["classes"], ROOT)), F.lit(0))["pre"]

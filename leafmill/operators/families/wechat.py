@@ -33,11 +33,16 @@ def _pictures(m: DataFrame) -> DataFrame:
 def wechat_blocks(pages: DataFrame) -> DataFrame:
     """page_id, pos, type, text, markdown, src, alt, source_id, source_order of each page with the family's content element."""
     pages = pages.select("page_id", "url", "html")
-    texts = markdown_rows(pages).select("page_id", F.posexplode(F.split("markdown", f"(?={OPEN})|(?<={CLOSE})")).alias("at", "part"))
+    return blocks_of(parsed(pages, frozenset(), tight=True), markdown_rows(pages))
+
+
+def blocks_of(m: DataFrame, markdown: DataFrame) -> DataFrame:
+    """The same from the pages' element rows and their Markdown."""
+    texts = markdown.select("page_id", F.posexplode(F.split("markdown", f"(?={OPEN})|(?<={CLOSE})")).alias("at", "part"))
     number = F.regexp_extract("part", f"{OPEN}(\\d+){CLOSE}", 1)
     parts = texts.withColumn("node", F.nullif(number, F.lit("")).cast("int"))
 
-    placed = parts.where("node is not null").join(_pictures(parsed(pages, frozenset(), tight=True)), ["page_id", "node"])
+    placed = parts.where("node is not null").join(_pictures(m), ["page_id", "node"])
     firsts = placed.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", "key").orderBy("at"))).where("nr = 1")
     images = firsts.select("page_id", "at", F.lit("image").alias("type"), "src", "alt", F.concat(F.lit("wechat:image:"), "key").alias("source_id"))
 

@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions.lines import plain_lists
 from ..functions.markdown import BLOCK, document_markdown, table_markdown
 from ..operators import blocks as B
-from ..operators import export, islands, merge, zip_sink
+from ..operators import dispatch, export, islands, merge, zip_sink
 from ..operators import media as media_ops
 from ..operators.families import article, course, feishu, wechat
 from ..sources.html_nodes import SELECTED, dom_nodes
@@ -280,16 +280,20 @@ def _as_html(text: Column) -> Column:
     return out
 
 
-def _family_pages(spark: SparkSession, sf_dir: str, url: str, head: str, tail: str, forms: tuple[str, ...]) -> DataFrame:
-    """A page for each document, whose lines take turns in the forms of a family's blocks: %n is a line's number, %s its text."""
+def _family_html(head: str, tail: str, forms: tuple[str, ...]) -> Column:
+    """A document as a page, whose lines take turns in the forms of a family's blocks: %n is a line's number, %s its text."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def block(line: Column, i: Column) -> Column:
         form = F.element_at(F.array(*map(F.lit, forms)), (i % len(forms) + 1).cast("int"))
         return F.replace(F.replace(form, F.lit("%n"), (i + 1).cast("string")), F.lit("%s"), _as_html(line))
 
-    html = F.concat(F.lit(head), F.array_join(F.transform(lines, block), ""), F.lit(tail))
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(url).alias("url"), html.alias("html"))
+    return F.concat(F.lit(head), F.array_join(F.transform(lines, block), ""), F.lit(tail))
+
+
+def _family_pages(spark: SparkSession, sf_dir: str, url: str, head: str, tail: str, forms: tuple[str, ...]) -> DataFrame:
+    """A page for each document."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(url).alias("url"), _family_html(head, tail, forms).alias("html"))
 
 
 #: A generic page's kinds of blocks, in turn.
@@ -387,13 +391,67 @@ def wechat_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wechat.wechat_blocks(pages).select("page_id", "pos", "type", F.md5("markdown").alias("markdown_md5"), "src", "alt", "source_id")
 
 
+_ZONE = '<div class="zone-container" data-slate-editor="true"><div class="ace-line">%s</div></div>'
+_FEISHU = (
+    *(f'<div class="block docx-{kind}-block" data-block-id="%n">{_ZONE}</div>' for kind in ("text", "bullet", "heading2", "ordered")),
+    '<div class="block docx-code-block" data-block-id="%n"><div class="code-block-zone-container"><div class="ace-line">%s</div></div></div>',
+    '<div class="block docx-image-block" data-block-id="%n"><img src="/i/%n.png" alt="%s"></div>',
+    f'<div class="block docx-table-block" data-block-id="%n"><table><tr><td class="block docx-table_cell-block" data-block-id="c%n"><div class="block docx-text-block" data-block-id="t%n">{_ZONE}</div></td><td>n %n</td></tr></table></div>',
+    f'<div class="block docx-quote_container-block" data-block-id="%n"><div class="block docx-text-block" data-block-id="q%n">{_ZONE}</div></div>',
+)
+_LISTED = '<div class="bullet_container"><div class="bulletlist">%s</div></div>'
+_ITEMS = (
+    '<div class="vc-doc-item"><div class="block-text">%s</div></div>',
+    f'<div class="vc-doc-item">{_LISTED}</div>',
+    '<div class="vc-doc-item doc-heading-3"><div class="block-text">%s</div></div>',
+    '<div class="vc-doc-item"><div class="quote_container"><div class="block-text">%s</div></div></div>',
+    '<div class="vc-doc-item"><div class="block-code-language">Plain Text</div><div class="block-code-content">  %s</div></div>',
+    '<div class="vc-doc-item"><div class="table table_2"><div class="table_cell">%s</div><div class="table_cell">n %n</div><div class="table_cell">x</div></div></div>',
+    f'<div class="vc-doc-item">{_LISTED}<div class="vc-doc-item">{_LISTED.replace("%s", "in %s")}</div></div>',
+)
+_VIDEO = '<div class="vc-doc-item"><div class="block-file video"><div class="title">%s</div><video class="video-preview" src="https://v.example.com/%n.mp4"></video></div></div>'
+_PICTURED = '<div class="vc-doc-item"><div class="block-text">%s</div><img src="/i/%n.png" alt="%s"></div>'
+_ACCOUNT = ("<p>%s</p>", "<h2>%s</h2>", "<p> %s <br></p>", '<p><img data-src="https://mmbiz.qpic.cn/%n?wx_fmt=png&amp;tp=webp" alt="%s"></p>')
+
+
+def _site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of all families in turn, and as pages that a family's address names but that lack its root: with
+    nested lists, tables, grids, code, pictures and videos."""
+    generic = '<html><head>%t</head><body><nav><a href=x>menu</a></nav><article>', "</article></body></html>"
+    sites = (
+        ("https://mp.weixin.qq.com/s/1", '<h1 id="activity-name"> Account  page </h1><div id="js_content">', '<p style="display:none">unseen</p></div>', _ACCOUNT),
+        ("https://scys.com/articleDetail/xq_topic/1", '<main><h1>abc</h1><h1 class="topic-title">A topic</h1><div class="feishu-doc-content">', "</div></main>", (*_ITEMS, _PICTURED)),
+        ("https://scys.com/course/detail/1", '<title>Site</title><main><h1>Course</h1><div class="feishu-doc-content">', "</div></main>", (*_ITEMS, _VIDEO)),
+        ("https://a.feishu.cn/docx/1", '<title>Doc &amp; more</title><div class="block docx-page-block" data-block-id="0">', "</div>", _FEISHU),
+        ("https://www.example.com/docs/page", generic[0].replace("%t", "<title> Rich  page</title>"), generic[1], _RICH),
+        ("https://scys.com/course/detail/1", generic[0].replace("%t", ""), generic[1], _RICH),
+    )
+    which, url, html = F.col("doc_id") % len(sites), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (address, head, tail, forms) in enumerate(sites):
+        url, html = F.when(which == n, F.lit(address)).otherwise(url), F.when(which == n, _family_html(head, tail, forms)).otherwise(html)
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def mixed_site_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a mixed table, each parsed once and read by its site's reader. The text of public-account pages is made
+    of their Markdown, which is what is compared."""
+    found = dispatch.read_pages(_site_pages(spark, sf_dir))
+    text = F.when(F.col("family") != "wechat", F.col("text"))
+    return found.select("page_id", "family", "pos", "type", "level", text.alias("text"), "markdown", "ordered", "depth", "language", "src", "alt", "href", F.to_json("rows").alias("rows"), "source_id")
+
+
+def mixed_site_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each page of a mixed table, and who reads it."""
+    return dispatch.parse(_site_pages(spark, sf_dir)).titles()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
-        media_localized, export_archives, article_page_blocks, wechat_page_blocks,
+        media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
     )
 }
 # the names under which the queries over whole texts were registered first

@@ -196,3 +196,71 @@ select page_id, kind, idx::int as idx, src, reason is null as ok, reason, case w
        case when reason is null then md5(unhex(start) || encode(text)) end as data_md5 from v""",
 }
 ORACLES |= {"line_overlap_merge_whole": ORACLES["line_overlap_merge"], "table_render_whole": ORACLES["table_render"]}
+
+
+# ---- pages of all families in one table
+
+
+def _of_site(name: str, k: int) -> str:
+    """The SQL of a query over the documents that are pages of one site."""
+    return ORACLES[name].replace("from documents)", f"from documents where doc_id % 6 = {k})")
+
+
+def _site_lines(k: int, forms: int) -> str:
+    return f"""l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents where doc_id % 6 = {k})),
+n as (select page_id, i, i + 1 as n, i % {forms} as k, {_normal("line")} as md, {_normal("regexp_replace(line, '[*~]+', '', 'g')")} as text, {_normal("'in ' || line")} as md_in, {_normal("'in ' || regexp_replace(line, '[*~]+', '', 'g')")} as text_in,
+  rtrim('  ' || regexp_replace(line, '{INVISIBLE}', '', 'g'), ' ' || chr(9)) as code from l)"""
+
+
+# of the items of the course family: a paragraph, list items, a heading, a quote, code, a grid, nested list items
+_ITEM_ROWS = """select page_id, n, 0 as part, ['paragraph', 'listItem', 'heading', 'quote'][k + 1] as type, case when k = 2 then 3 end as level, case when k = 2 then md else text end as text, case when k <> 2 then md end as markdown,
+  case when k = 1 then false end as ordered, case when k = 1 then 0 end as depth, null as language, null as src, null as alt, null as rows from n where k < 4 and text <> ''
+union all select page_id, n, 0, case when code = '' then 'paragraph' else 'code' end, null, case when code = '' then 'Plain Text' else code end, case when code = '' then 'Plain Text' end, null, null, case when code <> '' then 'text' end, null, null, null from n where k = 4
+union all select page_id, n, 0, 'table', null, null, null, null, null, null, null, null, to_json([[md, 'n ' || n], ['x', '']])::varchar from n where k = 5
+union all select page_id, n, 0, 'listItem', null, text, md, false, 0, null, null, null, null from n where k = 6 and text <> ''
+union all select page_id, n, 1, 'listItem', null, text_in, md_in, false, 1, null, null, null, null from n where k = 6"""
+_SITE_COLUMNS = "page_id, family, pos, type, level, text, markdown, ordered, depth, language, src, alt, href, rows, source_id"
+
+_SITE_FEISHU = f"""with {_site_lines(3, 8)},
+r as (select *, ['paragraph', 'listItem', 'heading', 'listItem', 'code', 'image', 'table', 'quote'][k + 1] as type from n where k in (5, 6) or (md <> '' and (k <> 2 or text <> '')))
+select page_id, 'feishu' as family, row_number() over (partition by page_id order by n) as pos, type, case when k = 2 then 2 end as level, case when k = 4 then md when k in (5, 6) then null else text end as text,
+  case when k in (0, 1, 3, 7) then md end as markdown, case when k in (1, 3) then k = 3 end as ordered, case when k in (1, 3) then 0 end as depth, null as language,
+  case when k = 5 then 'https://a.feishu.cn/i/' || n || '.png' end as src, case when k = 5 then md end as alt, null as href, case when k = 6 then to_json([[md, 'n ' || n]])::varchar end as rows,
+  case k when 5 then 'feishu-image:' when 7 then 'feishu-block:q' else 'feishu-block:' end || n as source_id from r"""
+
+_SITE_COURSE = f"""with {_site_lines(2, 8)},
+r as ({_ITEM_ROWS} union all select page_id, n, 0, 'video', null, coalesce(nullif(md, ''), 'Video'), null, null, null, null, 'https://v.example.com/' || n || '.mp4', null, null from n where k = 7),
+d as (select * from r qualify row_number() over (partition by page_id, type, level, text, markdown, ordered, depth, src, rows order by n, part) = 1)
+select page_id, 'scys' as family, row_number() over (partition by page_id order by n, part) as pos, type, level, text, markdown, ordered, depth, language, src, alt, null as href, rows,
+  case type when 'table' then 'scys:' || n || ':table' when 'video' then 'scys:' || n || ':video:0' end as source_id from d"""
+
+_SITE_ARTICLE = f"""with {_site_lines(1, 8)},
+r as ({_ITEM_ROWS} union all select page_id, n, 0, 'paragraph', null, text, md, null, null, null, null, null, null from n where k = 7 and text <> ''
+  union all select page_id, n, 1, 'image', null, null, null, null, null, null, 'https://scys.com/i/' || n || '.png', md, null from n where k = 7),
+d as (select * from r qualify row_number() over (partition by page_id, type, level, text, markdown, ordered, depth, src, rows order by n, part) = 1),
+e as (select *, row_number() over (partition by page_id order by n, part) - row_number() over (partition by page_id, type order by n, part) as run from d),
+g as (select *, type = 'listItem' and count(*) over (partition by page_id, type, run) > 1 as many from e),
+j as (select page_id, n, part, type, level, text, markdown, ordered, depth, language, src, alt, rows from g where not many union all
+  select page_id, min(n), min(part), 'paragraph', null, string_agg('- ' || text, ' ' order by n, part), string_agg(repeat('    ', depth) || '- ' || markdown, chr(10) order by n, part), null, null, null, null, null, null from g where many group by page_id, run)
+select page_id, 'scys-article' as family, row_number() over (partition by page_id order by n, part) as pos, type, level, text, markdown, ordered, depth, language, src, alt, null as href, rows, null as source_id from j"""
+
+_SITE_GENERIC = "select page_id, 'generic' as family, pos, type, level, text, null as markdown, null::boolean as ordered, null::int as depth, null as language, src, alt, href, null as rows, null as source_id"
+_SITE_WECHAT = rf"""with l as (select doc_id as page_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents where doc_id % 6 = 0)),
+n as (select page_id, i, i % 4 as k, {_normal("line")} as t, regexp_replace({_normal("line")}, '([\\*_`\[\]])', '\\\1', 'g') as e, sum((i % 4 = 3)::int) over (partition by page_id order by i) as cut from l),
+m as (select page_id, cut, min(i) as i, string_agg(case when k = 1 then '## ' || e else e end, chr(10) || chr(10) order by i) as md from n where k < 3 and t <> '' group by page_id, cut),
+u as (select page_id, i, 'paragraph' as type, md, null as src, null as alt from m union all
+  select page_id, i, 'image', null, 'https://mmbiz.qpic.cn/' || (i + 1) || '?wx_fmt=png&tp=webp', t from n where k = 3)
+select page_id, 'wechat' as family, row_number() over (partition by page_id order by i) as pos, type, null::int as level, null as text, md as markdown, null::boolean as ordered, null::int as depth, null as language, src, alt, null as href, null as rows,
+       case when type = 'image' then 'wechat:image:' || regexp_replace(src, '&tp=webp$', '') else 'wechat:text:' || row_number() over (partition by page_id, type order by i) end as source_id from u"""
+
+ORACLES |= {
+    "mixed_site_blocks": " union all ".join(
+        f"select {_SITE_COLUMNS} from ({part})"
+        for part in (
+            _SITE_WECHAT, _SITE_ARTICLE, _SITE_COURSE, _SITE_FEISHU, f"{_SITE_GENERIC} from ({_of_site('rich_page_blocks', 4)})",
+            f"{_SITE_GENERIC} from ({_of_site('rich_page_blocks', 5).replace('https://www.example.com/docs/page', 'https://scys.com/course/detail/1').replace('https://www.example.com/docs/', 'https://scys.com/course/detail/').replace('https://www.example.com/', 'https://scys.com/')})",
+        )
+    ),
+    "mixed_site_titles": """select doc_id as page_id, ['wechat', 'scys-article', 'scys', 'feishu', 'generic', 'generic'][doc_id % 6 + 1] as family,
+  ['Account page', 'A topic', 'Course', 'Doc & more', 'Rich page', 'Web Clip'][doc_id % 6 + 1] as title from documents""",
+}

@@ -183,6 +183,11 @@ def page_markdown(html: str | None) -> tuple[str, str, int, int] | None:
     root = next((i for i, a in enumerate(page.attrs) if a.get("id") == "js_content"), None)
     if root is None:
         return None
+    return tree_markdown(page, root)
+
+
+def tree_markdown(page: Page, root: int) -> tuple[str, str, int, int]:
+    """The values of ROW for the content below root."""
     return "\n\n".join(page.blocks(root)), squeeze(page.source_text(root)), page.n_code, len(page._below(root, "table"))
 
 

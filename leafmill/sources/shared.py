@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -20,3 +20,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         root = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/leafmill-{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what several steps build on is worked out once, and plans stay small."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
