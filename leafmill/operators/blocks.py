@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import text_of
 from ..sources.html_nodes import NODES, SELECTED, node_arrays, node_rows
-from ..sources.page_content import LAZY, PLACEHOLDER, block_arrays, content_of
+from ..sources.page_content import BASE, LAZY, PLACEHOLDER, block_arrays, content_of
 
 
 def first_attr(attrs: Column, names: tuple[str, ...]) -> Column:
@@ -24,9 +24,8 @@ def image_source(attrs: Column) -> Column:
     return F.when((lazy != "") & ((shown == "") | F.trim(shown).rlike(f"(?i){PLACEHOLDER.pattern}")), lazy).when(shown != "", shown).otherwise(lazy)
 
 
-# An address with dots as a part of its path, and the address that a page's relative ones count from.
+# Fixed value: an address with dots as a part of its path.
 DOTTED = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/\.{1,2}(?:[/?#]|$)"
-BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:

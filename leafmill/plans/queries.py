@@ -16,6 +16,7 @@ from ..operators import blocks as B
 from ..operators import dispatch, export, islands, merge, zip_sink
 from ..operators import media as media_ops
 from ..operators.families import article, course, feishu, wechat
+from ..sources import block_table
 from ..sources.html_nodes import SELECTED, dom_nodes
 from ..sources.shared import shared_path
 from ..streaming.collector import Policy, collect
@@ -47,6 +48,13 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.where("blocks is not null").select("page_id", "score", "n_blocks")
 
 
+def page_blocks_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of pages by the table function, in SQL."""
+    block_table.register(spark)
+    _table(spark, sf_dir, "pages").createOrReplaceTempView("leafmill_pages")
+    return spark.sql("select p.page_id, b.pos, b.type, b.level, b.text from leafmill_pages p, lateral extract_blocks(p.html, p.url) b")
+
+
 def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("page_id").alias("n_pages"))
 
@@ -448,7 +456,7 @@ def mixed_site_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        page_blocks, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
+        page_blocks, page_blocks_lateral, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,

@@ -235,7 +235,7 @@ select page_id, 'scys' as family, row_number() over (partition by page_id order
   case type when 'table' then 'scys:' || n || ':table' when 'video' then 'scys:' || n || ':video:0' end as source_id from d"""
 
 _SITE_ARTICLE = f"""with {_site_lines(1, 8)},
-r as ({_ITEM_ROWS} union all select page_id, n, 0, 'paragraph', null, text, md, null, null, null, null, null, null from n where k = 7 and text <> ''
+r as ({_ITEM_ROWS.replace("case when k = 2 then md else text end as text", "text")} union all select page_id, n, 0, 'paragraph', null, text, md, null, null, null, null, null, null from n where k = 7 and text <> ''
   union all select page_id, n, 1, 'image', null, null, null, null, null, null, 'https://scys.com/i/' || n || '.png', md, null from n where k = 7),
 d as (select * from r qualify row_number() over (partition by page_id, type, level, text, markdown, ordered, depth, src, rows order by n, part) = 1),
 e as (select *, row_number() over (partition by page_id order by n, part) - row_number() over (partition by page_id, type order by n, part) as run from d),
@@ -264,3 +264,4 @@ ORACLES |= {
     "mixed_site_titles": """select doc_id as page_id, ['wechat', 'scys-article', 'scys', 'feishu', 'generic', 'generic'][doc_id % 6 + 1] as family,
   ['Account page', 'A topic', 'Course', 'Doc & more', 'Rich page', 'Web Clip'][doc_id % 6 + 1] as title from documents""",
 }
+ORACLES["page_blocks_lateral"] = ORACLES["page_blocks"]

@@ -23,6 +23,9 @@ PLACEHOLDER = re.compile(r"^data:image/svg\+xml(?:[;,]|$)|/pic_blank\.gif(?:[?#]
 _VISITS = re.compile(r"^https?://(?:[^/?#:@]*\.)?mmbiz\.qpic\.cn(?=[/?#:]|$)", re.I)
 _CHANGES = re.compile(r"^(?:tp|wxfrom|wx_lazy)(?:=|$)")
 
+# Fixed value: the address that a page's relative ones count from.
+BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+
 KINDS = {**dict.fromkeys(HEADINGS, "heading"), "li": "listItem", "blockquote": "quote", "pre": "code", "img": "image", "video": "video", "source": "video", "a": "link"}
 _SCHEME = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
 _ORIGIN = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*")
@@ -68,6 +71,12 @@ def absolute(href: str, base: str) -> str:
     return _without_dots(found)
 
 
+def base_href(html: str | None) -> str:
+    """The address in a page's base element, empty without one."""
+    found = re.search(BASE, html or "")
+    return found[1] if found else ""
+
+
 def _first(attrs: dict[str, str], names: tuple[str, ...]) -> str:
     return next((attrs[n] for n in names if attrs.get(n)), "")
 
@@ -108,7 +117,7 @@ def _key(block: tuple) -> tuple:
 
 
 def _units(text: str) -> int:
-    return len(text) if text.isascii() else len(text) + sum(ord(c) > 0xFFFF for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def content_of(nodes: list[tuple], base: str) -> tuple[int, int, list[tuple]] | None:
