@@ -25,6 +25,8 @@ POLICIES = (
     ("feishu", "accumulate", 4, None, False, 900),
     ("generic", "ordered", 4, None, False, 900),
 )
+#: The families whose pages are collected until the bottom stays the same; others also end where scrolling ends.
+STABLE_BOTTOM = ("wechat", "scys-article", "scys")
 POLICY_SCHEMA = "adapter string, merge_mode string, stable_rounds int, most_rounds int, strict boolean, wait_ms int"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import kept
 from ..sources.site_pages import SitePages, parse_pages
 from .blocks import base_of
 from .families import article, course, feishu, wechat
@@ -42,7 +43,8 @@ def site_blocks(parsed: SitePages) -> DataFrame:
         columns = [(F.col(n) if n in found.columns else F.lit(None)).cast(t).alias(n) for n, t in fields]
         return found.select("page_id", F.lit(family).alias("family"), F.col("pos").cast("int").alias("pos"), *columns)
 
-    return reduce(DataFrame.unionByName, (tagged(f, d) for f, d in by_family.items()))
+    # one reader after another: a plan of all of them at once would be the driver's largest
+    return reduce(DataFrame.unionByName, (kept(tagged(f, d), "site-blocks") for f, d in by_family.items()))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

@@ -79,30 +79,43 @@ def overlap(left: str, right: str) -> str | None:
     return a + b[size:] if size else None
 
 
+class Fragments:
+    """What merge_fragments() makes of the blocks so far; places has the place of each key, None for what is a part of another
+    block or was joined."""
+
+    def __init__(self, out: list[dict] | None = None, places: dict[str, int | None] | None = None, faithful: bool = True) -> None:
+        self.out, self.places, self.faithful = out if out is not None else [], places if places is not None else {}, faithful
+
+    def add(self, block: dict) -> None:
+        out, k = self.out, key(block)
+        if k in self.places:
+            if block.get("source_id") and self.places[k] is not None:
+                out[self.places[k]] = fuse(out[self.places[k]], block)
+            return
+        plain = lambda b: b.get("type") == "paragraph" and not b.get("source_id")
+        joined = overlap(out[-1].get("text"), block.get("text")) if out and plain(out[-1]) and plain(block) else None
+        self.places[k] = None if joined is not None else len(out)
+        if joined is None:
+            out.append(dict(block))
+        else:
+            out[-1] = out[-1] | {"text": joined} | ({} if self.faithful else {"markdown": None})
+            self.places[key(out[-1])] = len(out) - 1
+
+    def merged(self) -> list[dict]:
+        if all(b.get("source_order") is not None for b in self.out):
+            return sorted(self.out, key=lambda b: b["source_order"])
+        return self.out
+
+
 def merge_fragments(fragments: Iterable[list[dict]], faithful: bool = True) -> list[dict]:
     """All rounds one after another: distinct, overlapping paragraphs joined, in source order if every block has one.
 
     A joined paragraph keeps its Markdown, which then lacks the tail; without faithful it is dropped, so that the text shows.
     """
-    out: list[dict] = []
-    place: dict[str, int | None] = {}
-    plain = lambda b: b.get("type") == "paragraph" and not b.get("source_id")
+    found = Fragments(faithful=faithful)
     for block in (b for blocks in fragments for b in blocks):
-        k = key(block)
-        if k in place:
-            if block.get("source_id") and place[k] is not None:
-                out[place[k]] = fuse(out[place[k]], block)
-            continue
-        joined = overlap(out[-1].get("text"), block.get("text")) if out and plain(out[-1]) and plain(block) else None
-        place[k] = None if joined is not None else len(out)
-        if joined is None:
-            out.append(dict(block))
-        else:
-            out[-1] |= {"text": joined} | ({} if faithful else {"markdown": None})
-            place[key(out[-1])] = len(out) - 1
-    if all(b.get("source_order") is not None for b in out):
-        out.sort(key=lambda b: b["source_order"])
-    return out
+        found.add(block)
+    return found.merged()
 
 
 def merge_ordered(known: list[dict], snapshot: list[dict]) -> list[dict]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators.families import article, course, feishu, wechat
 from ..sources import block_table
 from ..sources.html_nodes import SELECTED, dom_nodes
 from ..sources.shared import shared_path
+from ..streaming import page_collector
 from ..streaming.collector import Policy, collect
 
 #: The capture time of all exports; a real job takes it from a column.
@@ -274,6 +276,44 @@ def collector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("page_id", "s.rounds", "s.n_blocks", "s.idle", "s.status")
 
 
+#: Pages end by these policies: the families', with limits of rounds that the table's pages can reach.
+_POLICIES = page_collector.policies(wechat={"most_rounds": 60}, scys_article={"most_rounds": 50, "stable_rounds": 3}, scys={"stable_rounds": 3})
+
+
+def _scrolled(events: DataFrame) -> DataFrame:
+    """Events as rounds of users' pages of all families in turn: each shows three paragraphs, some of them new."""
+    families = F.array(*[F.lit(p[0]) for p in U.POLICIES])
+    texts = (F.concat_ws(" ", "event_type", F.hour("ts") % 4), F.concat_ws(" ", F.lit("what comes again:"), F.dayofmonth("ts")), F.col("event_type"))
+    kinds = {"level": "int", "ordered": "boolean", "depth": "int", "source_order": "double"}
+    block = lambda t: F.struct(*[(F.lit("paragraph") if f == "type" else t if f == "text" else F.lit(None)).cast(kinds.get(f, "string")).alias(f) for f in page_collector.FIELDS])
+    height = F.when(F.col("event_type") == "view", 1500.0).otherwise(1000.0)
+    return events.select(
+        F.col("user_id").alias("page_id"), F.element_at(families, (F.col("user_id") % len(U.POLICIES) + 1).cast("int")).alias("family"), F.col("event_id").alias("round"), F.col("ts").cast("timestamp").alias("ts"), F.array(*map(block, texts)).alias("blocks"),
+        (F.col("event_id") % 37 != 0).alias("moved"), F.when(F.col("event_type") == "error", 0.0).otherwise(height).alias("scroll_top"), height.alias("max_scroll_top"),
+    )
+
+
+def collector_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rounds of pages of all families: three ways of merging, five ways of ending, and the rounds that come late."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    out, marks = shared_path(spark, "collected"), shared_path(spark, "collector")
+    name, before = page_collector.PROVIDER[0], spark.conf.get(page_collector.PROVIDER[0])
+    spark.conf.set(*page_collector.PROVIDER)
+    try:
+        found = page_collector.collect_pages(_scrolled(stream), _POLICIES, gap=timedelta(days=2), delay="1 hour")
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    rows = spark.read.schema(found.schema).parquet(out)
+    # of a page's states the last: a timer's has the same counters and another status
+    last = F.max_by(F.struct("rounds", "n_blocks", "before", "after", "removed", "idle", "late", "status"), F.struct("rounds", "late", F.col("status") != "running"))
+    states = rows.where("kind = 'state'").groupBy("page_id").agg(last.alias("s"))
+    late = rows.where("kind = 'late'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_late"), F.min("round").alias("first_late"))
+    return states.join(late, "page_id", "left").select("page_id", "s.rounds", "s.n_blocks", "s.before", "s.after", "s.removed", "s.idle", "s.status", F.coalesce("n_late", F.lit(0)).alias("n_late"), "first_late")
+
+
 def doc_plain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each text as items with a dot, blank lines between them, written as one list."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line) != "")
@@ -460,6 +500,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
+        collector_policies,
     )
 }
 # the names under which the queries over whole texts were registered first
