@@ -241,6 +241,14 @@ def zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_sink.zip_archives(_page_entries(spark, sf_dir)).select(F.col("archive_id").alias("page_id"), "n_entries", "n_bytes", F.sha2("bytes", 256).alias("bytes_sha256"))
 
 
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of documents as files, written by all tasks together and read back."""
+    path = shared_path(spark, "archives")
+    zip_sink.write_archives(_entries(spark, sf_dir), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("archive_id"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("bytes_sha256"))
+
+
 def coverage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each article's text its blocks have."""
     areas = B.page_areas(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_nodes=True)
@@ -500,7 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
-        collector_policies,
+        collector_policies, archive_files,
     )
 }
 # the names under which the queries over whole texts were registered first
