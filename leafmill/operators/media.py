@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
@@ -36,7 +36,8 @@ def localize(media: DataFrame, assets: DataFrame, page: str = "page_id") -> Data
     own = M.embedded_image(F.col("embedded"))
     image = M.image_verdict(F.col("status"), F.col("content_type"), F.col("request.href"), F.col("data"))
     video = M.video_verdict(F.col("status"), F.col("content_type"), F.col("data"))
-    refused = F.struct(F.lit(False).alias("ok"), F.col("request.reason").alias("reason"), F.lit(None).cast("string").alias("extension"))
+    why = F.when(F.col("kind") == "video", F.replace("request.reason", F.lit("unsafe image URL"), F.lit("unsafe video URL"))).otherwise(F.col("request.reason"))
+    refused = F.struct(F.lit(False).alias("ok"), why.alias("reason"), F.lit(None).cast("string").alias("extension"))
     verdict = F.when(F.col("embedded").isNotNull(), F.struct(own["ok"].alias("ok"), own["reason"].alias("reason"), own["extension"].alias("extension"))).when(~F.col("request.ok"), refused).when(F.col("kind") == "video", video).otherwise(image)
     name = F.when(F.col("kind") == "video", M.video_name(F.col("idx"))).otherwise(M.image_name(F.col("idx"), F.col("verdict.extension")))
     return got.withColumn("verdict", verdict).select(
@@ -44,6 +45,15 @@ def localize(media: DataFrame, assets: DataFrame, page: str = "page_id") -> Data
     )
 
 
+def observed(localized: DataFrame, name: str = "media") -> tuple[DataFrame, Observation]:
+    """localized, and how many pictures and videos there are, were localised and failed: counted by the job that uses the rows
+    first, as they pass. A job that is never run leaves no counts."""
+    metrics = Observation(name)
+    of = lambda kind: F.col("kind") == kind
+    counts = [F.count_if(of(k) & test).alias(f"{k}_{what}") for k in ("image", "video") for what, test in (("total", F.lit(True)), ("success", F.col("ok").eqNullSafe(True)), ("failed", ~F.col("ok").eqNullSafe(True)))]
+    return localized.observe(metrics, *counts), metrics
+
+
 def rewrite(uses: DataFrame, localized: DataFrame, order: str, page: str = "page_id", src: str = "src") -> DataFrame:
     """uses with local: the k-th use of an address on a page gets the k-th result for it, in the order of idx; else null.
 

@@ -405,6 +405,40 @@ def media_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "kind", "idx", "src", "ok", "reason", "file_name", F.md5("data").alias("data_md5"))
 
 
+def _blob_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page whose pictures are blobs, with an answer for some, data in their addresses, and a video."""
+    d = F.col("doc_id").cast("string")
+    data = F.base64(F.concat(F.unhex(F.lit("474946383961")), F.coalesce("text", F.lit("")).cast("binary")))
+    urls = [F.concat(F.lit(f" blob:https://b.example.com/{kind}-"), d) for kind in ("png", "odd", "html", "none")]
+    pictures = [_struct(type=F.lit("image"), src=u, alt=F.col("source")) for u in urls]
+    own = _struct(type=F.lit("image"), src=F.lit("data:x"), embedded_data_url=F.concat(F.when(F.col("doc_id") % 4 == 0, "data:image/bmp").otherwise("data:image/gif"), F.lit(";base64,"), data))
+    blocks = F.array(_struct(type=F.lit("paragraph"), text=F.col("text")), *pictures, own, _struct(type=F.lit("video"), src=F.concat(F.lit("blob:https://b.example.com/v-"), d), text=F.lit("Clip")))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://b.example.com/p").alias("url"), blocks.alias("blocks"))
+    made = lambda name, kind, start: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("content_type"), F.concat(F.unhex(F.lit(start)), F.coalesce("text", F.lit("")).cast("binary")).alias("data"))
+    answers = F.array(made("png", "Image/PNG; q=1", "89504E470D0A1A0A"), made("odd", "image/jpeg", "00"), made("html", "text/html", "89504E470D0A1A0A"))
+    blobs = _table(spark, sf_dir, "documents").select(d.alias("d"), "doc_id", F.explode(answers).alias("a"))
+    blobs = blobs.select(F.concat(F.lit("blob:https://b.example.com/"), "a.name", F.lit("-"), "d").alias("url"), F.when(F.col("doc_id") % 5 == 0, 404).otherwise(200).alias("status"), "a.content_type", "a.data")
+    return export.embed_blobs(docs, blobs)
+
+
+def _blob_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_ops.localize(media_ops.media_list(_blob_documents(spark, sf_dir)), _responses(spark, sf_dir))
+
+
+def blob_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of pictures that are blobs or whose addresses hold them."""
+    return _blob_media(spark, sf_dir).select("page_id", "kind", "idx", "ok", "reason", "file_name", F.md5("data").alias("data_md5"))
+
+
+def media_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pictures and videos there are, were localised and failed, counted while their rows are written."""
+    localized, metrics = media_ops.observed(_blob_media(spark, sf_dir))
+    localized.write.parquet(shared_path(spark, "localized"))
+    found = metrics.get
+    rows = [(k, *(int(found[f"{k}_{what}"]) for what in ("total", "success", "failed"))) for k in ("image", "video")]
+    return spark.createDataFrame(rows, "kind string, total long, success long, failed long")
+
+
 def export_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each document's page with its Markdown, whose media have local addresses, and the media."""
     entries = export.export_entries(_media_documents(spark, sf_dir), _responses(spark, sf_dir), F.lit(CAPTURED).cast("timestamp"))
@@ -508,7 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
-        collector_policies, archive_files,
+        collector_policies, archive_files, blob_images, media_metrics,
     )
 }
 # the names under which the queries over whole texts were registered first
