@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import text_of
 from ..sources.html_nodes import NODES, SELECTED, node_arrays, node_rows
-from ..sources.page_content import BASE, LAZY, PLACEHOLDER, block_arrays, content_of
+from ..sources.page_content import BASE, LAZY, PLACEHOLDER, block_arrays, content_of, selected_content
 
 
 def first_attr(attrs: Column, names: tuple[str, ...]) -> Column:
@@ -106,6 +106,25 @@ def page_areas(pages: DataFrame, url: str = "url", html_col: str = "html", keep_
     return pages.select(html_col, base_of(F.col(html_col), F.col(url)).alias(base_col), *(F.col(f.name) for f in carried)).mapInArrow(areas, T.StructType([*carried, *kinds]))
 
 
+def selected_areas(pages: DataFrame, tag: Column, nth: Column, url: str = "url", page: str = "page_id") -> DataFrame:
+    """page, n_selected, promoted and blocks of each page of which a person selected the nth element (from 0) of a tag.
+
+    A selection with at most one block gives way to the page's best area, if that has over two blocks more (promoted). A page
+    without such an element, or with null tag or nth, is read as if nothing was selected: n_selected is null. Pages without
+    any area have null blocks.
+    """
+    kinds = pages.sparkSession.createDataFrame([], f"n_selected int, promoted boolean, blocks array<struct<{BLOCK_FIELDS}>>").schema.fields
+    names = [page, *(f.name for f in kinds)]
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [selected_content(node_rows(html), *rest) or (None, None, None) for html, *rest in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.bool_()), block_arrays([f[2] for f in found])], names=names)
+
+    asked = pages.select(F.col(page), F.col("html"), base_of(F.col("html"), F.col(url)).alias("base"), tag.alias("tag"), nth.cast("int").alias("nth"))
+    return asked.mapInArrow(areas, T.StructType([pages.schema[page], *kinds]))
+
+
 def page_blocks(pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
     """page, url, pos (from 1) and the fields of the blocks of each page's best area. Pages without one have no rows."""
     areas = page_areas(pages.select(page, url, "html"), url)

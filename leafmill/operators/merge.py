@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import list_depth, normalize_text, text_of
+
 OVERLAP = 12
 _INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
 _SPACES = re.compile("[\\t\\n\\x0b\\f\\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -159,13 +161,36 @@ def merge_ordered(known: list[dict], snapshot: list[dict]) -> list[dict]:
     return merged
 
 
+def _firsts(rounds: DataFrame, page: str, number: str, fields: list[str]) -> DataFrame:
+    """rounds without the blocks whose key their page had before, which change nothing; each task leaves out its own first.
+    Blocks with a source stay, since a later reading of one may be the richer one."""
+    has = lambda name: F.col(name) if name in fields else F.lit(None)
+    of = lambda *kinds: has("type").isin(*kinds)
+    plain = ~of("heading", "link", "image", "video", "table")
+    key = F.struct(
+        has("type").alias("type"), F.when(~of("image", "table"), normalize_text(has("text"))).alias("text"), F.when(of("heading"), F.coalesce(has("level"), F.lit(0))).alias("level"), F.when(of("link"), text_of(has("href"))).alias("href"),
+        F.when(of("image", "video"), text_of(has("src"))).alias("src"), F.when(of("image"), normalize_text(has("alt"))).alias("alt"), F.when(plain, text_of(has("markdown"))).alias("markdown"),
+        F.when(plain, F.coalesce(has("ordered"), F.lit(False))).alias("ordered"), F.when(of("listItem"), list_depth(has("depth"))).alias("depth"), F.when(of("table"), has("rows").cast("string")).alias("rows"),
+    )
+    own = F.when((text_of(has("source_id")) != "") | text_of(has("type")).isin("", "table"), F.struct(number, "pos"))
+    whole = F.struct(number, "pos", *fields)
+    return rounds.groupBy(page, key.alias("key"), own.alias("own")).agg(F.min_by(whole, F.struct(number, "pos")).alias("b")).select(page, "b.*")
+
+
 def merge_rounds(rounds: DataFrame, mode: str, page: str, number: str, schema: str) -> DataFrame:
     """page, pos and the fields in schema ("type string, text string ...") of each page's merged blocks.
 
-    rounds has page, number, pos and these fields, a row for each block. mode: accumulate, latest or ordered. One page's
-    blocks are in one task's memory.
+    rounds has page, number, pos and these fields, a row for each block. mode: accumulate, latest or ordered. Latest folds the
+    last round of each page, accumulate the first of equal blocks, which are found with partial aggregation; ordered all
+    rounds. What is folded of one page is in one task's memory.
     """
     fields = [f.split()[0] for f in schema.split(", ")]
+    rounds = rounds.select(page, number, "pos", *fields)
+    if mode == "latest":
+        newest = rounds.groupBy(page).agg(F.max(number).alias(number))
+        rounds = rounds.join(newest, [page, number], "left_semi")
+    elif mode == "accumulate":
+        rounds = _firsts(rounds, page, number, fields)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([number, "pos"], kind="stable").astype(object).where(lambda d: d.notna(), None)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import struct
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources import zip_files
 
@@ -37,20 +42,6 @@ def with_offsets(entries: DataFrame, archive: str = "archive_id", order: str = "
     )
 
 
-def checked(entries: DataFrame, archive: str = "archive_id") -> DataFrame:
-    """entries with problem: why an archive with this entry can't be written, else null."""
-    same = Window.partitionBy(archive, "path")
-    many = Window.partitionBy(archive)
-    return entries.withColumn(
-        "problem",
-        F.when(~safe_path(F.col("path")), "unsafe path")
-        .when(F.count(F.lit(1)).over(same) > 1, "duplicate path")
-        .when(F.octet_length("path") > MOST_16, "long path")
-        .when(F.coalesce(F.octet_length("data"), F.lit(0)).cast("long") > MOST_32, "large entry")
-        .when(F.count(F.lit(1)).over(many) > MOST_16, "many entries"),
-    )
-
-
 #: An entry's data goes to the sink in pieces of at most so many bytes.
 PIECE = 8 << 20
 
@@ -108,25 +99,39 @@ def write_archives(entries: DataFrame, path: str, archive: str = "archive_id", o
 
 
 def zip_archives(entries: DataFrame, archive: str = "archive_id", order: str = "seq") -> DataFrame:
-    """archive, n_entries, n_bytes, bytes: one stored archive each, whose entries fit in a task's memory.
+    """archive, n_entries, n_bytes, bytes: one stored archive each, whose entries fit in a task's memory; write_archives() is
+    for larger ones.
 
-    An unsafe or repeated path stops the job, as does what the format can't hold.
+    Entries are dealt by archive and sorted once, and packed as they stream by. An unsafe or repeated path stops the job, as
+    does what the format can't hold. A null path is unsafe, null data is empty.
     """
-    good = checked(entries, archive)
-    good = good.withColumn("path", F.when(F.col("problem").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.col("problem"), F.lit(": "), F.col("path")))))
-    ready = with_offsets(good.drop("problem"), archive, order).select(archive, order, "path", F.col("data").cast("binary").alias("data"), "crc", "size", "local_offset")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        body, central = bytearray(), bytearray()
-        for path, data, crc, size, offset in pdf.sort_values(order)[["path", "data", "crc", "size", "local_offset"]].itertuples(index=False):
-            name = path.encode()
-            common = struct.pack("<HHHHHIIIHH", VERSION, UTF8_NAMES, STORED, 0, 0, crc, size, size, len(name), 0)
-            body += struct.pack("<I", LOCAL_MARK) + common + name + (data or b"")
-            central += struct.pack("<IH", CENTRAL_MARK, VERSION) + common + struct.pack("<HHHII", 0, 0, 0, 0, offset) + name
-        n, at = len(pdf), len(body)
-        if at > MOST_32:
-            raise OverflowError("the archive is too large for its format")
-        whole = bytes(body + central + struct.pack("<IHHHHIIH", END_MARK, 0, 0, n, n, len(central), at, 0))
-        return pd.DataFrame({archive: [pdf[archive].iloc[0]], "n_entries": [n], "n_bytes": [len(whole)], "bytes": [whole]})
-
-    return ready.groupBy(archive).applyInPandas(pack, f"{archive} {dict(entries.dtypes)[archive]}, n_entries int, n_bytes long, bytes binary")
+    path = F.when(safe_path(F.col("path")), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("unsafe path: "), F.coalesce("path", F.lit("")))))
+    data = F.coalesce(F.col("data").cast("binary"), F.lit("").cast("binary"))
+    ready = entries.select(F.col(archive), F.col(order).alias("_order"), path.alias("path"), data.alias("data"), F.crc32(data).alias("crc"))
+    schema = T.StructType([entries.schema[archive], *(T.StructField(n, t) for n, t in (("n_entries", T.IntegerType()), ("n_bytes", T.LongType()), ("bytes", T.BinaryType())))])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4))))
+        for name, group in groupby(rows, key=itemgetter(0)):
+            whole, n = _archive(row[1:] for row in group)
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([n], pa.int32()), pa.array([len(whole)], pa.int64()), pa.array([whole], pa.binary())], names=schema.names)
+
+    kind = to_arrow_type(entries.schema[archive].dataType)
+    return ready.repartition(archive).sortWithinPartitions(archive, "_order").mapInArrow(packed, schema)
+
+
+def _archive(entries: Iterable[tuple[str, bytes, int]]) -> tuple[bytes, int]:
+    """The bytes of an archive of (path, data, crc), and how many entries it has."""
+    body, central, seen = bytearray(), bytearray(), set()
+    for path, data, crc in entries:
+        name, offset = path.encode(), len(body)
+        problem = "duplicate path" if path in seen else "long path" if len(name) > MOST_16 else "large archive" if offset + len(data) > MOST_32 else "many entries" if len(seen) == MOST_16 else None
+        if problem:
+            raise ValueError(f"{problem}: {path}")
+        seen.add(path)
+        common = struct.pack("<HHHHHIIIHH", VERSION, UTF8_NAMES, STORED, 0, 0, crc, len(data), len(data), len(name), 0)
+        body += struct.pack("<I", LOCAL_MARK) + common + name + data
+        central += struct.pack("<IH", CENTRAL_MARK, VERSION) + common + struct.pack("<HHHII", 0, 0, 0, 0, offset) + name
+    if len(body) + len(central) > MOST_32:
+        raise ValueError("large archive")
+    return bytes(body + central + struct.pack("<IHHHHIIH", END_MARK, 0, 0, len(seen), len(seen), len(central), len(body), 0)), len(seen)

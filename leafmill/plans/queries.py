@@ -16,6 +16,7 @@ from ..functions.markdown import BLOCK, document_markdown, table_markdown
 from ..operators import blocks as B
 from ..operators import dispatch, export, islands, merge, zip_sink
 from ..operators import media as media_ops
+from ..operators import ordered_log as ordered_log_ops
 from ..operators.families import article, course, feishu, wechat
 from ..sources import block_table
 from ..sources.html_nodes import SELECTED, dom_nodes
@@ -57,6 +58,15 @@ def page_blocks_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select p.page_id, b.pos, b.type, b.level, b.text from leafmill_pages p, lateral extract_blocks(p.html, p.url) b")
 
 
+def promoted_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which the second paragraph, the article or a missing element was selected."""
+    which = F.col("page_id") % 3
+    pages = _table(spark, sf_dir, "pages")
+    found = B.selected_areas(pages, F.when(which == 0, "p").when(which == 1, "article").otherwise("table"), F.when(which == 0, 1).otherwise(0))
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return found.select("page_id", "n_selected", "promoted", F.size("blocks").alias("n_blocks"), F.md5(text).alias("text_md5"))
+
+
 def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("page_id").alias("n_pages"))
 
@@ -269,6 +279,21 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", X.log_line(F.lit("extract"), F.concat(F.lit("event\n"), "event_type"), details).alias("line"))
 
 
+def ordered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of one log, newest first by kind: each with its number in the whole log."""
+    lines = log_lines(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_id")
+    return ordered_log_ops.numbered(lines, "event_type", "ts", "event_id").select("event_id", "line_no", "line")
+
+
+def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as text files, read again one after another: how many lines and which bytes each part has."""
+    path = shared_path(spark, "log-text")
+    lines = log_lines(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_id")
+    ordered_log_ops.write_log(lines, F.col("line"), path, "event_type", "ts", "event_id")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part"), F.col("content").cast("string").alias("text"))
+
+
 def collector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rounds of users' pages: each shows one paragraph with the event's kind and hour."""
     schema = _table(spark, sf_dir, "events").schema
@@ -542,7 +567,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
-        collector_policies, archive_files, blob_images, media_metrics,
+        collector_policies, archive_files, blob_images, media_metrics, promoted_areas, ordered_log, log_text,
     )
 }
 # the names under which the queries over whole texts were registered first

@@ -275,3 +275,16 @@ select page_id, kind, idx::int as idx, reason is null as ok, reason, case when r
        case when reason is null then md5(unhex(start) || encode(text)) end as data_md5 from v""",
     "media_metrics": f"with {_BLOBS} select kind, count(*) as total, count(*) filter (reason is null) as success, count(*) filter (reason is not null) as failed from v group by kind",
 }
+
+ORACLES |= {
+    "promoted_areas": f"""with {_BLOCKS},
+para as (select page_id, text as para from (select page_id, text, row_number() over (partition by page_id order by nr) as k from t where type = 'paragraph') where k = 2),
+all_of as (select page_id, count(*) as all_blocks, string_agg(text, chr(10) order by nr) as whole, sum(length(text) + 20) > 120 as good from f group by page_id),
+sel as (select page_id, page_id % 3 as k, coalesce(all_blocks, 0) as all_blocks, coalesce(whole, '') as whole, coalesce(good, false) as good, para, para is not null as has_para from pages left join all_of using (page_id) left join para using (page_id)),
+chosen as (select *, case when k = 1 then all_blocks when k = 0 and has_para then (para <> '')::int end as n_selected, coalesce(k = 0 and has_para and good and all_blocks > (para <> '')::int + 2, false) as up from sel),
+whole_area as (select *, k = 1 or n_selected is null or up as is_whole from chosen)
+select page_id, n_selected::int as n_selected, case when n_selected is null and not (good and all_blocks > 0) then null else up end as promoted,
+  case when n_selected is null and not (good and all_blocks > 0) then null when is_whole then all_blocks else (para <> '')::int end::int as n_blocks,
+  case when n_selected is null and not (good and all_blocks > 0) then null else md5(case when is_whole then whole else para end) end as text_md5 from whole_area""",
+    "ordered_log": f"select event_id, row_number() over (order by e.event_type, e.ts, event_id) as line_no, line from ({ORACLES["log_lines"]}) join events e using (event_id)",
+}

@@ -120,15 +120,11 @@ def _units(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
-def content_of(nodes: list[tuple], base: str) -> tuple[int, int, list[tuple]] | None:
-    """Score, number of blocks and the blocks of a page's best area, from the rows of node_rows(); None without one.
-
-    The first element of each preference counts, if it scores over LEAST_SCORE with more than one block; the earliest
-    preference wins. Without one, the highest score over LEAST_SCORE among containers, the first of equals. Of equal blocks
-    the first counts.
-    """
+def scored(nodes: list[tuple], base: str) -> tuple[list[tuple | None], list[int], list[int]]:
+    """Of each element what it makes, (key, worth, block, outer), where outer is the element from which on it is spoken for; and
+    the score and the number of blocks of it as an area."""
     n = len(nodes)
-    made: list[tuple | None] = [None] * n  # (key, worth, block, outer): outer is the element from which on it is spoken for
+    made: list[tuple | None] = [None] * n
     for i, (_, _, _, tag, attrs, text, own, block_below, content_below, visible, _, known_above, leaf_above) in enumerate(nodes):
         container = tag in CONTAINERS
         if visible and tag in SELECTED and not (container and (block_below or (not own and content_below))) and (block := block_of(tag, attrs, text, base)):
@@ -171,21 +167,54 @@ def content_of(nodes: list[tuple], base: str) -> tuple[int, int, list[tuple]] |
                 total += worth
         held[p], sums[p] = large, total
 
+    return made, scores, counts
+
+
+def best_area(nodes: list[tuple], scores: list[int], counts: list[int]) -> int | None:
+    """The first element of each preference counts, if it scores over LEAST_SCORE with more than one block; the earliest
+    preference wins. Without one, the highest score over LEAST_SCORE among containers, the first of equals."""
     firsts: dict[int, int] = {}
     for i, row in enumerate(nodes):
         if row[9]:
             for rank in row[10]:
                 firsts.setdefault(rank, i)
     best = next((i for _, i in sorted(firsts.items()) if scores[i] > LEAST_SCORE and counts[i] > 1), None)
-    if best is None:
-        wide = [i for i, row in enumerate(nodes) if row[9] and row[3] in FALLBACK_ROOTS and scores[i] > LEAST_SCORE]
-        if not wide:
-            return None
-        best = max(wide, key=lambda i: (scores[i], -i))
+    if best is not None:
+        return best
+    wide = [i for i, row in enumerate(nodes) if row[9] and row[3] in FALLBACK_ROOTS and scores[i] > LEAST_SCORE]
+    return max(wide, key=lambda i: (scores[i], -i), default=None)
+
+
+def blocks_in(nodes: list[tuple], made: list[tuple | None], area: int) -> list[tuple]:
+    """The blocks of an area in order, the first of equal ones."""
     found = {}
-    for m in (made[i] for i in range(best, nodes[best][1] + 1) if made[i] and (i == best or made[i][3] < best)):
+    for m in (made[i] for i in range(area, nodes[area][1] + 1) if made[i] and (i == area or made[i][3] < area)):
         found.setdefault(m[0], m[2])
-    return scores[best], counts[best], list(found.values())
+    return list(found.values())
+
+
+def content_of(nodes: list[tuple], base: str) -> tuple[int, int, list[tuple]] | None:
+    """Score, number of blocks and the blocks of a page's best area, from the rows of node_rows(); None without one."""
+    made, scores, counts = scored(nodes, base)
+    best = best_area(nodes, scores, counts)
+    return None if best is None else (scores[best], counts[best], blocks_in(nodes, made, best))
+
+
+#: A selected area with one block or none gives way to the best one, if that has more blocks than so many above it.
+FEW, MORE = 1, 2
+
+
+def selected_content(nodes: list[tuple], base: str, tag: str | None, nth: int | None) -> tuple[int | None, bool, list[tuple]] | None:
+    """How many blocks the nth element (from 0) of a tag has, whether the best area took its place, and the blocks of the one
+    that is read. Without such an element the best area; None without that too."""
+    made, scores, counts = scored(nodes, base)
+    best = best_area(nodes, scores, counts)
+    of_tag = [i for i, row in enumerate(nodes) if row[3] == tag] if tag and nth is not None and nth >= 0 else []
+    chosen = of_tag[nth] if nth is not None and nth < len(of_tag) else None
+    if chosen is None:
+        return None if best is None else (None, False, blocks_in(nodes, made, best))
+    promoted = best is not None and best != chosen and counts[chosen] <= FEW and counts[best] > counts[chosen] + MORE
+    return counts[chosen], promoted, blocks_in(nodes, made, best if promoted else chosen)
 
 
 def page_content(html: str | None, base: str) -> tuple[int, int, list[tuple]] | None:
