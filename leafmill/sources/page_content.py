@@ -210,7 +210,7 @@ def selected_content(nodes: list[tuple], base: str, tag: str | None, nth: int |
     made, scores, counts = scored(nodes, base)
     best = best_area(nodes, scores, counts)
     of_tag = [i for i, row in enumerate(nodes) if row[3] == tag] if tag and nth is not None and nth >= 0 else []
-    chosen = of_tag[nth] if nth is not None and nth < len(of_tag) else None
+    chosen = of_tag[nth] if of_tag and nth < len(of_tag) else None
     if chosen is None:
         return None if best is None else (None, False, blocks_in(nodes, made, best))
     promoted = best is not None and best != chosen and counts[chosen] <= FEW and counts[best] > counts[chosen] + MORE
