@@ -27,8 +27,12 @@ SPELLINGS = (
     (r"&|\+", " and "),
 )
 
-# A line that opens like this is a copyright line.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:[#*/;%-]+[ \t]*)?(?:copyright\b|copr\.|\(c\)|©|all rights reserved)[^\n]*$"
+# A line that opens like this is a copyright line. The word alone isn't enough: a wrapped text may have it at the
+# start of a line; a sign, a year, who holds it or nothing must follow.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(?:[#*/;%-]+[ \t]*)?(?:copyright(?:[ \t]*(?:\(c\)|©|[<\[{:]|$)|[ \t]+by\b|\b[^\n]*\b(?:19|20)[0-9][0-9]\b|\b[^\n]*\b(?:authors|developers|foundation)[ \t.,]*$)"
+    r"|copr\.|\(c\)[^\n]*\b(?:19|20)[0-9][0-9]\b|©|all rights reserved)[^\n]*$"
+)
 
 # Known texts, as (license, text).
 KNOWN = (
@@ -109,8 +113,6 @@ def _more() -> list[tuple[str, str]]:
     short += [("BSD-3-Clause", two.replace(" THIS SOFTWARE IS", third, 1)), ("Unlicense", _UNLICENSE)]
     # without the numbers of the conditions, or with other marks
     short += [(name, re.sub(r" [123]\. ", " ", text)) for name, text in short if name.startswith("BSD")]
-    # in the usual layout a line of ISC begins with the word of a copyright line
-    short += [(name, text.replace("the above copyright notice and this permission", "the above\ncopyright notice and this permission")) for name, text in short if name == "ISC"]
     out = [*short, *((name, f"{title}\n{text}") for name, text in short for title in TITLES[name])]
     for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         full = path.read_text()

@@ -56,5 +56,43 @@ def test_whole_license_files(docs):
     assert got == [(name, True) for name, _ in rows] and len(rows) == 17
 
 
+ISC_FILE = """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+Copyright (c) 1995-2003 by Internet Software Consortium
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_a_cut_off_text_is_no_license(docs):
+    """The official layout is known; what opens like it and ends before its terms do is not, whatever line follows."""
+    cut = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"
+    rows = [ISC_FILE, cut, f"{cut}\nCopyright law is another matter.", f"{cut}\ncopyright notice", f"{cut}\nCopyright (c) 2020 X", ISC_FILE.replace("in all copies", "in some copies")]
+    got = [(r.whole_license, r.is_license) for r in L.license_scan(docs(rows)).orderBy("doc_id").collect()]
+    assert got == [("ISC", True)] + [(None, False)] * 5
+
+
+def test_every_wrap(docs):
+    """Whole texts wrapped at any width, so that lines begin with any word, below copyright lines of several forms."""
+    import textwrap
+
+    known = {n: next(t for m, t in L.KNOWN if m == n and len(t) > 500) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    forms = ("Copyright (c) 2020 X", "Copyright 2020 Some Body <a@b.c>", "Copyright The Y Authors", "(c) 2021, 2022 Z\nAll rights reserved.", "Copyright [yyyy] [name]", "© 1999 Q", "Copyright X, 2001-2002")
+    rows = [(name, f"{forms[(width + k) % len(forms)]}\n\n{textwrap.fill(text, width)}\n") for k, (name, text) in enumerate(known.items()) for width in range(60, 101)]
+    got = [r.whole_license for r in L.license_scan(docs([t for _, t in rows])).orderBy("doc_id").collect()]
+    assert got == [name for name, _ in rows]
+
+
 def test_no_known_text_is_empty(spark):
     assert spark.createDataFrame(list(L.KNOWN), "license string, t string").where(L.canonical(F.col("t")) == "").count() == 0
