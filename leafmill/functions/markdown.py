@@ -93,7 +93,7 @@ def document_markdown(title: Column, url: Column, captured: Column, blocks: Colu
             F.when(source != "", F.concat(F.lit("Source: "), source)),
             F.when(when != "", F.concat(F.lit("Captured: "), when)),
             F.when((source != "") | (when != ""), F.lit("")),
-            F.when(body != "", body),
+            F.get(F.transform(F.array(body), lambda b: F.when(b != "", b)), F.lit(0)),  # worked out once
         ),
         lambda line: line.isNotNull(),
     )

@@ -22,7 +22,11 @@ _SPACES = re.compile("[\\t\\n\\x0b\\f\\r \xa0\u1680\u2000-\u200a\u2028\u2029\u20
 
 
 def squeeze(text: str | None) -> str:
-    return _SPACES.sub(" ", _INVISIBLE.sub("", text or "")).strip(" ")
+    if not text:
+        return ""
+    if text.isascii() and text.replace("\n", " ").isprintable():  # nothing to leave out, and no other white space
+        return " ".join(text.split())
+    return _SPACES.sub(" ", _INVISIBLE.sub("", text)).strip(" ")
 
 
 def key(block: dict) -> str:

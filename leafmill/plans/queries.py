@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import details
 from ..functions import media as M
 from ..functions import text as X
 from ..functions import urls as U
@@ -279,6 +280,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", X.log_line(F.lit("extract"), F.concat(F.lit("event\n"), "event_type"), details).alias("line"))
 
 
+def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of each event as one snapshot, read again by its paths."""
+    what = F.struct(F.col("event_type").alias("type"), F.col("value"))
+    value = details.snapshot(what=what, user=F.col("user_id"), at=details.iso_time(F.col("ts")), props=details.parsed(F.col("props")), tags=F.array("event_type", F.lit(None).cast("string")), none=F.lit(None).cast("string"))
+    found = _table(spark, sf_dir, "events").select("event_id", value.alias("v"))
+    at = lambda path, kind: details.detail(F.col("v"), path, kind)
+    return found.select("event_id", details.canonical(F.col("v")).alias("text"), at("$.props.k", "long").alias("k"), at("$.what.type", "string").alias("type"), at("$.tags[0]", "string").alias("tag"), at("$.what.type", "int").alias("odd"))
+
+
 def ordered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of one log, newest first by kind: each with its number in the whole log."""
     lines = log_lines(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_id")
@@ -567,7 +577,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
         media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
-        collector_policies, archive_files, blob_images, media_metrics, promoted_areas, ordered_log, log_text,
+        collector_policies, archive_files, blob_images, media_metrics, promoted_areas, ordered_log, log_text, event_details,
     )
 }
 # the names under which the queries over whole texts were registered first

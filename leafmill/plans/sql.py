@@ -288,3 +288,5 @@ select page_id, n_selected::int as n_selected, case when n_selected is null and
   case when n_selected is null and not (good and all_blocks > 0) then null else md5(case when is_whole then whole else para end) end as text_md5 from whole_area""",
     "ordered_log": f"select event_id, row_number() over (order by e.event_type, e.ts, event_id) as line_no, line from ({ORACLES["log_lines"]}) join events e using (event_id)",
 }
+ORACLES["event_details"] = """select event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","none":null,"props":' || replace(props, ': ', ':') || ',"tags":["' || event_type || '",null],"user":' || user_id || ',"what":{"type":"' || event_type || '","value":' || value || '}}' as text,
+  (props::json->>'k')::bigint as k, event_type as type, event_type as tag, null::int as odd from events"""

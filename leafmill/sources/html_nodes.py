@@ -26,6 +26,7 @@ PREFERRED = (
     ("id", "js_content"), ("class", "rich_media_content"), ("tag", "article"), ("tag", "main"), ("role", "main"), ("contenteditable", "true"), ("has", "data-block-id"),
     ("has", "data-page-id"), ("class*", "docx"), ("class*", "Doc"), ("class*", "document"), ("class*", "editor"), ("class", "article"), ("class", "content"),
 )
+_PREFERRED_TAGS = frozenset(value for kind, value in PREFERRED if kind == "tag")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link".split())
 ENDS_P = frozenset(
@@ -149,6 +150,8 @@ class _Tree(HTMLParser):
 
 
 def _preferred(tag: str, attrs: dict[str, str]) -> list[int]:
+    if not attrs and tag not in _PREFERRED_TAGS:
+        return []
     out = []
     for i, (kind, value) in enumerate(PREFERRED):
         found = (
@@ -184,7 +187,10 @@ def node_rows(html: str | None) -> list[tuple]:
         # the text of an element that only holds other blocks is never asked for
         wanted = tag in SELECTED and not (tag in CONTAINERS and block_below[i])
         text = tree.text(i) if wanted else None
-        own = bool(wanted) and (_squeezed(text) != _squeezed(" ".join(tree.text(c) for c in tree.children[i] if tree.dim[c] != c)) if tree.children[i] else bool(text.strip()))
+        # only containers are asked whether they have a text of their own
+        own = False
+        if wanted:
+            own = bool(text.strip()) if not tree.children[i] else _squeezed(text) != _squeezed(" ".join(tree.text(c) for c in tree.children[i] if tree.dim[c] != c))
         leaf[i] = tag in CONTAINERS and not block_below[i] and (own or not content_below[i])
         if p >= 0:
             depth[i] = depth[p] + 1

@@ -177,3 +177,16 @@ def test_effective_url(spark):
 def test_log_line(spark):
     df = spark.createDataFrame([("m", "a\nb", [("k", "v\t")])], "m string, s string, d array<struct<key:string,value:string>>")
     assert df.select(X.log_line(F.col("m"), F.col("s"), F.col("d"))).first()[0] == f"[m] a{ESC}nb k=v{ESC}t"
+
+
+def test_details(spark):
+    """Snapshots don't depend on the order of the details; texts that are no JSON stay texts."""
+    from leafmill.functions import details as D
+
+    rows = spark.createDataFrame([('{"b": [1, {"c": null}], "a": "x"}',), ("no json",), (None,), ("",), ('"s"',)], "t string")
+    p = D.parsed(F.col("t"))
+    got = rows.select(D.canonical(p).alias("p"), D.canonical(D.snapshot(z=F.col("t"), a=p)).alias("v"), D.canonical(D.snapshot(a=p, z=F.col("t"))).alias("w"), D.detail(p, "$.b[1].c", "string").alias("c"), D.detail(p, "$.a", "int").alias("a")).collect()
+    assert [r.p for r in got] == ['{"a":"x","b":[1,{"c":null}]}', '["no json"]', None, '[""]', '"s"']
+    assert all(r.v == r.w and r.c is None and r.a is None for r in got) and got[4].v == '{"a":"s","z":"\\"s\\""}'
+    errors = spark.createDataFrame([("m", "E: m"), ("", "E"), (None, "E"), (None, None)], "m string, e string").select(D.error_message(F.col("m"), F.col("e")).alias("x"))
+    assert [r.x for r in errors.collect()] == ["m", "E", "E", ""]
