@@ -21,20 +21,17 @@ def embed_blobs(documents: DataFrame, blobs: DataFrame, page: str = "page_id") -
 
     documents: page and blocks; blobs: url, status, content_type and data, an address of which is read once, so url is unique.
     Other blocks stay as they are, as does a picture with data of its own, one that has no answer and one whose answer failed
-    or is no image. Only the pictures' addresses are joined; blocks move once, if a page has such pictures.
+    or is no image. page is unique. Addresses are joined by themselves; what was found goes to its page as one map, and blocks move once.
     """
     asks = lambda b: (b["type"] == "image") & F.trim(F.coalesce(b["src"], F.lit(""))).startswith("blob:") & (F.coalesce(b["embedded_data_url"], F.lit("")) == "")
-    asking = documents.where(F.exists("blocks", lambda b: F.coalesce(asks(b), F.lit(False))))
-    flat = asking.select(page, F.posexplode("blocks").alias("at", "b"))
+    pictures = documents.select(page, F.posexplode(F.transform("blocks", lambda b: F.when(asks(b), F.trim(b["src"])))).alias("at", "blob")).where("blob is not null")
     kind = F.lower(F.trim(F.substring_index("content_type", ";", 1)))
     good = blobs.where(F.col("status").between(200, 299) & kind.startswith("image/"))
     urls = good.select(F.col("url").alias("blob"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("data")).alias("embedded"))
-    wanted = flat.where(asks(F.col("b"))).select(page, "at", F.trim("b.src").alias("blob")).join(urls, "blob").select(page, "at", "embedded")
-    full = flat.join(wanted, [page, "at"], "left")
-    block = F.col("b").withField("embedded_data_url", F.coalesce("embedded", "b.embedded_data_url"))
-    made = full.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", block.alias("block")))), lambda x: x["block"]).alias("embedded_blocks"))
-    both = documents.join(made, page, "left")
-    return both.select(*[F.coalesce("embedded_blocks", "blocks").alias("blocks") if c == "blocks" else F.col(c) for c in documents.columns])
+    found = pictures.join(urls, "blob").groupBy(page).agg(F.map_from_entries(F.collect_list(F.struct("at", "embedded"))).alias("_embedded"))
+    filled = F.transform("blocks", lambda b, at: F.when(F.map_contains_key("_embedded", at), b.withField("embedded_data_url", F.element_at("_embedded", at))).otherwise(b))
+    blocks = F.when(F.col("_embedded").isNull(), F.col("blocks")).otherwise(filled).alias("blocks")
+    return documents.join(found, page, "left").select(*[blocks if c == "blocks" else F.col(c) for c in documents.columns])
 
 
 def _with_source(x: Column) -> Column:

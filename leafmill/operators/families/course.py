@@ -95,12 +95,12 @@ def blocks_of(m: DataFrame) -> DataFrame:
     """The same from the pages' element rows."""
     items = kept(course_items(m), "items")
     sections = items.where("in_section and in_root").select("page_id").distinct().withColumn("sectioned", F.lit(True))
-    live = items.where("in_root and not chrome").join(sections, "page_id", "left").where("in_section or sectioned is null")
+    live = kept(items.where("in_root and not chrome").join(sections, "page_id", "left").where("in_section or sectioned is null"), "items")
 
     # an item is read by itself if all the items around it are list items
     steps = live.select("page_id", "pre", F.explode("path").alias("around")).join(live.select("page_id", F.col("pre").alias("around"), "is_list"), ["page_id", "around"]).groupBy("page_id", "pre").agg(F.bool_and("is_list").alias("reached"))
     read = live.join(steps, ["page_id", "pre"], "left").where("size(path) = 0 or reached").withColumn("depth", F.size("path"))
-    order = read.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("pre")))
+    order = kept(read.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("pre"))), "items")
     steps = order.select("page_id", "pre", F.explode(F.concat("path", F.array("pre"))).alias("step")).join(order.select("page_id", F.col("pre").alias("step"), "nth", "depth"), ["page_id", "step"])
     names = steps.groupBy("page_id", "pre").agg(_ordered(F.struct("nth", "depth"), F.col("step")).alias("way"))
     nested = F.array_join(F.transform(F.slice("way", 2, F.size("way")), lambda s: (s["nth"] - 1).cast("string")), ".")
@@ -113,6 +113,7 @@ def blocks_of(m: DataFrame) -> DataFrame:
     full = named.join(item_markdown(m, items), ["page_id", "pre"], "left")
     for part in (code, language, quoted, _grids(m, items), _videos(m)):
         full = full.join(part, ["page_id", "pre"], "left")
+    full = kept(full, "items")
 
     level = heading_level(F.col("classes"))
     grid = ~F.col("is_list") & (F.coalesce("code", F.lit("")) == "") & F.col("rows").isNotNull()

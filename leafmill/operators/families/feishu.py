@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import SPACE, inline_markdown_to_text, normalize_code, normalize_text
 from ...sources.html_marks import parsed
+from ...sources.shared import kept
 from ..blocks import absolute, image_source
 
 # The classes of the family's blocks.
@@ -89,7 +90,7 @@ def feishu_blocks(pages: DataFrame) -> DataFrame:
 
 def blocks_of(m: DataFrame) -> DataFrame:
     """The same from the pages' element rows."""
-    values = _values(m)
+    values = kept(_values(m), "values")
     around = F.filter("anc", _is_block)
     root = F.get(F.filter("anc", lambda a: _is_block(a) & F.array_contains(a["classes"], ROOT)), F.lit(0))["pre"]
     blocks = _blocks(m).select(
@@ -104,7 +105,8 @@ def blocks_of(m: DataFrame) -> DataFrame:
         F.when(heading != "", "heading").when(_has(F.col("classes"), IMAGE), "image").when(_has(F.col("classes"), TABLE), "table").when(_has(F.col("classes"), CODE), "code")
         .when(_has(F.col("classes"), QUOTE), "quote").when(_has(F.col("classes"), ORDERED, BULLET), "listItem").when(_has(F.col("classes"), TEXT) & ~_has(F.col("classes"), "isEmpty"), "paragraph")
     )
-    top = top.withColumn("type", kind).withColumn("level", F.nullif(heading, F.lit("")).cast("int")).where("type is not null")
+    top = kept(top.withColumn("type", kind).withColumn("level", F.nullif(heading, F.lit("")).cast("int")).where("type is not null"), "blocks")
+    blocks = kept(blocks, "blocks")
 
     none = lambda t: F.lit(None).cast(t)
     plain = top.where(F.col("type").isin("heading", "listItem", "paragraph")).where("coalesce(markdown, '') <> '' and (type <> 'heading' or text <> '')").select(
@@ -137,6 +139,7 @@ def blocks_of(m: DataFrame) -> DataFrame:
     whole = item(whole.withColumn("top", F.col("pre")).withColumn("block", F.col("pre")).withColumn("part", F.lit(0)), type=F.lit("quote"), text=F.col("text"), markdown=F.col("markdown"))
 
     items = plain.unionByName(code).unionByName(tables).unionByName(said).unionByName(shown).unionByName(whole)
+    items = kept(items, "blocks")
     named = items.join(blocks.select("page_id", F.col("pre").alias("block"), "record", "source_order"), ["page_id", "block"])
     several = F.count(F.lit(1)).over(Window.partitionBy("page_id", "block"))
     name = F.concat(F.when(F.col("type") == "image", "feishu-image:").otherwise("feishu-block:"), "record", F.when(several > 1, F.concat(F.lit(":"), F.col("part").cast("string"))).otherwise(F.lit("")))
@@ -144,6 +147,6 @@ def blocks_of(m: DataFrame) -> DataFrame:
     # of equal ids the later one counts if it tells no less, at the place of the first
     same = Window.partitionBy("page_id", "type", "source_id")
     length = F.length(F.coalesce(F.nullif("markdown", F.lit("")), F.nullif("text", F.lit("")), F.col("src"), F.lit("")))
-    kept = named.withColumn("at", F.min(F.struct("top", "block", "part")).over(same)).withColumn("best", F.row_number().over(same.orderBy(F.desc(F.when(F.col("type") == "image", 0).otherwise(length)), F.desc("top"), F.desc("block"), F.desc("part")))).where("best = 1")
+    best = named.withColumn("at", F.min(F.struct("top", "block", "part")).over(same)).withColumn("best", F.row_number().over(same.orderBy(F.desc(F.when(F.col("type") == "image", 0).otherwise(length)), F.desc("top"), F.desc("block"), F.desc("part")))).where("best = 1")
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
-    return kept.select("page_id", pos.alias("pos"), "type", "level", "text", "markdown", "ordered", "depth", "src", "alt", "rows", "source_id", "source_order")
+    return best.select("page_id", pos.alias("pos"), "type", "level", "text", "markdown", "ordered", "depth", "src", "alt", "rows", "source_id", "source_order")

@@ -441,16 +441,17 @@ def media_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blob_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page whose pictures are blobs, with an answer for some, data in their addresses, and a video."""
+    """Each document as a page whose pictures are blobs, one of them with the text as its data, data in their addresses, and a
+    video."""
     d = F.col("doc_id").cast("string")
-    data = F.base64(F.concat(F.unhex(F.lit("474946383961")), F.coalesce("text", F.lit("")).cast("binary")))
+    data = F.base64(F.concat(F.unhex(F.lit("474946383961")), F.col("source").cast("binary")))
     urls = [F.concat(F.lit(f" blob:https://b.example.com/{kind}-"), d) for kind in ("png", "odd", "html", "none")]
     pictures = [_struct(type=F.lit("image"), src=u, alt=F.col("source")) for u in urls]
     own = _struct(type=F.lit("image"), src=F.lit("data:x"), embedded_data_url=F.concat(F.when(F.col("doc_id") % 4 == 0, "data:image/bmp").otherwise("data:image/gif"), F.lit(";base64,"), data))
-    blocks = F.array(_struct(type=F.lit("paragraph"), text=F.col("text")), *pictures, own, _struct(type=F.lit("video"), src=F.concat(F.lit("blob:https://b.example.com/v-"), d), text=F.lit("Clip")))
+    blocks = F.array(_struct(type=F.lit("paragraph"), text=F.col("source")), *pictures, own, _struct(type=F.lit("video"), src=F.concat(F.lit("blob:https://b.example.com/v-"), d), text=F.lit("Clip")))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://b.example.com/p").alias("url"), blocks.alias("blocks"))
-    made = lambda name, kind, start: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("content_type"), F.concat(F.unhex(F.lit(start)), F.coalesce("text", F.lit("")).cast("binary")).alias("data"))
-    answers = F.array(made("png", "Image/PNG; q=1", "89504E470D0A1A0A"), made("odd", "image/jpeg", "00"), made("html", "text/html", "89504E470D0A1A0A"))
+    made = lambda name, kind, start, of: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("content_type"), F.concat(F.unhex(F.lit(start)), F.coalesce(of, F.lit("")).cast("binary")).alias("data"))
+    answers = F.array(made("png", "Image/PNG; q=1", "89504E470D0A1A0A", F.col("text")), made("odd", "image/jpeg", "00", F.col("source")), made("html", "text/html", "89504E470D0A1A0A", F.col("source")))
     blobs = _table(spark, sf_dir, "documents").select(d.alias("d"), "doc_id", F.explode(answers).alias("a"))
     blobs = blobs.select(F.concat(F.lit("blob:https://b.example.com/"), "a.name", F.lit("-"), "d").alias("url"), F.when(F.col("doc_id") % 5 == 0, 404).otherwise(200).alias("status"), "a.content_type", "a.data")
     return export.embed_blobs(docs, blobs)

@@ -266,13 +266,13 @@ ORACLES |= {
 }
 ORACLES["page_blocks_lateral"] = ORACLES["page_blocks"]
 
-_BLOBS = """u as (select doc_id as page_id, doc_id as n, coalesce(text, '') as text, unnest(['image', 'image', 'image', 'image', 'image', 'video']) as kind, unnest([0, 1, 2, 3, 4, 0]) as idx from documents),
+_BLOBS = """u as (select doc_id as page_id, doc_id as n, coalesce(text, '') as text, source, unnest(['image', 'image', 'image', 'image', 'image', 'video']) as kind, unnest([0, 1, 2, 3, 4, 0]) as idx from documents),
 v as (select *, case when kind = 'video' then 'unsafe video URL: unsupported protocol' when idx in (2, 3) or (idx < 2 and n % 5 = 0) then 'unsafe image URL: unsupported protocol'
   when idx = 1 then 'image signature mismatch expected=jpeg' when idx = 4 and n % 4 = 0 then 'unsupported image type=image/bmp' end as reason, case idx when 4 then '474946383961' else '89504E470D0A1A0A' end as start from u)"""
 ORACLES |= {
     "blob_images": f"""with {_BLOBS}
 select page_id, kind, idx::int as idx, reason is null as ok, reason, case when reason is null then case idx when 4 then 'image-005.gif' else 'image-001.png' end end as file_name,
-       case when reason is null then md5(unhex(start) || encode(text)) end as data_md5 from v""",
+       case when reason is null then md5(unhex(start) || encode(case idx when 4 then source else text end)) end as data_md5 from v""",
     "media_metrics": f"with {_BLOBS} select kind, count(*) as total, count(*) filter (reason is null) as success, count(*) filter (reason is not null) as failed from v group by kind",
 }
 
