@@ -510,11 +510,20 @@ def article_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article.article_blocks(pages).select("page_id", "pos", "type", "level", "text", "markdown", "ordered", "depth")
 
 
+def _account_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = ("<p>%s</p>", "<h2>%s</h2>", "<p> %s <br></p>", '<p><img data-src="https://mmbiz.qpic.cn/%n?wx_fmt=png&amp;tp=webp" alt="%s"></p>')
+    return _family_pages(spark, sf_dir, "https://mp.weixin.qq.com/s/1", '<div id="js_content">', '<p style="display:none">unseen</p></div>', forms)
+
+
+def wechat_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the text of documents as public-account pages their blocks have."""
+    pages = _account_pages(spark, sf_dir)
+    return wechat.wechat_coverage(pages, wechat.wechat_blocks(pages))
+
+
 def wechat_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as public-account pages: paragraphs, headings and pictures, which part the text."""
-    forms = ("<p>%s</p>", "<h2>%s</h2>", "<p> %s <br></p>", '<p><img data-src="https://mmbiz.qpic.cn/%n?wx_fmt=png&amp;tp=webp" alt="%s"></p>')
-    pages = _family_pages(spark, sf_dir, "https://mp.weixin.qq.com/s/1", '<div id="js_content">', '<p style="display:none">unseen</p></div>', forms)
-    return wechat.wechat_blocks(pages).select("page_id", "pos", "type", F.md5("markdown").alias("markdown_md5"), "src", "alt", "source_id")
+    return wechat.wechat_blocks(_account_pages(spark, sf_dir)).select("page_id", "pos", "type", F.md5("markdown").alias("markdown_md5"), "src", "alt", "source_id")
 
 
 _ZONE = '<div class="zone-container" data-slate-editor="true"><div class="ace-line">%s</div></div>'
@@ -577,7 +586,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_blocks, page_blocks_lateral, page_scores, page_type_counts, page_markdown, page_export_names, page_links, site_family_dispatch, media_url_safety, log_safe_url, doc_normalized, doc_lines_dedupe,
         doc_filename, line_overlap_merge, fragment_merge, ordered_snapshot_merge, list_islands, table_render, cell_chunking, image_signature, fifo_media_rewrite, zip_offsets, zip_path_safety,
         crc32_entries, zip_archives, feishu_page_blocks, course_page_blocks, doc_plain_lists, coverage_diagnostics, log_lines, collector_stream, rich_page_blocks, rich_page_markdown,
-        media_localized, export_archives, article_page_blocks, wechat_page_blocks, mixed_site_blocks, mixed_site_titles,
+        media_localized, export_archives, article_page_blocks, wechat_page_blocks, wechat_coverage, mixed_site_blocks, mixed_site_titles,
         collector_policies, archive_files, blob_images, media_metrics, promoted_areas, ordered_log, log_text, event_details,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import MARKDOWN
+
 # The browser's white space and the characters that can't be seen, as character classes.
 SPACE = r"[\t\n\x{0b}\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 INVISIBLE = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]"
@@ -290,3 +292,19 @@ select page_id, n_selected::int as n_selected, case when n_selected is null and
 }
 ORACLES["event_details"] = """select event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","none":null,"props":' || replace(props, ': ', ':') || ',"tags":["' || event_type || '",null],"user":' || user_id || ',"what":{"type":"' || event_type || '","value":' || value || '}}' as text,
   (props::json->>'k')::bigint as k, event_type as type, event_type as tag, null::int as odd from events"""
+
+
+def _plain(expr: str) -> str:
+    """Plain text of Markdown."""
+    for pattern, with_ in MARKDOWN:
+        expr = f"regexp_replace({expr}, '{pattern}', '{with_.replace('$', chr(92))}', 'g')"
+    return _normal(expr)
+
+
+_ALL_ACCOUNTS = _SITE_WECHAT[: _SITE_WECHAT.index("select page_id, 'wechat'")].replace("from documents where doc_id % 6 = 0)", "from documents)")
+ORACLES["wechat_coverage"] = f"""{_ALL_ACCOUNTS},
+src as (select page_id, coalesce(length(string_agg(t, ' ' order by i) filter (k < 3 and t <> '')), 0) as source_chars from n group by page_id),
+out as (select page_id, sum(case when type <> 'image' then length({_plain("md")}) else 0 end)::bigint as exported_chars, count(*) filter (type = 'image') as images from u group by page_id),
+both_ as (select page_id, source_chars, coalesce(exported_chars, 0) as exported_chars, coalesce(images, 0) as images from src left join out using (page_id))
+select page_id, source_chars, exported_chars, images, 0 as code_blocks, 0 as tables, case when source_chars = 0 then 100 else round(100 * exported_chars / source_chars) end::bigint as percent,
+       source_chars >= 80 and 100 * exported_chars < 70 * source_chars as warn from both_"""
