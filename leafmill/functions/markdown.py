@@ -93,8 +93,9 @@ def document_markdown(title: Column, url: Column, captured: Column, blocks: Colu
             F.when(source != "", F.concat(F.lit("Source: "), source)),
             F.when(when != "", F.concat(F.lit("Captured: "), when)),
             F.when((source != "") | (when != ""), F.lit("")),
-            F.get(F.transform(F.array(body), lambda b: F.when(b != "", b)), F.lit(0)),  # worked out once
         ),
         lambda line: line.isNotNull(),
     )
-    return F.concat(trimmed_text(F.array_join(lines, "\n")), F.lit("\n"))
+    # the body is worked out once; its blocks have no white space at their ends
+    whole = lambda b: F.when(b == "", trimmed_text(F.array_join(lines, "\n"))).otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n"), b))
+    return F.concat(F.get(F.transform(F.array(body), whole), F.lit(0)), F.lit("\n"))

@@ -112,9 +112,18 @@ def zip_archives(entries: DataFrame, archive: str = "archive_id", order: str = "
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4))))
+        held: list[tuple] = []  # some small archives go on together
         for name, group in groupby(rows, key=itemgetter(0)):
             whole, n = _archive(row[1:] for row in group)
-            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([n], pa.int32()), pa.array([len(whole)], pa.int64()), pa.array([whole], pa.binary())], names=schema.names)
+            held.append((name, n, len(whole), whole))
+            if len(held) == 256 or sum(h[2] for h in held) >= PIECE:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), (kind, pa.int32(), pa.int64(), pa.binary()))], names=schema.names)
 
     kind = to_arrow_type(entries.schema[archive].dataType)
     return ready.repartition(archive).sortWithinPartitions(archive, "_order").mapInArrow(packed, schema)

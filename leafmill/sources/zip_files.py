@@ -40,9 +40,9 @@ class ZipWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.folder = folder_of(path)
         self.hidden = os.path.join(self.folder, f".writing-{uuid.uuid4().hex}")
+        os.makedirs(self.hidden)  # by the driver: a task that outlives an abort must not make it again
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.hidden, exist_ok=True)
         files: dict[str, int] = {}
         names: set[str] = set()
         try:

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from leafmill.operators import blocks as B
 from leafmill.operators import dispatch
-from leafmill.operators.families import article, course, feishu, wechat
 from leafmill.sources import block_table
 
 LONG = "word " * 40
@@ -39,13 +38,13 @@ def test_roots_and_titles(spark):
 def test_each_page_as_its_reader_reads_it(spark):
     got = {}
     for r in dispatch.read_pages(pages(spark)).orderBy("page_id", "pos").collect():
-        got.setdefault((r.page_id, r.family), []).append((r.pos, r.type, r.text))
-    want = {}
-    every = pages(spark)
-    for family, ids, reader in (("wechat", (1,), wechat.wechat_blocks), ("scys-article", (3, 11), article.article_blocks), ("scys", (4,), course.course_blocks), ("feishu", (6,), feishu.feishu_blocks), ("generic", (2, 5, 7, 8, 9, 10), B.page_blocks)):
-        for r in reader(every.where(every["page_id"].isin(*ids))).orderBy("page_id", "pos").collect():
-            want.setdefault((r.page_id, family), []).append((r.pos, r.type, r.text))
-    assert got == want and set(i for i, _ in got) == {1, 2, 3, 4, 5, 6, 7, 9, 11}
+        got.setdefault((r.page_id, r.family), []).append((r.pos, r.type, r.text or r.src))
+    one = lambda *texts: [(n, "paragraph", t) for n, t in enumerate(texts, 1)]
+    whole = lambda folder: [(1, "paragraph", LONG.strip()), (2, "image", f"{folder}x.png")]
+    assert got == {
+        (1, "wechat"): one("a"), (2, "generic"): [(1, "paragraph", LONG.strip()), (2, "image", "https://mp.weixin.qq.com/s/x.png")], (3, "scys-article"): one("one", "two"), (4, "scys"): one("one", "two"),
+        (5, "generic"): one(LONG.strip()), (6, "feishu"): one("z"), (7, "generic"): whole("https://e.com/a/"), (9, "generic"): whole(""), (11, "scys-article"): one("q"),
+    }
 
 
 def test_table_function(spark):
