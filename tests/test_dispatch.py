@@ -43,7 +43,7 @@ def test_each_page_as_its_reader_reads_it(spark):
     whole = lambda folder: [(1, "paragraph", LONG.strip()), (2, "image", f"{folder}x.png")]
     assert got == {
         (1, "wechat"): one("a"), (2, "generic"): [(1, "paragraph", LONG.strip()), (2, "image", "https://mp.weixin.qq.com/s/x.png")], (3, "scys-article"): one("one", "two"), (4, "scys"): one("one", "two"),
-        (5, "generic"): one(LONG.strip()), (6, "feishu"): one("z"), (7, "generic"): whole("https://e.com/a/"), (9, "generic"): whole(""), (11, "scys-article"): one("q"),
+        (5, "generic"): one(LONG.strip()), (6, "feishu"): one("z"), (7, "generic"): whole("https://e.com/a/"), (9, "generic"): whole("/"), (11, "scys-article"): one("q"),
     }
 
 
