@@ -6,9 +6,11 @@ MIN_CHARS code points that at least MIN_DOCS documents hold lose all their lines
 Keys are taken as two 64-bit hashes. Documents come in batches, the largest ids first. A run is a table bucketed and sorted
 by the hashes, with the number of documents of each key and the largest id among them. A batch's keys are counted, those
 that a run already has with MIN_DOCS documents are taken out by a merge anti-join bucket by bucket (their owner can't change
-any more, since ids only fall), and the others become a run of their own. Two runs of a level are compacted to one of the
-next by a full merge join. So a line that a third of all documents hold is added by the first batches only, and the runs are
-joined bucket by bucket, without a shuffle.
+any more, since ids only fall), and the others become a run of their own. A batch that finds runs in the lowest levels is
+compacted with them to one run of the next level by full merge joins before it is written, and the last batch with all runs.
+So a line that a third of all documents hold is added by the first batches only, runs are joined bucket by bucket without a
+shuffle (only what comes out of one full merge join is dealt anew for the next), and each batch but the last writes one
+table: a file for each bucket costs two more processes where Hadoop has no native library (chmod, for it and its checksums).
 """
 
 from __future__ import annotations
@@ -59,45 +61,47 @@ class SortedRuns:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _merged(self, a: str, b: str) -> DataFrame:
-        # a join, not a union: Spark 4.1 takes the buckets of a union's tables for aligned where they are not
-        one, two = self.spark.table(a), self.spark.table(b)
-        both = one.hint("merge").join(two, (one["h1"] == two["h1"]) & (one["h2"] == two["h2"]), "full")
-        n_docs = F.coalesce(one["n_docs"], F.lit(0)) + F.coalesce(two["n_docs"], F.lit(0))
-        return both.select(F.coalesce(one["h1"], two["h1"]).alias("h1"), F.coalesce(one["h2"], two["h2"]).alias("h2"), n_docs.alias("n_docs"), F.greatest(one["top"], two["top"]).alias("top"))
+    def _fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose keys no run has settled."""
+        for name in self.names():
+            settled = self.spark.table(name).where(F.col("n_docs") >= self.enough).select("h1", "h2")
+            batch = batch.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
 
-    def _compact(self, a: str, b: str) -> str:
-        run = self._write(self._merged(a, b))
-        self._drop([a, b])
-        return run
+    def _merged(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        # a join, not a union: Spark 4.1 takes the buckets of a union's tables for aligned where they are not
+        for name in names:
+            both = rows.alias("one").hint("merge").join(self.spark.table(name).alias("two"), F.expr("one.h1 = two.h1 and one.h2 = two.h2"), "full")
+            n_docs = F.coalesce(F.col("one.n_docs"), F.lit(0)) + F.coalesce(F.col("two.n_docs"), F.lit(0))
+            rows = both.select(F.coalesce("one.h1", "two.h1").alias("h1"), F.coalesce("one.h2", "two.h2").alias("h2"), n_docs.alias("n_docs"), F.greatest("one.top", "two.top").alias("top"))
+        return rows
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (h1, h2, n_docs, top) whose documents come before those of all earlier batches."""
-        for name in self.names():
-            settled = self.spark.table(name).where(F.col("n_docs") >= self.enough).select("h1", "h2")
-            batch = batch.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
-        run = self._write(batch)
-        for level, other in enumerate(self.levels):
-            if other is None:
-                self.levels[level] = run
-                return
-            run, self.levels[level] = self._compact(other, run), None
-        self.levels.append(run)
-
-    def compacted(self) -> DataFrame:
-        """All runs as one."""
+        level = next((k for k, name in enumerate(self.levels) if name is None), len(self.levels))
+        lower = [name for name in self.levels[:level] if name]
+        run = self._write(self._merged(self._fresh(batch), lower))
+        self._drop(lower)
+        self.levels[: level + 1] = [*[None] * level, run]
+
+    def compacted(self, last: DataFrame | None = None) -> DataFrame:
+        """All runs as one, with a last batch that comes before those of all runs. It reads the runs, so use it before close()."""
         names = self.names()
-        run = names[0]
-        for other in names[1:]:
-            run = self._compact(other, run)
-        self.levels = [run]
-        return self.spark.table(run)
+        if last is not None:
+            return self._merged(self._fresh(last), names)
+        return self._merged(self.spark.table(names[0]), names[1:])
 
     def close(self) -> None:
         self._drop(self.names())
         self.levels = []
 
 
+def _counted(keys: DataFrame, batch: int) -> DataFrame:
+    """The keys of a batch with the number of documents that hold them and the largest id among these."""
+    holders = keys.where(F.col("batch") == batch).select("h1", "h2", "doc").distinct()
+    return holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = BATCHES, with_text: bool = True) -> DataFrame:
     """docs with n_lines (before dropping), n_dropped and kept_text, the lines that stay joined by \\n.
 
@@ -120,15 +124,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line = keyed.select(own_id, own_text, batch.cast("int").alias("batch"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     key = line_key(F.col("line"))
     line = line.where(F.length(F.btrim("line", F.lit(SPACE))) >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), F.col(own_id).alias("doc"), F.col(own_text).alias("body"), "pos", "batch")
-    path = f"{shared_dir(spark)}/leafmill-line-keys-{uuid.uuid4().hex}"
-    line.write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema(line.schema).parquet(path)
+    # the batches lie one after another in each file, so that a batch's pages are found by their bounds
+    keys = store(line.sortWithinPartitions("batch"), "line-keys")
 
     runs = SortedRuns(spark, min_docs)
-    for n in range(len(set(cuts)) + 1):
-        holders = keys.where(F.col("batch") == n).select("h1", "h2", "doc").distinct()
-        runs.add(holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top")))
-    repeated = store(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "top"), "line-repeated")
+    for n in range(n_last := len(set(cuts))):
+        runs.add(_counted(keys, n))
+    repeated = store(runs.compacted(_counted(keys, n_last)).where(F.col("n_docs") >= min_docs).select("h1", "h2", "top"), "line-repeated")
     runs.close()
 
     few = F.broadcast if repeated.count() * KEY_BYTES <= MOST_BROADCAST else (lambda df: df)

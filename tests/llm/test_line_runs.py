@@ -74,6 +74,31 @@ def test_runs_compact(docs, spark):
     runs.close()
 
 
+def test_a_batch_writes_one_table_at_most(docs, spark, monkeypatch):
+    # two processes (chmod) are forked for each file: they were counted as memory of the executor
+    tables, folders = [], []
+    write, store = line_runs.SortedRuns._write, line_runs.store
+    monkeypatch.setattr(line_runs.SortedRuns, "_write", lambda self, rows: tables.append(write(self, rows)) or tables[-1])
+    monkeypatch.setattr(line_runs, "store", lambda df, label: folders.append((label, store(df, label))) or folders[-1][1])
+    rows = [(i, f"a line that three documents hold {i % 40}\nand one that all of them hold") for i in range(120)]
+    df = docs(rows).repartition(3)
+    assert rows_of(line_runs.dedup_lines(df)) == brute(rows)
+    assert len(tables) == line_runs.BATCHES - 1
+    assert len(dict(folders)["line-keys"].inputFiles()) <= 3
+
+
+def test_last_batch_is_compacted_with_all_runs(docs, spark):
+    batch = lambda n: spark.createDataFrame([(1, 1, 1, 9 - n), (n, 7, 1, 9 - n)], "h1 long, h2 long, n_docs long, top long")
+    for n_batches in range(1, 9):
+        runs = line_runs.SortedRuns(spark, 3)
+        for n in range(n_batches - 1):
+            runs.add(batch(n))
+        found = sorted((r.h1, r.h2, r.n_docs, r.top) for r in runs.compacted(batch(n_batches - 1)).collect())
+        runs.close()
+        # a run that settles the key (1, 1) is made of four batches, or none does
+        assert found == sorted([(1, 1, min(n_batches, 4), 9)] + [(n, 7, 1, 9 - n) for n in range(n_batches)]), n_batches
+
+
 def test_query(spark, duck):
     got = sorted(tuple(r) for r in QUERIES["op13_line_runs"](spark, SF).collect())
     assert got == sorted(duck.execute(ORACLES["op13_line_runs"]).fetchall())
