@@ -18,13 +18,23 @@ LEAST_SCORE = 1 / 3
 WORDS, SIMILARITY = 5, 80
 #: Ids of dropped documents are broadcast up to so many; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Rows of an Arrow batch: a batch of whole texts stands in the JVM's buffers and in the worker at once, in each task.
+ARROW_ROWS = 1000
 
 # No SQL: the first stage is a fitted classifier. tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to ARROW_ROWS. It holds when a stage's result is run, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
+    small_batches(spark)
     model = string_kernel.train(docs)
     found = string_kernel.identify(docs, model)
     return found.where((F.col("lang_pred") != string_kernel.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*DOCUMENT_COLUMNS)
@@ -37,6 +47,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates. Rows with a null id stay."""
+    small_batches(spark)
     found = divide_skip.jaccard_join(docs, k=WORDS, num=SIMILARITY, den=100, links=False)
     dropped = store(found.where("doc_id is not null and not is_first").select("doc_id").distinct(), "dropped")
     if dropped.count() <= MOST_BROADCAST:
@@ -51,6 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, and whether decoding them gives the text again."""
+    small_batches(spark)
     both = segment_bpe.bpe_both(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("round_trip"), "ids")

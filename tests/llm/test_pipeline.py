@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as P
+import pyarrow as pa
 from leafmill.llm import poisson_mix, segment_bpe, string_kernel
 from leafmill.llm.common import DOCUMENT_COLUMNS
 from test_divide_skip import brute
@@ -66,3 +67,32 @@ def test_near_dedup_links_at_four_fifths(spark, docs):
     texts = [" ".join(words), " ".join(words[:22] + ["x", "y"]), " ".join(["a", "b", "c"] + words[3:])]  # 18 of 22 and 17 of 23 shingles of the first
     kept = {r.doc_id for r in P.near_dedup(spark, docs(texts), "").collect()}
     assert kept == {0, 2} == {i for i, _, c, _ in brute(list(enumerate(texts)), 5, 80, 100) if i == c}
+
+
+def test_stages_send_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most = spark.conf.get(name), P.ARROW_ROWS
+    try:
+        for stage in (P.language_id, P.near_dedup, P.bpe):
+            spark.conf.unset(name)
+            stage(spark, docs([(1, "a text")]), "")
+            sizes = spark.range(0, 3 * most, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", pa.array([b.num_rows])) for b in batches if b.num_rows), "id long").collect()
+            assert len(sizes) == 3 and {r.id for r in sizes} == {most}
+        spark.conf.set(name, 10)  # a smaller one stays
+        P.small_batches(spark)
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_offsets_need_no_python_worker(spark, monkeypatch):
+    from leafmill.llm import common
+
+    made = []
+    monkeypatch.setattr(common, "local_rows", lambda *a, f=common.local_rows: made.append(f(*a)) or made[-1])
+    found = poisson_mix.poisson_mix(spark.createDataFrame([(i, "t", "s") for i in range(50)], "doc_id long, text string, source string")).collect()
+    assert sorted(r.position for r in found) == list(range(len(found)))
+    assert len(made) == 1 and "Python" not in made[0]._jdf.queryExecution().toRdd().toDebugString()
+    schema = made[0].schema
+    assert common.local_rows(spark, [], schema).collect() == [] and common.local_rows(spark, [], schema).schema == schema
+    assert "Python" in spark.createDataFrame([(1, 2)], schema)._jdf.queryExecution().toRdd().toDebugString()
