@@ -128,3 +128,9 @@ def test_wechat(spark):
     ]
     seen = wechat_coverage(pages, blocks).collect()
     assert [(r.page_id, r.images, r.code_blocks, r.tables, r.warn) for r in seen] == [(1, 1, 1, 1, False)] and seen[0].percent > 70
+
+
+def test_wechat_line_marks(spark):
+    """A plus sign makes a list only with a space after it, so that of a phone number stays as it is."""
+    pages = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", '<div id="js_content"><p>+1 (477) 555-4197 x</p><p>+ y</p><p>- z</p></div>')], "page_id long, url string, html string")
+    assert [r.markdown for r in wechat_blocks(pages).collect()] == ["+1 (477) 555-4197 x\n\n\\+ y\n\n\\- z"]
