@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, strip_all, text_of
+from .text import SPACE, once, strip_all, text_of
 
 # What opens a fence, a list item and a branch of a directory tree, and what a directory's name isn't.
 FENCE = f"^[{SPACE}]*(`{{3,}}|~{{3,}})"
@@ -18,11 +16,10 @@ MARKER = rf"^([{SPACE}]*)(?:-|\d+\.)[{SPACE}]+.*$"
 BRANCH = rf"^[{SPACE}]*(?:\x{{2502}}[{SPACE}]*)*[\x{{251C}}\x{{2514}}]\x{{2500}}\x{{2500}}[{SPACE}]*[^{SPACE}]"
 NO_DIRECTORY = "^(?:https?://|[#>*|`-])"
 LONGEST_DIRECTORY, LEAST_BRANCHES = 180, 2
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+# What plain_lists() does more with than with a paragraph: marks of lists and fences at the start of a line, blank
+# lines after blank lines, emphasis without a text, branches.
+NOT_PLAIN = rf"(?m)^(?:[{SPACE}]*(?:[-+*\x{{2022}}\x{{25CF}}\x{{25AA}}\x{{25AB}}\x{{25E6}}\x{{B7}}]|\d+[.)]|`{{3}}|~{{3}})|[{SPACE}&&[^\n]]*\n[{SPACE}&&[^\n]]*\n)"
+NOT_PLAIN_PARTS = ("****", chr(0x2500) * 2)
 
 
 def with_fences(lines: Column) -> Column:
@@ -44,7 +41,16 @@ def with_fences(lines: Column) -> Column:
 def plain_lists(value: Column) -> Column:
     """Markdown whose lists are written one way: `-` for all bullets, `1.` for numbers, no blank line between items of one
     indent, one blank line at most elsewhere, and directory trees fenced. Code in fences stays as it is."""
-    lines = F.split(F.regexp_replace(text_of(value), r"\r\n?", "\n"), "\n")
+    return once(F.regexp_replace(text_of(value), r"\r\n?", "\n"), lambda text: F.when(text.contains(NOT_PLAIN_PARTS[0]) | text.contains(NOT_PLAIN_PARTS[1]) | text.rlike(NOT_PLAIN), _plain_lists(text)).otherwise(_plain_text(text)))
+
+
+def _plain_text(text: Column) -> Column:
+    """plain_lists() of a text without lists, fences and trees: most are, and need no fold over their lines."""
+    return strip_all(F.regexp_replace(F.replace(text, F.lit(chr(0xA0)), F.lit(" ")), r"[ \t]+(?=[\x{85}\x{2028}\x{2029}]?(?:\n|\z))", ""))
+
+
+def _plain_lists(text: Column) -> Column:
+    lines = F.split(text, "\n")
 
     def written(e: Column) -> Column:
         line = F.regexp_replace(F.replace(F.replace(e["line"], F.lit(chr(0xA0)), F.lit(" ")), F.lit("****"), F.lit("")), r"[ \t]+$", "")

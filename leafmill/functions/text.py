@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of the browser's language, and the invisible characters that texts and titles lose.
 SPACE = r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 INVISIBLE = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]"
+#: The same as character classes that turn most letters away by one comparison.
+ANY_SPACE, ANY_INVISIBLE = f"[[^!-~]&&[{SPACE}]]", f"[[^ -~]&&{INVISIBLE}]"
 TITLE_INVISIBLE = r"[\x{0}-\x{1f}\x{7f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]+"
 
 
@@ -18,16 +22,16 @@ def text_of(value: Column) -> Column:
 
 def strip_all(value: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(value, f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    return F.regexp_replace(F.regexp_replace(value, f"^[{SPACE}]+", ""), f"{ANY_SPACE}+$", "")
 
 
 def strip_invisible(value: Column) -> Column:
-    return F.regexp_replace(text_of(value), INVISIBLE, "")
+    return F.regexp_replace(text_of(value), ANY_INVISIBLE, "")
 
 
 def normalize_text(value: Column) -> Column:
     """One space for each run of white space, none at the ends, no invisible characters."""
-    return F.trim(F.regexp_replace(strip_invisible(value), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(strip_invisible(value), f"{ANY_SPACE}+", " "))
 
 
 def normalize_code(value: Column) -> Column:
@@ -190,16 +194,27 @@ MARKDOWN = (
     (r"(?m)^[ \t]*(?:#{1,6}|>|[-+*]|\d+[.)])\s+", ""),
     (r"[|*_~`\\]", " "),
 )
+#: What each pattern of MARKDOWN can't do without; null where no fixed text is sure.
+_NEEDS = ("```", "](", "](", "<", None, None)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def markdown_to_text(value: Column) -> Column:
     """Plain text of Markdown."""
     out = text_of(value)
-    for pattern, with_ in MARKDOWN:
-        out = F.regexp_replace(out, pattern, with_)
+    for (pattern, with_), needed in zip(MARKDOWN, _NEEDS):
+        out = F.regexp_replace(out, pattern, with_) if needed is None else _where_it_has(out, needed, pattern, with_)
     return normalize_text(out)
 
 
+def _where_it_has(value: Column, needed: str, pattern: str, with_: str) -> Column:
+    return once(value, lambda text: F.when(text.contains(needed), F.regexp_replace(text, pattern, with_)).otherwise(text))
+
+
 def decoded(value: Column) -> Column:
     """The character references that titles have, decoded; others stay."""
     out = text_of(value)

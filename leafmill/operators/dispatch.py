@@ -31,7 +31,7 @@ def site_blocks(parsed: SitePages) -> DataFrame:
     of urls.FAMILIES, else the reader of any page."""
     marks = lambda family: parsed.rows(family, "mark")
     by_family = {
-        "wechat": wechat.blocks_of(marks("wechat"), parsed.rows("wechat", "markdown")),
+        "wechat": wechat.blocks_of(parsed.rows("wechat", "markdown")),
         "scys-article": article.blocks_of(marks("scys-article"), parsed.rows("scys-article", "unit")),
         "scys": course.blocks_of(marks("scys")),
         "feishu": feishu.blocks_of(marks("feishu")),

@@ -134,3 +134,27 @@ def test_wechat_line_marks(spark):
     """A plus sign makes a list only with a space after it, so that of a phone number stays as it is."""
     pages = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", '<div id="js_content"><p>+1 (477) 555-4197 x</p><p>+ y</p><p>- z</p></div>')], "page_id long, url string, html string")
     assert [r.markdown for r in wechat_blocks(pages).collect()] == ["+1 (477) 555-4197 x\n\n\\+ y\n\n\\- z"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wechat_pages_are_parsed_once_and_move_once(spark):
+    pages = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", '<div id="js_content"><p>a</p></div>')], "page_id long, url string, html string")
+    plan = plan_of(wechat_blocks(pages))
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them():
+    from leafmill.sources.html_nodes import _Tree
+
+    plain = '<div id="a" class="b &amp; c" id="d">x &lt; y<br/><p>z<p hidden="">u</b></div><table><tr><td>v<li>w</td></tr>&am'
+    fast, slow = _Tree(), _Tree()
+    slow._plain = lambda html: False
+    fast.finish(plain)
+    slow.finish(plain)
+    for name in ("tags", "attrs", "parents", "children", "pieces", "faded", "ranges", "undisplayed", "dim"):
+        assert getattr(fast, name) == getattr(slow, name)
+    for odd in ("<p x>", "<!-- a -->", "<script>a</script>", '<a title="b>c">', "a < b", "<p", "</p >"):
+        assert not _Tree()._plain(odd)
