@@ -517,8 +517,7 @@ def _account_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wechat_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the text of documents as public-account pages their blocks have."""
-    pages = _account_pages(spark, sf_dir)
-    return wechat.wechat_coverage(pages, wechat.wechat_blocks(pages))
+    return wechat.page_coverage(_account_pages(spark, sf_dir))
 
 
 def wechat_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

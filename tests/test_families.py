@@ -158,3 +158,13 @@ def test_plain_tags_are_read_as_the_parser_reads_them():
         assert getattr(fast, name) == getattr(slow, name)
     for odd in ("<p x>", "<!-- a -->", "<script>a</script>", '<a title="b>c">', "a < b", "<p", "</p >"):
         assert not _Tree()._plain(odd)
+
+
+def test_coverage_from_one_parse(spark):
+    from leafmill.operators.families.wechat import page_coverage
+
+    html = '<div id="js_content"><p>One <b>two</b> 😀</p><p><img data-src="https://e.com/a.png"></p><pre>x = 1</pre><table><tr><td>k</td></tr></table></div>'
+    pages = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", html), (2, "u", '<div id="js_content"></div>'), (3, "u", "<p>x</p>")], "page_id long, url string, html string")
+    found, plain = page_coverage(pages), wechat_coverage(pages, wechat_blocks(pages))
+    assert plan_of(found).count("MapInArrow") == 1
+    assert sorted(found.select(*plain.columns).collect()) == sorted(plain.collect()) and found.count() == 2
