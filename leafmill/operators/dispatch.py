@@ -34,7 +34,7 @@ def site_blocks(parsed: SitePages) -> DataFrame:
         "wechat": wechat.blocks_of(parsed.rows("wechat", "markdown")),
         "scys-article": article.blocks_of(marks("scys-article"), parsed.rows("scys-article", "unit")),
         "scys": course.blocks_of(marks("scys")),
-        "feishu": feishu.blocks_of(marks("feishu")),
+        "feishu": feishu.blocks_of(parsed.rows("feishu", "top")),
         "generic": parsed.rows("generic", "block"),
     }
     fields = [f.split(" ") for f in BLOCKS.split(", ")]

@@ -1,6 +1,6 @@
 """Documents of nested blocks, each with an id: headings, lists, quotes, tables, code, pictures and text.
 
-Every step is a join or a grouping of element rows by the block that owns them, which is the nearest block around them.
+Every block comes with what belongs to it; what it shows, and which of several with one id counts, is decided here.
 """
 
 from __future__ import annotations
@@ -8,75 +8,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.text import SPACE, inline_markdown_to_text, normalize_code, normalize_text
-from ...sources.html_marks import parsed
-from ...sources.shared import kept
+from ...functions.text import ANY_SPACE, inline_markdown_to_text, normalize_code, normalize_text
+from ...sources.block_rows import BULLET, CODE, FIELDS, IMAGE, ORDERED, QUOTE, TABLE, TEXT, page_block_rows
+from ...sources.html_marks import page_rows
 from ..blocks import absolute, image_source
 
-# The classes of the family's blocks.
-ROOT, ZONE, LINE, CODE_ZONE = "docx-page-block", "zone-container", "ace-line", "code-block-zone-container"
-QUOTE, TABLE, CELL, CODE, IMAGE, ORDERED, BULLET, TEXT = (f"docx-{x}-block" for x in ("quote_container", "table", "table_cell", "code", "image", "ordered", "bullet", "text"))
-MANAGED = (QUOTE, TABLE, CELL, CODE)
-#: The classes whose elements are read with inline Markdown.
-WANTED = frozenset((LINE, ZONE))
+#: What a block may show: the place of the block, the number of the part and the fields of a block.
+ITEM = "struct<block:int,part:int,several:boolean,type:string,lines:array<string>,code:string,src:string,alt:string,rows:array<array<string>>,record:string,block_id:string>"
 
 
 def _has(classes: Column, *names: str) -> Column:
     return F.arrays_overlap(classes, F.array(*map(F.lit, names)))
 
 
-def _is_block(a: Column) -> Column:
-    return F.array_contains(a["classes"], "block") & (F.coalesce(a["block_id"], F.lit("")) != "")
+def _lines(parts: Column) -> Column:
+    """The lines that have a text, their white space as single spaces."""
+    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, f"{ANY_SPACE}+", " "))), lambda p: p != "")
 
 
-def _nearest(test) -> Column:
-    """The innermost ancestor that passes."""
-    return F.try_element_at(F.filter("anc", test), F.lit(-1))
+def _item(block: Column, kind: str | Column, record: Column, block_id: Column, part: Column | None = None, several: Column | None = None, **fields: Column) -> Column:
+    given = {"block": block, "part": F.lit(0) if part is None else part, "several": F.lit(False) if several is None else several, "type": F.lit(kind) if isinstance(kind, str) else kind, "record": record, "block_id": block_id} | fields
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in ("block", "part", "several", "type", "lines", "code", "src", "alt", "rows", "record", "block_id")]).cast(ITEM)
 
 
-def _ordered(value: str, by: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.col(value).alias("v")))), lambda x: x["v"])
+def _pictures(block: Column, pictures: Column, record: Column, block_id: Column) -> Column:
+    """Items of the distinct pictures of a block."""
+    found = F.transform(pictures, lambda a: F.struct(absolute(image_source(a), F.coalesce("url", F.lit(""))).alias("src"), normalize_text(a["alt"]).alias("alt")))
+    distinct = F.array_distinct(F.filter(found, lambda p: p["src"] != ""))
+    items = lambda every: F.transform(every, lambda p, k: _item(block, "image", record, block_id, k, F.size(every) > 1, src=p["src"], alt=p["alt"]))
+    return F.flatten(F.transform(F.array(distinct), items))
 
 
-def _line(inline: Column) -> Column:
-    return F.trim(F.regexp_replace(inline, f"[{SPACE}]+", " "))
-
-
-def _values(m: DataFrame) -> DataFrame:
-    """page_id, owner, markdown, text: the editable lines of each block; a zone without lines counts as one of its plain text."""
-    zone = lambda a: F.array_contains(a["classes"], ZONE)
-    lines = m.where(_has(F.col("classes"), LINE)).withColumn("zone", _nearest(zone)["pre"]).where("zone is not null")
-    lines = lines.select("page_id", "pre", "zone", F.try_element_at(F.filter("anc", lambda a: _is_block(a) & (a["pre"] < F.col("zone"))), F.lit(-1))["pre"].alias("owner"), _line(F.col("inline")).alias("md"))
-    zones = m.where(_has(F.col("classes"), ZONE) & F.col("attrs").getItem("data-slate-editor").isNotNull())
-    bare = zones.join(lines.select("page_id", F.col("zone").alias("pre")), ["page_id", "pre"], "left_anti").select("page_id", "pre", _nearest(_is_block)["pre"].alias("owner"), normalize_text(F.col("content")).alias("md"))
-    real = lines.join(zones.select("page_id", F.col("pre").alias("zone")), ["page_id", "zone"], "left_semi").select("page_id", "pre", "owner", "md")
-    parts = real.unionByName(bare).where("md <> ''").groupBy("page_id", "owner").agg(_ordered("md", "pre").alias("parts"))
-    return parts.select("page_id", "owner", F.array_join("parts", "<br>").alias("markdown"), inline_markdown_to_text(F.array_join("parts", " ")).alias("text"))
-
-
-def _pictures(m: DataFrame) -> DataFrame:
-    """page_id, block, part, src, alt: distinct pictures of picture blocks."""
-    src = absolute(image_source(F.col("attrs")), F.coalesce("url", F.lit("")))
-    found = m.where("tag = 'img'").select("page_id", "pre", _nearest(lambda a: _is_block(a) & F.array_contains(a["classes"], IMAGE))["pre"].alias("block"), src.alias("src"), normalize_text(F.col("attrs").getItem("alt")).alias("alt"))
-    firsts = found.where("block is not null and src <> ''").groupBy("page_id", "block", "src", "alt").agg(F.min("pre").alias("pre"))
-    return firsts.withColumn("part", F.row_number().over(Window.partitionBy("page_id", "block").orderBy("pre")) - 1).drop("pre")
-
-
-def _tables(m: DataFrame, values: DataFrame) -> DataFrame:
-    """page_id, block, rows: a cell has its blocks' lines, or its own, or its plain text."""
-    cells = m.where(F.col("tag").isin("td", "th")).select(
-        "page_id", "pre", _nearest(lambda a: a["tag"] == "tr")["pre"].alias("row"), _nearest(lambda a: F.array_contains(a["classes"], TABLE))["pre"].alias("block"), normalize_text(F.col("content")).alias("plain")
-    )
-    nested = _blocks(m).select("page_id", F.col("pre").alias("owner"), _nearest(_is_block)["pre"].alias("pre")).join(values, ["page_id", "owner"])
-    nested = nested.groupBy("page_id", "pre").agg(F.array_join(_ordered("markdown", "owner"), "<br>").alias("nested"))
-    own = values.select("page_id", F.col("owner").alias("pre"), F.col("markdown").alias("own"))
-    full = cells.where("block is not null and row is not null").join(nested, ["page_id", "pre"], "left").join(own, ["page_id", "pre"], "left")
-    rows = full.withColumn("cell", F.coalesce("nested", "own", "plain")).groupBy("page_id", "block", "row").agg(_ordered("cell", "pre").alias("cells"))
-    return rows.groupBy("page_id", "block").agg(_ordered("cells", "row").alias("rows"))
-
-
-def _blocks(m: DataFrame) -> DataFrame:
-    return m.where(F.array_contains("classes", "block") & (F.coalesce(F.col("attrs").getItem("data-block-id"), F.lit("")) != ""))
+def _cell(c: Column) -> Column:
+    """A cell has its blocks' lines, or its own, or its plain text."""
+    joined = lambda parts: F.nullif(F.array_join(_lines(parts), "<br>"), F.lit(""))
+    return F.coalesce(joined(c["nested"]), joined(c["own"]), c["plain"])
 
 
 def feishu_blocks(pages: DataFrame) -> DataFrame:
@@ -85,68 +51,43 @@ def feishu_blocks(pages: DataFrame) -> DataFrame:
     pages: page_id, url, html. Equal source ids are one block. The order is that of the page; the place on the screen, which
     a rendered page would give as source_order, isn't known here, so a numeric block id stands for it.
     """
-    return blocks_of(parsed(pages.select("page_id", "url", "html"), WANTED, tight=False))
-
-
-def blocks_of(m: DataFrame) -> DataFrame:
-    """The same from the pages' element rows."""
-    values = kept(_values(m), "values")
-    around = F.filter("anc", _is_block)
-    root = F.get(F.filter("anc", lambda a: _is_block(a) & F.array_contains(a["classes"], ROOT)), F.lit(0))["pre"]
-    blocks = _blocks(m).select(
-        "page_id", "pre", "classes", _nearest(_is_block)["pre"].alias("parent"), root.alias("root"),
-        F.coalesce(F.nullif(F.col("attrs").getItem("data-record-id"), F.lit("")), F.col("attrs").getItem("data-block-id")).alias("record"), F.col("attrs").getItem("data-block-id").try_cast("double").alias("source_order"),
-        F.size(F.filter(around, lambda a: _has(a["classes"], ORDERED, BULLET))).alias("depth"),
-        F.exists(F.filter(around, lambda a: a["pre"] > root), lambda a: _has(a["classes"], *MANAGED)).alias("managed"),
-    )
-    top = blocks.where("root is not null and not managed").join(values.withColumnRenamed("owner", "pre"), ["page_id", "pre"], "left")
+    return blocks_of(page_rows(pages, FIELDS, page_block_rows))
+
+
+def blocks_of(tops: DataFrame) -> DataFrame:
+    """The same from the rows of the pages' blocks."""
     heading = F.regexp_extract(F.array_join("classes", " "), r"(?:^| )docx-heading([1-6])-block(?: |$)", 1)
     kind = (
         F.when(heading != "", "heading").when(_has(F.col("classes"), IMAGE), "image").when(_has(F.col("classes"), TABLE), "table").when(_has(F.col("classes"), CODE), "code")
         .when(_has(F.col("classes"), QUOTE), "quote").when(_has(F.col("classes"), ORDERED, BULLET), "listItem").when(_has(F.col("classes"), TEXT) & ~_has(F.col("classes"), "isEmpty"), "paragraph")
     )
-    top = kept(top.withColumn("type", kind).withColumn("level", F.nullif(heading, F.lit("")).cast("int")).where("type is not null"), "blocks")
-    blocks = kept(blocks, "blocks")
+    typed = tops.withColumn("kind", kind).withColumn("level", F.nullif(heading, F.lit("")).cast("int")).where("kind is not null")
 
-    none = lambda t: F.lit(None).cast(t)
-    plain = top.where(F.col("type").isin("heading", "listItem", "paragraph")).where("coalesce(markdown, '') <> '' and (type <> 'heading' or text <> '')").select(
-        "page_id", F.col("pre").alias("top"), F.col("pre").alias("block"), F.lit(0).alias("part"), "type", "level", "text", F.when(F.col("type") != "heading", F.col("markdown")).alias("markdown"),
-        F.when(F.col("type") == "listItem", _has(F.col("classes"), ORDERED)).alias("ordered"), F.when(F.col("type") == "listItem", F.col("depth")).alias("depth"), none("string").alias("src"), none("string").alias("alt"), none("array<array<string>>").alias("rows"),
+    pre, own = F.col("pre"), (F.col("record"), F.col("block_id"))
+    # quotes: their children, or themselves without any that show
+    told = lambda c: F.array(_item(c["pre"], "quote", c["record"], c["block_id"], lines=_lines(c["lines"])))
+    said = F.flatten(F.transform("children", lambda c: F.when(c["picture"], _pictures(c["pre"], c["pictures"], c["record"], c["block_id"])).otherwise(F.filter(told(c), lambda i: F.size(i["lines"]) > 0))))
+    plain = F.array(_item(pre, F.col("kind"), *own, lines=_lines(F.col("lines"))))
+    quote = F.flatten(F.transform(F.array(said), lambda items: F.when(F.size(items) > 0, items).otherwise(plain)))
+    code = F.array(_item(pre, "code", *own, code=normalize_code(F.array_join(F.transform("code", lambda p: F.trim(F.regexp_replace(p, f"{ANY_SPACE}+", " "))), "\n"))))
+    table = F.array(_item(pre, "table", *own, rows=F.transform("cells", lambda row: F.transform(row, _cell))))
+    items = (
+        F.when(F.col("kind") == "image", _pictures(pre, F.col("pictures"), *own)).when(F.col("kind") == "table", F.when(F.col("cells").isNotNull(), table))
+        .when(F.col("kind") == "code", F.when(F.col("code").isNotNull(), code)).when(F.col("kind") == "quote", quote).otherwise(plain)
+    )
+    shown = typed.select("page_id", F.col("pre").alias("top"), "level", "depth", _has(F.col("classes"), ORDERED).alias("numbered"), F.inline(items))
+    full = shown.withColumn("markdown", F.array_join("lines", "<br>")).withColumn("text", F.when(F.col("lines").isNotNull(), inline_markdown_to_text(F.array_join("lines", " "))).otherwise(F.col("code")))
+    full = full.where("type in ('image', 'table') or (type = 'code' and text <> '') or (markdown <> '' and (type <> 'heading' or text <> ''))")
+    name = F.concat(F.when(F.col("type") == "image", "feishu-image:").otherwise("feishu-block:"), "record", F.when(F.col("several"), F.concat(F.lit(":"), F.col("part").cast("string"))).otherwise(F.lit("")))
+    listed = F.col("type") == "listItem"
+    named = full.select(
+        "page_id", "top", "block", "part", "type", "level", "text", F.when(F.col("type") != "heading", F.col("markdown")).alias("markdown"), F.when(listed, F.col("numbered")).alias("ordered"), F.when(listed, F.col("depth")).alias("depth"),
+        "src", "alt", "rows", name.alias("source_id"), F.col("block_id").try_cast("double").alias("source_order"),
     )
-    shape = plain.schema
-
-    def item(df: DataFrame, **columns: Column) -> DataFrame:
-        return df.select(*[columns.get(f.name, F.col(f.name) if f.name in df.columns and f.name in ("page_id", "top", "block", "part") else none(f.dataType)).alias(f.name) for f in shape.fields])
-
-    code_lines = m.where(_has(F.col("classes"), LINE)).select("page_id", "pre", _nearest(lambda a: F.array_contains(a["classes"], CODE_ZONE))["pre"].alias("zone"), _nearest(lambda a: _is_block(a) & F.array_contains(a["classes"], CODE))["pre"].alias("block"), _line(F.col("inline")).alias("md"))
-    code = code_lines.where("zone is not null").groupBy("page_id", "block").agg(F.array_join(_ordered("md", "pre"), "\n").alias("joined"))
-    code = top.where("type = 'code'").select("page_id", F.col("pre").alias("top"), F.col("pre").alias("block"), F.lit(0).alias("part")).join(code, ["page_id", "block"])
-    code = item(code, type=F.lit("code"), text=normalize_code(F.col("joined"))).where("text <> ''")
-
-    tables = top.where("type = 'table'").select("page_id", F.col("pre").alias("top"), F.col("pre").alias("block"), F.lit(0).alias("part")).join(_tables(m, values), ["page_id", "block"])
-    tables = item(tables, type=F.lit("table"), rows=F.col("rows"))
 
-    # quotes: their children, or themselves without any that show
-    held = blocks.select("page_id", F.col("pre").alias("block"), F.col("parent").alias("top"), _has(F.col("classes"), IMAGE).alias("picture"))
-    held = held.join(top.where("type = 'quote'").select("page_id", F.col("pre").alias("top")), ["page_id", "top"], "left_semi")
-    said = held.where("not picture").join(values.withColumnRenamed("owner", "block"), ["page_id", "block"]).withColumn("part", F.lit(0))
-    said = item(said, type=F.lit("quote"), text=F.col("text"), markdown=F.col("markdown"))
-
-    pictures = _pictures(m)
-    alone = top.where("type = 'image'").select("page_id", F.col("pre").alias("top"), F.col("pre").alias("block")).unionByName(held.where("picture").select("page_id", "top", "block"))
-    shown = item(alone.join(pictures, ["page_id", "block"]), type=F.lit("image"), src=F.col("src"), alt=F.col("alt"))
-    whole = top.where("type = 'quote' and coalesce(markdown, '') <> ''").join(said.unionByName(shown).select("page_id", F.col("top").alias("pre")), ["page_id", "pre"], "left_anti")
-    whole = item(whole.withColumn("top", F.col("pre")).withColumn("block", F.col("pre")).withColumn("part", F.lit(0)), type=F.lit("quote"), text=F.col("text"), markdown=F.col("markdown"))
-
-    items = plain.unionByName(code).unionByName(tables).unionByName(said).unionByName(shown).unionByName(whole)
-    items = kept(items, "blocks")
-    named = items.join(blocks.select("page_id", F.col("pre").alias("block"), "record", "source_order"), ["page_id", "block"])
-    several = F.count(F.lit(1)).over(Window.partitionBy("page_id", "block"))
-    name = F.concat(F.when(F.col("type") == "image", "feishu-image:").otherwise("feishu-block:"), "record", F.when(several > 1, F.concat(F.lit(":"), F.col("part").cast("string"))).otherwise(F.lit("")))
-    named = named.withColumn("source_id", name)
-    # of equal ids the later one counts if it tells no less, at the place of the first
+    # of equal ids the later one counts if it tells no less, at the place of the first; a page's rows move once
     same = Window.partitionBy("page_id", "type", "source_id")
     length = F.length(F.coalesce(F.nullif("markdown", F.lit("")), F.nullif("text", F.lit("")), F.col("src"), F.lit("")))
-    best = named.withColumn("at", F.min(F.struct("top", "block", "part")).over(same)).withColumn("best", F.row_number().over(same.orderBy(F.desc(F.when(F.col("type") == "image", 0).otherwise(length)), F.desc("top"), F.desc("block"), F.desc("part")))).where("best = 1")
+    best = named.repartition("page_id").withColumn("at", F.min(F.struct("top", "block", "part")).over(same)).withColumn("best", F.row_number().over(same.orderBy(F.desc(F.when(F.col("type") == "image", 0).otherwise(length)), F.desc("top"), F.desc("block"), F.desc("part")))).where("best = 1")
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
     return best.select("page_id", pos.alias("pos"), "type", "level", "text", "markdown", "ordered", "depth", "src", "alt", "rows", "source_id", "source_order")

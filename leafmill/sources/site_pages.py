@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.urls import site_family
 from ..operators.merge import squeeze
-from . import html_marks, html_markdown
+from . import block_rows, html_marks, html_markdown
 from .html_marks import Marks, Units
 from .html_nodes import node_rows
 from .page_content import content_of
@@ -36,6 +36,7 @@ KINDS = {
     "mark": html_marks.FIELDS,
     "unit": [T.StructField(f"unit_{f.name}", f.dataType) for f in html_marks.UNITS],
     "markdown": html_markdown.ROW,
+    "top": [T.StructField(f"top_{f.name}", f.dataType) for f in block_rows.FIELDS],
     "block": [T.StructField("pos", T.IntegerType()), *(T.StructField(f"block_{n}", t) for n, t in (("type", T.StringType()), ("level", T.IntegerType()), ("text", T.StringType()), ("src", T.StringType()), ("alt", T.StringType()), ("href", T.StringType())))],
 }
 COLUMNS = [f for fields in KINDS.values() for f in fields]
@@ -100,6 +101,9 @@ class FeishuReader(Reader):
     def title(self, tree: Marks, root: int) -> str:
         return next(_found(tree, FEISHU_TITLES, root + 1, tree.last[root]), "")
 
+    def rows(self, tree: Marks, root: int) -> Iterator[tuple[str, list[tuple]]]:
+        yield "top", block_rows.block_rows(tree)
+
 
 class CourseReader(Reader):
     def root(self, tree: Marks) -> int | None:
@@ -120,13 +124,13 @@ class ArticleReader(Reader):
 
 
 def readers() -> dict[str, Reader]:
-    from ..operators.families import article, course, feishu
+    from ..operators.families import article, course
 
     return {
         "wechat": WechatReader(),
         "scys-article": ArticleReader(article.WANTED, item=article.ITEM, zones=article.ZONES, owners=article.OPENING),
         "scys": CourseReader(course.WANTED),
-        "feishu": FeishuReader(feishu.WANTED, tight=False),
+        "feishu": FeishuReader(tight=False),
     }
 
 

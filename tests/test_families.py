@@ -168,3 +168,10 @@ def test_coverage_from_one_parse(spark):
     found, plain = page_coverage(pages), wechat_coverage(pages, wechat_blocks(pages))
     assert plan_of(found).count("MapInArrow") == 1
     assert sorted(found.select(*plain.columns).collect()) == sorted(plain.collect()) and found.count() == 2
+
+
+def test_feishu_pages_are_parsed_once_and_move_once(spark):
+    pages = spark.createDataFrame([(1, "https://a.feishu.cn/docx/1", block("page", 1, block("text", 2, zone("a"))))], "page_id long, url string, html string")
+    found = feishu_blocks(pages)
+    assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Exchange") == 1
+    assert [(r.pos, r.markdown) for r in found.collect()] == [(1, "a")]
