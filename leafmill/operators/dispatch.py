@@ -33,7 +33,7 @@ def site_blocks(parsed: SitePages) -> DataFrame:
     by_family = {
         "wechat": wechat.blocks_of(parsed.rows("wechat", "markdown")),
         "scys-article": article.blocks_of(marks("scys-article"), parsed.rows("scys-article", "unit")),
-        "scys": course.blocks_of(marks("scys")),
+        "scys": course.blocks_of(parsed.rows("scys", "item")),
         "feishu": feishu.blocks_of(parsed.rows("feishu", "top")),
         "generic": parsed.rows("generic", "block"),
     }

@@ -1,7 +1,6 @@
 """Course pages: items that may hold items, with text zones, lists, code, grids of cells, pictures and videos.
 
-What an item shows depends on the items around and in it; both are found by exploding the ancestors of element rows and
-grouping by item.
+Every item comes with what is in it and around it; what it becomes, and which of equal blocks stays, is decided here.
 """
 
 from __future__ import annotations
@@ -9,78 +8,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.text import code_language, heading_level, inline_markdown_to_text, normalize_indented_code, normalize_inline_markdown, normalize_text
-from ...functions.urls import absolute_url
-from ...sources.html_marks import parsed
-from ...sources.shared import kept
+from ...functions.text import code_language, heading_level, inline_markdown_to_text, normalize_indented_code, normalize_inline_markdown, normalize_text, once
+from ...sources.html_marks import page_rows
+from ...sources.item_rows import COURSE_FIELDS, page_course_rows
 from ..blocks import absolute, image_source
 
-# The classes of the family's pages.
-ITEM, ZONE, BULLET, SECTION, CONTENT, GRID, GRID_CELL = "vc-doc-item", "block-text", "bulletlist", "level2-section", "vc-course-content", "table", "table_cell"
-LIST_MARKS = ("bullet_container", "bullet-dot", BULLET)
-CHROME = ("course-complete", "next-chapter-card")
-#: The classes whose elements are read with inline Markdown.
-WANTED = frozenset((ITEM, ZONE, BULLET, GRID_CELL, "title", "block-code-content", "block-code-language"))
 LINK_ICON = r"(?i)/images/docx/link\.png$"
+BLOCK = (
+    ("part", "int"), ("type", "string"), ("level", "int"), ("text", "string"), ("markdown", "string"), ("ordered", "boolean"), ("depth", "int"), ("language", "string"), ("src", "string"), ("alt", "string"), ("rows", "array<array<string>>"),
+    ("source_id", "string"),
+)
+OF_PART = f"struct<{','.join(f'{n}:{t}' for n, t in BLOCK)}>"
 
 
-def _has(classes: Column, *names: str) -> Column:
-    return F.arrays_overlap(classes, F.array(*map(F.lit, names)))
+def item_text(shown: Column) -> Column:
+    """The lines that an item shows, one for each end of its tree."""
+    zones = lambda e: F.array_join(F.filter(F.transform(e["zones"], normalize_inline_markdown), lambda x: x != ""), "<br>")
+    each = F.transform(shown, lambda e: F.when(e["zones"].isNotNull(), zones(e)).otherwise(normalize_inline_markdown(F.coalesce(e["bullet"], e["whole"]))))
+    return F.array_join(F.filter(each, lambda x: x != ""), "<br>")
 
 
-def _items_around() -> Column:
-    return F.filter("anc", lambda a: F.array_contains(a["classes"], ITEM))
+def grid_rows() -> Column:
+    """The rows of an item's grid, the last one filled up: a cell has the lines of its items or its own."""
+    width, cells = F.col("width"), F.transform("cells", lambda c: F.coalesce(item_text(c["nested"]), normalize_inline_markdown(c["own"])))
 
+    def rows(given: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(given) / width).cast("int") - 1), lambda r: F.slice(given, r * width + 1, width))
+        return F.transform(cut, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
 
-def _own_item() -> Column:
-    """The innermost item around an element."""
-    return F.try_element_at(_items_around(), F.lit(-1))["pre"]
+    return F.when(F.size("cells") > 0, once(cells, rows))
 
 
-def _ordered(value: Column, by: Column) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(by.alias("k"), value.alias("v")))), lambda x: x["v"])
+def numbered() -> Column:
+    return F.exists(F.concat("classes", "first_classes"), lambda c: c.rlike("(?i)ordered|number"))
 
 
-def course_items(m: DataFrame) -> DataFrame:
-    """page_id, pre, last, classes, parent, path, is_list, has_bullet, has_nested, chrome, in_section of each item."""
-    items = m.where(_has(F.col("classes"), ITEM)).select(
-        "page_id", "pre", "last", "classes", "anc", _own_item().alias("parent"), F.transform(_items_around(), lambda a: a["pre"]).alias("path"),
-        (_has(F.col("classes"), *CHROME) | F.exists("anc", lambda a: _has(a["classes"], *CHROME))).alias("chrome"), F.exists("anc", lambda a: F.array_contains(a["classes"], SECTION)).alias("in_section"),
-        F.exists("anc", lambda a: (a["tag"] == "main") | F.array_contains(a["classes"], CONTENT)).alias("in_root"),
-    )
-    marks = m.where(_has(F.col("classes"), *LIST_MARKS)).groupBy("page_id", _own_item().alias("pre")).agg(F.bool_or(_has(F.col("classes"), BULLET)).alias("has_bullet"))
-    nested = items.where("parent is not null").groupBy("page_id", F.col("parent").alias("pre")).agg(F.count(F.lit(1)).alias("n_nested"))
-    first = m.where(F.try_element_at("anc", F.lit(-1))["pre"].isNotNull()).groupBy("page_id", F.try_element_at("anc", F.lit(-1))["pre"].alias("pre")).agg(F.min_by("classes", "pre").alias("first_classes"))
-    full = items.join(marks, ["page_id", "pre"], "left").join(nested, ["page_id", "pre"], "left").join(first, ["page_id", "pre"], "left")
-    numbered = F.exists(F.concat("classes", F.coalesce("first_classes", F.array().cast("array<string>"))), lambda c: c.rlike("(?i)ordered|number"))
-    return full.select(
-        "page_id", "pre", "last", "classes", "parent", "path", "chrome", "in_section", "in_root", F.col("has_bullet").isNotNull().alias("is_list"), F.coalesce("has_bullet", F.lit(False)).alias("has_bullet"),
-        F.coalesce("n_nested", F.lit(0)).alias("n_nested"), numbered.alias("numbered"),
-    )
-
-
-def item_markdown(m: DataFrame, items: DataFrame) -> DataFrame:
-    """page_id, pre, markdown: the lines of each item and of the items in it.
-
-    An item with a list line shows that, one with items shows theirs, one with zones those, any other one all it has. So an
-    item shows the ends of its tree that no list line on the way hides.
-    """
-    pieces = m.where(_has(F.col("classes"), BULLET, ZONE)).select("page_id", _own_item().alias("pre"), F.col("pre").alias("at"), _has(F.col("classes"), BULLET).alias("bullet"), normalize_inline_markdown(F.col("inline")).alias("md")).where("pre is not null")
-    bullets = pieces.where("bullet").groupBy("page_id", "pre").agg(F.min_by("md", "at").alias("bullet_md"))
-    zones = pieces.where("not bullet").groupBy("page_id", "pre").agg(F.array_join(F.filter(_ordered(F.col("md"), F.col("at")), lambda x: x != ""), "<br>").alias("zone_md"))
-    whole = m.where(_has(F.col("classes"), ITEM)).select("page_id", "pre", normalize_inline_markdown(F.col("inline")).alias("whole_md"))
-    ends = items.where("has_bullet or n_nested = 0").join(bullets, ["page_id", "pre"], "left").join(zones, ["page_id", "pre"], "left").join(whole, ["page_id", "pre"])
-    ends = ends.select("page_id", F.col("pre").alias("end"), F.coalesce("bullet_md", "zone_md", "whole_md").alias("md"), F.explode(F.concat("path", F.array("pre"))).alias("pre"), "path")
-    stops = items.where("has_bullet").select("page_id", F.col("pre").alias("stop"))
-    hidden = ends.select("page_id", "end", "pre", F.explode("path").alias("stop")).where("stop >= pre").join(stops, ["page_id", "stop"], "left_semi").select("page_id", "end", "pre").distinct()
-    return ends.join(hidden, ["page_id", "end", "pre"], "left_anti").groupBy("page_id", "pre").agg(F.array_join(F.filter(_ordered(F.col("md"), F.col("end")), lambda x: x != ""), "<br>").alias("markdown"))
-
-
-def _first_below(m: DataFrame, items: DataFrame, test: Column, value: Column, name: str, own_only: bool = False) -> DataFrame:
-    """page_id, pre, name: of each item, the value at the first element in it that passes."""
-    inside = F.array(_own_item()) if own_only else F.transform(_items_around(), lambda a: a["pre"])
-    found = m.where(test).select("page_id", F.col("pre").alias("at"), value.alias("v"), F.explode(inside).alias("pre")).where("pre is not null")
-    return found.groupBy("page_id", "pre").agg(F.min_by("v", "at").alias(name))
+def body_picture(attrs: Column) -> Column:
+    """Whether a picture is one of the text's."""
+    raw = F.coalesce(F.nullif(attrs["src"], F.lit("")), attrs["data-src"], F.lit(""))
+    return (raw != "") & ~raw.rlike("(?i)^data:image/") & ~F.regexp_replace(raw, "[?#].*$", "").rlike(LINK_ICON)
 
 
 def course_blocks(pages: DataFrame) -> DataFrame:
@@ -88,92 +54,36 @@ def course_blocks(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url, html. Grid cells hold the lines of their items or their own; pictures of a grid come after its rows.
     """
-    return blocks_of(parsed(pages.select("page_id", "url", "html"), WANTED, tight=True))
-
-
-def blocks_of(m: DataFrame) -> DataFrame:
-    """The same from the pages' element rows."""
-    items = kept(course_items(m), "items")
-    sections = items.where("in_section and in_root").select("page_id").distinct().withColumn("sectioned", F.lit(True))
-    live = kept(items.where("in_root and not chrome").join(sections, "page_id", "left").where("in_section or sectioned is null"), "items")
-
-    # an item is read by itself if all the items around it are list items
-    steps = live.select("page_id", "pre", F.explode("path").alias("around")).join(live.select("page_id", F.col("pre").alias("around"), "is_list"), ["page_id", "around"]).groupBy("page_id", "pre").agg(F.bool_and("is_list").alias("reached"))
-    read = live.join(steps, ["page_id", "pre"], "left").where("size(path) = 0 or reached").withColumn("depth", F.size("path"))
-    order = kept(read.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("pre"))), "items")
-    steps = order.select("page_id", "pre", F.explode(F.concat("path", F.array("pre"))).alias("step")).join(order.select("page_id", F.col("pre").alias("step"), "nth", "depth"), ["page_id", "step"])
-    names = steps.groupBy("page_id", "pre").agg(_ordered(F.struct("nth", "depth"), F.col("step")).alias("way"))
-    nested = F.array_join(F.transform(F.slice("way", 2, F.size("way")), lambda s: (s["nth"] - 1).cast("string")), ".")
-    named = order.join(names, ["page_id", "pre"]).withColumn("name", F.concat(F.lit("scys:"), F.get("way", F.lit(0))["nth"].cast("string"), F.when(F.size("way") > 1, F.concat(F.lit(":nested:"), nested)).otherwise(F.lit(""))))
-
-    text_code = m.where(_has(F.col("classes"), "block-code-content")).select("page_id", F.col("pre").alias("at"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"), normalize_indented_code(F.col("content")).alias("v"))
-    code = text_code.groupBy("page_id", "pre").agg(F.min_by("v", "at").alias("code"))
-    language = _first_below(m, items, _has(F.col("classes"), "block-code-language"), code_language(F.col("content")), "language")
-    quoted = _first_below(m, items, _has(F.col("classes"), "quote_container", "callout"), F.lit(True), "quoted")
-    full = named.join(item_markdown(m, items), ["page_id", "pre"], "left")
-    for part in (code, language, quoted, _grids(m, items), _videos(m)):
-        full = full.join(part, ["page_id", "pre"], "left")
-    full = kept(full, "items")
-
-    level = heading_level(F.col("classes"))
-    grid = ~F.col("is_list") & (F.coalesce("code", F.lit("")) == "") & F.col("rows").isNotNull()
+    return blocks_of(page_rows(pages, COURSE_FIELDS, page_course_rows))
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """The same from the rows of the pages' items and headings."""
+    nested = F.array_join(F.transform(F.slice("way", 2, F.size("way")), lambda n: (n - 1).cast("string")), ".")
+    name = F.concat(F.lit("scys:"), F.get("way", F.lit(0)).cast("string"), F.when(F.size("way") > 1, F.concat(F.lit(":nested:"), nested)).otherwise(F.lit("")))
+    full = rows.select(
+        "page_id", "url", "pre", "is_list", "quoted", "depth", "video", "title", "pictures", F.coalesce("level", heading_level(F.col("classes"))).alias("level"), F.when(F.col("way").isNotNull(), name).alias("name"), numbered().alias("numbered"),
+        item_text(F.col("shown")).alias("markdown"), F.coalesce(F.when(F.col("code").isNotNull(), normalize_indented_code(F.col("code"))), F.lit("")).alias("code"), F.when(F.col("language").isNotNull(), code_language(F.col("language"))).alias("language"), grid_rows().alias("rows"),
+    )
     kind = (
-        F.when(F.col("video").isNotNull(), "video").when(level.isNotNull(), "heading").when(~F.col("is_list") & (F.coalesce("code", F.lit("")) != ""), "code").when(grid, "table").when(F.col("is_list"), "listItem")
-        .when(F.col("quoted"), "quote").otherwise("paragraph")
+        F.when(F.col("title").isNotNull(), "heading").when(F.col("video").isNotNull(), "video").when(F.col("level").isNotNull(), "heading").when(~F.col("is_list") & (F.col("code") != ""), "code")
+        .when(~F.col("is_list") & (F.col("code") == "") & F.col("rows").isNotNull(), "table").when(F.col("is_list"), "listItem").when(F.col("quoted"), "quote").otherwise("paragraph")
+    )
+    typed = full.withColumn("type", kind)
+    kind, of = F.col("type"), lambda *names: F.col("type").isin(*names)
+    none = lambda t: F.lit(None).cast(t)
+    text = F.when(kind == "heading", normalize_text(F.coalesce("title", "markdown"))).when(kind == "code", F.col("code")).when(kind == "video", F.col("video.text")).when(kind != "table", inline_markdown_to_text(F.col("markdown")))
+    block = lambda **given: F.struct(*[given.get(n, none(t)).cast(t).alias(n) for n, t in BLOCK])
+    own = block(
+        part=F.lit(-1), type=kind, level=F.when(kind == "heading", F.col("level")), text=text, markdown=F.when(kind == "quote", F.replace("markdown", F.lit("<br>"), F.lit("\n"))).when(of("listItem", "paragraph"), F.col("markdown")),
+        ordered=F.when(kind == "listItem", F.col("numbered")), depth=F.when((kind == "listItem") | ((kind == "quote") & (F.col("depth") > 0)), F.col("depth")), language=F.when(kind == "code", F.coalesce("language", F.lit(""))),
+        src=F.when(kind == "video", F.col("video.src")), rows=F.when(kind == "table", F.col("rows")), source_id=F.when(kind == "table", F.concat("name", F.lit(":table"))).when(kind == "video", F.concat("name", F.lit(":video:0"))),
     )
-    plain = F.when(kind == "heading", normalize_text(F.col("markdown"))).otherwise(inline_markdown_to_text(F.col("markdown")))
-    own = full.withColumn("type", kind).select(
-        "page_id", "pre", F.lit(-1).alias("part"), "type", F.when(F.col("type") == "heading", level).alias("level"),
-        F.when(F.col("type") == "code", F.col("code")).when(F.col("type") == "video", F.col("video.text")).when(F.col("type") != "table", plain).alias("text"),
-        F.when(F.col("type") == "quote", F.replace("markdown", F.lit("<br>"), F.lit("\n"))).when(F.col("type").isin("listItem", "paragraph"), F.col("markdown")).alias("markdown"),
-        F.when(F.col("type") == "listItem", F.col("numbered")).alias("ordered"), F.when((F.col("type") == "listItem") | ((F.col("type") == "quote") & (F.col("depth") > 0)), F.col("depth")).alias("depth"),
-        F.when(F.col("type") == "code", F.coalesce("language", F.lit(""))).alias("language"), F.when(F.col("type") == "video", F.col("video.src")).alias("src"), F.lit(None).cast("string").alias("alt"),
-        F.when(F.col("type") == "table", F.col("rows")).alias("rows"), F.when(F.col("type") == "table", F.concat("name", F.lit(":table"))).when(F.col("type") == "video", F.concat("name", F.lit(":video:0"))).alias("source_id"),
-    ).where("type in ('table', 'video', 'code') or coalesce(text, '') <> ''")
-
-    pictures = _pictures(m, full.withColumn("type", kind))
-    titles = m.where(F.col("tag").isin("h2", "h3", "h4", "h5", "h6") & (F.size(_items_around()) == 0) & ~F.exists("anc", lambda a: _has(a["classes"], *CHROME)) & F.exists("anc", lambda a: (a["tag"] == "main") | F.array_contains(a["classes"], CONTENT)))
-    titles = titles.join(sections, "page_id", "left").where(F.col("sectioned").isNull() | F.exists("anc", lambda a: F.array_contains(a["classes"], SECTION)))
-    titles = titles.select("page_id", "pre", F.lit(-1).alias("part"), F.lit("heading").alias("type"), F.substring("tag", 2, 1).cast("int").alias("level"), normalize_text(F.col("content")).alias("text")).where("text <> ''")
-    every = own.unionByName(pictures, allowMissingColumns=True).unionByName(titles, allowMissingColumns=True)
+    shown = lambda a, k: block(part=k, type=F.lit("image"), src=absolute(image_source(a), F.coalesce("url", F.lit(""))), alt=normalize_text(a["alt"]), source_id=F.concat("name", F.lit(":image:"), k.cast("string")))
+    pictures = F.when((kind != "table") & (F.size("pictures") > 0), F.transform(F.filter("pictures", body_picture), shown)).otherwise(F.array().cast(f"array<{OF_PART}>"))
+    every = typed.select("page_id", "pre", F.inline(F.concat(F.array(own), pictures))).where("type in ('table', 'video', 'code', 'image') or coalesce(text, '') <> ''")
+
+    # of equal blocks the first stays; a page's rows move once
     key = F.struct("type", F.coalesce("source_id", F.concat_ws("\x1f", F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("markdown", F.lit("")), F.coalesce(F.col("ordered").cast("string"), F.lit("false")), F.coalesce(F.col("depth").cast("string"), F.lit("")))))
-    firsts = every.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", key).orderBy("pre", "part"))).where("nr = 1")
+    firsts = every.repartition("page_id").withColumn("nr", F.row_number().over(Window.partitionBy("page_id", key).orderBy("pre", "part"))).where("nr = 1")
     return firsts.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pre", "part")).alias("pos"), "type", "level", "text", "markdown", "ordered", "depth", "language", "src", "alt", "rows", "source_id")
-
-
-def _grids(m: DataFrame, items: DataFrame) -> DataFrame:
-    """page_id, pre, rows: of the first grid in an item, whose class says how many cells make a row; the last one is filled up."""
-    is_grid = lambda a: F.array_contains(a["classes"], GRID)
-    width = F.try_element_at(F.filter(F.transform("classes", lambda c: F.regexp_extract(c, r"^table_(\d+)$", 1)), lambda d: d != ""), F.lit(1)).cast("int")
-    grids = m.where(_has(F.col("classes"), GRID)).select("page_id", F.col("pre").alias("grid"), width.alias("width"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"))
-    grids = grids.groupBy("page_id", "pre").agg(F.min(F.struct("grid", "width")).alias("g")).select("page_id", "pre", "g.*").where("width >= 1")
-    cells = m.where(_has(F.col("classes"), GRID_CELL)).select("page_id", F.col("pre").alias("cell"), F.try_element_at(F.filter("anc", is_grid), F.lit(-1))["pre"].alias("grid"), normalize_inline_markdown(F.col("inline")).alias("own"))
-    held = m.where(_has(F.col("classes"), ITEM)).select("page_id", "pre", F.try_element_at(F.filter("anc", lambda a: _has(a["classes"], GRID_CELL)), F.lit(-1))["pre"].alias("cell"), _own_item().alias("outer"))
-    held = held.where("cell is not null and (outer is null or outer < cell)").join(item_markdown(m, items), ["page_id", "pre"]).groupBy("page_id", "cell").agg(F.array_join(F.filter(_ordered(F.col("markdown"), F.col("pre")), lambda x: x != ""), "<br>").alias("nested"))
-    lists = cells.join(held, ["page_id", "cell"], "left").groupBy("page_id", "grid").agg(_ordered(F.coalesce("nested", "own"), F.col("cell")).alias("cells"))
-    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("cells") / F.col("width")).cast("int") - 1), lambda r: F.slice("cells", r * F.col("width") + 1, F.col("width")))
-    full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("width") - F.size(r))))
-    return grids.join(lists, ["page_id", "grid"]).select("page_id", "pre", full.alias("rows"))
-
-
-def _videos(m: DataFrame) -> DataFrame:
-    """page_id, pre, video: the first video card of an item with a secure address."""
-    cards = m.where(_has(F.col("classes"), "block-file") & _has(F.col("classes"), "video")).groupBy("page_id", _own_item().alias("pre")).agg(F.min("pre").alias("card"))
-    on_card = lambda: F.try_element_at(F.filter("anc", lambda a: _has(a["classes"], "block-file") & _has(a["classes"], "video")), F.lit(-1))["pre"]
-    films = m.where((F.col("tag") == "video") & _has(F.col("classes"), "video-preview")).select("page_id", on_card().alias("card"), absolute_url(F.trim(F.col("attrs").getItem("src")), F.col("url")).alias("src"), "pre")
-    films = films.groupBy("page_id", "card").agg(F.min_by("src", "pre").alias("src"))
-    titles = m.where(_has(F.col("classes"), "title")).groupBy("page_id", on_card().alias("card")).agg(F.min_by(normalize_text(F.col("content")), "pre").alias("title"))
-    found = cards.join(films, ["page_id", "card"]).where("src like 'https:%'").join(titles, ["page_id", "card"], "left")
-    return found.where("pre is not null").select("page_id", "pre", F.struct("src", F.coalesce(F.nullif("title", F.lit("")), F.lit("Video")).alias("text")).alias("video"))
-
-
-def _pictures(m: DataFrame, read: DataFrame) -> DataFrame:
-    """Picture blocks of the items that are read: their own where they are read item by item, else all that are in them."""
-    raw = F.coalesce(F.nullif(F.col("attrs").getItem("src"), F.lit("")), F.col("attrs").getItem("data-src"), F.lit(""))
-    body = (raw != "") & ~raw.rlike("(?i)^data:image/") & ~F.regexp_replace(raw, "[?#].*$", "").rlike(LINK_ICON)
-    found = m.where((F.col("tag") == "img") & body).select("page_id", F.col("pre").alias("at"), "anc", absolute(image_source(F.col("attrs")), F.coalesce("url", F.lit(""))).alias("src"), normalize_text(F.col("attrs").getItem("alt")).alias("alt"))
-    found = found.select("page_id", "at", "src", "alt", _own_item().alias("owner"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"))
-    of = read.where("type <> 'table'").select("page_id", "pre", "name", (F.col("is_list") & (F.col("n_nested") > 0)).alias("own_only"))
-    kept = found.join(of, ["page_id", "pre"]).where("not own_only or owner = pre")
-    part = F.row_number().over(Window.partitionBy("page_id", "pre").orderBy("at")) - 1
-    return kept.select("page_id", "pre", part.alias("part"), F.lit("image").alias("type"), "src", "alt", F.concat("name", F.lit(":image:"), part.cast("string")).alias("source_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.urls import site_family
 from ..operators.merge import squeeze
-from . import block_rows, html_marks, html_markdown
+from . import block_rows, html_marks, html_markdown, item_rows
 from .html_marks import Marks, Units
 from .html_nodes import node_rows
 from .page_content import content_of
@@ -36,6 +36,7 @@ KINDS = {
     "mark": html_marks.FIELDS,
     "unit": [T.StructField(f"unit_{f.name}", f.dataType) for f in html_marks.UNITS],
     "markdown": html_markdown.ROW,
+    "item": [T.StructField(f"item_{f.name}", f.dataType) for f in item_rows.COURSE_FIELDS],
     "top": [T.StructField(f"top_{f.name}", f.dataType) for f in block_rows.FIELDS],
     "block": [T.StructField("pos", T.IntegerType()), *(T.StructField(f"block_{n}", t) for n, t in (("type", T.StringType()), ("level", T.IntegerType()), ("text", T.StringType()), ("src", T.StringType()), ("alt", T.StringType()), ("href", T.StringType())))],
 }
@@ -57,7 +58,7 @@ class Reader:
     def title(self, tree: Marks, root: int) -> str:
         return ""
 
-    def rows(self, tree: Marks, root: int) -> Iterator[tuple[str, list[tuple]]]:
+    def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
         yield "mark", tree.rows(self.wanted)
         if self.item:
             yield "unit", [(n, at, *p) for n in range(len(tree.tags)) if {self.item, self.owners}.intersection(tree.classes(n)) for at, p in enumerate(tree.parts(n))]
@@ -90,7 +91,7 @@ class WechatReader(Reader):
                 return text
         return squeeze(next((a.get("content") for a in tree.attrs if a.get("property") == "og:title"), ""))
 
-    def rows(self, tree: Marks, root: int) -> Iterator[tuple[str, list[tuple]]]:
+    def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
         yield "markdown", [html_markdown.tree_markdown(tree, root)]
 
 
@@ -101,7 +102,7 @@ class FeishuReader(Reader):
     def title(self, tree: Marks, root: int) -> str:
         return next(_found(tree, FEISHU_TITLES, root + 1, tree.last[root]), "")
 
-    def rows(self, tree: Marks, root: int) -> Iterator[tuple[str, list[tuple]]]:
+    def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
         yield "top", block_rows.block_rows(tree)
 
 
@@ -113,6 +114,9 @@ class CourseReader(Reader):
     def title(self, tree: Marks, root: int) -> str:
         return next(_found(tree, (("tag", "h1"),), root + 1, tree.last[root]), "")
 
+    def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
+        yield "item", item_rows.course_rows(tree, url)
+
 
 class ArticleReader(Reader):
     def root(self, tree: Marks) -> int | None:
@@ -124,17 +128,17 @@ class ArticleReader(Reader):
 
 
 def readers() -> dict[str, Reader]:
-    from ..operators.families import article, course
+    from ..operators.families import article
 
     return {
         "wechat": WechatReader(),
         "scys-article": ArticleReader(article.WANTED, item=article.ITEM, zones=article.ZONES, owners=article.OPENING),
-        "scys": CourseReader(course.WANTED),
+        "scys": CourseReader(),
         "feishu": FeishuReader(tight=False),
     }
 
 
-def _page(family: str, html: str | None, base: str, by_family: dict[str, Reader]) -> tuple[str, str, list[tuple[str, list[tuple]]]]:
+def _page(family: str, html: str | None, url: str | None, base: str, by_family: dict[str, Reader]) -> tuple[str, str, list[tuple[str, list[tuple]]]]:
     """The family that reads the page, its title there, and rows by kind."""
     reader = by_family.get(family)
     if reader:
@@ -142,7 +146,7 @@ def _page(family: str, html: str | None, base: str, by_family: dict[str, Reader]
         tree.finish(html)
         root = reader.root(tree)
         if root is not None:
-            return family, reader.title(tree, root), list(reader.rows(tree, root))
+            return family, reader.title(tree, root), list(reader.rows(tree, root, url))
     area = content_of(node_rows(html), base)
     return "generic", "", [("block", [(n, *b) for n, b in enumerate(area[2], 1)])] if area else []
 
@@ -180,8 +184,8 @@ def parse_pages(pages: DataFrame, title: Column, base: Column) -> SitePages:
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for i, (family, html, base, named) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
-                family, title, found = _page(family, html, base, by_family)
+            for i, (url, family, html, base, named) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                family, title, found = _page(family, html, url, base, by_family)
                 if family == "scys-article" and not title:
                     title = SITE_SUFFIX.sub("", named or "")
                 for kind, rows in (("page", [(title or named or "Web Clip",)]), *found):

@@ -175,3 +175,10 @@ def test_feishu_pages_are_parsed_once_and_move_once(spark):
     found = feishu_blocks(pages)
     assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Exchange") == 1
     assert [(r.pos, r.markdown) for r in found.collect()] == [(1, "a")]
+
+
+def test_course_pages_are_parsed_once_and_move_once(spark):
+    pages = spark.createDataFrame([(1, "https://scys.com/course/detail/1", "<main>" + item('<div class="block-text">a</div>') + "</main>")], "page_id long, url string, html string")
+    found = course_blocks(pages)
+    assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Exchange") == 1
+    assert [(r.pos, r.markdown) for r in found.collect()] == [(1, "a")]
