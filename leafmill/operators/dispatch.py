@@ -29,10 +29,9 @@ def parse(pages: DataFrame) -> SitePages:
 def site_blocks(parsed: SitePages) -> DataFrame:
     """page_id, family, pos and BLOCKS of all pages: the first reader whose address and root a page has takes it, in the order
     of urls.FAMILIES, else the reader of any page."""
-    marks = lambda family: parsed.rows(family, "mark")
     by_family = {
         "wechat": wechat.blocks_of(parsed.rows("wechat", "markdown")),
-        "scys-article": article.blocks_of(marks("scys-article"), parsed.rows("scys-article", "unit")),
+        "scys-article": article.blocks_of(parsed.rows("scys-article", "article")),
         "scys": course.blocks_of(parsed.rows("scys", "item")),
         "feishu": feishu.blocks_of(parsed.rows("feishu", "top")),
         "generic": parsed.rows("generic", "block"),

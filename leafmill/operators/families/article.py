@@ -1,4 +1,7 @@
-"""Long articles of the course family: items whose texts, pictures and items are read in their order, after an opening text."""
+"""Long articles of the course family: items whose texts, pictures and items are read in their order, after an opening text.
+
+Every item comes with its parts and with what the items around it say of it; a page's rows move once.
+"""
 
 from __future__ import annotations
 
@@ -6,106 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.text import code_language, heading_level, inline_markdown_to_text, list_depth, normalize_indented_code, normalize_inline_markdown, normalize_text
-from ...sources.html_marks import parsed, units
-from ...sources.shared import kept
+from ...sources.html_marks import page_rows
+from ...sources.item_rows import ARTICLE_FIELDS, page_article_rows
 from ..blocks import absolute, image_source
 from ..islands import NUMBER_ONLY, runs
-from .course import LINK_ICON
-
-ITEM, ZONE, BULLET, SECTION, ROOT_CONTENT, GRID, GRID_CELL = "vc-doc-item", "block-text", "bulletlist", "level2-section", "vc-course-content", "table", "table_cell"
-LIST_MARKS = ("bullet_container", "bullet-dot", BULLET)
-CHROME = ("course-complete", "next-chapter-card")
-# The classes of the family's pages, and what numbers the lines of an opening text.
-CONTENT, OPENING, AROUND_OPENING = "feishu-doc-content", "post-content", "content-container"
-TITLES = ("post-title", "article-title", "article_detail_title", "article-detail-title", "topic-title")
-#: The classes whose elements are read with inline Markdown, and those that are read as lines of an item.
-WANTED = frozenset((ITEM, ZONE, BULLET, GRID_CELL, OPENING, "block-code-content", "block-code-language", *TITLES))
-ZONES = frozenset((ZONE, BULLET))
-NUMBERED = r"^(?:\d+|[\x{4E00}\x{4E8C}\x{4E09}\x{56DB}\x{4E94}\x{516D}\x{4E03}\x{516B}\x{4E5D}\x{5341}\x{767E}]+)[\x{3001}.\x{FF0E}]\s*(.+)$"
-
-
-def _has(classes: Column, *names: str) -> Column:
-    return F.arrays_overlap(classes, F.array(*map(F.lit, names)))
-
-
-def _items_around() -> Column:
-    return F.filter("anc", lambda a: F.array_contains(a["classes"], ITEM))
+from .course import body_picture, grid_rows, item_text, numbered
 
-
-def _own_item() -> Column:
-    """The innermost item around an element."""
-    return F.try_element_at(_items_around(), F.lit(-1))["pre"]
-
-
-def _ordered(value: Column, by: Column) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(by.alias("k"), value.alias("v")))), lambda x: x["v"])
-
-
-def course_items(m: DataFrame) -> DataFrame:
-    """page_id, pre, last, classes, parent, path, is_list, has_bullet, has_nested, chrome, in_section of each item."""
-    items = m.where(_has(F.col("classes"), ITEM)).select(
-        "page_id", "pre", "last", "classes", "anc", _own_item().alias("parent"), F.transform(_items_around(), lambda a: a["pre"]).alias("path"),
-        (_has(F.col("classes"), *CHROME) | F.exists("anc", lambda a: _has(a["classes"], *CHROME))).alias("chrome"), F.exists("anc", lambda a: F.array_contains(a["classes"], SECTION)).alias("in_section"),
-        F.exists("anc", lambda a: (a["tag"] == "main") | F.array_contains(a["classes"], ROOT_CONTENT)).alias("in_root"),
-    )
-    marks = m.where(_has(F.col("classes"), *LIST_MARKS)).groupBy("page_id", _own_item().alias("pre")).agg(F.bool_or(_has(F.col("classes"), BULLET)).alias("has_bullet"))
-    nested = items.where("parent is not null").groupBy("page_id", F.col("parent").alias("pre")).agg(F.count(F.lit(1)).alias("n_nested"))
-    first = m.where(F.try_element_at("anc", F.lit(-1))["pre"].isNotNull()).groupBy("page_id", F.try_element_at("anc", F.lit(-1))["pre"].alias("pre")).agg(F.min_by("classes", "pre").alias("first_classes"))
-    full = items.join(marks, ["page_id", "pre"], "left").join(nested, ["page_id", "pre"], "left").join(first, ["page_id", "pre"], "left")
-    numbered = F.exists(F.concat("classes", F.coalesce("first_classes", F.array().cast("array<string>"))), lambda c: c.rlike("(?i)ordered|number"))
-    return full.select(
-        "page_id", "pre", "last", "classes", "parent", "path", "chrome", "in_section", "in_root", F.col("has_bullet").isNotNull().alias("is_list"), F.coalesce("has_bullet", F.lit(False)).alias("has_bullet"),
-        F.coalesce("n_nested", F.lit(0)).alias("n_nested"), numbered.alias("numbered"),
-    )
-
-
-def item_markdown(m: DataFrame, items: DataFrame) -> DataFrame:
-    """page_id, pre, markdown: the lines of each item and of the items in it.
-
-    An item with a list line shows that, one with items shows theirs, one with zones those, any other one all it has. So an
-    item shows the ends of its tree that no list line on the way hides.
-    """
-    pieces = m.where(_has(F.col("classes"), BULLET, ZONE)).select("page_id", _own_item().alias("pre"), F.col("pre").alias("at"), _has(F.col("classes"), BULLET).alias("bullet"), normalize_inline_markdown(F.col("inline")).alias("md")).where("pre is not null")
-    bullets = pieces.where("bullet").groupBy("page_id", "pre").agg(F.min_by("md", "at").alias("bullet_md"))
-    zones = pieces.where("not bullet").groupBy("page_id", "pre").agg(F.array_join(F.filter(_ordered(F.col("md"), F.col("at")), lambda x: x != ""), "<br>").alias("zone_md"))
-    whole = m.where(_has(F.col("classes"), ITEM)).select("page_id", "pre", normalize_inline_markdown(F.col("inline")).alias("whole_md"))
-    ends = items.where("has_bullet or n_nested = 0").join(bullets, ["page_id", "pre"], "left").join(zones, ["page_id", "pre"], "left").join(whole, ["page_id", "pre"])
-    ends = ends.select("page_id", F.col("pre").alias("end"), F.coalesce("bullet_md", "zone_md", "whole_md").alias("md"), F.explode(F.concat("path", F.array("pre"))).alias("pre"), "path")
-    stops = items.where("has_bullet").select("page_id", F.col("pre").alias("stop"))
-    hidden = ends.select("page_id", "end", "pre", F.explode("path").alias("stop")).where("stop >= pre").join(stops, ["page_id", "stop"], "left_semi").select("page_id", "end", "pre").distinct()
-    return ends.join(hidden, ["page_id", "end", "pre"], "left_anti").groupBy("page_id", "pre").agg(F.array_join(F.filter(_ordered(F.col("md"), F.col("end")), lambda x: x != ""), "<br>").alias("markdown"))
-
-
-def _first_below(m: DataFrame, items: DataFrame, test: Column, value: Column, name: str, own_only: bool = False) -> DataFrame:
-    """page_id, pre, name: of each item, the value at the first element in it that passes."""
-    inside = F.array(_own_item()) if own_only else F.transform(_items_around(), lambda a: a["pre"])
-    found = m.where(test).select("page_id", F.col("pre").alias("at"), value.alias("v"), F.explode(inside).alias("pre")).where("pre is not null")
-    return found.groupBy("page_id", "pre").agg(F.min_by("v", "at").alias(name))
-
-
-def _grids(m: DataFrame, items: DataFrame) -> DataFrame:
-    """page_id, pre, rows: of the first grid in an item, whose class says how many cells make a row; the last one is filled up."""
-    is_grid = lambda a: F.array_contains(a["classes"], GRID)
-    width = F.try_element_at(F.filter(F.transform("classes", lambda c: F.regexp_extract(c, r"^table_(\d+)$", 1)), lambda d: d != ""), F.lit(1)).cast("int")
-    grids = m.where(_has(F.col("classes"), GRID)).select("page_id", F.col("pre").alias("grid"), width.alias("width"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"))
-    grids = grids.groupBy("page_id", "pre").agg(F.min(F.struct("grid", "width")).alias("g")).select("page_id", "pre", "g.*").where("width >= 1")
-    cells = m.where(_has(F.col("classes"), GRID_CELL)).select("page_id", F.col("pre").alias("cell"), F.try_element_at(F.filter("anc", is_grid), F.lit(-1))["pre"].alias("grid"), normalize_inline_markdown(F.col("inline")).alias("own"))
-    held = m.where(_has(F.col("classes"), ITEM)).select("page_id", "pre", F.try_element_at(F.filter("anc", lambda a: _has(a["classes"], GRID_CELL)), F.lit(-1))["pre"].alias("cell"), _own_item().alias("outer"))
-    held = held.where("cell is not null and (outer is null or outer < cell)").join(item_markdown(m, items), ["page_id", "pre"]).groupBy("page_id", "cell").agg(F.array_join(F.filter(_ordered(F.col("markdown"), F.col("pre")), lambda x: x != ""), "<br>").alias("nested"))
-    lists = cells.join(held, ["page_id", "cell"], "left").groupBy("page_id", "grid").agg(_ordered(F.coalesce("nested", "own"), F.col("cell")).alias("cells"))
-    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("cells") / F.col("width")).cast("int") - 1), lambda r: F.slice("cells", r * F.col("width") + 1, F.col("width")))
-    full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("width") - F.size(r))))
-    return grids.join(lists, ["page_id", "grid"]).select("page_id", "pre", full.alias("rows"))
-
-
-def article_title(m: DataFrame) -> DataFrame:
-    """page_id, title: the first of four characters or more, by kind and then by place."""
-    rank = F.when(_has(F.col("classes"), TITLES[0]), 0)
-    for i, name in enumerate(TITLES[1:], 1):
-        rank = rank.when(_has(F.col("classes"), name), i)
-    rank = rank.when(F.col("tag") == "h1", len(TITLES))
-    found = m.where(rank.isNotNull()).select("page_id", F.struct(rank.alias("rank"), "pre").alias("k"), normalize_text(F.col("content")).alias("title")).where(F.length("title") >= 4)
-    return found.groupBy("page_id").agg(F.min_by("title", "k").alias("title"))
+# Fixed value: what numbers the lines of an opening text.
+NUMBERED = r"^(?:\d+|[\x{4E00}\x{4E8C}\x{4E09}\x{56DB}\x{4E94}\x{516D}\x{4E03}\x{516B}\x{4E5D}\x{5341}\x{767E}]+)[\x{3001}.\x{FF0E}]\s*(.+)$"
+PART = "struct<start:int,at:int,kind:string,inline:string,attrs:map<string,string>>"
+COLUMNS = ("type", "level", "text", "markdown", "ordered", "depth", "language", "src", "alt", "rows")
 
 
 def article_blocks(pages: DataFrame) -> DataFrame:
@@ -114,93 +27,55 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     pages: page_id, url, html. Neighbouring list items become one paragraph, and what is in a quote, up to pictures, code
     and grids, one quote.
     """
-    m = parsed(pages.select("page_id", "url", "html"), WANTED, tight=True)
-    return blocks_of(m, kept(units(pages, ITEM, ZONES, OPENING), "units"))
-
-
-def blocks_of(m: DataFrame, parts: DataFrame) -> DataFrame:
-    """The same from the pages' element rows and the parts of their items."""
-    items = kept(course_items(m), "items")
-    inside = m.where(F.exists("anc", lambda a: _has(a["classes"], CONTENT)) | F.exists("anc", lambda a: _has(a["classes"], OPENING))).where(_has(F.col("classes"), ITEM)).select("page_id", "pre")
-    live = items.join(inside, ["page_id", "pre"], "left_semi")
-    text_code = m.where(_has(F.col("classes"), "block-code-content")).select("page_id", F.col("pre").alias("at"), F.explode(F.transform(_items_around(), lambda a: a["pre"])).alias("pre"), normalize_indented_code(F.col("content")).alias("v"))
-    facts = live
-    for part in (
-        text_code.groupBy("page_id", "pre").agg(F.min_by("v", "at").alias("code")),
-        _first_below(m, items, _has(F.col("classes"), "block-code-language"), code_language(F.col("content")), "language"),
-        _first_below(m, items, _has(F.col("classes"), "quote_container", "callout"), F.lit(True), "quoted"),
-        _grids(m, items),
-        item_markdown(m, items),
-        parts.groupBy("page_id", F.col("owner").alias("pre")).agg(F.count_if((F.col("kind") != "text") | (normalize_inline_markdown(F.col("inline")) != "")).alias("n_parts")),
-    ):
-        facts = facts.join(part, ["page_id", "pre"], "left")
-    level = heading_level(F.col("classes"))
-    facts = kept(facts.withColumn("level", level).withColumn("whole", level.isNotNull() | (F.coalesce("code", F.lit("")) != "") | F.col("rows").isNotNull()), "items")
-
-    # an item in a heading, code or grid isn't read by itself; its depth counts the list items around it
-    around = facts.select("page_id", "pre", F.explode("path").alias("up")).join(facts.select("page_id", F.col("pre").alias("up"), F.col("whole").alias("up_whole"), F.col("is_list").alias("up_list"), F.col("quoted").alias("up_quoted")), ["page_id", "up"])
-    around = around.groupBy("page_id", "pre").agg(F.bool_or("up_whole").alias("hidden"), F.count_if("up_list").cast("int").alias("depth"), F.min(F.when(F.col("up_quoted"), F.col("up"))).alias("up_quote"))
-    read = facts.join(around, ["page_id", "pre"], "left").where("not coalesce(hidden, false)").withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("quote", F.coalesce("up_quote", F.when(F.col("quoted") & ~F.col("whole"), F.col("pre"))))
-    read = kept(read, "items")
-
-    # rows in the order (start of the item, number of the part); a part that follows an item in it starts after that
-    place = F.struct(F.col("start").alias("start"), F.col("at").alias("at"))
-    solid = read.where("whole").select(
-        "page_id", F.col("pre").alias("start"), F.lit(-1).alias("at"), "quote", F.when(F.col("level").isNotNull(), "heading").when(F.coalesce("code", F.lit("")) != "", "code").otherwise("table").alias("type"), "level",
-        F.when(F.col("level").isNotNull(), inline_markdown_to_text(F.col("markdown"))).when(F.coalesce("code", F.lit("")) != "", F.col("code")).alias("text"),
-        F.when(F.col("level").isNull() & (F.coalesce("code", F.lit("")) != ""), F.coalesce("language", F.lit(""))).alias("language"), F.when(F.col("level").isNull() & (F.coalesce("code", F.lit("")) == ""), F.col("rows")).alias("rows"),
-    ).where("type = 'table' or coalesce(text, '') <> ''")
-    last_item = F.last(F.when(F.col("kind") == "item", F.col("last")), ignorenulls=True).over(Window.partitionBy("page_id", "owner").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    ends = m.select("page_id", F.col("pre").alias("node"), "last")
-    placed = kept(parts.join(ends, ["page_id", "node"], "left").withColumn("start", F.coalesce(last_item, F.col("owner"))), "units")
-    of_item = placed.join(read.where("not whole").select("page_id", F.col("pre").alias("owner"), "quote", "depth", "is_list", "numbered"), ["page_id", "owner"])
-    lines = _texts(of_item)
-    alone = read.where("not whole and coalesce(n_parts, 0) = 0").select("page_id", F.col("pre").alias("owner"), F.col("pre").alias("start"), F.lit(-1).alias("at"), F.lit("text").alias("kind"), F.col("markdown").alias("inline"), "quote", "depth", "is_list", "numbered")
-    lines = lines.unionByName(_texts(alone))
-
-    opening, opening_parts = _opening(m, placed)
-    images = of_item.where("kind = 'image'").select("page_id", "node", "start", "at", "quote").unionByName(opening_parts.where("kind = 'image'").select("page_id", "node", "start", "at", F.lit(None).cast("int").alias("quote")))
-    pictures = _pictures(m).join(images, ["page_id", "node"])
-    heads = m.where(F.col("tag").rlike("^h[1-6]$") & (F.size(_items_around()) == 0) & F.exists("anc", lambda a: _has(a["classes"], CONTENT))).select("page_id", F.col("pre").alias("start"), F.lit(-1).alias("at"), F.lit("heading").alias("type"), F.substring("tag", 2, 1).cast("int").alias("level"), normalize_text(F.col("content")).alias("text"))
-    heads = heads.join(article_title(m), "page_id", "left").where("text <> '' and (title is null or text <> title)").drop("title")
-
-    every = lines
-    for part in (solid, pictures.drop("node"), heads, opening):
-        every = every.unionByName(part, allowMissingColumns=True)
-    ranked = every.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy(place)))
-    return _compact(_quotes(kept(_numbers(ranked, "quote"), "blocks")))
-
-
-def _texts(rows: DataFrame) -> DataFrame:
-    md = normalize_inline_markdown(F.col("inline"))
-    made = rows.where("kind = 'text'").select(
-        "page_id", "start", "at", "quote", F.when(F.col("is_list"), "listItem").otherwise("paragraph").alias("type"), md.alias("markdown"), inline_markdown_to_text(md).alias("text"),
-        F.when(F.col("is_list"), F.col("numbered")).alias("ordered"), F.when(F.col("is_list"), F.col("depth")).alias("depth"),
+    return blocks_of(page_rows(pages, ARTICLE_FIELDS, page_article_rows))
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """The same from the rows of the pages' items, opening texts and headings."""
+    # a page's rows stay together from here on; they are in the order (place that they follow, number of the part)
+    ranked = _lines(rows).repartition("page_id").withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("start", "at")))
+    return _compact(_quotes(_numbers(ranked, "quote")))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """The rows' parts, one in each row: of an item that is whole or says nothing by its parts, itself."""
+    part = lambda at, kind, inline: F.struct(F.col("pre").alias("start"), at.cast("int").alias("at"), F.lit(kind).alias("kind"), inline.alias("inline"), F.lit(None).cast("map<string,string>").alias("attrs")).cast(PART)
+    none, first = F.lit(None).cast("string"), F.lit(-1)
+    # an opening text has a text of its own if it has more than its parts
+    held = F.aggregate(F.filter("parts", lambda p: p["kind"] == "text"), F.lit(0), lambda n, p: n + F.length(normalize_text(p["inline"])))
+    plain = ~F.col("pictured") & (F.length(inline_markdown_to_text(F.col("inline"))) > held)
+    lines = F.transform(F.split(normalize_inline_markdown(F.col("inline")), "(?i)<br>"), lambda line, at: part(at, "opening", line))
+    found = (
+        F.when(F.col("kind") == "heading", F.array(part(first, "heading", F.col("inline")))).when((F.col("kind") == "opening") & plain, lines).when(F.col("kind") == "opening", F.col("parts").cast(f"array<{PART}>"))
+        .when(F.col("whole"), F.array(part(first, "whole", F.when(F.col("level").isNotNull(), item_text(F.col("shown")))))).when(F.col("silent"), F.array(part(first, "text", item_text(F.col("shown"))))).otherwise(F.col("parts").cast(f"array<{PART}>"))
     )
-    return made.where("text <> ''")
-
-
-def _opening(m: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of the opening texts, and their parts where they have pictures or no text of their own."""
-    holders = m.where(_has(F.col("classes"), CONTENT)).select("page_id", F.explode(F.transform(F.filter("anc", lambda a: _has(a["classes"], AROUND_OPENING)), lambda a: a["pre"])).alias("around")).distinct()
-    roots = m.where(_has(F.col("classes"), OPENING)).select("page_id", "pre", F.try_element_at("anc", F.lit(-1))["pre"].alias("around"), "inline", "content").join(holders, ["page_id", "around"], "left_semi")
-    pictured = m.where("tag = 'img'").select("page_id", F.explode(F.transform("anc", lambda a: a["pre"])).alias("pre")).distinct().withColumn("pictured", F.lit(True))
-    parted = placed.where("kind = 'text'").groupBy("page_id", F.col("owner").alias("pre")).agg(F.sum(F.length(normalize_text(F.col("inline")))).alias("held"))
-    # text of its own: more than its parts have
-    roots = roots.join(pictured, ["page_id", "pre"], "left").join(parted, ["page_id", "pre"], "left").withColumn("plain", F.col("pictured").isNull() & (F.length(inline_markdown_to_text(F.col("inline"))) > F.coalesce("held", F.lit(0))))
-    lines = roots.where("plain").select("page_id", F.col("pre").alias("start"), F.posexplode(F.split(normalize_inline_markdown(F.col("inline")), "(?i)<br>")).alias("at", "line"))
-    line = normalize_inline_markdown(F.col("line"))
-    md = F.when(line.rlike(NUMBERED), F.regexp_extract(line, NUMBERED, 1)).otherwise(line)
-    plain = lines.select("page_id", "start", "at", F.when(line.rlike(NUMBERED), "listItem").otherwise("paragraph").alias("type"), md.alias("markdown"), inline_markdown_to_text(md).alias("text"), F.when(line.rlike(NUMBERED), F.lit(True)).alias("ordered"), F.when(line.rlike(NUMBERED), F.lit(0)).alias("depth")).where("text <> ''")
-    rest = placed.join(roots.where("not plain").select("page_id", F.col("pre").alias("owner")), ["page_id", "owner"], "left_semi")
-    shown = _texts(rest.select("*", F.lit(None).cast("int").alias("quote"), F.lit(0).alias("depth"), F.lit(False).alias("is_list"), F.lit(False).alias("numbered")))
-    return plain.unionByName(shown.drop("quote"), allowMissingColumns=True), rest
-
-
-def _pictures(m: DataFrame) -> DataFrame:
-    raw = F.coalesce(F.nullif(F.col("attrs").getItem("src"), F.lit("")), F.col("attrs").getItem("data-src"), F.lit(""))
-    body = (raw != "") & ~raw.rlike("(?i)^data:image/") & ~F.regexp_replace(raw, "[?#].*$", "").rlike(LINK_ICON)
-    return m.where((F.col("tag") == "img") & body).select("page_id", F.col("pre").alias("node"), F.lit("image").alias("type"), absolute(image_source(F.col("attrs")), F.coalesce("url", F.lit(""))).alias("src"), normalize_text(F.col("attrs").getItem("alt")).alias("alt"))
+    level = F.coalesce("level", heading_level(F.col("classes")))
+    code = F.coalesce(F.when(F.col("whole") & F.col("code").isNotNull(), normalize_indented_code(F.col("code"))), F.lit(""))
+    known = rows.withColumn("level", level).select("*", code.alias("own_code"), F.when(F.col("whole"), grid_rows()).alias("own_rows"), numbered().alias("numbered"))
+    return known.select("page_id", "url", "quote", F.col("depth").alias("own_depth"), F.coalesce("is_list", F.lit(False)).alias("is_list"), "numbered", F.col("level").alias("own_level"), "own_code", F.col("language").alias("own_language"), "own_rows", F.inline(found))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """page_id, quote, start, at and COLUMNS of what each part shows."""
+    parts = _parts(rows)
+    kind, line = F.col("kind"), normalize_inline_markdown(F.col("inline"))
+    listed = (kind == "text") & F.col("is_list")
+    counted = (kind == "opening") & line.rlike(NUMBERED)
+    headed, coded = F.col("own_level").isNotNull(), F.col("own_code") != ""
+    solid = kind == "whole"
+    md = F.when(kind == "text", line).when(counted, F.regexp_extract(line, NUMBERED, 1)).when(kind == "opening", line)
+    made = parts.select("page_id", "url", "quote", "start", "at", "kind", "attrs", "inline", "is_list", "numbered", "own_depth", "own_level", "own_code", "own_language", "own_rows", md.alias("md"), counted.alias("counted"))
+    text = F.when(kind.isin("text", "opening"), inline_markdown_to_text(F.col("md"))).when(kind == "heading", normalize_text(F.col("inline"))).when(solid & headed, inline_markdown_to_text(F.col("inline"))).when(solid & coded, F.col("own_code"))
+    block = F.struct(
+        F.when(listed | F.col("counted"), "listItem").when(kind.isin("text", "opening"), "paragraph").when(kind == "image", "image").when((kind == "heading") | headed, "heading").when(coded, "code").otherwise("table").alias("type"),
+        F.when((kind == "heading") | (solid & headed), F.col("own_level")).alias("level"), text.alias("text"), F.col("md").alias("markdown"), F.when(listed, F.col("numbered")).when(F.col("counted"), True).alias("ordered"),
+        F.when(listed, F.col("own_depth")).when(F.col("counted"), 0).alias("depth"), F.when(solid & ~headed & coded, F.coalesce(code_language(F.col("own_language")), F.lit(""))).alias("language"),
+        F.when(kind == "image", absolute(image_source(F.col("attrs")), F.coalesce("url", F.lit("")))).alias("src"), F.when(kind == "image", normalize_text(F.col("attrs").getItem("alt"))).alias("alt"),
+        F.when(solid & ~headed & ~coded, F.col("own_rows")).alias("rows"), ((kind != "image") | F.coalesce(body_picture(F.col("attrs")), F.lit(False))).alias("_body"),
+    )
+    # as a generator's, the texts are worked out once and not again for the condition
+    shown = made.select("page_id", "quote", "start", "at", F.inline(F.array(block)))
+    return shown.where("_body and (type in ('table', 'image') or coalesce(text, '') <> '')").drop("_body")
 
 
 def _numbers(rows: DataFrame, within: str) -> DataFrame:
@@ -219,30 +94,33 @@ def _line_of():
     return F.when(F.col("type") == "listItem", item).when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.col("level"), F.lit(1)), F.lit(6))), F.lit(" "), "text")).otherwise(F.coalesce(F.nullif("markdown", F.lit("")), F.col("text"), F.lit("")))
 
 
-def _joined(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    """Rows with the same page and key as one block of their lines, at the place of the first."""
-    grouped = rows.groupBy("page_id", key).agg(F.min("pos").alias("pos"), F.array_join(F.filter(_ordered(F.col("line"), F.col("pos")), lambda x: x != ""), "\n").alias("markdown"))
-    text = inline_markdown_to_text(F.col("markdown"))
-    return grouped.select("page_id", "pos", F.lit(kind).alias("type"), text.alias("text"), "markdown").where("text <> ''")
+def _folded(rows: DataFrame, keys: list[str], many: Column, kind: str) -> DataFrame:
+    """The rows of the same keys as one block of their lines, at the place of the first, where many holds; others as they are."""
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("_joins"), F.struct("pos", _line_of().alias("line"))))), lambda x: x["line"])
+    grouped = rows.groupBy(*keys).agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_n"), F.bool_or("_joins").alias("_joins"), F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("_lines"), F.min_by(F.struct(*COLUMNS), "pos").alias("_own"))
+    folded = grouped.withColumn("_many", many)
+    dtypes = dict(rows.dtypes)
+    given = {"type": F.lit(kind), "text": inline_markdown_to_text(F.col("_lines")), "markdown": F.col("_lines")}
+    full = folded.select("*", F.inline(F.array(F.struct(*[F.when(F.col("_many"), given.get(n, F.lit(None).cast(dtypes[n]))).otherwise(F.col("_own")[n]).alias(n) for n in COLUMNS]))))
+    return full.where("not _many or text <> ''").select("page_id", "pos", *COLUMNS)
 
 
 def _quotes(rows: DataFrame) -> DataFrame:
-    loose = rows.where("quote is null")
-    held = rows.where("quote is not null")
+    """What is in a quote, up to pictures, code and grids, as one quote."""
     apart = F.col("type").isin("image", "code", "table")
-    numbered = runs(held.withColumn("_page", F.struct("page_id", "quote")), ~apart, "_page", "pos").drop("_page")
-    said = _joined(numbered.where(~apart).withColumn("line", _line_of()).withColumn("key", F.struct("quote", "run")), "key", "quote")
-    return loose.drop("quote").unionByName(numbered.where(apart).drop("quote", "run")).unionByName(said, allowMissingColumns=True)
+    order = Window.partitionBy("page_id", "quote").orderBy("pos")
+    starts = apart | F.coalesce(F.lag(apart).over(order), F.lit(True))
+    run = F.sum(F.col("_start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joins = F.col("quote").isNotNull() & ~apart
+    numbered_runs = rows.withColumn("_start", starts).withColumn("_run", F.when(F.col("quote").isNotNull(), run).otherwise(-F.col("pos"))).withColumn("_joins", joins)
+    return _folded(numbered_runs, ["page_id", "quote", "_run"], F.col("_joins"), "quote")
 
 
 def _compact(rows: DataFrame) -> DataFrame:
+    """Each block once, and neighbouring list items as one paragraph."""
     key = F.struct("type", F.when(F.col("type") == "image", F.concat_ws(" ", "pos")).otherwise(F.concat_ws("\x1f", F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("markdown", F.lit("")), F.coalesce(F.col("ordered").cast("string"), F.lit("false")), F.coalesce(F.col("depth").cast("string"), F.lit("")), F.coalesce(F.to_json("rows"), F.lit("")))))
     firsts = rows.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", key).orderBy("pos"))).where("nr = 1").drop("nr")
     dense = firsts.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).withColumn("loose", F.lit(None).cast("int"))
-    merged = kept(_numbers(dense, "loose").drop("loose"), "blocks")
-    grouped = runs(merged, F.col("type") == "listItem", "page_id", "pos")
-    size = F.count(F.lit(1)).over(Window.partitionBy("page_id", "run"))
-    sized = grouped.withColumn("size", size)
-    lists = _joined(sized.where("type = 'listItem' and size > 1").withColumn("line", _line_of()), "run", "paragraph")
-    out = sized.where("type <> 'listItem' or size = 1").drop("run", "size").unionByName(lists, allowMissingColumns=True)
-    return out.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("pos"), "type", "level", "text", "markdown", "ordered", "depth", "language", "src", "alt", "rows")
+    grouped = runs(_numbers(dense, "loose").drop("loose"), F.col("type") == "listItem", "page_id", "pos").withColumn("_joins", F.col("type") == "listItem")
+    out = _folded(grouped, ["page_id", "run"], F.col("_joins") & (F.col("_n") > 1), "paragraph")
+    return out.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("pos"), *COLUMNS)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.urls import site_family
 from ..operators.merge import squeeze
-from . import block_rows, html_marks, html_markdown, item_rows
+from . import block_rows, html_markdown, item_rows
 from .html_marks import Marks, Units
 from .html_nodes import node_rows
 from .page_content import content_of
@@ -26,15 +26,12 @@ from .shared import shared_path
 WECHAT_ROOT, WECHAT_TITLES = "js_content", (("id", "activity-name"), ("id", "js_text_title"), ("class", "rich_media_title"))
 FEISHU_ROOT, FEISHU_TITLES = "docx-page-block", (("tag", "h1"), ("class", "docx-title"))
 COURSE_ROOT, ITEM_CONTENT, ITEM = "vc-course-content", "feishu-doc-content", "vc-doc-item"
-ARTICLE_TITLES = (*(("class", c) for c in ("post-title", "article-title", "article_detail_title", "article-detail-title", "topic-title")), ("tag", "h1"))
-LEAST_TITLE = 4
 SITE_SUFFIX = re.compile(r"\s*[-|\uff5c]\s*\u751f\u8d22\u6709\u672f.*$", re.I)
 
 #: The columns of each kind of row, beside page_id, url, family and kind.
 KINDS = {
     "page": [T.StructField("title", T.StringType())],
-    "mark": html_marks.FIELDS,
-    "unit": [T.StructField(f"unit_{f.name}", f.dataType) for f in html_marks.UNITS],
+    "article": [T.StructField(f"article_{f.name}", f.dataType) for f in item_rows.ARTICLE_FIELDS],
     "markdown": html_markdown.ROW,
     "item": [T.StructField(f"item_{f.name}", f.dataType) for f in item_rows.COURSE_FIELDS],
     "top": [T.StructField(f"top_{f.name}", f.dataType) for f in block_rows.FIELDS],
@@ -44,13 +41,10 @@ COLUMNS = [f for fields in KINDS.values() for f in fields]
 
 
 class Reader:
-    """How pages of one family are parsed: the tree, the classes that get inline Markdown, the root and the title."""
-
-    def __init__(self, wanted: frozenset[str] = frozenset(), tight: bool = True, item: str = "", zones: frozenset[str] = frozenset(), owners: str = "") -> None:
-        self.wanted, self.tight, self.item, self.zones, self.owners = wanted, tight, item, zones, owners
+    """How pages of one family are parsed: the tree, the root, the title and the rows."""
 
     def tree(self) -> Marks:
-        return Units(self.item, self.zones) if self.item else Marks(self.tight)
+        return Marks(tight=True)
 
     def root(self, tree: Marks) -> int | None:
         raise NotImplementedError
@@ -59,9 +53,7 @@ class Reader:
         return ""
 
     def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
-        yield "mark", tree.rows(self.wanted)
-        if self.item:
-            yield "unit", [(n, at, *p) for n in range(len(tree.tags)) if {self.item, self.owners}.intersection(tree.classes(n)) for at, p in enumerate(tree.parts(n))]
+        raise NotImplementedError
 
 
 def _found(tree: Marks, tests: tuple, first: int = 0, last: int | None = None) -> Iterator[str]:
@@ -96,6 +88,9 @@ class WechatReader(Reader):
 
 
 class FeishuReader(Reader):
+    def tree(self) -> Marks:
+        return Marks(tight=False)
+
     def root(self, tree: Marks) -> int | None:
         return next((i for i in range(len(tree.tags)) if FEISHU_ROOT in tree.classes(i)), None)
 
@@ -119,28 +114,26 @@ class CourseReader(Reader):
 
 
 class ArticleReader(Reader):
+    def tree(self) -> Marks:
+        return Units(ITEM, frozenset((item_rows.ZONE, item_rows.BULLET)))
+
     def root(self, tree: Marks) -> int | None:
         names = [set(tree.classes(i)) for i in range(len(tree.tags))]
         return 0 if any(ITEM_CONTENT in n for n in names) and any(ITEM in n for n in names) else None
 
     def title(self, tree: Marks, root: int) -> str:
-        return next((t for t in _found(tree, ARTICLE_TITLES) if len(t) >= LEAST_TITLE), "")
+        return item_rows.article_title(tree)
 
+    def rows(self, tree: Marks, root: int, url: str | None) -> Iterator[tuple[str, list[tuple]]]:
+        yield "article", item_rows.article_rows(tree)
 
-def readers() -> dict[str, Reader]:
-    from ..operators.families import article
 
-    return {
-        "wechat": WechatReader(),
-        "scys-article": ArticleReader(article.WANTED, item=article.ITEM, zones=article.ZONES, owners=article.OPENING),
-        "scys": CourseReader(),
-        "feishu": FeishuReader(tight=False),
-    }
+READERS = {"wechat": WechatReader(), "scys-article": ArticleReader(), "scys": CourseReader(), "feishu": FeishuReader()}
 
 
-def _page(family: str, html: str | None, url: str | None, base: str, by_family: dict[str, Reader]) -> tuple[str, str, list[tuple[str, list[tuple]]]]:
+def _page(family: str, html: str | None, url: str | None, base: str) -> tuple[str, str, list[tuple[str, list[tuple]]]]:
     """The family that reads the page, its title there, and rows by kind."""
-    reader = by_family.get(family)
+    reader = READERS.get(family)
     if reader:
         tree = reader.tree()
         tree.finish(html)
@@ -169,7 +162,7 @@ class SitePages:
 def parse_pages(pages: DataFrame, title: Column, base: Column) -> SitePages:
     """pages: page_id, url, html. title is what the document calls itself, base what its relative addresses count from. Null
     or empty html is a page without rows of its own, read as any page."""
-    spark, by_family = pages.sparkSession, readers()
+    spark = pages.sparkSession
     page_id = pages.schema["page_id"]
     schema = T.StructType([page_id, T.StructField("url", T.StringType()), T.StructField("family", T.StringType()), T.StructField("kind", T.StringType()), *COLUMNS])
 
@@ -185,7 +178,7 @@ def parse_pages(pages: DataFrame, title: Column, base: Column) -> SitePages:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for i, (url, family, html, base, named) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-                family, title, found = _page(family, html, url, base, by_family)
+                family, title, found = _page(family, html, url, base)
                 if family == "scys-article" and not title:
                     title = SITE_SUFFIX.sub("", named or "")
                 for kind, rows in (("page", [(title or named or "Web Clip",)]), *found):

@@ -182,3 +182,10 @@ def test_course_pages_are_parsed_once_and_move_once(spark):
     found = course_blocks(pages)
     assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Exchange") == 1
     assert [(r.pos, r.markdown) for r in found.collect()] == [(1, "a")]
+
+
+def test_article_pages_are_parsed_once_and_move_once(spark):
+    pages = spark.createDataFrame([(1, "https://scys.com/articleDetail/xq_topic/1", '<div class="feishu-doc-content">' + item('<div class="block-text">a</div>') + "</div>")], "page_id long, url string, html string")
+    found = article_blocks(pages)
+    assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Exchange") == 1
+    assert [(r.pos, r.markdown) for r in found.collect()] == [(1, "a")]
