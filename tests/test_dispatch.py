@@ -53,3 +53,8 @@ def test_table_function(spark):
     by_sql = spark.sql("select a.page_id, b.* from authored a, lateral extract_blocks(a.html, a.url) b order by page_id, pos").collect()
     by_frame = B.page_blocks(pages(spark)).drop("url").orderBy("page_id", "pos").collect()
     assert [tuple(r) for r in by_sql] == [tuple(r) for r in by_frame] and len(by_sql) > 4
+
+
+def test_a_phone_number_on_an_account_page(spark):
+    made = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", "<div id=js_content><p>+1 (389) 555-5010 a</p></div>")], "page_id long, url string, html string")
+    assert [r.markdown for r in dispatch.read_pages(made).collect()] == ["+1 (389) 555-5010 a"]
