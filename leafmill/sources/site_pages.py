@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.urls import site_family
 from ..operators.merge import squeeze
 from . import block_rows, html_markdown, item_rows
-from .html_marks import Marks, Units
+from .html_marks import PAGES_AT_ONCE, Marks, Units
 from .html_nodes import node_rows
 from .page_content import content_of
 from .shared import shared_path
@@ -166,9 +166,9 @@ def parse_pages(pages: DataFrame, title: Column, base: Column) -> SitePages:
     page_id = pages.schema["page_id"]
     schema = T.StructType([page_id, T.StructField("url", T.StringType()), T.StructField("family", T.StringType()), T.StructField("kind", T.StringType()), *COLUMNS])
 
-    def batch_of(arrow: pa.Schema, ids: pa.Array, urls: pa.Array, family: str, kind: str, rows: list[tuple]) -> pa.RecordBatch:
-        given = dict(zip((f.name for f in KINDS[kind]), zip(*rows)))
-        columns = [ids, urls, pa.array([family] * len(rows)), pa.array([kind] * len(rows))]
+    def batch_of(arrow: pa.Schema, part: pa.RecordBatch, family: str, kind: str, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        given, take = dict(zip((f.name for f in KINDS[kind]), zip(*rows))), pa.array(at, pa.int64())
+        columns = [part.column(0).take(take), part.column(1).take(take), pa.array([family] * len(rows)), pa.array([kind] * len(rows))]
         columns += [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(len(rows), f.type) for f in list(arrow)[4:]]
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
@@ -177,14 +177,19 @@ def parse_pages(pages: DataFrame, title: Column, base: Column) -> SitePages:
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for i, (url, family, html, base, named) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-                family, title, found = _page(family, html, url, base)
-                if family == "scys-article" and not title:
-                    title = SITE_SUFFIX.sub("", named or "")
-                for kind, rows in (("page", [(title or named or "Web Clip",)]), *found):
+            for first in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part, kinds = batch.slice(first, PAGES_AT_ONCE), {}
+                for i, (url, family, html, base, named) in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]))):
+                    family, title, found = _page(family, html, url, base)
+                    if family == "scys-article" and not title:
+                        title = SITE_SUFFIX.sub("", named or "")
+                    for kind, rows in (("page", [(title or named or "Web Clip",)]), *found):
+                        at, every = kinds.setdefault((family, kind), ([], []))
+                        at += [i] * len(rows)
+                        every += rows
+                for (family, kind), (at, rows) in kinds.items():
                     if rows:
-                        take = pa.array([i] * len(rows))
-                        yield batch_of(arrow, batch.column(0).take(take), batch.column(1).take(take), family, kind, rows)
+                        yield batch_of(arrow, part, family, kind, at, rows)
 
     asked = pages.select("page_id", F.col("url").cast("string").alias("url"), site_family(F.col("url")).alias("family"), "html", base.alias("base"), title.alias("named"))
     path = shared_path(spark, "site-pages")

@@ -58,3 +58,14 @@ def test_table_function(spark):
 def test_a_phone_number_on_an_account_page(spark):
     made = spark.createDataFrame([(1, "https://mp.weixin.qq.com/s/1", "<div id=js_content><p>+1 (389) 555-5010 a</p></div>")], "page_id long, url string, html string")
     assert [r.markdown for r in dispatch.read_pages(made).collect()] == ["+1 (389) 555-5010 a"]
+
+
+def test_readers_keep_no_blocks_on_disk(spark):
+    """The parsed rows are kept, the readers' blocks aren't."""
+    import os
+    import urllib.parse
+
+    folder = urllib.parse.urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    before = set(os.listdir(folder))
+    dispatch.read_pages(pages(spark)).count()
+    assert [n.rpartition("-")[0] for n in set(os.listdir(folder)) - before] == ["leafmill-site-pages"]
